@@ -110,7 +110,7 @@ def intervals(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "user_id", "ts", "value")
     return e.select(
         "event_id", "user_id", F.col("ts").alias("start_ts"),
-        F.timestampadd("MICROSECOND", F.round(F.col("value") * 60_000_000).cast("bigint"), F.col("ts")).alias("end_ts"),
+        F.timestamp_add("MICROSECOND", F.round(F.col("value") * 60_000_000).cast("bigint"), F.col("ts")).alias("end_ts"),
     )
 
 
