@@ -20,6 +20,9 @@ TYPEAHEAD_ACCENT_FROM = "ãàáäâẽèéëêìíïîõòóöôùúüûñç"
 TYPEAHEAD_ACCENT_TO = "aaaaaeeeeeiiiiooooouuuunc"
 # The five HTML entities, in the order they are escaped.
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
+# Named entities decoded when cleaning cells for export (beyond the five).
+EXPORT_ENTITIES = [("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&reg;", "\u00ae"),
+                   ("&hellip;", "\u2026"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&apos;", "'")]
 # Characters that make a spreadsheet treat a cell as a formula.
 FORMULA_START = "^[=+\\-@\t\r]"
 # ---------------------------------------------------------------------------
@@ -76,9 +79,14 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
+def js_trim(c: Column) -> Column:
+    """String.prototype.trim: strip leading and trailing whitespace (not only spaces)."""
+    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+
 def remove_html(c: Column) -> Column:
     """STR2 (full): remove tags and entities, trim."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "&[#A-Za-z0-9]+;", ""))
+    return js_trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "&[#A-Za-z0-9]+;", ""))
 
 
 def html_escape(c: Column) -> Column:
@@ -98,17 +106,19 @@ def html_unescape(c: Column) -> Column:
 
 
 def clean_cell(c: Column) -> Column:
-    """STR4: export cleaning.
+    """STR4: export cleaning, in the reference's order.
 
-    Drop script blocks and comments, drop tags, newlines to one space,
-    decode the five entities, trim, and prefix a quote to cells that start
-    like a formula.
+    Drop script blocks, drop comments, drop tags, trim, newlines to spaces,
+    decode entities (the five plus a fixed list of common named ones), and
+    prefix a quote to cells that start like a formula.
     """
-    s = F.regexp_replace(c, "(?is)<script\\b[^<]*(?:(?!</script>)<[^<]*)*</script>", "")
-    s = F.regexp_replace(s, "(?s)<!--.*?-->", "")
+    s = F.regexp_replace(c, "(?i)<script\\b[^<]*(?:(?!</script>)<[^<]*)*</script>", "")
+    s = F.regexp_replace(s, "<!--.*?-->", "")
     s = F.regexp_replace(s, "<[^>]*>", "")
-    s = F.regexp_replace(s, "\\r?\\n", " ")
-    s = F.trim(html_unescape(s))
+    s = F.replace(js_trim(s), F.lit("\n"), F.lit(" "))
+    # one decoding pass: every other entity first, '&amp;' last
+    for ent, raw in EXPORT_ENTITIES + [(e, r) for r, e in HTML_ESCAPES if r != "&"] + [("&amp;", "&")]:
+        s = F.replace(s, F.lit(ent), F.lit(raw))
     return F.when(s.rlike(FORMULA_START), F.concat(F.lit("'"), s)).otherwise(s)
 
 
@@ -145,7 +155,7 @@ def strip_delim(c: Column, delim: str) -> Column:
 
 def localized(cols: list[Column]) -> Column:
     """STR8: first non-empty translation in language order."""
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols])
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in cols])
 
 
 def apply(df: DataFrame, col: str, fn, out: str, *args) -> DataFrame:
