@@ -1,3 +1,142 @@
-"""Registered jobs."""
+"""Registered jobs: STM1-STM5.
+
+Each job replays a driver table as a file stream (written in time order,
+one file per time bucket, so micro-batches arrive in event-time order),
+drives the streaming query to completion with an ``availableNow``
+trigger, and returns the batch read of what the sink wrote.  The oracle
+statements are the batch equivalents.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from haulframe.plans import standins
+from haulframe.plans.jobs_upserts import _SUBS_STATE_SQL, _subs_state
+from haulframe.plans.registry import job
+from haulframe.plans.standins import SUBSCRIPTION_REQUESTS_SQL
+from haulframe.session import scratch_path
+from haulframe.streaming import payments as pm
+
+REPLAY_FILES = 4
+
+
+def write_replay(df: DataFrame, bucket: Column, path: str, buckets: int = REPLAY_FILES) -> None:
+    """Write ``df`` as text lines, one append per bucket, so file times follow the buckets."""
+    d = df.withColumn("_b", bucket)
+    for b in range(buckets):
+        d.where(F.col("_b") == b).drop("_b").coalesce(1).write.mode("append").text(path)
+
+
+def _time_bucket(ts: str = "ts") -> Column:
+    return F.least(F.floor((F.dayofmonth(ts) - 1) / 8), F.lit(REPLAY_FILES - 1)).cast("int")
+
+
+def _payload_stream(t, copies: int = 1):
+    """Events replayed as payload files in time order (each event ``copies`` times)."""
+    spark = t.spark
+    src = scratch_path(spark, "payloads")
+    ev = t.events.select("event_id", "ts", "user_id", "event_type", "value")
+    rows = ev
+    for _ in range(copies - 1):
+        rows = rows.unionByName(ev)
+    write_replay(rows.select(pm.payload_column().alias("value"), _time_bucket("ts").alias("_b")), F.col("_b"), src)
+    return spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
+
+
+_ROUTE_SQL = f"""
+SELECT CASE WHEN event_type = 'view' AND value < 5 THEN NULL ELSE 'evt_' || CAST(event_id AS VARCHAR) END AS id,
+       CASE WHEN event_type = 'view' AND value < 5 THEN 'malformed'
+            WHEN event_type = 'purchase' THEN 'payment' WHEN event_type = 'error' THEN 'refund'
+            ELSE 'ignored' END AS route
+FROM events
+"""
+
+
+@job("stm1_route_events", _ROUTE_SQL)
+def stm1_route_events(t):
+    """STM1: webhook payload stream routed into payment / refund / ignored / malformed."""
+    spark = t.spark
+    out, ck = scratch_path(spark, "routed"), scratch_path(spark, "routed-ck")
+    routed = pm.route_events(pm.parse(_payload_stream(t)))
+    pm.run_to_parquet(routed.select("id", "type", "created", "route"), out, ck, partition_by=["route"])
+    return spark.read.parquet(out).select("id", "route")
+
+
+@job("stm2_dedupe_events", """
+SELECT 'evt_' || CAST(event_id AS VARCHAR) AS id, ts AS created FROM events WHERE NOT (event_type = 'view' AND value < 5)
+""")
+def stm2_dedupe_events(t):
+    """STM2: every event delivered twice; each id comes out once."""
+    spark = t.spark
+    out, ck = scratch_path(spark, "dedup"), scratch_path(spark, "dedup-ck")
+    parsed = pm.parse(_payload_stream(t, copies=2)).where(F.col("id").isNotNull())
+    pm.run_to_parquet(pm.dedupe_events(parsed).select("id", "created"), out, ck)
+    return spark.read.parquet(out).select("id", "created")
+
+
+@job("stm3_payment_facts", """
+SELECT 'evt_' || CAST(e.event_id AS VARCHAR) AS id, 'cs_' || CAST(e.event_id AS VARCHAR) AS session_id,
+       CAST(e.user_id AS VARCHAR) AS user_ref, c.c_name AS customer_name, e.ts AS created,
+       CAST(CAST(round(e.value * 100) AS BIGINT) / 100.0 AS DECIMAL(18,2)) AS amount,
+       CASE WHEN c.c_name IS NULL THEN 'failed: unknown customer' ELSE 'ok' END AS status
+FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_acctbal >= 0
+WHERE e.event_type = 'purchase'
+""")
+def stm3_payment_facts(t):
+    """STM3: payments joined to the customer lookup (customers in debit are unknown)."""
+    spark = t.spark
+    out, ck = scratch_path(spark, "facts"), scratch_path(spark, "facts-ck")
+    sessions = t.customer.where(F.col("c_acctbal") >= 0).select(
+        F.col("c_custkey").cast("string").alias("user_ref"), F.col("c_name").alias("customer_name"))
+    facts = pm.payment_facts(pm.route_events(pm.parse(_payload_stream(t))), sessions)
+    pm.run_to_parquet(facts, out, ck)
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@job("stm4_running_counts", """
+SELECT CAST(user_id AS VARCHAR) AS user_ref, count(*) AS requests FROM events WHERE event_type = 'signup' GROUP BY 1
+""")
+def stm4_running_counts(t):
+    """STM4: running contact-request counter per user (signup events), final values."""
+    spark = t.spark
+    out, ck = scratch_path(spark, "counts"), scratch_path(spark, "counts-ck")
+    parsed = pm.parse(_payload_stream(t)).where(F.col("type") == "other.signup")
+    pm.run_running_counts(parsed, out, ck)
+    return pm.latest_counts(spark, out)
+
+
+@job("stm5_stream_subscriptions", f"""
+WITH st AS ({_SUBS_STATE_SQL}),
+rq AS ({SUBSCRIPTION_REQUESTS_SQL}),
+r AS (SELECT arrival, lower(em_nl) AS email, lower(coalesce(nullif(cp_name, ''), 'none')) AS company,
+             CASE WHEN tp_area = 1 THEN 'lo' WHEN tp_area = 2 THEN 'ki' ELSE '' END AS area FROM rq),
+f AS (SELECT email, arg_min(area, arrival) AS first_area,
+             arg_min(company, arrival) FILTER (WHERE company <> 'none') AS f_company,
+             arg_min(area, arrival) FILTER (WHERE company <> 'none') AS f_area
+      FROM r GROUP BY email),
+n AS (SELECT coalesce(st.email, f.email) AS email, st.company AS company0, st.area AS area0, st.removed AS removed0,
+             f.first_area, f.f_company, f.f_area, st.email IS NOT NULL AS stored,
+             st.email IS NOT NULL AND lower(coalesce(st.company, 'none')) <> 'none' AS keep
+      FROM st FULL OUTER JOIN f ON st.email = f.email)
+SELECT email,
+       CASE WHEN keep THEN company0 WHEN f_company IS NOT NULL THEN f_company
+            WHEN stored THEN company0 ELSE 'none' END AS company,
+       CASE WHEN keep THEN area0 WHEN f_company IS NOT NULL THEN f_area
+            WHEN stored THEN area0 ELSE first_area END AS area,
+       coalesce(removed0, false) AS removed
+FROM n
+""")
+def stm5_stream_subscriptions(t):
+    """STM5: sign-up requests streamed in arrival order into the versioned subscription state."""
+    spark = t.spark
+    src, state_dir, ck = scratch_path(spark, "subs-in"), scratch_path(spark, "subs-state"), scratch_path(spark, "subs-ck")
+    req = standins.subscription_requests(t).join(t.events.select(F.col("event_id").alias("arrival"), "ts"), "arrival")
+    lines = req.select(F.to_json(F.struct("arrival", "em_nl", "cp_name", "tp_area")).alias("value"), "ts")
+    write_replay(lines.select("value", _time_bucket("ts").alias("_b")), F.col("_b"), src)
+    schema = "arrival BIGINT, em_nl STRING, cp_name STRING, tp_area INT"
+    stream = (spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
+              .select(F.from_json("value", schema).alias("r")).select("r.*"))
+    pm.stream_subscriptions(spark, stream, state_dir, _subs_state(t), ck)
+    return pm.latest_state(spark, state_dir)

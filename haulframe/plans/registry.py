@@ -50,6 +50,7 @@ def load_all() -> dict[str, Job]:
         jobs_aggs,
         jobs_columns,
         jobs_filters,
+        jobs_hooks,
         jobs_io,
         jobs_joins,
         jobs_kpi,
