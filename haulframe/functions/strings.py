@@ -134,13 +134,28 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(s, "^-|-$", "")
 
 
-def highlight(c: Column, keys: list[str]) -> Column:
-    """STR6: wrap case-insensitive matches in <strong>, longest key first, not inside tags."""
+def _accent_class(ch: str) -> str:
+    """Regex class matching a letter and every accented letter the fixed table folds to it."""
+    variants = [ch] + [f for f, t in zip(TYPEAHEAD_ACCENT_FROM, TYPEAHEAD_ACCENT_TO) if t == ch]
+    if len(variants) == 1:
+        return re.sub(r"([-\[\]{}()*+?.,\\^$|#\s])", r"\\\1", ch)
+    return "[" + "".join(variants) + "]"
+
+
+def highlight(c: Column, keys: list[str], accents: bool = False) -> Column:
+    """STR6: wrap case-insensitive matches in <strong>, longest key first, not inside tags.
+
+    With ``accents`` a key also matches accented spellings of its letters
+    (the fixed accent table), and the original spelling is kept inside the tag.
+    """
     ks = sorted((k for k in keys if k.strip()), key=len, reverse=True)
     if not ks:
         return c
-    alt = "|".join(re.sub(r"([-\[\]{}()*+?.,\\^$|#\s])", r"\\\1", k) for k in ks)
-    return F.regexp_replace(c, f"(?i)({alt})(?!([^<]+)?>)", "<strong>$1</strong>")
+    if accents:
+        alt = "|".join("".join(_accent_class(ch) for ch in k.lower()) for k in ks)
+    else:
+        alt = "|".join(re.sub(r"([-\[\]{}()*+?.,\\^$|#\s])", r"\\\1", k) for k in ks)
+    return F.regexp_replace(c, f"(?iu)({alt})(?!([^<]+)?>)", "<strong>$1</strong>")
 
 
 def basename(c: Column) -> Column:

@@ -112,8 +112,11 @@ def filter_by(df: DataFrame, spec: dict, how: str = "and") -> DataFrame:
     for col, val in spec.items():
         if isinstance(val, (list, tuple, set)):
             tests.append(F.col(col).isin(list(val)))
+        elif val is None:
+            tests.append(F.col(col).isNull())
         else:
-            tests.append(F.col(col).eqNullSafe(F.lit(val)))
+            # plain equality (not null-safe) so the Parquet reader gets an EqualTo filter
+            tests.append(F.coalesce(F.col(col) == F.lit(val), F.lit(False)) if how == "or" else F.col(col) == F.lit(val))
     return df.where(_and(tests) if how == "and" else _or(tests))
 
 
