@@ -8,7 +8,7 @@ in a range-partitioned sort instead of collecting a group's values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.operators.positions import global_row_number
@@ -75,8 +75,12 @@ def group_rows(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
     """
     keys = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("group_size"))
     keys = global_row_number(keys, [F.col(c).asc() for c in cols], "group_id")
-    w = Window.partitionBy(*cols).orderBy(*order)
-    return df.join(keys, cols).withColumn("member_no", F.row_number().over(w))
+    # member number = position in (group, order) minus the group's first position:
+    # no per-group window, so a group holding a third of the rows is still spread out
+    pos = global_row_number(df, [F.col(c).asc() for c in cols] + [F.col(c).asc() for c in order], "_pos")
+    start = pos.groupBy(*cols).agg(F.min("_pos").alias("_start"))
+    return (pos.join(start, cols).join(keys, cols)
+            .withColumn("member_no", F.col("_pos") - F.col("_start") + 1).drop("_pos", "_start"))
 
 
 def distinct_options(df: DataFrame, col: str, first_by: str, case_insensitive: bool = True) -> DataFrame:
@@ -110,15 +114,15 @@ def box_stats(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75)) -> Data
     """
     d = df.select(by, col).where(F.col(col).isNotNull())
     stats = d.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("min"), F.max(col).alias("max"))
-    # start offset of each category in (by, col) order: window over the small stats table
-    wo = Window.orderBy(F.col(by).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0)))
-    need = stats.select(by, "_n", "_off", F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
+    pos = global_row_number(d, [F.col(by).asc_nulls_first(), F.col(col).asc()], "_pos")
+    # first position of each category (a partial aggregate), not a window over categories
+    start = pos.groupBy(by).agg((F.min("_pos") - 1).alias("_off"))
+    need = stats.join(start, by, "left").select(by, "_n", "_off",
+                                                F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
     need = need.withColumn("_h", F.col("_p") * (F.col("_n") - 1)).withColumn(
         "_lo", F.floor("_h").cast("bigint")).withColumn("_hi", F.ceil("_h").cast("bigint"))
     ranks = need.select(by, "_off", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
     ranks = ranks.select(by, (F.col("_off") + F.col("_r") + 1).alias("_pos"))
-    pos = global_row_number(d, [F.col(by).asc_nulls_first(), F.col(col).asc()], "_pos")
     picked = pos.join(ranks, [by, "_pos"])
     lo = picked.select(by, F.col("_pos").alias("_plo"), F.col(col).alias("_vlo"))
     hi = picked.select(by, F.col("_pos").alias("_phi"), F.col(col).alias("_vhi"))

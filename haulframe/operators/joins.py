@@ -152,11 +152,14 @@ def tree(spark: SparkSession, edges: DataFrame, root: str | None = None, max_dep
     """)
     children = spark.table(view).where(F.col("pid").isNotNull()).groupBy(F.col("pid").alias("id")).agg(
         F.count(F.lit(1)).alias("child_count"))
-    from pyspark.sql import Window
-    sib = Window.partitionBy("pid").orderBy("id")
-    return (levels.join(children, "id", "left")
+    # sibling number = position in (pid, id) order minus the parent's first position
+    # (no per-parent window: a parent with a third of all nodes stays spread out)
+    pos = global_row_number(levels, [F.col("pid").asc_nulls_first(), F.col("id").asc()], "_pos")
+    first = pos.groupBy("pid").agg(F.min("_pos").alias("_first"))
+    return (pos.join(first, pos["pid"].eqNullSafe(first["pid"])).drop(first["pid"])
+            .join(children, "id", "left")
             .withColumn("child_count", F.coalesce("child_count", F.lit(0)))
-            .withColumn("sibling_no", F.row_number().over(sib)))
+            .withColumn("sibling_no", F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first"))
 
 
 def expand_recurrence(rules: DataFrame, lo: dt.date, hi: dt.date) -> DataFrame:

@@ -13,23 +13,64 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.plans.standins import SLA_DAYS
+from haulframe.session import ensure_checkpoint_dir
 
 
 def _late(sla: int):
     return F.col("delivery_days") > F.lit(sla)
 
 
-def monthly_kpis(shipments: DataFrame, sla: int = SLA_DAYS) -> DataFrame:
+# grouping sets of the report facts, by grouping_id()
+_SETS = {
+    "month": ["client", "month"],
+    "reason": ["client", "month", "reason"],
+    "route": ["client", "route"],
+    "carrier": ["client", "carrier"],
+}
+_KEYS = ["client", "month", "reason", "route", "carrier"]
+
+
+def _gid(level: str) -> int:
+    """grouping_id() of a set: bit i (from the left, of _KEYS) is 1 when key i is rolled up."""
+    cols = _SETS[level]
+    return sum(1 << (len(_KEYS) - 1 - i) for i, k in enumerate(_KEYS) if k not in cols)
+
+
+def report_facts(shipments: DataFrame, sla: int = SLA_DAYS) -> DataFrame:
+    """Every figure the report needs, from ONE pass over the shipments.
+
+    A single aggregate over four grouping sets ((client, month),
+    (client, month, reason), (client, route), (client, carrier)): Spark
+    expands each row four ways and combines map-side before the one
+    shuffle, so the five-way join feeding it runs once.  Columns: the keys,
+    ``level`` (month | reason | route | carrier), n (rows), n_valid (rows
+    with a delivery time), sum_days, n_ontime, n_late.
+    """
+    d = shipments.select(
+        "client", F.trunc(F.col("shipped_at").cast("date"), "MM").alias("month"), "reason", "route", "carrier",
+        "delivery_days")
+    valid = F.col("delivery_days").isNotNull()
+    g = d.groupingSets([[F.col(c) for c in v] for v in _SETS.values()], *[F.col(k) for k in _KEYS]).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("delivery_days").alias("n_valid"),
+        F.sum("delivery_days").alias("sum_days"),
+        F.sum((valid & (F.col("delivery_days") <= sla)).cast("int")).alias("n_ontime"),
+        F.sum(_late(sla).cast("int")).alias("n_late"),
+        F.grouping_id().alias("_gid"))
+    level = F.lit(None).cast("string")
+    for name in _SETS:
+        level = F.when(F.col("_gid") == _gid(name), F.lit(name)).otherwise(level)
+    return g.withColumn("level", level).drop("_gid")
+
+
+def monthly_kpis(shipments: DataFrame, sla: int = SLA_DAYS, facts: DataFrame | None = None) -> DataFrame:
     """Per (client, month): shipments, avgdelivery, ontimedelivery."""
-    on_time = F.when(F.col("delivery_days").isNull(), F.lit(None)).when(
-        F.col("delivery_days") <= sla, F.lit(1.0)).otherwise(F.lit(0.0))
-    return shipments.groupBy(
-        "client", F.trunc(F.col("shipped_at").cast("date"), "MM").alias("month")
-    ).agg(
-        F.count(F.lit(1)).alias("shipments"),
-        F.round(F.avg("delivery_days"), 1).alias("avgdelivery"),
-        F.round(F.avg(on_time) * 100).cast("bigint").alias("ontimedelivery"),
-    )
+    f = (facts if facts is not None else report_facts(shipments, sla)).where(F.col("level") == "month")
+    return f.select(
+        "client", "month", F.col("n").alias("shipments"),
+        F.round(F.try_divide(F.col("sum_days").cast("double"), F.col("n_valid")), 1).alias("avgdelivery"),
+        F.round(F.try_divide(F.col("n_ontime").cast("double"), F.col("n_valid")) * 100).cast("bigint")
+        .alias("ontimedelivery"))
 
 
 def percent_change(df: DataFrame, key: str, period: str, value: str, out: str = "percent_change",
@@ -51,44 +92,52 @@ def percent_change(df: DataFrame, key: str, period: str, value: str, out: str =
     return j.select(*[df[c] for c in df.columns], pct.cast("bigint").alias(out))
 
 
-def delay_reasons(shipments: DataFrame, n: int = 3, sla: int = SLA_DAYS) -> DataFrame:
+def delay_reasons(shipments: DataFrame, n: int = 3, sla: int = SLA_DAYS, facts: DataFrame | None = None) -> DataFrame:
     """KPI2: up to n reasons of late rows per (client, month), count desc, reason asc."""
-    counts = shipments.where(_late(sla)).groupBy(
-        "client", F.trunc(F.col("shipped_at").cast("date"), "MM").alias("month"), "reason"
-    ).agg(F.count(F.lit(1)).alias("late_count"))
+    f = (facts if facts is not None else report_facts(shipments, sla))
+    counts = f.where((F.col("level") == "reason") & (F.col("n_late") > 0)).select(
+        "client", "month", "reason", F.col("n_late").alias("late_count"))
     w = Window.partitionBy("client", "month").orderBy(F.desc("late_count"), F.asc("reason"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def suggest(shipments: DataFrame, min_support: int = 5, sla: int = SLA_DAYS) -> DataFrame:
+def suggest(shipments: DataFrame, min_support: int = 5, sla: int = SLA_DAYS, facts: DataFrame | None = None) -> DataFrame:
     """KPI3: per client, the route and the carrier with the highest late rate.
 
     Late rate = late rows / rows with a valid delivery time; only candidates
     with at least ``min_support`` valid rows; ties go to the smaller name.
-    ``max_by`` over a (rate, -name) ordering needs no sort of the group.
+    The rates come from the shared facts, so no extra pass over shipments.
     """
-    valid = shipments.where(F.col("delivery_days").isNotNull())
+    f = facts if facts is not None else report_facts(shipments, sla)
 
     def worst(dim: str) -> DataFrame:
-        rates = valid.groupBy("client", dim).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(_late(sla).cast("int")).alias("late"))
-        rates = rates.where(F.col("n") >= min_support).withColumn("rate", F.col("late") / F.col("n"))
+        rates = f.where((F.col("level") == dim) & (F.col("n_valid") >= min_support)).select(
+            "client", dim, (F.col("n_late") / F.col("n_valid")).alias("rate"))
         w = Window.partitionBy("client").orderBy(F.desc("rate"), F.asc(dim))
         return (rates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
                 .select("client", dim, F.round("rate", 4).alias(f"{dim}_late_rate")))
 
-    clients = shipments.select("client").distinct()
+    clients = f.where(F.col("level") == "month").select("client").distinct()
     return clients.join(worst("route"), "client", "left").join(worst("carrier"), "client", "left")
 
 
 def monthly_report(shipments: DataFrame, sla: int = SLA_DAYS, min_support: int = 5) -> DataFrame:
-    """KPI1: the report row per client and month."""
-    base = percent_change(monthly_kpis(shipments, sla), "client", "month", "shipments")
-    reasons = delay_reasons(shipments, 3, sla).groupBy("client", "month").agg(
+    """KPI1: the report row per client and month, from one pass of facts.
+
+    The facts are read by three branches; Catalyst prunes each branch's
+    aggregate differently, so they would not share a shuffle and the join
+    would run three times.  The small aggregated facts are therefore
+    checkpointed once (reliable checkpoint in the shared folder, which also
+    cuts the lineage back to the raw tables).
+    """
+    ensure_checkpoint_dir(shipments.sparkSession)
+    facts = report_facts(shipments, sla).checkpoint(eager=True)
+    base = percent_change(monthly_kpis(shipments, sla, facts), "client", "month", "shipments")
+    reasons = delay_reasons(shipments, 3, sla, facts).groupBy("client", "month").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "reason"))), lambda s: s["reason"]),
             ", ").alias("delayreasons"))
-    sugg = suggest(shipments, min_support, sla).select(
+    sugg = suggest(shipments, min_support, sla, facts).select(
         "client", F.concat_ws(", ", "route", "carrier").alias("suggested"))
     sugg = sugg.withColumn("suggested", F.when(F.col("suggested") == "", None).otherwise(F.col("suggested")))
     return (base.join(reasons, ["client", "month"], "left")
