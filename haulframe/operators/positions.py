@@ -5,9 +5,15 @@ table into one task.  Here the table is range-partitioned on the order
 (Spark samples the bounds), sorted inside each partition, and numbered by
 its in-partition position plus the row count of all earlier partitions.
 The per-partition counts form a table with one row per partition, which is
-the only thing broadcast.  The sorted table is checkpointed to the shared
-checkpoint folder first so both passes see the same partitioning and a lost
-executor only recomputes from the checkpoint.
+the only thing broadcast.
+
+The order must be total (end it with a unique key).  The range bounds are
+sampled from a deterministic input with fixed seeds, so a recomputed
+partition (after a lost executor) holds the same rows and the counts stay
+valid; the counts and the numbering read the same range exchange, which
+Spark plans once and reuses.  ``checkpoint=True`` writes the sorted table
+to the shared checkpoint folder first, for inputs that are not
+deterministic or lineages worth cutting.
 """
 
 from __future__ import annotations
@@ -24,12 +30,12 @@ def sorted_partitions(df: DataFrame, order: list[Column], partitions: int | None
 
 
 def global_row_number(df: DataFrame, order: list[Column], out: str = "position",
-                      partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                      partitions: int | None = None, checkpoint: bool = False) -> DataFrame:
     """Add ``out`` = 1-based position of each row in ``order`` (which must be total)."""
-    ensure_checkpoint_dir(df.sparkSession)
     s = sorted_partitions(df, order, partitions)
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
         s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
