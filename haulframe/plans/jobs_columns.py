@@ -286,6 +286,41 @@ def geo1_project_mill(t):
     return r.withColumn("x", F.round("x", 3)).withColumn("y", F.round("y", 3))
 
 
+@job("geo1_project_merc", f"""
+SELECT c_custkey, lat, lon, round((lon - 0.0) * {numbers.MAP_RADIUS * _RAD!r}, 3) AS x,
+       round(-{numbers.MAP_RADIUS} * ln(tan({math.pi / 4!r} + lat * {math.pi / 360!r})), 3) AS y
+FROM ({_MARKERS_SQL})
+""")
+def geo1_project_merc(t):
+    """GEO1: customer markers projected with Mercator."""
+    r = numbers.project_points(_markers(t), "lat", "lon", "merc")
+    return r.withColumn("x", F.round("x", 3)).withColumn("y", F.round("y", 3))
+
+
+def _aea_consts():
+    p1, p2 = (p * _RAD for p in numbers.ALBERS_PARALLELS)
+    n = (math.sin(p1) + math.sin(p2)) / 2
+    cc = math.cos(p1) ** 2 + 2 * n * math.sin(p1)
+    return n, cc, math.sqrt(cc) / n
+
+
+_AN, _AC, _ARO0 = _aea_consts()
+
+
+@job("geo1_project_aea", f"""
+WITH m AS ({_MARKERS_SQL}),
+r AS (SELECT *, sqrt({_AC!r} - sin(lat * {_RAD!r}) * {2 * _AN!r}) / {_AN!r} AS ro,
+             (lon * {_RAD!r} - {0.0 * _RAD!r}) * {_AN!r} AS theta FROM m)
+SELECT c_custkey, lat, lon, round(ro * sin(theta) * {numbers.MAP_RADIUS}, 3) AS x,
+       round(-({_ARO0!r} - ro * cos(theta)) * {numbers.MAP_RADIUS}, 3) AS y
+FROM r
+""")
+def geo1_project_aea(t):
+    """GEO1: customer markers projected with the Albers equal-area conic."""
+    r = numbers.project_points(_markers(t), "lat", "lon", "aea")
+    return r.withColumn("x", F.round("x", 3)).withColumn("y", F.round("y", 3))
+
+
 def _lcc_consts():
     p1, p2 = (p * _RAD for p in numbers.LAMBERT_PARALLELS)
     n = math.log(math.cos(p1) / math.cos(p2)) / math.log(math.tan(math.pi / 4 + p2 / 2) / math.tan(math.pi / 4 + p1 / 2))

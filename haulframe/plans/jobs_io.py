@@ -166,7 +166,31 @@ def snk4_export_xml(t):
     return t.spark.read.option("rowTag", "row").schema("r_name STRING").xml(path)
 
 
-@job("snk5_render_report", None)
+def _snk5_sql() -> str:
+    from haulframe.plans.jobs_kpi import KPI1_SELECT, KPI_BASE_SQL
+
+    nl = "chr(10)"
+    text = " || ".join([
+        "'Dear ' || rep.client_name || ','", nl, nl,
+        "'Your logistics performance for ' || strftime(rep.month, '%Y-%m') || ':'", nl,
+        "'Shipments: ' || CAST(rep.shipments AS VARCHAR)", nl,
+        "'Average delivery: ' || coalesce(CAST(rep.avgdelivery AS VARCHAR), 'n/a') || ' days'", nl,
+        "'Change against the previous month: ' || coalesce(CAST(rep.percent_change AS VARCHAR), 'n/a') || '%'", nl,
+        "'On-time delivery: ' || coalesce(CAST(rep.ontimedelivery AS VARCHAR), 'n/a') || '%'", nl,
+        "'Main delay reasons: ' || coalesce(rep.delayreasons, 'none')", nl,
+        "'Suggested revision: ' || coalesce(rep.suggested, 'none')", nl, nl, "' '"])
+    subject = sinks.REPORT_SUBJECT.replace("'", "''")
+    missing = ("error: " + sinks.MISSING_RECIPIENT).replace("'", "''")
+    return KPI_BASE_SQL + f""", rep AS ({KPI1_SELECT}),
+rcp AS (SELECT c_mktsegment AS client_name, arg_min(lower(c_name), c_custkey) || '@example.com' AS email
+        FROM customer GROUP BY 1)
+SELECT rep.client_name, rep.month, rcp.email AS recipient, '{subject}' AS subject, {text} AS text,
+       CASE WHEN coalesce(trim(rcp.email), '') <> '' THEN 'ok' ELSE '{missing}' END AS status
+FROM rep LEFT JOIN rcp USING (client_name)
+"""
+
+
+@job("snk5_render_report", _snk5_sql())
 def snk5_render_report(t):
     """SNK5: one report message per client and month, addressed to the segment's first customer."""
     rep = kpi.monthly_report(standins.shipments(t))

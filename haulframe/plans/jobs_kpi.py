@@ -60,7 +60,7 @@ sugg AS (
 """
 
 
-@job("kpi1_monthly_report", _KPI_BASE + """
+KPI1_SELECT = """
 SELECT pc.client AS client_name, pc.month, pc.shipments, pc.avgdelivery, pc.percent_change, pc.ontimedelivery,
        d.delayreasons,
        CASE WHEN concat_ws(', ', sugg.route, sugg.carrier) = '' THEN NULL
@@ -70,7 +70,11 @@ LEFT JOIN (SELECT client, month, string_agg(reason, ', ' ORDER BY rank) AS delay
            FROM lr WHERE rank <= 3 GROUP BY client, month) d
   ON d.client = pc.client AND d.month = pc.month
 LEFT JOIN sugg ON sugg.client = pc.client
-""")
+"""
+KPI_BASE_SQL = _KPI_BASE
+
+
+@job("kpi1_monthly_report", _KPI_BASE + KPI1_SELECT)
 def kpi1_monthly_report(t):
     """KPI1: monthly report per client (shipments, delivery, change, on-time, reasons, suggestion)."""
     return kpi.monthly_report(standins.shipments(t))
