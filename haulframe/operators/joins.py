@@ -122,8 +122,9 @@ def overlaps(df: DataFrame, key: str, start: str, end: str, id_col: str, bucket:
     function of start), so no pair is ever emitted and a hot key is split.
     """
     order = [start, id_col]
-    d = segmented.running(df, [key], bucket, order, end, "_prev_max_end", "max", inclusive=False)
-    d = segmented.next_value(d, [key], bucket, order, start, "_next_start")
+    d = segmented.scan(df, [key], bucket, order, [
+        segmented.Spec("max", end, "_prev_max_end", inclusive=False),
+        segmented.Spec("lead", start, "_next_start")])
     flag = F.coalesce(F.col("_prev_max_end") >= F.col(start), F.lit(False)) | F.coalesce(
         F.col("_next_start") <= F.col(end), F.lit(False))
     return d.withColumn("overlaps", flag).drop("_prev_max_end", "_next_start")

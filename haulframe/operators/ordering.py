@@ -167,11 +167,13 @@ def run_groups(df: DataFrame, part: list[str], bucket: Column, order: list, cols
     for i in range(len(cols)):
         label = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit(empty)) for c in cols[: i + 1]])
         d = d.withColumn(f"_lab{i}", label)
-        d = segmented.prev_value(d, part, bucket, order, f"_lab{i}", f"_prev{i}")
+    # one scan for every level's previous label, one for every level's running change count
+    d = segmented.scan(d, part, bucket, order, [segmented.Spec("lag", f"_lab{i}", f"_prev{i}") for i in range(len(cols))])
+    for i in range(len(cols)):
         d = d.withColumn(f"_chg{i}", (~F.col(f"_lab{i}").eqNullSafe(F.col(f"_prev{i}"))).cast("int"))
-        d = segmented.running(d, part, bucket, order, f"_chg{i}", f"{prefix}_{i + 1}", "sum")
-        d = d.drop(f"_lab{i}", f"_prev{i}", f"_chg{i}")
-    return d
+    d = segmented.scan(d, part, bucket, order,
+                       [segmented.Spec("sum", f"_chg{i}", f"{prefix}_{i + 1}") for i in range(len(cols))])
+    return d.drop(*[f"_{k}{i}" for i in range(len(cols)) for k in ("lab", "prev", "chg")])
 
 
 def top_per_group(df: DataFrame, group: str, order: list[str], per_group: int, overall: int | None) -> DataFrame:

@@ -2,82 +2,109 @@
 
 A window ``partitionBy(key).orderBy(ts)`` sends every row of a key to one
 task; with a key holding a third of the table that task is the job.  The
-helpers here split each key into ordered segments (a coarse bucket of the
+scans here split each key into ordered segments (a coarse bucket of the
 order, e.g. the day), run the window per (key, segment), and carry the
-segment boundary values from a small per-segment aggregate:
+values across segment borders from a small per-segment aggregate:
 
-* ``prev_value`` / ``next_value``: lag / lead of a column across segments;
-* ``running``: running sum / max / min across segments.
+* ``lag`` / ``lead``: the previous / next row's value within the key;
+* ``sum`` / ``max`` / ``min``: running aggregates (inclusive or not).
 
-The per-segment table has one row per (key, segment), so the carry windows
-run over aggregated data only.  The bucket must be monotone in the order
-(bucket(a) < bucket(b) implies a sorts before b).
+``scan`` computes any number of these in ONE window pass, ONE aggregate
+(which reads the input, not the window output) and ONE join of the
+per-segment carries, so the input is read twice whatever the number of
+outputs.  The per-segment table has one row per (key, segment); its carry
+windows run over aggregated data only.  The bucket must be monotone in the
+order (bucket(a) < bucket(b) implies a sorts before b).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SEG = "_seg"
+_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+@dataclass(frozen=True)
+class Spec:
+    kind: str          # lag | lead | sum | max | min
+    col: str
+    out: str
+    inclusive: bool = True  # running aggregates only
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _with_seg(df: DataFrame, bucket: Column) -> DataFrame:
+def scan(df: DataFrame, part: list[str], bucket: Column, order: list, specs: list[Spec]) -> DataFrame:
+    """Add one column per spec, computed in key order within ``part``."""
+    d = df.withColumn(_SEG, bucket)
+    w = Window.partitionBy(*part, _SEG).orderBy(*_cols(order))
+    run_w = {True: w.rowsBetween(Window.unboundedPreceding, Window.currentRow),
+             False: w.rowsBetween(Window.unboundedPreceding, -1)}
+    order_key = F.struct(*_cols(order))
+
+    within, seg_aggs, carries = [], [], []
+    seg_w = Window.partitionBy(*part).orderBy(_SEG)
+    for i, s in enumerate(specs):
+        if s.kind == "lag":
+            within.append(F.lag(s.col).over(w).alias(f"_w{i}"))
+            seg_aggs.append(F.max_by(F.col(s.col), order_key).alias(f"_s{i}"))
+            carries.append(F.lag(f"_s{i}").over(seg_w).alias(f"_c{i}"))
+        elif s.kind == "lead":
+            within.append(F.lead(s.col).over(w).alias(f"_w{i}"))
+            seg_aggs.append(F.min_by(F.col(s.col), order_key).alias(f"_s{i}"))
+            carries.append(F.lead(f"_s{i}").over(seg_w).alias(f"_c{i}"))
+        else:
+            agg = _AGG[s.kind]
+            within.append(agg(s.col).over(run_w[s.inclusive]).alias(f"_w{i}"))
+            seg_aggs.append(agg(s.col).alias(f"_s{i}"))
+            carries.append(agg(f"_s{i}").over(seg_w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c{i}"))
+
+    d = d.select("*", *within, (F.row_number().over(w) == 1).alias("_first"),
+                 F.lead(F.lit(1)).over(w).isNull().alias("_last"))
+    seg = _with_seg_only(df, bucket).groupBy(*part, _SEG).agg(*seg_aggs)
+    seg = seg.select(*part, _SEG, *carries)
+    d = d.join(seg, [*part, _SEG], "left")
+
+    outs = []
+    for i, s in enumerate(specs):
+        wv, cv = F.col(f"_w{i}"), F.col(f"_c{i}")
+        if s.kind == "lag":
+            v = F.when(F.col("_first"), cv).otherwise(wv)
+        elif s.kind == "lead":
+            v = F.when(F.col("_last"), cv).otherwise(wv)
+        elif s.kind == "sum":
+            v = F.when(wv.isNull() & cv.isNull(), F.lit(None)).otherwise(
+                F.coalesce(wv, F.lit(0)) + F.coalesce(cv, F.lit(0)))
+        elif s.kind == "max":
+            v = F.greatest(wv, cv)
+        else:
+            v = F.least(wv, cv)
+        outs.append(v.alias(s.out))
+    tmp = [f"_{p}{i}" for i in range(len(specs)) for p in ("w", "c")] + ["_first", "_last", _SEG]
+    return d.select("*", *outs).drop(*tmp)
+
+
+def _with_seg_only(df: DataFrame, bucket: Column) -> DataFrame:
     return df.withColumn(_SEG, bucket)
 
 
 def prev_value(df: DataFrame, part: list[str], bucket: Column, order: list, col: str, out: str) -> DataFrame:
     """``out`` = value of ``col`` on the previous row (by ``order``) within ``part``."""
-    d = _with_seg(df, bucket)
-    w = Window.partitionBy(*part, _SEG).orderBy(*_cols(order))
-    d = d.withColumn("_lag", F.lag(col).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    order_key = F.struct(*_cols(order))
-    seg = d.groupBy(*part, _SEG).agg(F.max_by(F.col(col), order_key).alias("_last"))
-    seg = seg.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*part).orderBy(_SEG))).drop("_last")
-    d = d.join(seg, [*part, _SEG], "left")
-    return d.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop(
-        "_lag", "_first", "_carry", _SEG)
+    return scan(df, part, bucket, order, [Spec("lag", col, out)])
 
 
 def next_value(df: DataFrame, part: list[str], bucket: Column, order: list, col: str, out: str) -> DataFrame:
     """``out`` = value of ``col`` on the next row (by ``order``) within ``part``."""
-    d = _with_seg(df, bucket)
-    w = Window.partitionBy(*part, _SEG).orderBy(*_cols(order))
-    wr = Window.partitionBy(*part, _SEG).orderBy(*[c.desc() for c in _cols(order)])
-    d = d.withColumn("_lead", F.lead(col).over(w)).withColumn("_last", F.row_number().over(wr) == 1)
-    order_key = F.struct(*_cols(order))
-    seg = d.groupBy(*part, _SEG).agg(F.min_by(F.col(col), order_key).alias("_head"))
-    seg = seg.withColumn("_carry", F.lead("_head").over(Window.partitionBy(*part).orderBy(_SEG))).drop("_head")
-    d = d.join(seg, [*part, _SEG], "left")
-    return d.withColumn(out, F.when(F.col("_last"), F.col("_carry")).otherwise(F.col("_lead"))).drop(
-        "_lead", "_last", "_carry", _SEG)
+    return scan(df, part, bucket, order, [Spec("lead", col, out)])
 
 
-_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
-
-
-def running(df: DataFrame, part: list[str], bucket: Column, order: list, col: str | Column, out: str,
+def running(df: DataFrame, part: list[str], bucket: Column, order: list, col: str, out: str,
             fn: str = "sum", inclusive: bool = True) -> DataFrame:
     """``out`` = fn over the rows up to this one (``inclusive``) or before it, within ``part``."""
-    agg = _AGG[fn]
-    value = F.col(col) if isinstance(col, str) else col
-    d = _with_seg(df, bucket).withColumn("_v", value)
-    end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(*part, _SEG).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, end)
-    d = d.withColumn("_in", agg("_v").over(w))
-    seg = d.groupBy(*part, _SEG).agg(agg("_v").alias("_tot"))
-    ws = Window.partitionBy(*part).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_carry", agg("_tot").over(ws)).drop("_tot")
-    d = d.join(seg, [*part, _SEG], "left")
-    if fn == "sum":
-        res = F.when(F.col("_in").isNull() & F.col("_carry").isNull(), F.lit(None)).otherwise(
-            F.coalesce(F.col("_in"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0)))
-    elif fn == "max":
-        res = F.greatest("_in", "_carry")
-    else:
-        res = F.least("_in", "_carry")
-    return d.withColumn(out, res).drop("_v", "_in", "_carry", _SEG)
+    return scan(df, part, bucket, order, [Spec(fn, col, out, inclusive)])
