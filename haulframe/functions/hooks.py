@@ -89,7 +89,8 @@ def group_transform(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame],
 
 def normalize(df: DataFrame, col: str, fn: Callable[[Column], Column], out: str) -> DataFrame:
     """UDF6: a normalisation function applied before min-max scaling to [0, 1]."""
-    v = fn(F.col(col))
-    lo = df.select(F.min(fn(F.col(col)))).scalar()
-    hi = df.select(F.max(fn(F.col(col)))).scalar()
-    return df.withColumn(out, F.when(hi == lo, F.lit(0.0)).otherwise((v - lo) / (hi - lo)))
+    from haulframe.operators.totals import with_totals
+
+    d = with_totals(df, {"_lo": F.min(fn(F.col(col))), "_hi": F.max(fn(F.col(col)))})
+    v, lo, hi = fn(F.col(col)), F.col("_lo"), F.col("_hi")
+    return d.withColumn(out, F.when(hi == lo, F.lit(0.0)).otherwise((v - lo) / (hi - lo))).drop("_lo", "_hi")

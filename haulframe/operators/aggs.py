@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.operators.positions import global_row_number
+from haulframe.operators.totals import with_totals
 
 
 def series_totals(df: DataFrame, series: str = "series", y: str = "y") -> DataFrame:
@@ -40,8 +41,8 @@ def percent_share(df: DataFrame, x: str, y: str, series: str) -> DataFrame:
     A zero total gives 0 in the stacked case, null for the pie.
     """
     per_x = df.groupBy(x).agg(F.sum(y).alias("_xt"))
-    grand = df.select(F.sum(y)).scalar()
-    d = df.join(per_x, x)
+    d = with_totals(df.join(per_x, x), {"_grand": F.sum(y)}, source=df)
+    grand = F.col("_grand")
     return d.select(
         x, series, y,
         F.when(F.col("_xt") == 0, F.lit(0.0)).otherwise(100.0 * F.col(y) / F.col("_xt")).alias("share_of_x"),

@@ -74,22 +74,49 @@ def _fanout(df: DataFrame, small: DataFrame, value: str, out: str) -> DataFrame:
     return parts
 
 
+def _small_list(small: DataFrame, value: str | Column) -> Column | None:
+    """The values of a parameter-like table as one array Column (a scalar subquery),
+    or None when the table is over the bound."""
+    if small.count() > MAX_FANOUT_LIST:
+        return None
+    v = F.col(value) if isinstance(value, str) else value
+    return small.select(F.sort_array(F.collect_list(v))).scalar()
+
+
+def _permission_structs(manage: DataFrame) -> Column | None:
+    return _small_list(manage, F.struct(F.lit("permission").alias("kind"), F.col("codename").alias("grant")))
+
+
+def grant_array(perm_structs: Column | None) -> Column:
+    """Per user row: array of struct(kind, grant) with its page access, its group and,
+    for admins, every struct of ``perm_structs`` (an array Column of struct(kind, grant))."""
+    access = F.struct(F.lit("permission").alias("kind"),
+                      F.concat(F.lit("access_"), F.col("user_type"), F.lit("_pages")).alias("grant"))
+    group = F.struct(F.lit("group").alias("kind"), F.initcap(F.concat(F.col("user_type"), F.lit("s"))).alias("grant"))
+    own = F.array(access, group)
+    if perm_structs is None:
+        return own
+    return F.concat(own, F.when(F.col("user_type") == "admin", perm_structs).otherwise(F.slice(perm_structs, 1, 0)))
+
+
 def expand_grants(users: DataFrame, perms: DataFrame) -> DataFrame:
     """JOIN4: sign-up fan-out.
 
     users: user_id, user_type (admin | member); perms: codename.
     Admins get every permission whose codename starts with 'manage'; every
-    user gets 'access_<type>_pages' and the group '<Type>s'.
+    user gets 'access_<type>_pages' and the group '<Type>s'.  All grants of
+    a user come from one array exploded per row (one pass over users); a
+    permission list over the bound is fanned out in chunks instead.
     """
     manage = perms.where(F.col("codename").startswith("manage")).select("codename").distinct()
-    admins = users.where(F.col("user_type") == "admin").select("user_id")
-    admin_perms = _fanout(admins, manage, "codename", "grant").select(
-        "user_id", F.lit("permission").alias("kind"), "grant")
-    access = users.select("user_id", F.lit("permission").alias("kind"),
-                          F.concat(F.lit("access_"), F.col("user_type"), F.lit("_pages")).alias("grant"))
-    group = users.select("user_id", F.lit("group").alias("kind"),
-                         F.initcap(F.concat(F.col("user_type"), F.lit("s"))).alias("grant"))
-    return admin_perms.unionByName(access).unionByName(group)
+    arr = _permission_structs(manage)
+    if arr is None:
+        admins = users.where(F.col("user_type") == "admin").select("user_id")
+        admin_perms = _fanout(admins, manage, "codename", "grant").select(
+            "user_id", F.lit("permission").alias("kind"), "grant")
+        base = users.select("user_id", F.explode(grant_array(None)).alias("_g"))
+        return admin_perms.unionByName(base.select("user_id", "_g.kind", "_g.grant"))
+    return users.select("user_id", F.explode(grant_array(arr)).alias("_g")).select("user_id", "_g.kind", "_g.grant")
 
 
 def audience(newsletters: DataFrame, subscribers: DataFrame) -> DataFrame:

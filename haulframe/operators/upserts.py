@@ -195,14 +195,25 @@ def signup(users: DataFrame, perms: DataFrame, batch_id: str) -> DataFrame:
 
     users: user_id, username, email, user_type.  Returns one long table
     (table_name, user_id, detail, batch_id) so the batch is written as a
-    single unit; split it by ``table_name`` when storing.
+    single unit; split it by ``table_name`` when storing.  The user and
+    profile rows and the JOIN4 grants come from one array per user,
+    exploded in one pass.
     """
-    from haulframe.operators.joins import expand_grants
-
-    u = users.select(F.lit("user").alias("table_name"), "user_id",
-                     F.concat_ws("|", "username", "email", F.lit("staff=false")).alias("detail"))
-    p = users.select(F.lit("profile").alias("table_name"), "user_id", F.col("user_type").alias("detail"))
-    g = expand_grants(users.select("user_id", "user_type"), perms).select(
-        F.when(F.col("kind") == "group", "group_member").otherwise("user_permission").alias("table_name"),
-        "user_id", F.col("grant").alias("detail"))
-    return u.unionByName(p).unionByName(g).withColumn("batch_id", F.lit(batch_id))
+    from haulframe.operators.joins import _permission_structs, expand_grants, grant_array
+
+    manage = perms.where(F.col("codename").startswith("manage")).select("codename").distinct()
+    arr = _permission_structs(manage)
+    own = F.array(
+        F.struct(F.lit("user").alias("kind"), F.concat_ws("|", "username", "email", F.lit("staff=false")).alias("grant")),
+        F.struct(F.lit("profile").alias("kind"), F.col("user_type").alias("grant")))
+    table = (F.when(F.col("_g.kind") == "group", "group_member")
+             .when(F.col("_g.kind") == "permission", "user_permission").otherwise(F.col("_g.kind")))
+    if arr is None:
+        base = users.select("user_id", F.explode(own).alias("_g"))
+        grants = expand_grants(users.select("user_id", "user_type"), perms).select(
+            "user_id", F.struct("kind", "grant").alias("_g"))
+        rows = base.unionByName(grants)
+    else:
+        rows = users.select("user_id", F.explode(F.concat(own, grant_array(arr))).alias("_g"))
+    return rows.select(table.alias("table_name"), "user_id", F.col("_g.grant").alias("detail"),
+                       F.lit(batch_id).alias("batch_id"))
