@@ -78,7 +78,9 @@ def group_rows(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
     keys = global_row_number(keys, [F.col(c).asc() for c in cols], "group_id")
     # member number = position in (group, order) minus the group's first position:
     # no per-group window, so a group holding a third of the rows is still spread out
-    pos = global_row_number(df, [F.col(c).asc() for c in cols] + [F.col(c).asc() for c in order], "_pos")
+    # read twice below: written once to the shared checkpoint folder
+    pos = global_row_number(df, [F.col(c).asc() for c in cols] + [F.col(c).asc() for c in order], "_pos",
+                            checkpoint=True)
     start = pos.groupBy(*cols).agg(F.min("_pos").alias("_start"))
     return (pos.join(start, cols).join(keys, cols)
             .withColumn("member_no", F.col("_pos") - F.col("_start") + 1).drop("_pos", "_start"))
@@ -114,12 +116,12 @@ def box_stats(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75)) -> Data
     group's values are ever held together.
     """
     d = df.select(by, col).where(F.col(col).isNotNull())
-    stats = d.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("min"), F.max(col).alias("max"))
-    pos = global_row_number(d, [F.col(by).asc_nulls_first(), F.col(col).asc()], "_pos")
-    # first position of each category (a partial aggregate), not a window over categories
-    start = pos.groupBy(by).agg((F.min("_pos") - 1).alias("_off"))
-    need = stats.join(start, by, "left").select(by, "_n", "_off",
-                                                F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
+    # read three times below: written once to the shared checkpoint folder
+    pos = global_row_number(d, [F.col(by).asc_nulls_first(), F.col(col).asc()], "_pos", checkpoint=True)
+    # count, extremes and first position of each category in one partial aggregate over the positions
+    stats = pos.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("min"), F.max(col).alias("max"),
+                                (F.min("_pos") - 1).alias("_off"))
+    need = stats.select(by, "_n", "_off", F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
     need = need.withColumn("_h", F.col("_p") * (F.col("_n") - 1)).withColumn(
         "_lo", F.floor("_h").cast("bigint")).withColumn("_hi", F.ceil("_h").cast("bigint"))
     ranks = need.select(by, "_off", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()

@@ -182,7 +182,7 @@ def tree(spark: SparkSession, edges: DataFrame, root: str | None = None, max_dep
         F.count(F.lit(1)).alias("child_count"))
     # sibling number = position in (pid, id) order minus the parent's first position
     # (no per-parent window: a parent with a third of all nodes stays spread out)
-    pos = global_row_number(levels, [F.col("pid").asc_nulls_first(), F.col("id").asc()], "_pos")
+    pos = global_row_number(levels, [F.col("pid").asc_nulls_first(), F.col("id").asc()], "_pos", checkpoint=True)
     first = pos.groupBy("pid").agg(F.min("_pos").alias("_first"))
     return (pos.join(first, pos["pid"].eqNullSafe(first["pid"])).drop(first["pid"])
             .join(children, "id", "left")

@@ -108,7 +108,10 @@ def suggest(shipments: DataFrame, min_support: int = 5, sla: int = SLA_DAYS, fac
     with at least ``min_support`` valid rows; ties go to the smaller name.
     The rates come from the shared facts, so no extra pass over shipments.
     """
-    f = facts if facts is not None else report_facts(shipments, sla)
+    if facts is None:  # read by three branches: aggregate once, keep it in the shared checkpoint folder
+        ensure_checkpoint_dir(shipments.sparkSession)
+        facts = report_facts(shipments, sla).checkpoint(eager=True)
+    f = facts
 
     def worst(dim: str) -> DataFrame:
         rates = f.where((F.col("level") == dim) & (F.col("n_valid") >= min_support)).select(
