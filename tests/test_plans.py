@@ -45,3 +45,16 @@ def test_positions_avoid_single_partition_window(spark):
         assert "row_number()" not in p
         assert p.count("Exchange SinglePartition") <= 1
         assert "BroadcastHashJoin" in p
+
+
+def test_top_n_limits_before_the_shuffle(spark):
+    for name in ("win2_top_per_group", "kpi2_delay_reasons", "set3_distinct_tags"):
+        assert "WindowGroupLimit" in plan(spark, name) and "Partial" in plan(spark, name)
+
+
+def test_whole_table_totals_scan_once(spark):
+    # min/max used in many expressions: one scalar subquery, not one per use.  The formatted
+    # plan names each scan twice (tree and details): main query + one subquery per table.
+    for name, tables in (("dat5_auto_bucket_events", 1), ("num5_color_scale", 2), ("num2_linear_bins", 1)):
+        p = plan(spark, name)
+        assert p.count("Scan parquet") <= 2 * 2 * tables, name
