@@ -25,23 +25,25 @@ def delivery_days(shipped: Column, ordered: Column, max_days: int = MAX_VALID_DA
 def shipments(t: Tables) -> DataFrame:
     """client, route, carrier, reason, shipped_at, delivery_days.
 
-    lineitem -> orders and orders -> customer are the two big shuffled joins
-    (both on the driving key); supplier is joined by key and left to AQE to
-    broadcast when its runtime size allows; nation is a fixed 25-row
-    dimension and is broadcast.
+    Join order keeps the line-item-sized data to two shuffles (one per
+    line item key): orders are joined to their customer first (an
+    orders-sized shuffle on the customer key), suppliers to their nation,
+    and only then is each line joined on the order key and on the supplier
+    key.  Nation is a fixed 25-row dimension and is broadcast; any other
+    side that turns out small at runtime is broadcast by AQE.
     """
-    li = t.lineitem.select("l_orderkey", "l_suppkey", "l_returnflag", "l_shipdate")
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-    s = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
     sn = F.broadcast(t.nation.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("sn_name")))
     cn = F.broadcast(t.nation.select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("cn_name")))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    oc = (o.join(c, o.o_custkey == c.c_custkey).join(cn, F.col("c_nationkey") == F.col("cn_key"))
+          .select("o_orderkey", "o_orderdate", "c_mktsegment", "cn_name"))
+    s = (t.supplier.select("s_suppkey", "s_name", "s_nationkey").join(sn, F.col("s_nationkey") == F.col("sn_key"))
+         .select("s_suppkey", "s_name", "sn_name"))
+    li = t.lineitem.select("l_orderkey", "l_suppkey", "l_returnflag", "l_shipdate")
     return (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(c, F.col("o_custkey") == c.c_custkey)
+        li.join(oc, li.l_orderkey == oc.o_orderkey)
         .join(s, F.col("l_suppkey") == s.s_suppkey)
-        .join(sn, F.col("s_nationkey") == sn.sn_key)
-        .join(cn, F.col("c_nationkey") == cn.cn_key)
         .select(
             F.col("c_mktsegment").alias("client"),
             F.concat_ws(" -> ", "sn_name", "cn_name").alias("route"),
