@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.plans.standins import SLA_DAYS
-from haulframe.session import ensure_checkpoint_dir
+from haulframe.session import ensure_checkpoint_dir, materialize
 
 
 def _late(sla: int):
@@ -110,7 +110,7 @@ def suggest(shipments: DataFrame, min_support: int = 5, sla: int = SLA_DAYS, fac
     """
     if facts is None:  # read by three branches: aggregate once, keep it in the shared checkpoint folder
         ensure_checkpoint_dir(shipments.sparkSession)
-        facts = report_facts(shipments, sla).checkpoint(eager=True)
+        facts = report_facts(shipments, sla).transform(lambda d: materialize(d, "report-facts"))
     f = facts
 
     def worst(dim: str) -> DataFrame:
@@ -134,7 +134,7 @@ def monthly_report(shipments: DataFrame, sla: int = SLA_DAYS, min_support: int =
     cuts the lineage back to the raw tables).
     """
     ensure_checkpoint_dir(shipments.sparkSession)
-    facts = report_facts(shipments, sla).checkpoint(eager=True)
+    facts = report_facts(shipments, sla).transform(lambda d: materialize(d, "report-facts"))
     base = percent_change(monthly_kpis(shipments, sla, facts), "client", "month", "shipments")
     reasons = delay_reasons(shipments, 3, sla, facts).groupBy("client", "month").agg(
         F.array_join(

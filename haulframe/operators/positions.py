@@ -12,7 +12,7 @@ sampled from a deterministic input with fixed seeds, so a recomputed
 partition (after a lost executor) holds the same rows and the counts stay
 valid; the counts and the numbering read the same range exchange, which
 Spark plans once and reuses.  ``checkpoint=True`` writes the sorted table
-to the shared checkpoint folder first, for inputs that are not
+(as Parquet) to the shared checkpoint folder first, for inputs that are not
 deterministic or lineages worth cutting.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulframe.session import ensure_checkpoint_dir
+from haulframe.session import ensure_checkpoint_dir, materialize
 
 
 def sorted_partitions(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "position",
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
-        s = s.checkpoint(eager=True)
+        s = materialize(s, "positions")
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count, safe to broadcast

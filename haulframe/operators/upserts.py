@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from haulframe.functions.strings import norm_key
 from haulframe.operators.joins import resolve_client
 from haulframe.operators.positions import global_row_number
-from haulframe.session import ensure_checkpoint_dir
+from haulframe.session import ensure_checkpoint_dir, materialize
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's: subscription answers.
@@ -113,7 +113,7 @@ def upsert_clients(state: DataFrame, submissions: DataFrame, users: DataFrame) -
         "email", "_f.*")
     # one row per e-mail, read by the update and the insert branches: computed once
     ensure_checkpoint_dir(state.sparkSession)
-    first = first.checkpoint(eager=True)
+    first = first.transform(lambda d: materialize(d, "first-submissions"))
     acting = first.where(F.col("branch").isin("update_or_create", "create"))
     upd = acting.where(F.col("client_id").isNotNull()).select(
         F.col("client_id").alias("_cid"), F.col("user_id").alias("_uid"), F.col("cp_nm").alias("_company"),

@@ -74,3 +74,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    This cuts the lineage like a reliable checkpoint, but computes the plan
+    once (an RDD checkpoint of an unpersisted plan computes it twice: once
+    for the action, once for the checkpoint write) and stores it columnar.
+    A lost executor later re-reads the files instead of recomputing.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
