@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -133,6 +134,8 @@ def search(df: DataFrame, text: str, cols: list[str], mode: str = "contains",
     """
     if text is None or text == "":
         return df
+    if accent_neutral:
+        text = "".join(ch for ch in unicodedata.normalize("NFD", text) if not 0x0300 <= ord(ch) <= 0x036F)
     needle = text.lower()
     tests = []
     cmp = parse_comparison(text, signed=True) if mode == "contains" else None

@@ -118,6 +118,15 @@ def flt9_fold_accents(t):
     return d.select("doc_id", fold_accents(F.col("text")).alias("folded"))
 
 
+@job("flt9_accent_neutral_search", """
+SELECT doc_id, lang FROM documents WHERE contains(lower(strip_accents(text)), 'etre')
+""")
+def flt9_accent_neutral_search(t):
+    """FLT9: accent-insensitive search: 'Être' finds 'etre', 'être', 'ÊTRE' in whole documents."""
+    d = t.documents.select("doc_id", "lang", "text")
+    return flt.search(d, "Être", ["text"], accent_neutral=True).select("doc_id", "lang")
+
+
 @job("flt10_dynamic_filter", """
 SELECT * FROM events WHERE event_type = 'purchase' AND (user_id = 7 OR event_id = 100)
 """)

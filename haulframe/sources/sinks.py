@@ -63,11 +63,25 @@ def export_tsv(df: DataFrame, path: str) -> None:
 
 
 def export(df: DataFrame, fmt: str, path: str, include: list[str] | None = None,
-           exclude: list[str] | None = None, visible: list[str] | None = None) -> None:
-    """SNK4: export in json / xml / csv / txt; columns forced in (include) or out (exclude)."""
+           exclude: list[str] | None = None, visible: list[str] | None = None, scope: str = "all",
+           page: tuple[list[Column], int, int] | None = None, selected: str | None = None) -> None:
+    """SNK4: export in json / xml / csv / txt.
+
+    scope: 'all' rows, 'basic' = one page (``page`` = (order, number, size)),
+    'selected' = rows whose boolean column ``selected`` is true.  Columns are
+    the visible ones plus ``include`` minus ``exclude``.
+    """
+    d = df
+    if scope == "basic":
+        from haulframe.operators.ordering import page as take_page
+
+        order, number, size = page
+        d = take_page(df, order, number, size).select(*df.columns)
+    elif scope == "selected":
+        d = df.where(F.coalesce(F.col(selected), F.lit(False)))
     keep = set(visible if visible is not None else df.columns) | set(include or [])
     cols = [c for c in df.columns if c in keep and c not in set(exclude or [])]
-    d = df.select(*cols)
+    d = d.select(*cols)
     w = d.write.mode("overwrite")
     if fmt == "json":
         w.json(path)

@@ -125,3 +125,15 @@ def test_update_by_id_merge_latest_wins(spark):
 
 def upserts_update(df, up):
     return upserts.update_by_id(df, up, "id", "arrival").collect()
+
+
+def test_export_scopes(spark):
+    from haulframe.session import scratch_path
+    from haulframe.sources import sinks
+
+    df = spark.createDataFrame([(i, i % 2 == 0) for i in range(10)], "id int, picked boolean")
+    p1, p2 = scratch_path(spark, "t-exp"), scratch_path(spark, "t-exp")
+    sinks.export(df, "json", p1, scope="basic", page=([F.col("id")], 2, 4), exclude=["picked"])
+    sinks.export(df, "csv", p2, scope="selected", selected="picked")
+    assert sorted(r.id for r in spark.read.json(p1).collect()) == [4, 5, 6, 7]
+    assert spark.read.option("header", True).csv(p2).count() == 5
