@@ -7,13 +7,14 @@ its in-partition position plus the row count of all earlier partitions.
 The per-partition counts form a table with one row per partition, which is
 the only thing broadcast.
 
-The order must be total (end it with a unique key).  The range bounds are
-sampled from a deterministic input with fixed seeds, so a recomputed
-partition (after a lost executor) holds the same rows and the counts stay
-valid; the counts and the numbering read the same range exchange, which
-Spark plans once and reuses.  ``checkpoint=True`` writes the sorted table
-(as Parquet) to the shared checkpoint folder first, for inputs that are not
-deterministic or lineages worth cutting.
+The order must be total (end it with a unique key).  The sorted table,
+with each row's partition id and in-partition index, is written once as
+Parquet to the shared checkpoint folder; the per-partition counts and the
+numbering both read that copy.  Computing them from two executions of the
+range exchange is not safe: the two plans are pruned differently, and at
+scale their sampled range bounds can differ, which silently misnumbers
+rows.  The written copy also means a lost executor re-reads files instead
+of recomputing the sort.
 """
 
 from __future__ import annotations
@@ -30,13 +31,12 @@ def sorted_partitions(df: DataFrame, order: list[Column], partitions: int | None
 
 
 def global_row_number(df: DataFrame, order: list[Column], out: str = "position",
-                      partitions: int | None = None, checkpoint: bool = False) -> DataFrame:
+                      partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in ``order`` (which must be total)."""
     s = sorted_partitions(df, order, partitions)
     s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        s = materialize(s, "positions")
+    ensure_checkpoint_dir(df.sparkSession)
+    s = materialize(s, "positions")
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count, safe to broadcast

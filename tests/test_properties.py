@@ -84,3 +84,11 @@ def test_box_stats_exact(spark):
     for u, g in p.groupby("user"):
         want = tuple(g["minutes"].quantile([0.25, 0.5, 0.75], interpolation="linear"))
         assert all(abs(x - y) < 1e-9 for x, y in zip(got[u], want))
+
+
+def test_global_row_number_many_partitions(spark):
+    # enough rows and partitions that two independently sampled range exchanges would disagree
+    df = spark.range(300_000).select("id", (F.xxhash64("id") % 997).alias("k"))
+    a = positions.global_row_number(df, [F.col("k"), F.col("id")], "p", partitions=32).select("id", "p")
+    b = df.withColumn("p", F.row_number().over(Window.orderBy("k", "id"))).select("id", "p")
+    assert a.exceptAll(b).count() == 0 and a.count() == 300_000
