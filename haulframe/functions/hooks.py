@@ -87,6 +87,22 @@ def group_transform(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame],
     return d.mapInPandas(run, schema)
 
 
+def pandas_group_aggregate(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], dict], schema: str,
+                           max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """UDF4 in pandas: one output row per group from ``fn(group_frame) -> dict``.
+
+    For hooks that cannot be written as aggregate Columns.  It holds one
+    group at a time (size checked first) and streams groups as in
+    ``group_transform``; prefer ``aggregate_hook``, which aggregates partially.
+    """
+    def per_group(g: pd.DataFrame) -> pd.DataFrame:
+        row = {k: g[k].iloc[0] for k in keys}
+        row.update(fn(g))
+        return pd.DataFrame([row])
+
+    return group_transform(df, keys, per_group, schema, max_group_rows)
+
+
 def normalize(df: DataFrame, col: str, fn: Callable[[Column], Column], out: str) -> DataFrame:
     """UDF6: a normalisation function applied before min-max scaling to [0, 1]."""
     from haulframe.operators.totals import with_totals

@@ -137,3 +137,23 @@ def test_export_scopes(spark):
     sinks.export(df, "csv", p2, scope="selected", selected="picked")
     assert sorted(r.id for r in spark.read.json(p1).collect()) == [4, 5, 6, 7]
     assert spark.read.option("header", True).csv(p2).count() == 5
+
+
+def test_pandas_group_aggregate_matches_columns(spark):
+    from haulframe.functions import hooks
+
+    df = spark.createDataFrame([(k % 7, float(k)) for k in range(2000)], "k int, v double")
+    got = {r.k: r.spread for r in hooks.pandas_group_aggregate(
+        df, ["k"], lambda g: {"spread": float(g["v"].max() - g["v"].min())}, "k int, spread double").collect()}
+    want = {r.k: r.spread for r in df.groupBy("k").agg((F.max("v") - F.min("v")).alias("spread")).collect()}
+    assert got == want
+
+
+def test_group_size_guard(spark):
+    import pytest
+
+    from haulframe.functions import hooks
+
+    df = spark.createDataFrame([(1, 1.0)] * 50, "k int, v double")
+    with pytest.raises(ValueError):
+        hooks.group_transform(df, ["k"], lambda g: g, "k int, v double", max_group_rows=10)
