@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulframe.operators.broadcasts import checked_broadcast
 from haulframe.sources.tables import Tables
 
 # Fixed values of the shipment stand-in.
@@ -29,11 +30,12 @@ def shipments(t: Tables) -> DataFrame:
     line item key): orders are joined to their customer first (an
     orders-sized shuffle on the customer key), suppliers to their nation,
     and only then is each line joined on the order key and on the supplier
-    key.  Nation is a fixed 25-row dimension and is broadcast; any other
-    side that turns out small at runtime is broadcast by AQE.
+    key.  Nation (25 rows in this schema) is broadcast after a row-count
+    check; any other side that turns out small at runtime is broadcast by AQE.
     """
-    sn = F.broadcast(t.nation.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("sn_name")))
-    cn = F.broadcast(t.nation.select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("cn_name")))
+    nation = checked_broadcast(t.nation.select("n_nationkey", "n_name"))
+    sn = nation.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("sn_name"))
+    cn = nation.select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("cn_name"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     oc = (o.join(c, o.o_custkey == c.c_custkey).join(cn, F.col("c_nationkey") == F.col("cn_key"))
