@@ -10,7 +10,7 @@ from a size-checked array instead of a cartesian product.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from haulframe.operators import segmented
 from haulframe.operators.filters import first_per_key
 from haulframe.operators.positions import global_row_number
+from haulframe.session import materialize
 
 # Largest list expanded per row in one pass; longer lists go in chunks.
 MAX_FANOUT_LIST = 10_000
@@ -161,28 +162,36 @@ def tree(spark: SparkSession, edges: DataFrame, root: str | None = None, max_dep
     """JOIN8: adjacency list (id, pid) -> id, pid, level, path, child_count, sibling_no.
 
     Roots are rows whose parent is null, empty or '0', or the given root id.
-    The levels come from a recursive CTE (Spark 4.1); its depth is capped
-    by ``max_depth`` against cycles.
+    Levels are found one at a time: level k+1 is the equi join of the edges
+    with level k on pid = id (a distributed join, whatever the width of the
+    level); each level is written once to the checkpoint folder, which cuts
+    the lineage, and the loop stops at the first empty level or at
+    ``max_depth`` (a guard against cycles).  The driver only sees the level
+    count.  Spark's recursive CTE is not used because it caps the rows it
+    may produce (``spark.sql.cteRecursionRowLimit``, a million by default).
     """
-    view = f"tree_edges_{uuid.uuid4().hex}"
-    edges.select(F.col("id").cast("string").alias("id"), F.col("pid").cast("string").alias("pid")) \
-        .createOrReplaceTempView(view)
-    root_cond = "pid IS NULL OR pid = '' OR pid = '0'" if root is None else f"id = '{root}'"
-    levels = spark.sql(f"""
-        WITH RECURSIVE t (id, pid, level, path) AS (
-          SELECT id, pid, 1, id FROM {view} WHERE {root_cond}
-          UNION ALL
-          SELECT e.id, e.pid, t.level + 1, t.path || '/' || e.id
-          FROM {view} e JOIN t ON e.pid = t.id
-          WHERE t.level < {max_depth}
-        )
-        SELECT * FROM t
-    """)
-    children = spark.table(view).where(F.col("pid").isNotNull()).groupBy(F.col("pid").alias("id")).agg(
+    e = materialize(edges.select(F.col("id").cast("string").alias("id"), F.col("pid").cast("string").alias("pid")),
+                    "tree-edges")
+    is_root = (F.col("pid").isNull() | (F.col("pid") == "") | (F.col("pid") == "0")) if root is None \
+        else (F.col("id") == root)
+    frontier = materialize(e.where(is_root).select("id", "pid", F.lit(1).alias("level"), F.col("id").alias("path")),
+                           "tree-level")
+    levels = [frontier]
+    for depth in range(2, max_depth + 1):
+        parents = frontier.select(F.col("id").alias("_parent"), F.col("path").alias("_ppath"))
+        nxt = e.join(parents, e["pid"] == parents["_parent"]).select(
+            "id", "pid", F.lit(depth).alias("level"), F.concat_ws("/", "_ppath", "id").alias("path"))
+        nxt = materialize(nxt, "tree-level")
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        frontier = nxt
+    levels_df = reduce(lambda a, b: a.unionByName(b), levels)
+    children = e.where(F.col("pid").isNotNull()).groupBy(F.col("pid").alias("id")).agg(
         F.count(F.lit(1)).alias("child_count"))
     # sibling number = position in (pid, id) order minus the parent's first position
     # (no per-parent window: a parent with a third of all nodes stays spread out)
-    pos = global_row_number(levels, [F.col("pid").asc_nulls_first(), F.col("id").asc()], "_pos")
+    pos = global_row_number(levels_df, [F.col("pid").asc_nulls_first(), F.col("id").asc()], "_pos")
     first = pos.groupBy("pid").agg(F.min("_pos").alias("_first"))
     return (pos.join(first, pos["pid"].eqNullSafe(first["pid"])).drop(first["pid"])
             .join(children, "id", "left")

@@ -157,3 +157,15 @@ def test_group_size_guard(spark):
     df = spark.createDataFrame([(1, 1.0)] * 50, "k int, v double")
     with pytest.raises(ValueError):
         hooks.group_transform(df, ["k"], lambda g: g, "k int, v double", max_group_rows=10)
+
+
+def test_tree_levels_paths_and_cycles(spark):
+    from haulframe.operators import joins
+
+    edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("x", "y"), ("y", "x")],
+                                  "id string, pid string")
+    r = {x.id: (x.level, x.path, x.child_count, x.sibling_no) for x in joins.tree(spark, edges).collect()}
+    assert r == {"a": (1, "a", 2, 1), "b": (2, "a/b", 1, 1), "c": (3, "a/b/c", 0, 1), "d": (2, "a/d", 0, 2)}
+    # a cycle reachable from a chosen root stops at the depth guard
+    r2 = joins.tree(spark, edges, root="x", max_depth=4).collect()
+    assert sorted(x.level for x in r2) == [1, 2, 3, 4]
