@@ -71,3 +71,29 @@ def test_percent_of_stack(spark):
     got = {r["x"]: round(r["share_of_x"], 1) for r in aggs.percent_share(df, "x", "y", "series").collect()
            if r["series"] == "a"}
     assert [got[i] for i in range(4)] == [94.1, 91.7, 89.6, 92.3]
+
+
+def test_named_sources_and_group_filter(spark):
+    from haulframe.operators import filters, setops
+
+    sources = {f"group{g}": spark.createDataFrame([(f"group{g}-data{i}",) for i in (1, 2, 3)], "display string")
+               for g in (1, 2, 3)}
+    allrows = setops.tagged_union(sources, "display")
+    assert allrows.count() == 9
+    only1 = filters.category_filter(allrows, "group", "group1")
+    assert sorted(r.display for r in only1.collect()) == ["group1-data1", "group1-data2", "group1-data3"]
+    assert filters.category_filter(allrows, "group", "all").count() == 9
+
+
+def test_correlative_words_over_compiled_text(spark):
+    from haulframe.functions.strings import html_unescape
+    from haulframe.operators import filters
+
+    df = spark.createDataFrame([("user1", "email1@domain.com"), ("user2", "email2@domain.com")],
+                               "username string, email string")
+    compiled = df.withColumn("compiled", F.concat("username", F.lit(" &lt;"), "email", F.lit("&gt;")))
+    compiled = compiled.withColumn("compiled", html_unescape(F.col("compiled")))
+    hits = filters.all_words(compiled, "user", "compiled").where("matched").collect()
+    assert [r.compiled for r in hits] == ["user1 <email1@domain.com>", "user2 <email2@domain.com>"]
+    # every query word must be found, each occurrence used once
+    assert filters.all_words(compiled, "user user", "compiled").where("matched").count() == 0
