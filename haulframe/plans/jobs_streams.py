@@ -139,4 +139,4 @@ def stm5_stream_subscriptions(t):
     stream = (spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
               .select(F.from_json("value", schema).alias("r")).select("r.*"))
     pm.stream_subscriptions(spark, stream, state_dir, _subs_state(t), ck)
-    return pm.latest_state(spark, state_dir)
+    return pm.read_subscriptions(spark, state_dir)

@@ -169,3 +169,15 @@ def test_tree_levels_paths_and_cycles(spark):
     # a cycle reachable from a chosen root stops at the depth guard
     r2 = joins.tree(spark, edges, root="x", max_depth=4).collect()
     assert sorted(x.level for x in r2) == [1, 2, 3, 4]
+
+
+def test_subscription_batch_is_idempotent(spark):
+    state = spark.createDataFrame([("a@x", "none", "", False), ("b@x", "acme", "lo", False)],
+                                  "email string, company string, area string, removed boolean")
+    req = spark.createDataFrame([(1, "a@x", None, 1), (2, "a@x", "Beta", 2), (3, "c@x", None, 3), (4, "d@x", "q", 1)],
+                                "arrival long, em_nl string, cp_name string, tp_area int")
+    _, once = upserts.upsert_subscriptions(state, req)
+    once = once.drop("action")
+    _, twice = upserts.upsert_subscriptions(once, req)
+    key = lambda df: sorted(map(tuple, df.select("email", "company", "area", "removed").collect()))
+    assert key(once) == key(twice.drop("action"))
