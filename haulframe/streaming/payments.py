@@ -172,7 +172,8 @@ def stream_subscriptions(spark: SparkSession, stream: DataFrame, state_dir: str,
     stored rows), so a micro-batch re-run after a failure has no double
     effect.
     """
-    initial.withColumn("bucket", _state_bucket("email", buckets)).write.mode("overwrite") \
+    # one task per bucket on write: one file per partition folder, not one per task and bucket
+    initial.withColumn("bucket", _state_bucket("email", buckets)).repartition("bucket").write.mode("overwrite") \
         .partitionBy("bucket").parquet(state_dir)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -186,8 +187,8 @@ def stream_subscriptions(spark: SparkSession, stream: DataFrame, state_dir: str,
         new_state = new_state.drop("action").withColumn("bucket", _state_bucket("email", buckets))
         # written aside first: the overwrite below replaces the partitions this plan reads
         staged = materialize(new_state, "subs-batch")
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket") \
-            .parquet(state_dir)
+        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("bucket").parquet(state_dir)
 
     q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
