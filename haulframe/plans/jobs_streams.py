@@ -129,7 +129,7 @@ SELECT email,
 FROM n
 """)
 def stm5_stream_subscriptions(t):
-    """STM5: sign-up requests streamed in arrival order into the versioned subscription state."""
+    """STM5: sign-up requests streamed in arrival order into the bucketed subscription state."""
     spark = t.spark
     src, state_dir, ck = scratch_path(spark, "subs-in"), scratch_path(spark, "subs-state"), scratch_path(spark, "subs-ck")
     req = standins.subscription_requests(t).join(t.events.select(F.col("event_id").alias("arrival"), "ts"), "arrival")
