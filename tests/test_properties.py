@@ -92,3 +92,23 @@ def test_global_row_number_many_partitions(spark):
     a = positions.global_row_number(df, [F.col("k"), F.col("id")], "p", partitions=32).select("id", "p")
     b = df.withColumn("p", F.row_number().over(Window.orderBy("k", "id"))).select("id", "p")
     assert a.exceptAll(b).count() == 0 and a.count() == 300_000
+
+
+def test_hot_client_folder_is_written_by_many_tasks(spark):
+    import glob
+
+    from haulframe.session import scratch_path
+    from haulframe.sources import sinks
+
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)
+                                    .cast("int").alias("company_id"))
+    path = scratch_path(spark, "t-hot")
+    # the test data is tiny, so AQE would merge all range partitions into one task; at scale it does not
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_by_client(df, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot_files = glob.glob(path.replace("file:", "") + "/company_id=0/*.parquet")
+    assert len(hot_files) > 1  # the client holding a third of the rows is not one task
+    assert sinks.read_client(spark, path, 0).count() == df.where("company_id = 0").count()
