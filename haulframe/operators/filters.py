@@ -330,8 +330,8 @@ def smart_search(df: DataFrame, text: str, cols: list[str], smart: bool = True,
 def all_words(df: DataFrame, query: str, col: str, out: str = "matched") -> DataFrame:
     """FLT15: every query word must be found in the text, each hit consumed once.
 
-    Words are matched case-insensitively in order; a found occurrence is cut
-    out of the working text so that a repeated query word needs a second
+    Words are matched case-insensitively in order; a found occurrence is
+    blanked out of the working text, so a repeated query word needs a second
     occurrence.  Runs as one ``aggregate`` higher-order function per row.
     """
     words = [w for w in query.lower().split() if w]
