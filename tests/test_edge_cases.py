@@ -181,3 +181,17 @@ def test_subscription_batch_is_idempotent(spark):
     _, twice = upserts.upsert_subscriptions(once, req)
     key = lambda df: sorted(map(tuple, df.select("email", "company", "area", "removed").collect()))
     assert key(once) == key(twice.drop("action"))
+
+
+def test_date_range_presets_clamp_and_drop(spark):
+    import datetime as dt
+
+    df = spark.createDataFrame([(dt.datetime(2024, 1, d),) for d in range(1, 31)], "ts timestamp_ntz")
+    # last 30 days as of Jan 20, clamped to a min date of Jan 10: Jan 10 .. Jan 20
+    r = filters.date_range(df, "ts", "last_30_days", dt.date(2024, 1, 20), min_date=dt.date(2024, 1, 10))
+    assert sorted(x.ts.day for x in r.collect()) == list(range(10, 21))
+    # a maximum span of 3 days from the start
+    r = filters.date_range(df, "ts", "last_7_days", dt.date(2024, 1, 20), max_span_days=3)
+    assert sorted(x.ts.day for x in r.collect()) == [14, 15, 16]
+    # a preset that ends before the minimum date is impossible and dropped
+    assert filters.date_range(df, "ts", "yesterday", dt.date(2024, 1, 5), min_date=dt.date(2024, 1, 10)) is None
