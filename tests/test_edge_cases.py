@@ -195,3 +195,32 @@ def test_date_range_presets_clamp_and_drop(spark):
     assert sorted(x.ts.day for x in r.collect()) == [14, 15, 16]
     # a preset that ends before the minimum date is impossible and dropped
     assert filters.date_range(df, "ts", "yesterday", dt.date(2024, 1, 5), min_date=dt.date(2024, 1, 10)) is None
+
+
+def test_page_number_clamps_to_last_page(spark):
+    df = spark.range(45).withColumnRenamed("id", "k")
+    r = ordering.page(df, [F.col("k")], 1000, 20).collect()
+    assert [x.k for x in r] == [40, 41, 42, 43, 44]
+    assert (r[0].page_number, r[0].from_row, r[0].to_row, r[0].total) == (3, 41, 45, 45)
+
+
+def test_natural_order(spark):
+    df = spark.createDataFrame([(1, "item10"), (2, "item2"), (3, "Item1"), (4, "item2b")], "id int, name string")
+    r = ordering.sort_natural(df, "name", ["id"]).orderBy("position").collect()
+    assert [x.name for x in r] == ["Item1", "item2", "item2b", "item10"]
+
+
+def test_round_ticks(spark):
+    from haulframe.functions import numbers
+
+    df = spark.createDataFrame([(0.0,), (37.0,), (100.0,)], "v double")
+    r = numbers.ticks(df, "v").orderBy("tick_no").collect()
+    assert [x.label for x in r] == [0.0, 20.0, 40.0, 60.0, 80.0, 100.0]
+
+
+def test_auto_bucket_choice(spark):
+    names = spark.createDataFrame([(d,) for d in (6 * 365.0, 900.0, 200.0, 100.0, 70.0, 40.0, 10.0, 0.5, 0.02, 0.005,
+                                                  0.001, 0.0003, 0.0001)], "d double")
+    got = [r[0] for r in names.select(dates.choose_bucket(F.col("d"))).collect()]
+    assert got == ["years", "half_year", "months", "months_fortnight", "months_days", "week_days", "days",
+                   "hours", "minutes_fives", "minutes", "seconds_tens", "seconds_fives", "seconds"]
