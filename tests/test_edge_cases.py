@@ -224,3 +224,42 @@ def test_auto_bucket_choice(spark):
     got = [r[0] for r in names.select(dates.choose_bucket(F.col("d"))).collect()]
     assert got == ["years", "half_year", "months", "months_fortnight", "months_days", "week_days", "days",
                    "hours", "minutes_fives", "minutes", "seconds_tens", "seconds_fives", "seconds"]
+
+
+def test_color_scale_endpoints(spark):
+    from haulframe.functions import numbers
+
+    df = spark.createDataFrame([(1.0,), (50.0,), (1000.0,)], "v double")
+    c = {r.v: r.color for r in numbers.color_scale(df, "v", ["#C8EEFF", "#0071A4"]).collect()}
+    assert c[1.0] == "#c8eeff" and c[1000.0] == "#0071a4"
+
+
+def test_mercator_origin(spark):
+    from haulframe.functions import numbers
+
+    df = spark.createDataFrame([(0.0, 0.0)], "lat double, lon double")
+    r = numbers.project_points(df, "lat", "lon", "merc").first()
+    assert abs(r.x) < 1e-6 and abs(r.y) < 1e-6
+
+
+def test_age_label_thresholds(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base, base + dt.timedelta(seconds=s)) for s in (44, 45, 89, 90, 3600 * 22, 86400 * 26)]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz")
+    got = [r[0] for r in df.select(dates.age_label(F.col("a"), F.col("b"), with_suffix=False)).collect()]
+    assert got == ["a few seconds", "a minute", "a minute", "2 minutes", "a day", "a month"]
+
+
+def test_export_cleaning_guards_formulas(spark):
+    df = spark.createDataFrame([("=SUM(A1)",), ("<b>a</b>\n&amp;lt;",), ("  +1 ",)], "c string")
+    got = [r[0] for r in df.select(strings.clean_cell(F.col("c"))).collect()]
+    assert got == ["'=SUM(A1)", "a &lt;", "'+1"]
+
+
+def test_copy_rows_skip_null_cells(spark):
+    from haulframe.sources import sinks
+
+    df = spark.createDataFrame([(1, None, "x", 2.0)], "a int, b string, c string, d double")
+    assert df.select(sinks.tsv_line(df)).first()[0] == "1\tx\t2"
