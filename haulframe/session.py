@@ -9,6 +9,7 @@ the setting is absent (tests on one machine).
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -57,14 +58,20 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when unset."""
+    """Return the shared checkpoint folder; a local one is set only for a local master.
+
+    On a cluster each executor has its own disk, so a machine-local folder
+    would lose rows: without ``spark.checkpoint.dir`` the call is refused.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = os.path.join("/tmp", "haulframe-checkpoints")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = os.path.join(tempfile.gettempdir(), "haulframe-checkpoints")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
