@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import dedup
+from haulframe.llm import dedup, quality
 from haulframe.llm.tables import table
 
 
@@ -13,7 +13,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup,)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op7_exact_dedup, op9_quality_classifier)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
