@@ -1,24 +1,50 @@
 """The corpus pipeline over ``documents``: five filtering and arranging stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  All but
+the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulframe.llm import dedup
+from haulframe.llm import dedup, ngram_join, packing, quality
+from haulframe.llm.queries import mixture
 from haulframe.llm.tables import table, written
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go (operator 9)."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays (operator 7)."""
     return dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (operator 4)."""
+    return ngram_join.one_of_each(docs)
+
+
+def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents up to each source's token budget; three quarters of all tokens, no document twice (operator 10)."""
+    return mixture(docs, share=0.75, max_epochs=1).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their place in sequences of 1024 tokens (operator 6)."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality classifier", good_documents),
     ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing to target weights", target_mixture),
+    ("best-fit packing", packed_sequences),
 ]
 
 #: The first stage applies a trained classifier, which SQL cannot express.

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haulframe.llm import dedup, ngram_join, quality
+from haulframe.llm import dedup, mixing, ngram_join, packing, quality
 from haulframe.llm.tables import table
 
 
@@ -12,6 +13,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -21,7 +26,28 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op7_exact_dedup, op9_quality_classifier)}
+#: The mixture of the registered query and of the pipeline: relative weights of tree nodes.
+MIX_WEIGHTS = {
+    ("domain0",): 3.0, ("domain1",): 2.0, ("domain2",): 2.0, ("domain3",): 1.0,
+    **{(f"domain{i}", lang): w for i in range(4) for lang, w in (("en", 4.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))},
+}
+
+
+def mixture(docs: DataFrame, share: float, max_epochs: int) -> DataFrame:
+    path = {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, path, share=share, weights=MIX_WEIGHTS, max_epochs=max_epochs)
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture(table(spark, sf_dir, "documents"), share=0.5, max_epochs=2)
+    return out.select("doc_id", F.col("__hf_domain").alias("domain"), F.col("__hf_lang").alias("lang"),
+                      F.col("__hf_source").alias("source"), F.col("__hf_epoch").alias("epoch"),
+                      F.col("__hf_tokens").alias("n_tokens"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op4_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_quality_classifier, op10_mix_sources,
+)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
