@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm import dedup, mixing, ngram_join, packing, quality
+from haulframe.llm import dedup, mixing, ngram_join, packing, pii, quality
 from haulframe.llm.tables import table
 
 
+def op1_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_quality_classifier, op10_mix_sources,
+    op1_deobfuscate_pii, op4_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_quality_classifier, op10_mix_sources,
 )}
 
 ORACLE_SQL = {
