@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm import dedup, mixing, ngram_join, packing, pii, quality
+from haulframe.llm import dedup, mixing, ngram_join, packing, pii, quality, urls
 from haulframe.llm.tables import table
 
 
@@ -26,6 +26,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+URL_RULES = [
+    urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/"),
+]
+
+
+def op8_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"), URL_RULES).drop("purity")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +60,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_deobfuscate_pii, op4_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup, op9_quality_classifier, op10_mix_sources,
+    op1_deobfuscate_pii, op4_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup,
+    op8_url_template_tree, op9_quality_classifier, op10_mix_sources,
 )}
 
 ORACLE_SQL = {
