@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm import dedup, mixing, ngram_join, packing, pii, quality, urls
+from haulframe.llm import dedup, mixing, ngram_join, packing, pii, quality, topk, urls
 from haulframe.llm.tables import table
 
 
@@ -13,6 +13,10 @@ def op1_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op3_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_deobfuscate_pii, op4_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup,
+    op1_deobfuscate_pii, op3_block_max_top_k, op4_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup,
     op8_url_template_tree, op9_quality_classifier, op10_mix_sources,
 )}
 
@@ -76,5 +80,16 @@ r AS (
          row_number() OVER w AS nth
   FROM d WINDOW w AS (PARTITION BY content ORDER BY len DESC, doc_id ASC NULLS LAST))
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(content) AS text_sha256 FROM r
+""",
+    "op3_block_max_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
