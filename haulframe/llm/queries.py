@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm import dedup, mixing, ngram_join, packing, pii, quality, topk, urls
-from haulframe.llm.tables import table
+from haulframe.llm import dedup, langid, merkle, mixing, ngram_join, packing, pii, quality, topk, urls
+from haulframe.llm.tables import table, written
 
 
 def op1_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a copy of the pages' archive in which some records were overwritten, cut short or lost."""
+    kind = F.coalesce(F.col("page_id") % 97, F.lit(0))
+    html = F.coalesce("html", F.lit(""))
+    damaged = (F.when(kind == 13, F.concat(F.lit("~"), F.substring(html, 2, 2 ** 31 - 1)))
+               .when(kind == 29, F.left(html, F.floor(F.length(html) / 2).cast("int"))).otherwise(html))
+    index = written(merkle.archive(table(spark, sf_dir, "pages"), copy=damaged, present=kind != 61), "merkle-archive")
+    copy = index.where("copy_digest IS NOT NULL").select(
+        "file", "offset", F.col("copy_length").alias("length"), F.col("copy_digest").alias("digest"))
+    top = merkle.reach(index)
+    return merkle.audit(spark, merkle.tree(index, top), merkle.tree(copy, top))
+
+
 def op3_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -21,6 +34,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages_of_pages(table(spark, sf_dir, "pages"), langid.fit(table(spark, sf_dir, "documents")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -64,7 +81,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_deobfuscate_pii, op3_block_max_top_k, op4_ngram_jaccard_join, op6_best_fit_packing, op7_exact_dedup,
+    op1_deobfuscate_pii, op2_merkle_fixity, op3_block_max_top_k, op4_ngram_jaccard_join,
+    op5_language_evidence, op6_best_fit_packing, op7_exact_dedup,
     op8_url_template_tree, op9_quality_classifier, op10_mix_sources,
 )}
 
@@ -91,5 +109,26 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op2_merkle_fixity": r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         CASE coalesce(page_id % 97, 0) WHEN 13 THEN '~' || substr(coalesce(html, ''), 2)
+           WHEN 29 THEN left(coalesce(html, ''), length(coalesce(html, '')) // 2)
+           WHEN 61 THEN NULL ELSE coalesce(html, '') END AS copied
+  FROM pages),
+r AS (
+  SELECT page_id, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id,
+           '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Length: ') AS head, strlen(html) AS n,
+         html, copied, strlen(copied) AS m FROM p),
+l AS (
+  SELECT *, strlen(head) + strlen(n::VARCHAR) + 8 + n AS length,
+         strlen(head) + strlen(m::VARCHAR) + 8 + m AS other_length,
+         row_number() OVER (ORDER BY page_id NULLS LAST) - 1 AS pos FROM r),
+o AS (
+  SELECT *, pos // 4096 AS file,
+         (sum(length) OVER (PARTITION BY pos // 4096 ORDER BY pos) - length)::BIGINT AS "offset" FROM l)
+SELECT file, "offset", length, other_length, CASE WHEN copied IS NULL THEN 'missing' ELSE 'changed' END AS kind
+FROM o WHERE copied IS DISTINCT FROM html
 """,
 }
