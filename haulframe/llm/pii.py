@@ -245,11 +245,16 @@ def at_and_dot(text: str) -> list[tuple[int, int, str]]:
     return [edits[k] for k in sorted(edits)]
 
 
+# Words that follow a plain "at" in prose.
+DETERMINERS = frozenset("a an the this that these those my your his her its our their all each every which".split())
+
+
 def believable(m: re.Match[str], signs: list[re.Match[str]]) -> bool:
     """Prose has a plain " at " too: it counts only with a disguised dot behind it, and not alone."""
     if not any(s["dot"] or not s[0].isalpha() for s in signs):
         return False
-    return bool(re.search(r"[A-Za-z]{2,}$", m[0]))
+    host = m[0][m.end("at") - m.start():]
+    return bool(re.search(r"[A-Za-z]{2,}$", host)) and re.match(r"[A-Za-z]*", host)[0].lower() not in DETERMINERS
 
 
 def disguised(text: str) -> list[Span]:
@@ -306,6 +311,8 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def text(c: str):
         return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"),
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(id_col, *map(count, KINDS), F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"),
                         F.size("spans").cast("bigint").alias("n_spans"))
