@@ -11,8 +11,9 @@ the Jaccard similarity of their full sets reaches the threshold.
 2. Classes that share a band hash are candidates.  The shuffle carries two
    longs per class and band.
 3. Candidate classes are laid out in blocks of bounded size, neighbours by
-   band hash next to each other, and two blocks are compared when some band
-   hash occurs in both.  A task holds the full sets of two blocks, counts
+   band hash next to each other.  Each block is compared with itself, and
+   two blocks in those of their classes that share a band hash with the
+   other block.  A task holds the full sets of two blocks at most, counts
    all common grams and returns, per class, its number of links and a
    spanning forest.  So a group of g near copies costs g * g / 2
    comparisons in (g / block)^2 / 2 tasks, but no rows of pairs.
@@ -142,6 +143,11 @@ def _layout(classes: DataFrame) -> DataFrame:
     member = (entries.join(shared.select("bucket", "lead"), "bucket")
               .groupBy("num").agg(F.min("lead").alias("near"), F.collect_list("bucket").alias("buckets")))
     active = written(classes.select("num", "key", "first_id", "copies", "n").join(member, "num"), "ngram-active")
+    # once more along the shared hashes, so that chains of candidates lie closer together
+    entries = active.select("num", "near", F.explode("buckets").alias("bucket"))
+    least = entries.groupBy("bucket").agg(F.min("near").alias("lead"))
+    nearer = entries.join(least, "bucket").groupBy("num").agg(F.min("lead").alias("near"))
+    ordered = active.drop("near").join(nearer, "num")
     parts = max(1, math.ceil(active.count() / (8 * BLOCK_ROWS)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +162,8 @@ def _layout(classes: DataFrame) -> DataFrame:
             yield batch.append_column("block", pa.array(out, pa.int64()))
 
     # only locality depends on the order: any layout finds the same links
-    ordered = active.repartitionByRange(parts, "near", "num").sortWithinPartitions("near", "num")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in active.schema) + ", block bigint"
+    ordered = ordered.repartitionByRange(parts, "near", "num").sortWithinPartitions("near", "num")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + ", block bigint"
     return written(ordered.mapInArrow(blocks, schema), "ngram-layout")
 
 
@@ -182,16 +188,19 @@ def _block_sets(rows: DataFrame, layout: DataFrame, n: int) -> DataFrame:
                    .mapInArrow(pack, "num bigint, copies bigint, block bigint, grams binary"), "ngram-sets")
 
 
-def _block_pairs(layout: DataFrame) -> DataFrame:
-    """pair, block: the two blocks (or the one) that each comparing task reads."""
-    spread = layout.select("block", F.explode("buckets").alias("bucket")).distinct()
-    together = (spread.groupBy("bucket").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
-                .select("blocks").distinct())
-    pairs = (together.select("blocks", F.explode("blocks").alias("a"))
-             .select("a", F.explode(F.filter("blocks", lambda b: b >= F.col("a"))).alias("b")).distinct())
-    pairs = pairs.withColumn("pair", F.monotonically_increasing_id())
-    pairs = written(pairs, "ngram-block-pairs")
-    return pairs.select("pair", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+def _tasks(layout: DataFrame) -> DataFrame:
+    """num, a, b: the classes that the task comparing blocks a and b reads.
+
+    A task for two blocks reads only those classes that share a band hash
+    with the other block; the task of a block itself (a = b) reads all.
+    """
+    entries = layout.select("num", "block", F.explode("buckets").alias("bucket"))
+    across = (entries.groupBy("bucket").agg(F.collect_set("block").alias("blocks")).where(F.size("blocks") > 1))
+    others = (entries.join(across, "bucket").groupBy("num", "block")
+              .agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")))
+    cross = others.select("num", "block", F.explode(F.array_remove("blocks", F.col("block"))).alias("other"))
+    return (cross.select("num", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+            .unionByName(layout.select("num", F.col("block").alias("a"), F.col("block").alias("b"))))
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -301,13 +310,13 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _keyed(docs, id_col, text_col)
     classes = written(_classes(rows, n, bands, hashes), "ngram-classes")
     layout = _layout(classes)
-    tasks = _block_sets(rows, layout, n).join(_block_pairs(layout), "block")
+    tasks = _block_sets(rows, layout, n).join(_tasks(layout), "num")
 
     def run(table: pa.Table) -> pa.Table:
         return pa.table(compare(table, threshold), schema=pa.schema(
             [("num", pa.int64()), ("links", pa.int64()), ("text_links", pa.int64()), ("root", pa.int64())]))
 
-    found = written(tasks.groupBy("pair").applyInArrow(run, "num bigint, links bigint, text_links bigint, root bigint"),
+    found = written(tasks.groupBy("a", "b").applyInArrow(run, "num bigint, links bigint, text_links bigint, root bigint"),
                     "ngram-links")
     roots = components(found, "num", "root")
     counted = found.groupBy("num").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
