@@ -39,6 +39,7 @@ def test_templates_by_labelled_purity(spark):
     for i in range(60):
         rows += [(f"http://h.test/spam/{i}.html", False), (f"http://h.test/news/{i}.html", True), (f"http://h.test/blog/{i}", True),
                  (f"http://free.test/a-title-{chr(97 + i % 26)}{chr(97 + i // 26)}", None)]
+    rows += [(f"http://g.test/{s}/{i}", i % 3 > 0) for s in ("one", "two") for i in range(50)]
     rows += [("http://h.test/spam/999.html", None), ("http://h.test/news/999.html", None), ("http://h.test/other/1", None)]
     df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id bigint, url string, fine boolean")
     from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ def test_templates_by_labelled_purity(spark):
     by = {rows[i][0]: r for i, r in out.items()}
     assert by["http://h.test/spam/999.html"].verdict == "block" and by["http://h.test/spam/999.html"].template == "/spam/{n}.html"
     assert by["http://h.test/news/999.html"].verdict == "allow"
-    assert by["http://h.test/news/999.html"].template == "/*/{n}.html"  # news, blog and other do not differ
+    assert by["http://h.test/news/999.html"].template == "/news/{n}.html"  # differs from its siblings, half of them bad
+    assert by["http://h.test/other/1"].template == "/*/{n}" and by["http://g.test/one/1"].template == "/*/{n}"  # these do not
     assert by["http://h.test/other/1"].verdict == "allow"
     assert {r.template for r in out.values() if r.host == "free.test"} == {"/*"}
     assert all(0 <= r.purity <= 1 for r in out.values())
