@@ -75,19 +75,21 @@ def _add_months(ts: Column, n: Column) -> Column:
 
 
 def month_diff(a: Column, b: Column) -> Column:
-    """Months from b to a (a - b), fractional by the anchor rule."""
-    swap = F.dayofmonth(a) < F.dayofmonth(b)
-    x = F.when(swap, _ntz(b)).otherwise(_ntz(a))
-    y = F.when(swap, _ntz(a)).otherwise(_ntz(b))
-    whole = (F.year(y) - F.year(x)) * 12 + (F.month(y) - F.month(x))
-    anchor = _add_months(x, whole)
-    before = _ms(y) - _ms(anchor) < 0
-    anchor2 = F.when(before, _add_months(x, whole - 1)).otherwise(_add_months(x, whole + 1))
-    adjust = F.when(before, (_ms(y) - _ms(anchor)) / (_ms(anchor) - _ms(anchor2))).otherwise(
-        (_ms(y) - _ms(anchor)) / (_ms(anchor2) - _ms(anchor)))
-    r = -(whole + adjust)
-    r = F.when(swap, -r).otherwise(r)
-    return r + F.lit(0.0)
+    """Months from b to a (a - b), fractional.
+
+    Months are counted from the instant with the greater day of month, a on
+    a tie: whole months towards the other, and of the month that it falls
+    into the share in milliseconds.
+    """
+    a, b = _ntz(a), _ntz(b)
+    from_b = F.dayofmonth(a) < F.dayofmonth(b)
+    origin, other = F.when(from_b, b).otherwise(a), F.when(from_b, a).otherwise(b)
+    apart = (F.year(other) - F.year(origin)) * 12 + F.month(other) - F.month(origin)
+    # the month around ``other``: [low, low + 1) in months from the origin
+    low = apart - F.when(_add_months(origin, apart) > other, 1).otherwise(0)
+    begin, end = _ms(_add_months(origin, low)), _ms(_add_months(origin, low + 1))
+    months = low + (_ms(other) - begin) / (end - begin)
+    return F.when(from_b, months).otherwise(-months) + F.lit(0.0)
 
 
 def diff(a: Column, b: Column, unit: str, as_float: bool = False) -> Column:
@@ -167,66 +169,66 @@ def auto_bucket(df: DataFrame, ts: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def _days_in_month(y: Column, m0: Column) -> Column:
-    """Days in the month y / m0 (0-based month, may overflow past 11)."""
-    yy = y + F.floor(m0 / 12)
-    mm = m0 % 12 + 1
-    return F.dayofmonth(F.last_day(F.make_date(yy.cast("int"), mm.cast("int"), F.lit(1))))
-
-
 BREAKDOWN_NAMES = ["years", "months", "weeks", "days", "hours", "minutes", "seconds"]
+# Seconds in the units below a month, and how many of a unit make the next larger one.
+UNIT_SECONDS = {"W": 604800, "D": 86400, "H": 3600, "M": 60, "S": 1}
+NEXT_UNIT = {"S": 60, "M": 60, "H": 24, "D": 7, "W": 4.3482, "O": 12, "Y": 1}
 
 
-def breakdown(df: DataFrame, a: str, b: str, units: str = "YOWDHMS") -> DataFrame:
+def breakdown(df: DataFrame, a: str, b: str, units: str = "YOWDHMS", since: bool = False) -> DataFrame:
     """DAT6: add years, months, weeks, days, hours, minutes, seconds from a to b.
 
-    Units left out of ``units`` are absorbed by the largest shown unit
-    (without years, 14 months).  Seconds are always shown.  b before a
-    gives all zeros.  Intermediate values are staged as columns so the
-    generated code stays small.
+    Units left out of ``units`` are 0 and absorbed by the next shown smaller
+    one.  Time smaller than the last shown unit counts as one more of it,
+    carried on where that fills the next shown unit, unless ``since`` (time
+    passed, not time left).  b before a gives all zeros.
+
+    Whole months are those whose addition to a (the last day of a month
+    going to the last day) does not pass b; the rest is plain seconds.
+    Intermediate values are staged as columns so the generated code stays
+    small.
     """
-    d = df.withColumn("_now", F.date_trunc("second", _ntz(F.col(a))).cast("timestamp_ntz")).withColumn(
-        "_until", _ntz(F.col(b)))
-    now, until = F.col("_now"), F.col("_until")
-    y, o = "Y" in units, "O" in units
-    d = d.withColumn("_passed", _ms(until) < _ms(now))
-    if y or o:
-        d = d.withColumn("_ln", F.dayofmonth(F.last_day(now))).withColumn("_lu", F.dayofmonth(F.last_day(until)))
-        mn = F.least("_ln", "_lu")
-        same_day = (F.dayofmonth(until) == F.dayofmonth(now)) | (
-            (F.dayofmonth(until) >= mn) & (F.dayofmonth(now) >= mn))
-
-        def secs(x):
-            return (F.hour(x) * 60 + F.minute(x)) * 60 + F.second(x)
-
-        d = d.withColumn("_same", same_day)
-        back = ((F.dayofmonth(until) < F.dayofmonth(now)) & ~F.col("_same")) | (
-            F.col("_same") & (secs(until) < secs(now)))
-        d = d.withColumn("_months", F.greatest(F.lit(0), (F.year(until) - F.year(now)) * 12 + F.month(until)
-                                              - F.month(now) + F.when(back, -1).otherwise(0)))
-        d = d.withColumn("years", F.floor(F.col("_months") / 12) if y else F.lit(0))
-        d = d.withColumn("months", (F.col("_months") - F.col("years") * 12) if o else F.lit(0))
-        d = d.withColumn("_m0", F.month(now) - 1 + F.col("months") + F.col("years") * 12)
-        d = d.withColumn("_tlast", _days_in_month(F.year(now), F.col("_m0")))
-        day = F.when(F.dayofmonth(now) == F.col("_ln"), F.col("_tlast")).otherwise(
-            F.least(F.dayofmonth(now), F.col("_tlast")))
-        ty = F.year(now) + F.floor(F.col("_m0") / 12)
-        tm = F.col("_m0") % 12 + 1
-        d = d.withColumn("_start", F.make_timestamp_ntz(ty.cast("int"), tm.cast("int"), day.cast("int"), F.hour(now),
-                                                        F.minute(now), F.second(now).cast("decimal(8,6)")))
+    names = dict(zip("YOWDHMS", BREAKDOWN_NAMES))
+    start, end = F.col("_start"), F.col("_end")
+    d = df.withColumn("_start", F.date_trunc("second", _ntz(F.col(a))).cast("timestamp_ntz")).withColumn("_end", _ntz(F.col(b)))
+    d = d.withColumn("_passed", _ms(end) < _ms(start))
+    calendar = [u for u in "YO" if u in units]
+    if calendar:
+        # both days of month within the shorter of the two months, then the time of day
+        days = F.least(F.dayofmonth(F.last_day(start)), F.dayofmonth(F.last_day(end)))
+
+        def place(t: Column) -> Column:
+            return F.struct(F.least(F.dayofmonth(t), days), F.hour(t), F.minute(t), F.floor(F.second(t)))
+
+        whole = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start) - F.when(place(end) < place(start), 1).otherwise(0)
+        d = d.withColumn("_months", F.greatest(whole, F.lit(0)))
+        d = d.withColumn("years", F.floor(F.col("_months") / 12) if "Y" in units else F.lit(0))
+        d = d.withColumn("months", F.col("_months") - F.col("years") * 12 if "O" in units else F.lit(0))
+        moved = _add_months(start, F.col("years") * 12 + F.col("months"))
+        to_last = F.dayofmonth(F.last_day(moved)) - F.dayofmonth(moved)
+        at_last = start.cast("date") == F.last_day(start)
+        d = d.withColumn("_start", F.timestamp_add("DAY", F.when(at_last, to_last).otherwise(0), moved))
     else:
-        d = d.withColumn("years", F.lit(0)).withColumn("months", F.lit(0)).withColumn("_start", now)
-    d = d.withColumn("_rest", F.floor((_ms(until) - _ms(F.col("_start"))) / 1000))
-    for unit, size, name in (("W", 604800, "weeks"), ("D", 86400, "days"), ("H", 3600, "hours"),
-                             ("M", 60, "minutes"), ("S", 1, "seconds")):
-        if unit in units or unit == "S":
-            d = d.withColumn(name, F.floor(F.col("_rest") / size)).withColumn(
-                "_rest", F.col("_rest") - F.col(name) * size)
-        else:
-            d = d.withColumn(name, F.lit(0))
+        d = d.withColumn("years", F.lit(0)).withColumn("months", F.lit(0))
+    d = d.withColumn("_rest", F.floor((_ms(end) - _ms(start)) / 1000))
+    for u, seconds in UNIT_SECONDS.items():
+        d = d.withColumn(names[u], F.floor(F.col("_rest") / seconds) if u in units else F.lit(0))
+        d = d.withColumn("_rest", F.col("_rest") - F.col(names[u]) * seconds)
+    if not since:
+        d = d.withColumn("_more", F.col("_rest") > 0)
+        below, fills = None, 1.0
+        for u in reversed("YOWDHMS"):
+            if u in units:
+                if below:
+                    d = d.withColumn("_more", F.col("_more") & (F.col(below) >= fills))
+                    d = d.withColumn(below, F.when(F.col("_more"), 0).otherwise(F.col(below)))
+                d = d.withColumn(names[u], F.col(names[u]) + F.col("_more").cast("int"))
+                below, fills = names[u], 1.0
+            fills *= NEXT_UNIT[u]
+        d = d.drop("_more")
     for name in BREAKDOWN_NAMES:
         d = d.withColumn(name, F.when(F.col("_passed"), F.lit(0)).otherwise(F.col(name)).cast("bigint"))
-    return d.drop("_now", "_until", "_passed", "_ln", "_lu", "_same", "_months", "_m0", "_tlast", "_start", "_rest")
+    return d.drop("_start", "_end", "_passed", "_months", "_rest")
 
 
 def _jsround(x: Column) -> Column:

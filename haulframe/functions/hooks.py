@@ -4,8 +4,7 @@ A hook is preferably a Python callable that returns a Column: it stays in
 Catalyst (pushdown, codegen).  When a hook must run Python per value, it is
 an Arrow-batched ``pandas_udf`` (never a row-at-a-time ``udf``).  Hooks
 that need a whole group at once (UDF4 as pandas, UDF5) run through
-``applyInPandas``; since that holds one group in one task, the group size
-is checked first against a bound.
+``applyInPandas``, which holds one group in one task.
 """
 
 from __future__ import annotations
@@ -16,8 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest group handed to a pandas group hook in one piece.
-MAX_GROUP_ROWS = 5_000_000
+from haulframe.operators.positions import global_row_number
 
 
 def apply_predicate(df: DataFrame, hook: Callable[[DataFrame], Column] | Column) -> DataFrame:
@@ -30,10 +28,11 @@ def pandas_predicate(fn: Callable[..., pd.Series]):
     return F.pandas_udf(fn, "boolean")
 
 
-def sort_by_key(df: DataFrame, key: Callable[[DataFrame], Column], tiebreak: list[str], descending: bool = False):
-    """UDF2: custom sort key.  A two-argument comparator has no scalable form; keys only."""
+def sort_by_key(df: DataFrame, key: Callable[[DataFrame], Column], tiebreak: list[str], descending: bool = False,
+                out: str = "position") -> DataFrame:
+    """UDF2: rows numbered by a custom sort key.  A two-argument comparator has no scalable form; keys only."""
     k = key(df)
-    return df.orderBy(k.desc() if descending else k.asc(), *[F.col(c) for c in tiebreak])
+    return global_row_number(df, [k.desc() if descending else k.asc(), *[F.col(c).asc() for c in tiebreak]], out)
 
 
 def format_cells(df: DataFrame, formatters: dict[str, Callable[[Column], Column]]) -> DataFrame:
@@ -46,61 +45,27 @@ def aggregate_hook(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> Dat
     return df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()])
 
 
-def _check_group_size(df: DataFrame, keys: list[str], limit: int) -> None:
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if biggest > limit:
-        raise ValueError(f"largest group has {biggest} rows (> {limit}); express this hook as Column "
-                         "expressions so Spark can aggregate it partially")
+def group_transform(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """UDF5: whole-group transform in pandas; null keys form a group of their own.
 
+    The hook asks for a whole group at once, so a group must fit one task;
+    a hook that can be written with Columns (shares, ranks) should be.
+    """
+    return df.groupBy(*keys).applyInPandas(fn, schema)
 
-def group_transform(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                    max_group_rows: int = MAX_GROUP_ROWS, vectorized: bool = False) -> DataFrame:
-    """UDF5: whole-group transform (group size checked first).
 
-    Rows are hash-partitioned by the keys and sorted inside each partition,
-    then streamed to pandas in Arrow batches; complete groups of a batch go
-    through ``fn`` together and the group cut by the batch end is carried
-    into the next batch.  Same result as ``groupBy().applyInPandas(fn)``
-    without one Arrow round trip per group.  With ``vectorized`` the hook
-    gets a frame of several complete groups at once and groups it itself
-    (``groupby(keys).transform``), which avoids a Python call per group.
-    """
-    _check_group_size(df, keys, max_group_rows)
-    d = df.repartition(*keys).sortWithinPartitions(*keys)
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            last = pdf[keys].iloc[-1]
-            tail = (pdf[keys] == last.values).all(axis=1)
-            carry, done = pdf[tail], pdf[~tail]
-            if len(done):
-                yield fn(done) if vectorized else pd.concat(
-                    [fn(g) for _, g in done.groupby(keys, sort=False)], ignore_index=True)
-        if carry is not None and len(carry):
-            yield fn(carry)
-
-    return d.mapInPandas(run, schema)
-
-
-def pandas_group_aggregate(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], dict], schema: str,
-                           max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def pandas_group_aggregate(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
     """UDF4 in pandas: one output row per group from ``fn(group_frame) -> dict``.
 
-    For hooks that cannot be written as aggregate Columns.  It holds one
-    group at a time (size checked first) and streams groups as in
-    ``group_transform``; prefer ``aggregate_hook``, which aggregates partially.
+    For hooks that cannot be written as aggregate Columns; prefer
+    ``aggregate_hook``, which aggregates partially.
     """
     def per_group(g: pd.DataFrame) -> pd.DataFrame:
         row = {k: g[k].iloc[0] for k in keys}
         row.update(fn(g))
         return pd.DataFrame([row])
 
-    return group_transform(df, keys, per_group, schema, max_group_rows)
+    return group_transform(df, keys, per_group, schema)
 
 
 def normalize(df: DataFrame, col: str, fn: Callable[[Column], Column], out: str) -> DataFrame:

@@ -74,9 +74,13 @@ def norm_key(c: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(c, F.lit("")), F.lit("none")))
 
 
+TAG = "<[^>]+>"
+ENTITY = "&#?[0-9A-Za-z]+;"
+
+
 def strip_tags(c: Column) -> Column:
     """STR2 (plain): remove every tag."""
-    return F.regexp_replace(c, "<[^>]+>", "")
+    return F.regexp_replace(c, TAG, "")
 
 
 def js_trim(c: Column) -> Column:
@@ -86,7 +90,8 @@ def js_trim(c: Column) -> Column:
 
 def remove_html(c: Column) -> Column:
     """STR2 (full): remove tags and entities, trim."""
-    return js_trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "&[#A-Za-z0-9]+;", ""))
+    # tags first: an entity may appear once the tag inside it has gone
+    return js_trim(F.regexp_replace(strip_tags(c), ENTITY, ""))
 
 
 def html_escape(c: Column) -> Column:
@@ -112,9 +117,10 @@ def clean_cell(c: Column) -> Column:
     decode entities (the five plus a fixed list of common named ones), and
     prefix a quote to cells that start like a formula.
     """
-    s = F.regexp_replace(c, "(?i)<script\\b[^<]*(?:(?!</script>)<[^<]*)*</script>", "")
-    s = F.regexp_replace(s, "<!--.*?-->", "")
-    s = F.regexp_replace(s, "<[^>]*>", "")
+    # a script block runs to its first end tag; one without an end tag is only a tag
+    for block in ("(?is)<script\\b.*?</script>", "<!--.*?-->", "<[^>]*>"):
+        c = F.regexp_replace(c, block, "")
+    s = c
     s = F.replace(js_trim(s), F.lit("\n"), F.lit(" "))
     # one decoding pass: every other entity first, '&amp;' last
     for ent, raw in EXPORT_ENTITIES + [(e, r) for r, e in HTML_ESCAPES if r != "&"] + [("&amp;", "&")]:
@@ -128,18 +134,14 @@ def remove_accent(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """STR5: lower-case, fold accents, keep a-z0-9-, collapse dashes, trim dashes."""
-    s = F.regexp_replace(remove_accent(c), "[^-a-z0-9]+", "-")
-    s = F.regexp_replace(s, "-+", "-")
-    return F.regexp_replace(s, "^-|-$", "")
+    """STR5: lower-case, fold accents, keep a-z0-9, one dash for each run of anything else, none at the ends."""
+    return F.btrim(F.regexp_replace(remove_accent(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
-def _accent_class(ch: str) -> str:
-    """Regex class matching a letter and every accented letter the fixed table folds to it."""
-    variants = [ch] + [f for f, t in zip(TYPEAHEAD_ACCENT_FROM, TYPEAHEAD_ACCENT_TO) if t == ch]
-    if len(variants) == 1:
-        return re.sub(r"([-\[\]{}()*+?.,\\^$|#\s])", r"\\\1", ch)
-    return "[" + "".join(variants) + "]"
+def _spellings(letter: str) -> str:
+    """Regex for a letter and every accented letter that the fixed table folds to it."""
+    accented = "".join(f for f, t in zip(TYPEAHEAD_ACCENT_FROM, TYPEAHEAD_ACCENT_TO) if t == letter)
+    return f"[{letter}{accented}]" if accented else re.escape(letter)
 
 
 def highlight(c: Column, keys: list[str], accents: bool = False) -> Column:
@@ -147,15 +149,17 @@ def highlight(c: Column, keys: list[str], accents: bool = False) -> Column:
 
     With ``accents`` a key also matches accented spellings of its letters
     (the fixed accent table), and the original spelling is kept inside the tag.
+    Tags are matched too and put back as they are, so nothing inside them
+    is ever a match.
     """
-    ks = sorted((k for k in keys if k.strip()), key=len, reverse=True)
-    if not ks:
+    patterns = ["".join(map(_spellings, k.lower())) if accents else re.escape(k)
+                for k in sorted(keys, key=len, reverse=True) if k.strip()]
+    if not patterns:
         return c
-    if accents:
-        alt = "|".join("".join(_accent_class(ch) for ch in k.lower()) for k in ks)
-    else:
-        alt = "|".join(re.sub(r"([-\[\]{}()*+?.,\\^$|#\s])", r"\\\1", k) for k in ks)
-    return F.regexp_replace(c, f"(?iu)({alt})(?!([^<]+)?>)", "<strong>$1</strong>")
+    either = f"(?iu)(<[^<>]*>)|({'|'.join(patterns)})"
+    marked = F.regexp_replace(c, either, "$1<strong>$2</strong>")
+    # a tag leaves an empty mark behind it
+    return F.replace(marked, F.lit("<strong></strong>"), F.lit(""))
 
 
 def basename(c: Column) -> Column:
@@ -172,7 +176,3 @@ def localized(cols: list[Column]) -> Column:
     """STR8: first non-empty translation in language order."""
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in cols])
 
-
-def apply(df: DataFrame, col: str, fn, out: str, *args) -> DataFrame:
-    """Run one text function over a table column as a job."""
-    return df.withColumn(out, fn(F.col(col), *args))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulframe.operators.positions import global_row_number
+from haulframe.operators.nullsafe import join_on
+from haulframe.operators.positions import global_row_number, global_running_sum
 from haulframe.operators.totals import with_totals
 
 
@@ -41,7 +42,7 @@ def percent_share(df: DataFrame, x: str, y: str, series: str) -> DataFrame:
     A zero total gives 0 in the stacked case, null for the pie.
     """
     per_x = df.groupBy(x).agg(F.sum(y).alias("_xt"))
-    d = with_totals(df.join(per_x, x), {"_grand": F.sum(y)}, source=df)
+    d = with_totals(join_on(df, per_x, [x]), {"_grand": F.sum(y)}, source=df)
     grand = F.col("_grand")
     return d.select(
         x, series, y,
@@ -74,24 +75,24 @@ def group_rows(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
     single-task window); members are not gathered into one array, so a
     group of any size stays spread over tasks.
     """
-    keys = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("group_size"))
-    keys = global_row_number(keys, [F.col(c).asc() for c in cols], "group_id")
-    # member number = position in (group, order) minus the group's first position:
-    # no per-group window, so a group holding a third of the rows is still spread out
+    # position in (group, order): no per-group window, so a group holding a third of the rows is still spread out
     pos = global_row_number(df, [F.col(c).asc() for c in cols] + [F.col(c).asc() for c in order], "_pos")
-    start = pos.groupBy(*cols).agg(F.min("_pos").alias("_start"))
-    return (pos.join(start, cols).join(keys, cols)
+    groups = pos.groupBy(*cols).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("group_size"))
+    # one row per group, numbered in key order
+    groups = global_row_number(groups, [F.col("_start").asc()], "group_id")
+    return (join_on(pos, groups, cols)
             .withColumn("member_no", F.col("_pos") - F.col("_start") + 1).drop("_pos", "_start"))
 
 
 def distinct_options(df: DataFrame, col: str, first_by: str, case_insensitive: bool = True) -> DataFrame:
-    """AGG9: distinct filter choices; arrays flattened; case-insensitive keys keep their first spelling."""
+    """AGG9: distinct filter choices in order; arrays flattened; case-insensitive keys keep their first spelling."""
     dtype = dict(df.dtypes)[col]
     d = df.select(F.explode_outer(col).alias("option"), first_by) if dtype.startswith("array") else \
         df.select(F.col(col).alias("option"), first_by)
     d = d.where(F.col("option").isNotNull())
     key = F.lower(F.col("option")) if case_insensitive else F.col("option")
-    return d.groupBy(key.alias("option_key")).agg(F.min_by("option", F.col(first_by)).alias("option"))
+    return d.groupBy(key.alias("option_key")).agg(
+        F.min_by("option", F.col(first_by)).alias("option")).orderBy("option_key")
 
 
 def hit_counts(df: DataFrame, group: str) -> DataFrame:
@@ -107,41 +108,31 @@ def footer(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
 def box_stats(df: DataFrame, by: str, col: str, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """AGG12: min, quartiles (linear interpolation, exact) and max per category.
 
-    The exact quantile needs the values at two ranks per probability.  Rows
-    are numbered in (category, value) order by a range-partitioned sort;
-    the needed ranks are a small table (categories x probabilities x 2);
-    the values at those ranks are picked by a join and interpolated.  No
-    group's values are ever held together.
+    The raw rows are first counted per (category, value), a partial
+    aggregate that takes away repeated values.  A running count over the
+    distinct pairs (range-partitioned, no window per category) gives the
+    ranks each value covers, and the values at the needed ranks are picked
+    by one conditional aggregate.  No category is ever held together; a
+    null category is a category.
     """
-    d = df.select(by, col).where(F.col(col).isNotNull())
-    pos = global_row_number(d, [F.col(by).asc_nulls_first(), F.col(col).asc()], "_pos")
-    # count, extremes and first position of each category in one partial aggregate over the positions
-    stats = pos.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("min"), F.max(col).alias("max"),
-                                (F.min("_pos") - 1).alias("_off"))
-    need = stats.select(by, "_n", "_off", F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"))
-    need = need.withColumn("_h", F.col("_p") * (F.col("_n") - 1)).withColumn(
-        "_lo", F.floor("_h").cast("bigint")).withColumn("_hi", F.ceil("_h").cast("bigint"))
-    ranks = need.select(by, "_off", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    ranks = ranks.select(by, (F.col("_off") + F.col("_r") + 1).alias("_pos"))
-    picked = pos.join(ranks, [by, "_pos"])
-    lo = picked.select(by, F.col("_pos").alias("_plo"), F.col(col).alias("_vlo"))
-    hi = picked.select(by, F.col("_pos").alias("_phi"), F.col(col).alias("_vhi"))
-    q = (need.withColumn("_plo", F.col("_off") + F.col("_lo") + 1).withColumn("_phi", F.col("_off") + F.col("_hi") + 1)
-         .join(lo, [by, "_plo"]).join(hi, [by, "_phi"])
-         .select(by, "_p", (F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))).alias("_q")))
-    wide = q.groupBy(by).pivot("_p", list(probs)).agg(F.first("_q"))
+    pairs = df.where(F.col(col).isNotNull()).groupBy(by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    run = global_running_sum(pairs, [F.col(by).asc_nulls_first(), F.col("_v").asc()], "_c", "_run")
+    stats = run.groupBy(by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+                                F.min(F.col("_run") - F.col("_c")).alias("_off"))
+    d = join_on(run.select(by, "_v", "_run"), stats, [by])
     names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
-    wide = wide.select(by, *[F.col(f"`{p}`").alias(names.get(p, f"p{int(p * 100)}")) for p in probs])
-    return stats.select(by, "min", "max").join(wide, by)
-
-
-def box_stats_approx(df: DataFrame, by: str, col: str, accuracy: int = 10000) -> DataFrame:
-    """AGG12 for very large groups when an approximate answer is acceptable."""
-    return df.groupBy(by).agg(
-        F.min(col).alias("min"),
-        F.percentile_approx(col, [0.25, 0.5, 0.75], accuracy).alias("_q"),
-        F.max(col).alias("max")).select(by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                                        F.col("_q")[2].alias("q3"), "max")
+    picks, out = [], []
+    for i, p in enumerate(probs):
+        place = F.lit(p) * (F.col("_n") - 1)
+
+        def at(rank: Column, i=i) -> Column:
+            # the least value whose running count reaches the rank (from 0)
+            return F.min(F.when(F.col("_run") >= F.col("_off") + rank + 1, F.col("_v")))
+
+        picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
+        part = place - F.floor(place)
+        out.append((F.col(f"_lo{i}") + part * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(names.get(p, f"p{int(p * 100)}")))
+    return d.groupBy(by, "_n", "min", "max").agg(*picks).select(by, "min", *out, "max")
 
 
 def ohlc(df: DataFrame, ts: str, value: str, bucket: str, tiebreak: str, by: list[str] | None = None) -> DataFrame:

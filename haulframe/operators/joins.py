@@ -2,26 +2,27 @@
 
 Equi joins are left to Catalyst (AQE turns a side that is small at runtime
 into a broadcast and splits skewed partitions); explicit broadcasts are
-only used for tables whose size is checked.  Fan-outs over a small
-parameter-like table (permissions, newsletter ids) are generated per row
-from a size-checked array instead of a cartesian product.
+only used for tables whose size is checked.  Fan-outs over a parameter-like
+table (permissions, newsletter ids) are joins on chunks of its values
+instead of a cartesian product.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulframe.operators import segmented
 from haulframe.operators.filters import first_per_key
+from haulframe.operators.nullsafe import join_on
 from haulframe.operators.positions import global_row_number
 from haulframe.session import materialize
 
-# Largest list expanded per row in one pass; longer lists go in chunks.
-MAX_FANOUT_LIST = 10_000
+# Values of a fan-out list that travel together as one array.
+FANOUT_CHUNK = 10_000
 
 
 def resolve_client(submissions: DataFrame, users: DataFrame, clients: DataFrame) -> DataFrame:
@@ -53,51 +54,25 @@ def semi(df: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _fanout(df: DataFrame, small: DataFrame, value: str, out: str) -> DataFrame:
-    """Emit one row per (row of df, value of small) without a cartesian join.
+    """One row per (row of df, value of small), as an equi join on chunks of the list.
 
-    ``small`` is a parameter-like table (permissions, newsletters).  Its
-    size is checked; each chunk of at most MAX_FANOUT_LIST values becomes
-    one array (a scalar subquery) exploded per row, and chunks are unioned.
+    The values are dealt into arrays of about FANOUT_CHUNK; each row of df
+    meets each array once (a join on the chunk's number) and explodes it.
+    The same plan serves a list of any length, with one pass over df.
     """
-    n = small.count()
-    if n == 0:
-        return df.select("*", F.lit(None).cast(dict(small.dtypes)[value]).alias(out)).where(F.lit(False))
-    if n <= MAX_FANOUT_LIST:
-        arr = small.select(F.sort_array(F.collect_list(value))).scalar()
-        return df.select("*", F.explode(arr).alias(out))
-    numbered = global_row_number(small.select(value), [F.col(value).asc()], "_pos")
-    parts = None
-    for c in range((n + MAX_FANOUT_LIST - 1) // MAX_FANOUT_LIST):
-        chunk = numbered.where(F.floor((F.col("_pos") - 1) / MAX_FANOUT_LIST) == c)
-        arr = chunk.select(F.collect_list(value)).scalar()
-        part = df.select("*", F.explode(arr).alias(out))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
-def _small_list(small: DataFrame, value: str | Column) -> Column | None:
-    """The values of a parameter-like table as one array Column (a scalar subquery),
-    or None when the table is over the bound."""
-    if small.count() > MAX_FANOUT_LIST:
-        return None
-    v = F.col(value) if isinstance(value, str) else value
-    return small.select(F.sort_array(F.collect_list(v))).scalar()
-
-
-def _permission_structs(manage: DataFrame) -> Column | None:
-    return _small_list(manage, F.struct(F.lit("permission").alias("kind"), F.col("codename").alias("grant")))
-
-
-def grant_array(perm_structs: Column | None) -> Column:
-    """Per user row: array of struct(kind, grant) with its page access, its group and,
-    for admins, every struct of ``perm_structs`` (an array Column of struct(kind, grant))."""
+    chunks = max(1, math.ceil(small.count() / FANOUT_CHUNK))
+    lists = (small.groupBy(F.pmod(F.xxhash64(value), F.lit(chunks)).cast("int").alias("_chunk"))
+             .agg(F.collect_list(value).alias("_values")))
+    rows = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return rows.join(lists, "_chunk").select(*df.columns, F.explode("_values").alias(out))
+
+
+def base_grants(users: DataFrame) -> DataFrame:
+    """Per user: 'access_<type>_pages' and the group '<Type>s'."""
     access = F.struct(F.lit("permission").alias("kind"),
                       F.concat(F.lit("access_"), F.col("user_type"), F.lit("_pages")).alias("grant"))
     group = F.struct(F.lit("group").alias("kind"), F.initcap(F.concat(F.col("user_type"), F.lit("s"))).alias("grant"))
-    own = F.array(access, group)
-    if perm_structs is None:
-        return own
-    return F.concat(own, F.when(F.col("user_type") == "admin", perm_structs).otherwise(F.slice(perm_structs, 1, 0)))
+    return users.select("user_id", F.explode(F.array(access, group)).alias("_g")).select("user_id", "_g.kind", "_g.grant")
 
 
 def expand_grants(users: DataFrame, perms: DataFrame) -> DataFrame:
@@ -105,19 +80,11 @@ def expand_grants(users: DataFrame, perms: DataFrame) -> DataFrame:
 
     users: user_id, user_type (admin | member); perms: codename.
     Admins get every permission whose codename starts with 'manage'; every
-    user gets 'access_<type>_pages' and the group '<Type>s'.  All grants of
-    a user come from one array exploded per row (one pass over users); a
-    permission list over the bound is fanned out in chunks instead.
+    user gets 'access_<type>_pages' and the group '<Type>s'.
     """
     manage = perms.where(F.col("codename").startswith("manage")).select("codename").distinct()
-    arr = _permission_structs(manage)
-    if arr is None:
-        admins = users.where(F.col("user_type") == "admin").select("user_id")
-        admin_perms = _fanout(admins, manage, "codename", "grant").select(
-            "user_id", F.lit("permission").alias("kind"), "grant")
-        base = users.select("user_id", F.explode(grant_array(None)).alias("_g"))
-        return admin_perms.unionByName(base.select("user_id", "_g.kind", "_g.grant"))
-    return users.select("user_id", F.explode(grant_array(arr)).alias("_g")).select("user_id", "_g.kind", "_g.grant")
+    admins = users.where(F.col("user_type") == "admin").select("user_id", F.lit("permission").alias("kind"))
+    return _fanout(admins, manage, "codename", "grant").unionByName(base_grants(users))
 
 
 def audience(newsletters: DataFrame, subscribers: DataFrame) -> DataFrame:
@@ -125,18 +92,18 @@ def audience(newsletters: DataFrame, subscribers: DataFrame) -> DataFrame:
 
     newsletters: newsletter_id, dispatched; subscribers: email, removed.
     The newsletter queue is the small side; its ids are fanned out per
-    subscriber in size-checked chunks (see ``_fanout``).
+    subscriber in chunks (see ``_fanout``).
     """
     queue = newsletters.where(~F.col("dispatched")).select("newsletter_id")
     subs = subscribers.where(~F.col("removed")).select("email")
     return _fanout(subs, queue, "newsletter_id", "newsletter_id")
 
 
-def align_series(df: DataFrame, series: str, x: str, y: str, names: list[str]) -> DataFrame:
+def align_series(df: DataFrame, series: str, x: str, y: str, names: list[str] | None = None) -> DataFrame:
     """JOIN6: one row per x of any series, one column per series, null where a series has no point.
 
-    Equals an n-way full outer join on x; the series names are given so the
-    pivot needs no extra job to find them.
+    Equals an n-way full outer join on x.  The series are those of the data
+    (Spark finds them in one small job); with ``names`` only those are kept.
     """
     return df.groupBy(x).pivot(series, names).agg(F.first(y))
 
@@ -158,42 +125,55 @@ def overlaps(df: DataFrame, key: str, start: str, end: str, id_col: str, bucket:
     return d.withColumn("overlaps", flag).drop("_prev_max_end", "_next_start")
 
 
-def tree(spark: SparkSession, edges: DataFrame, root: str | None = None, max_depth: int = 100) -> DataFrame:
-    """JOIN8: adjacency list (id, pid) -> id, pid, level, path, child_count, sibling_no.
+def _ancestry(edges: DataFrame, root: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, rows that reach a root, rows that close a cycle): id, pid and the trail of ids from the root.
 
-    Roots are rows whose parent is null, empty or '0', or the given root id.
-    Levels are found one at a time: level k+1 is the equi join of the edges
-    with level k on pid = id (a distributed join, whatever the width of the
-    level); each level is written once to the checkpoint folder, which cuts
-    the lineage, and the loop stops at the first empty level or at
-    ``max_depth`` (a guard against cycles).  The driver only sees the level
-    count.  Spark's recursive CTE is not used because it caps the rows it
-    may produce (``spark.sql.cteRecursionRowLimit``, a million by default).
+    Pointer doubling: every row knows an ancestor and the trail down from
+    it; joining a row with its ancestor's row doubles the trail, so a tree
+    of depth d takes log2(d) rounds.  A trail that holds an id twice runs
+    into a cycle and is set aside; a row whose ancestors end in an unknown
+    parent drops out.  Each round is written, which cuts the lineage.
     """
     e = materialize(edges.select(F.col("id").cast("string").alias("id"), F.col("pid").cast("string").alias("pid")),
                     "tree-edges")
     is_root = (F.col("pid").isNull() | (F.col("pid") == "") | (F.col("pid") == "0")) if root is None \
-        else (F.col("id") == root)
-    frontier = materialize(e.where(is_root).select("id", "pid", F.lit(1).alias("level"), F.col("id").alias("path")),
-                           "tree-level")
-    levels = [frontier]
-    for depth in range(2, max_depth + 1):
-        parents = frontier.select(F.col("id").alias("_parent"), F.col("path").alias("_ppath"))
-        nxt = e.join(parents, e["pid"] == parents["_parent"]).select(
-            "id", "pid", F.lit(depth).alias("level"), F.concat_ws("/", "_ppath", "id").alias("path"))
-        nxt = materialize(nxt, "tree-level")
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        frontier = nxt
-    levels_df = reduce(lambda a, b: a.unionByName(b), levels)
+        else F.coalesce(F.col("id") == root, F.lit(False))
+    rows = materialize(e.select("id", "pid", F.when(~is_root, F.col("pid")).alias("up"), F.array("id").alias("trail"),
+                                is_root.alias("done")), "tree-rows")
+    cycles = rows.select("id", "pid", "trail").limit(0)
+    while not rows.where(~F.col("done")).isEmpty():
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("trail").alias("_trail"),
+                            F.col("done").alias("_done"))
+        step = rows.where(~F.col("done")).join(above, "up").select(
+            "id", "pid", F.col("_up").alias("up"), F.concat("_trail", "trail").alias("trail"), F.col("_done").alias("done"))
+        step = step.withColumn("_twice", F.size(F.array_distinct("trail")) < F.size("trail"))
+        step = materialize(step, "tree-step")
+        cycles = cycles.unionByName(step.where("_twice").select("id", "pid", "trail"))
+        rows = materialize(rows.where("done").unionByName(step.where("NOT _twice").drop("_twice")), "tree-rows")
+    return e, rows.select("id", "pid", "trail"), cycles
+
+
+def tree_cycles(edges: DataFrame, root: str | None = None) -> DataFrame:
+    """JOIN8: id, pid of the rows that never reach a root because their ancestors form a cycle."""
+    return _ancestry(edges, root)[2].select("id", "pid").distinct()
+
+
+def tree(spark: SparkSession, edges: DataFrame, root: str | None = None) -> DataFrame:
+    """JOIN8: adjacency list (id, pid) -> id, pid, level, path, child_count, sibling_no.
+
+    Roots are rows whose parent is null, empty or '0', or the given root id;
+    trees of any depth are followed (see ``_ancestry``), and rows in or
+    below a cycle are left out and reported by ``tree_cycles``.
+    """
+    e, reached, _ = _ancestry(edges, root)
+    levels_df = reached.select("id", "pid", F.size("trail").alias("level"), F.array_join("trail", "/").alias("path"))
     children = e.where(F.col("pid").isNotNull()).groupBy(F.col("pid").alias("id")).agg(
         F.count(F.lit(1)).alias("child_count"))
     # sibling number = position in (pid, id) order minus the parent's first position
     # (no per-parent window: a parent with a third of all nodes stays spread out)
     pos = global_row_number(levels_df, [F.col("pid").asc_nulls_first(), F.col("id").asc()], "_pos")
     first = pos.groupBy("pid").agg(F.min("_pos").alias("_first"))
-    return (pos.join(first, pos["pid"].eqNullSafe(first["pid"])).drop(first["pid"])
+    return (join_on(pos, first, ["pid"])
             .join(children, "id", "left")
             .withColumn("child_count", F.coalesce("child_count", F.lit(0)))
             .withColumn("sibling_no", F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first"))
@@ -202,18 +182,20 @@ def tree(spark: SparkSession, edges: DataFrame, root: str | None = None, max_dep
 def expand_recurrence(rules: DataFrame, lo: dt.date, hi: dt.date) -> DataFrame:
     """JOIN9: weekly rules -> instances inside [lo, hi).
 
-    rules: rule_id, days_of_week (array, 0 = Sunday), start_time / end_time
-    (seconds after midnight), start_recur (inclusive), end_recur (exclusive).
+    rules: rule_id, days_of_week (array, 0 = Sunday; null means every day),
+    start_time / end_time (seconds after midnight; a null start is
+    midnight, a null end leaves the instance open), start_recur (inclusive),
+    end_recur (exclusive; null bounds do not bound).
     Each rule expands only over its clipped date range, a bounded generator.
     """
     first = F.greatest(F.col("start_recur"), F.lit(lo))
     last = F.least(F.col("end_recur"), F.lit(hi))
     r = rules.where(first < last).withColumn(
         "day", F.explode(F.sequence(first, F.date_sub(last, 1), F.expr("INTERVAL 1 DAY"))))
-    r = r.where(F.array_contains(F.col("days_of_week"), F.dayofweek("day") - 1))
+    r = r.where(F.col("days_of_week").isNull() | F.array_contains(F.col("days_of_week"), F.dayofweek("day") - 1))
     base = F.col("day").cast("timestamp_ntz")
     return r.select("rule_id", "day",
-                    F.timestamp_add("SECOND", F.col("start_time"), base).alias("instance_start"),
+                    F.timestamp_add("SECOND", F.coalesce(F.col("start_time"), F.lit(0)), base).alias("instance_start"),
                     F.timestamp_add("SECOND", F.col("end_time"), base).alias("instance_end"))
 
 

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulframe.operators.nullsafe import join_on
 from haulframe.plans.standins import SLA_DAYS
 from haulframe.session import ensure_checkpoint_dir, materialize
 
@@ -94,9 +95,12 @@ def percent_change(df: DataFrame, key: str, period: str, value: str, out: str =
 
 def delay_reasons(shipments: DataFrame, n: int = 3, sla: int = SLA_DAYS, facts: DataFrame | None = None) -> DataFrame:
     """KPI2: up to n reasons of late rows per (client, month), count desc, reason asc."""
-    f = (facts if facts is not None else report_facts(shipments, sla))
-    counts = f.where((F.col("level") == "reason") & (F.col("n_late") > 0)).select(
-        "client", "month", "reason", F.col("n_late").alias("late_count"))
+    if facts is None:
+        month = F.trunc(F.col("shipped_at").cast("date"), "MM").alias("month")
+        counts = shipments.where(_late(sla)).groupBy("client", month, "reason").agg(F.count(F.lit(1)).alias("late_count"))
+    else:
+        counts = facts.where((F.col("level") == "reason") & (F.col("n_late") > 0)).select(
+            "client", "month", "reason", F.col("n_late").alias("late_count"))
     w = Window.partitionBy("client", "month").orderBy(F.desc("late_count"), F.asc("reason"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
@@ -186,7 +190,7 @@ def visitors(events: DataFrame) -> DataFrame:
     day = F.to_date("ts")
     daily = events.select("user_id", day.alias("day")).distinct()
     first = events.groupBy("user_id").agg(F.min(day).alias("first_day"))
-    d = daily.join(first, "user_id")
+    d = join_on(daily, first, ["user_id"])
     return d.groupBy(F.dayofweek("day").alias("weekday")).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum((F.col("day") > F.col("first_day")).cast("int")).alias("returning"),

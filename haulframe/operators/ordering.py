@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.operators import segmented
+from haulframe.operators.nullsafe import join_on
 from haulframe.operators.positions import global_row_number
 
 # ---------------------------------------------------------------------------
@@ -48,12 +49,21 @@ def sort_smart(df: DataFrame, col: str, tiebreak: list[str], descending: bool =
 
 def sort_multi(df: DataFrame, spec: list[tuple[str, str]], tiebreak: list[str], fold_case: bool = False,
                out: str = "position") -> DataFrame:
-    """ORD2: multi-column sort, a direction per column, optional case folding."""
+    """ORD2: multi-column sort, a direction per column, optional case folding of text.
+
+    Null counts as the empty string; strings that read as numbers compare
+    by value and come before other text (see ``smart_sort_keys`` for why a
+    fixed order stands in for a pairwise comparison).
+    """
     order = []
     types = dict(df.dtypes)
     for c, d in spec:
-        k = F.lower(F.col(c)) if fold_case and types[c] == "string" else F.col(c)
-        order.append(k.desc() if d == "desc" else k.asc())
+        keys = [F.col(c)]
+        if types[c] == "string":
+            text = F.coalesce(F.col(c), F.lit(""))
+            number = F.trim(text).try_cast("double")
+            keys = [number.isNull(), number, F.lower(text) if fold_case else text]
+        order += [k.desc() if d == "desc" else k.asc() for k in keys]
     order += [F.col(c).asc() for c in tiebreak]
     return global_row_number(df, order, out)
 
@@ -71,30 +81,39 @@ def order_groups(df: DataFrame, group: str, order: str | list[str], member_order
     return global_row_number(d, keys + [F.col(c).asc() for c in member_order], out)
 
 
-def natural_key(c: Column, width: int = 20) -> Column:
-    """ORD4: natural sort key: digit runs left-padded, text runs lower-cased."""
-    parts = F.regexp_extract_all(c, F.lit("(\\d+|\\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), F.lpad(p, width, "0"))
-                                    .otherwise(F.lower(p))), "")
+def natural_key(c: Column) -> Column:
+    """ORD4: natural sort key: an array with one entry per run of digits or of other characters.
+
+    A digit run sorts by the number of its significant digits and then by
+    them, so it may have any length; other runs sort as lower-case text,
+    after digits.
+    """
+    def entry(run: Column) -> Column:
+        number = run.rlike("^[0-9]+$")
+        significant = F.when(number, F.regexp_replace(run, "^0+(?=[0-9])", ""))
+        return F.struct((~number).alias("text"), F.length(significant).alias("size"), significant.alias("digits"),
+                        F.when(~number, F.lower(run)).alias("letters"))
 
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([0-9]+|[^0-9]+)"), 1), entry)
 
-def sort_natural(df: DataFrame, col: str, tiebreak: list[str], out: str = "position") -> DataFrame:
-    return global_row_number(df, [natural_key(F.col(col)).asc()] + [F.col(c).asc() for c in tiebreak], out)
+
+def sort_natural(df: DataFrame, cols: str | list[str], tiebreak: list[str], out: str = "position") -> DataFrame:
+    """ORD4: rows numbered in the natural order of one or more columns."""
+    keys = [natural_key(F.col(c)).asc() for c in ([cols] if isinstance(cols, str) else cols)]
+    return global_row_number(df, keys + [F.col(c).asc() for c in tiebreak], out)
 
 
 # ---------------------------------------------------------------------------
 # PAG1-PAG3, TOP1
 
-DEEP_PAGE_ROWS = 100_000
-
 
 def page(df: DataFrame, order: list[Column], number: int, size: int, where: Column | None = None) -> DataFrame:
     """PAG1: page ``number`` (1-based, clamped to the last page) of ``size`` rows.
 
     Adds total (after ``where``), total_unfiltered, from_row and to_row.
-    Shallow pages use ``offset/limit`` over the sorted plan (a bounded
-    top-k per partition); deep pages switch to numbering the whole table
-    and filtering a position range, so no task gathers offset+limit rows.
+    The rows are numbered and the page's range of positions is taken, so
+    that no task gathers all rows before a page, however deep it is.
+    ``order`` must be total.
     """
     filtered = df.where(where) if where is not None else df
     total = filtered.count()
@@ -102,11 +121,8 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, where: Colu
     pages = max(1, math.ceil(total / size))
     n = min(max(number, 1), pages)
     start = (n - 1) * size
-    if start + size <= DEEP_PAGE_ROWS:
-        rows = filtered.orderBy(*order).offset(start).limit(size)
-    else:
-        rows = global_row_number(filtered, order, "_pos").where(
-            (F.col("_pos") > start) & (F.col("_pos") <= start + size)).drop("_pos")
+    rows = global_row_number(filtered, order, "_pos").where(
+        (F.col("_pos") > start) & (F.col("_pos") <= start + size)).orderBy("_pos").drop("_pos")
     to_row = min(start + size, total)
     return rows.select("*", F.lit(total).alias("total"), F.lit(total_unfiltered).alias("total_unfiltered"),
                        F.lit(start + 1 if total else 0).alias("from_row"), F.lit(to_row).alias("to_row"),
@@ -133,7 +149,10 @@ def table_request(df: DataFrame, request: dict, tiebreak: list[str]) -> DataFram
     order = [F.col(c).desc() if dr == "desc" else F.col(c).asc() for c, dr in request.get("order", [])]
     order += [F.col(c).asc() for c in tiebreak]
     start, length = request.get("start", 0), request.get("length", 10)
-    rows = d.orderBy(*order).offset(start).limit(length) if length >= 0 else d
+    at = global_row_number(d, order, "_pos").where(F.col("_pos") > start)
+    if length >= 0:  # -1 asks for all rows
+        at = at.where(F.col("_pos") <= start + length)
+    rows = at.orderBy("_pos").drop("_pos")
     return rows.select("*", F.lit(request.get("draw", 1)).alias("draw"), F.lit(total).alias("records_total"),
                        F.lit(filtered).alias("records_filtered"))
 
@@ -185,7 +204,7 @@ def top_per_group(df: DataFrame, group: str, order: list[str], per_group: int, o
     w = Window.partitionBy(group).orderBy(*order)
     ranked = df.withColumn("group_rank", F.row_number().over(w)).where(F.col("group_rank") <= per_group)
     first = df.groupBy(group).agg(F.min(F.struct(*order)).alias("_first"))
-    listed = ranked.join(first, group)
+    listed = join_on(ranked, first, [group])
     listing = [F.col("_first").asc(), F.col("group_rank").asc()]
     out = listed.orderBy(*listing)
     if overall is not None:

@@ -45,3 +45,20 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "position",
     return (s.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_off") + local + 1)
             .drop("_pid", "_mid", "_off"))
+
+
+def global_running_sum(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+    """Add ``out`` = sum of ``value`` up to and including each row in ``order`` (which must be total).
+
+    Running sums inside each range partition, plus the sums of all earlier
+    partitions (one row per partition).
+    """
+    s = sorted_partitions(df, order).withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    s = materialize(s, "running-sum")
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = s.groupBy("_pid").agg(F.sum(value).alias("_n"))
+    offsets = parts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    inside = F.sum(value).over(Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0))
+    # one row per partition: bounded by the partition count, safe to broadcast
+    return s.withColumn("_in", inside).join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_off") + F.col("_in")).drop(
+        "_pid", "_mid", "_off", "_in")

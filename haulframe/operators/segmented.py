@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulframe.operators.nullsafe import join_on
+
 _SEG = "_seg"
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -67,9 +69,9 @@ def scan(df: DataFrame, part: list[str], bucket: Column, order: list, specs: lis
 
     d = d.select("*", *within, (F.row_number().over(w) == 1).alias("_first"),
                  F.lead(F.lit(1)).over(w).isNull().alias("_last"))
-    seg = _with_seg_only(df, bucket).groupBy(*part, _SEG).agg(*seg_aggs)
+    seg = df.withColumn(_SEG, bucket).groupBy(*part, _SEG).agg(*seg_aggs)
     seg = seg.select(*part, _SEG, *carries)
-    d = d.join(seg, [*part, _SEG], "left")
+    d = join_on(d, seg, [*part, _SEG], "left")
 
     outs = []
     for i, s in enumerate(specs):
@@ -90,10 +92,6 @@ def scan(df: DataFrame, part: list[str], bucket: Column, order: list, specs: lis
     return d.select("*", *outs).drop(*tmp)
 
 
-def _with_seg_only(df: DataFrame, bucket: Column) -> DataFrame:
-    return df.withColumn(_SEG, bucket)
-
-
 def prev_value(df: DataFrame, part: list[str], bucket: Column, order: list, col: str, out: str) -> DataFrame:
     """``out`` = value of ``col`` on the previous row (by ``order``) within ``part``."""
     return scan(df, part, bucket, order, [Spec("lag", col, out)])

@@ -27,12 +27,14 @@ def tagged_union(sources: dict[str, DataFrame], display: str, tag: str = "group"
 
 def distinct_tags(df: DataFrame, owner: str, tag: str, arrival: str, case_sensitive: bool = False,
                   limit: int | None = None) -> DataFrame:
-    """SET3: distinct tags per owner in first-arrival order, optionally case-insensitive, capped.
+    """SET3: distinct tags per owner in first-arrival order, trimmed, empty ones left out,
+    optionally case-insensitive, capped.
 
     The first arrival of each (owner, tag) is a partial aggregate (skew-safe);
     the per-owner ranking runs on that aggregated table.
     """
     key = F.col(tag) if case_sensitive else F.lower(F.col(tag))
+    df = df.withColumn(tag, F.trim(tag)).where(F.col(tag) != "")
     firsts = df.groupBy(owner, key.alias("_k")).agg(
         F.min_by(F.col(tag), F.col(arrival)).alias(tag), F.min(arrival).alias("first_arrival"))
     w = Window.partitionBy(owner).orderBy("first_arrival")

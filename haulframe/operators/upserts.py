@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulframe.functions.strings import norm_key
-from haulframe.operators.joins import resolve_client
+from haulframe.operators.joins import expand_grants, resolve_client
+from haulframe.operators.nullsafe import join_on
 from haulframe.operators.positions import global_row_number
 from haulframe.session import ensure_checkpoint_dir, materialize
 
@@ -60,7 +61,8 @@ def upsert_subscriptions(state: DataFrame, requests: DataFrame) -> tuple[DataFra
     state: email, company, area, removed; requests: arrival, em_nl, cp_name, tp_area.
     """
     r, facts, s = _subscription_batch(state, requests)
-    j = r.join(facts, "email").join(s, "email", "left")
+    # a request without an e-mail is answered too: null is a key of its own
+    j = join_on(join_on(r, facts, ["email"]), s, ["email"], "left")
     stored = F.coalesce(F.col("_stored"), F.lit(False))
     real0 = stored & (F.col("c0") != "none")
     # stored company seen by this request
@@ -76,11 +78,12 @@ def upsert_subscriptions(state: DataFrame, requests: DataFrame) -> tuple[DataFra
                .otherwise(MSG_OTHER_COMPANY))
     outcomes = j.select("arrival", "email", "company", outcome.alias("outcome"), message.alias("message"))
 
-    st = state.withColumn("_email", F.col("email"))
-    n = st.join(facts, st["_email"] == facts["email"], "full_outer").select(
+    st = state.withColumn("_email", F.col("email")).withColumn("_is_stored", F.lit(True))
+    facts = facts.withColumn("_is_requested", F.lit(True))
+    n = st.join(facts, st["_email"].eqNullSafe(facts["email"]), "full_outer").select(
         F.coalesce(st["email"], facts["email"]).alias("email"), st["company"].alias("company0"),
         st["area"].alias("area0"), st["removed"].alias("removed0"), "first_area", "f_company", "f_area",
-        st["_email"].isNotNull().alias("_stored"), facts["email"].isNotNull().alias("_touched"))
+        st["_is_stored"].isNotNull().alias("_stored"), facts["_is_requested"].isNotNull().alias("_touched"))
     c0 = F.lower(F.coalesce("company0", F.lit("none")))
     keep = F.col("_stored") & (c0 != "none")
     company = F.when(keep, F.col("company0")).when(F.col("f_company").isNotNull(), F.col("f_company")).otherwise(
@@ -171,22 +174,30 @@ def book_calls(clients: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
 
 
 def update_by_id(df: DataFrame, updates: DataFrame, id_col: str, arrival: str, replace: bool = False) -> DataFrame:
-    """UPS4: merge (non-null new values win) or replace rows by id; unknown ids ignored; latest update wins."""
-    cols = [c for c in updates.columns if c not in (id_col, arrival)]
-    latest = updates.groupBy(id_col).agg(F.max_by(F.struct(*cols), F.col(arrival)).alias("_u")).select(
-        id_col, *[F.col(f"_u.{c}").alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
-    j = df.join(latest, id_col, "left")
+    """UPS4: merge updates into rows, or replace rows, by id; unknown ids are ignored.
+
+    Merging applies all updates of an id in order of arrival, so each
+    column ends with its last non-null new value; replacing takes the last
+    update as the whole row.  One aggregate either way.
+    """
+    cols = [c for c in df.columns if c in updates.columns and c not in (id_col, arrival)]
+    if replace:
+        new = updates.groupBy(id_col).agg(F.max_by(F.struct(*cols), F.col(arrival)).alias("_u")).select(
+            id_col, *[F.col(f"_u.{c}").alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
+    else:
+        new = updates.groupBy(id_col).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(f"_new_{c}")
+                                            for c in cols], F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
-    out = []
-    for c in df.columns:
-        if c == id_col or c not in cols:
-            out.append(F.col(c) if not (replace and c != id_col) else F.when(hit, F.lit(None)).otherwise(F.col(c))
-                       .cast(dict(df.dtypes)[c]).alias(c))
-        elif replace:
-            out.append(F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.when(hit, F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)).alias(c))
-    return j.select(*out, F.when(hit, "updated").otherwise("unchanged").alias("action"))
+    kinds = dict(df.dtypes)
+
+    def after(c: str) -> Column:
+        if c == id_col or (c not in cols and not replace):
+            return F.col(c)
+        value = F.col(f"_new_{c}") if c in cols else F.lit(None).cast(kinds[c])
+        return F.when(hit, value if replace else F.coalesce(value, F.col(c))).otherwise(F.col(c)).alias(c)
+
+    return df.join(new, id_col, "left").select(
+        *[after(c) for c in df.columns], F.when(hit, "updated").otherwise("unchanged").alias("action"))
 
 
 def remove_rows(df: DataFrame, field: str, values: list) -> DataFrame:
@@ -199,25 +210,14 @@ def signup(users: DataFrame, perms: DataFrame, batch_id: str) -> DataFrame:
 
     users: user_id, username, email, user_type.  Returns one long table
     (table_name, user_id, detail, batch_id) so the batch is written as a
-    single unit; split it by ``table_name`` when storing.  The user and
-    profile rows and the JOIN4 grants come from one array per user,
-    exploded in one pass.
+    single unit; split it by ``table_name`` when storing.
     """
-    from haulframe.operators.joins import _permission_structs, expand_grants, grant_array
-
-    manage = perms.where(F.col("codename").startswith("manage")).select("codename").distinct()
-    arr = _permission_structs(manage)
     own = F.array(
         F.struct(F.lit("user").alias("kind"), F.concat_ws("|", "username", "email", F.lit("staff=false")).alias("grant")),
         F.struct(F.lit("profile").alias("kind"), F.col("user_type").alias("grant")))
-    table = (F.when(F.col("_g.kind") == "group", "group_member")
-             .when(F.col("_g.kind") == "permission", "user_permission").otherwise(F.col("_g.kind")))
-    if arr is None:
-        base = users.select("user_id", F.explode(own).alias("_g"))
-        grants = expand_grants(users.select("user_id", "user_type"), perms).select(
-            "user_id", F.struct("kind", "grant").alias("_g"))
-        rows = base.unionByName(grants)
-    else:
-        rows = users.select("user_id", F.explode(F.concat(own, grant_array(arr))).alias("_g"))
-    return rows.select(table.alias("table_name"), "user_id", F.col("_g.grant").alias("detail"),
+    table = F.when(F.col("kind") == "group", "group_member").when(F.col("kind") == "permission", "user_permission").otherwise(
+        F.col("kind"))
+    rows = users.select("user_id", F.explode(own).alias("_g")).select("user_id", "_g.kind", "_g.grant")
+    rows = rows.unionByName(expand_grants(users.select("user_id", "user_type"), perms))
+    return rows.select(table.alias("table_name"), "user_id", F.col("grant").alias("detail"),
                        F.lit(batch_id).alias("batch_id"))

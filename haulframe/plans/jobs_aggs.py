@@ -104,7 +104,7 @@ def agg8_group_rows(t):
 
 
 @job("agg9_distinct_options", """
-SELECT lower(p_type) AS option_key, arg_min(p_type, p_partkey) AS option FROM part GROUP BY 1
+SELECT lower(p_type) AS option_key, arg_min(p_type, p_partkey) AS option FROM part GROUP BY 1 ORDER BY 1
 """)
 def agg9_distinct_options(t):
     """AGG9: distinct part types for a filter drop-down (case-insensitive, first spelling)."""

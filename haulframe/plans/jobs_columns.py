@@ -181,26 +181,20 @@ def num2_linear_bins(t):
     return numbers.linear_bins(t.lineitem, "l_extendedprice", 10)
 
 
-@job("num3_log_bins", f"""
-SELECT CAST(CASE WHEN o_totalprice > 0 THEN floor(ln(o_totalprice) / {_LN10}) END AS INTEGER) AS exponent,
-       pow(10.0, exponent) AS lower_bound, count(*) AS n
-FROM orders GROUP BY 1
+@job("num3_log_bins", """
+WITH p AS (SELECT k AS exponent, pow(10.0, k) AS lower_bound FROM (SELECT CAST(unnest(range(-9, 16)) AS INTEGER) AS k))
+SELECT p.exponent, p.lower_bound, count(*) AS n
+FROM orders o LEFT JOIN p ON o.o_totalprice >= p.lower_bound AND o.o_totalprice < p.lower_bound * 10 GROUP BY 1, 2
 """)
 def num3_log_bins(t):
     """NUM3: order totals in powers-of-ten bins."""
     return numbers.log_bins(t.orders, "o_totalprice", 10.0)
 
 
-@job("num4_log_norm", f"""
-WITH e AS (SELECT o_orderpriority, min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders GROUP BY 1),
-d AS (SELECT o.o_orderkey, o.o_orderpriority, o.o_totalprice AS v,
-             CASE WHEN e.mn = 0 THEN -1.0 ELSE ln(e.mn) / {_LN10} END AS min_log,
-             CASE WHEN e.mx = 0 THEN 0.0 ELSE ln(e.mx) / {_LN10} END AS max_log
-      FROM orders o JOIN e USING (o_orderpriority))
-SELECT o_orderkey, o_orderpriority, v AS o_totalprice,
-       round(CASE WHEN v IS NULL THEN NULL WHEN v <= 0 THEN 0.0 WHEN v < 1 THEN v / (max_log - min_log)
-             ELSE (ln(v) / {_LN10} - min_log) / (max_log - min_log) END, 8) AS log_value
-FROM d
+@job("num4_log_norm", """
+WITH e AS (SELECT o_orderpriority, log10(min(o_totalprice)) AS a, log10(max(o_totalprice)) AS b FROM orders GROUP BY 1)
+SELECT o.o_orderkey, o.o_orderpriority, o.o_totalprice, round((log10(o.o_totalprice) - e.a) / (e.b - e.a), 8) AS log_value
+FROM orders o JOIN e USING (o_orderpriority)
 """)
 def num4_log_norm(t):
     """NUM4: order totals log-normalised to their priority's extent."""
@@ -253,7 +247,8 @@ WITH m AS (SELECT min(value) AS mn, max(value) AS mx FROM events)
 SELECT event_id, value,
        CASE """ + " ".join(f"WHEN value >= {lo} AND value <= {hi} THEN '{n}'" for lo, hi, n in reversed(_BANDS)) + """
        END AS band,
-       round(CASE WHEN mx = mn THEN 0.0 ELSE 100.0 * (value - mn) / (mx - mn) END, 6) AS percent
+       round(100.0 * value / (CASE """ + " ".join(
+    f"WHEN value BETWEEN {lo} AND {hi} THEN {lo + hi}" for lo, hi, _ in reversed(_BANDS)) + """ ELSE abs(mx) + abs(mn) END), 6) AS percent
 FROM events, m
 """)
 def num6_band(t):

@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from haulframe.functions import hooks
-from haulframe.operators.positions import global_row_number
 from haulframe.plans.registry import job
 
 
@@ -33,7 +32,7 @@ SELECT p_partkey, p_name, row_number() OVER (ORDER BY length(p_name) DESC, p_par
 def udf2_sort_key(t):
     """UDF2: custom sort key (name length, longest first) with positions."""
     p = t.part.select("p_partkey", "p_name")
-    return global_row_number(p, [F.length("p_name").desc(), F.col("p_partkey").asc()], "position")
+    return hooks.sort_by_key(p, lambda d: F.length(d.p_name), ["p_partkey"], descending=True)
 
 
 @job("udf3_formatter", """
@@ -56,11 +55,22 @@ def udf4_aggregate_hook(t):
         "orders": F.count_distinct("l_orderkey")})
 
 
+@job("udf4_pandas_aggregate", """
+SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 2) AS spread, count(*) AS n FROM orders GROUP BY 1
+""")
+def udf4_pandas_aggregate(t):
+    """UDF4: a group aggregate hook in pandas (price spread per priority)."""
+    o = t.orders.select("o_orderpriority", "o_totalprice")
+    return hooks.pandas_group_aggregate(
+        o, ["o_orderpriority"], lambda g: {"spread": round(float(g.o_totalprice.max() - g.o_totalprice.min()), 2), "n": len(g)},
+        "o_orderpriority string, spread double, n long")
+
+
 def _line_shares(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Share of each line in its order's price; ``pdf`` holds whole orders."""
+    """Share of each line in its order's price; ``pdf`` is one order."""
     out = pdf[["l_orderkey", "l_linenumber", "l_extendedprice"]].copy()
-    total = out.groupby("l_orderkey")["l_extendedprice"].transform("sum")
-    out["share"] = (out["l_extendedprice"] / total).where(total != 0, 0.0).round(6)
+    total = out["l_extendedprice"].sum()
+    out["share"] = (out["l_extendedprice"] / total).round(6) if total else 0.0
     return out
 
 
@@ -73,8 +83,7 @@ def udf5_group_transform(t):
     """UDF5: whole-group pandas transform per order (share of each line in its order)."""
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
     return hooks.group_transform(li, ["l_orderkey"], _line_shares,
-                                 "l_orderkey long, l_linenumber int, l_extendedprice double, share double",
-                                 vectorized=True)
+                                 "l_orderkey long, l_linenumber int, l_extendedprice double, share double")
 
 
 @job("udf6_normalize", """

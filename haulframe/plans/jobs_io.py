@@ -7,6 +7,8 @@ what a reader of the written data sees.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,13 +119,13 @@ def src4_gate_batch(t):
 
 
 @job("snk1_write_by_client", """
-SELECT *, CAST(o_custkey % 16 AS INTEGER) AS company_id FROM orders WHERE o_custkey % 16 = 3
+SELECT *, CAST(o_custkey % 16 AS INTEGER) AS company_id FROM orders
 """)
 def snk1_write_by_client(t):
-    """SNK1: orders stored in one folder per client (o_custkey % 16), client 3 read back."""
+    """SNK1: orders stored in one folder per client (o_custkey % 16), all clients read back."""
     path = scratch_path(t.spark, "by-client")
     sinks.write_by_client(t.orders.withColumn("company_id", (F.col("o_custkey") % 16).cast("int")), path)
-    return sinks.read_client(t.spark, path, 3)
+    return reduce(lambda a, b: a.unionByName(b), [sinks.read_client(t.spark, path, c) for c in range(16)])
 
 
 @job("snk2_export_csv", """

@@ -130,8 +130,8 @@ FROM (SELECT event_type AS series, CAST(ts AS DATE) AS x, sum(value) AS y FROM e
 """)
 def join6_align_series(t):
     """JOIN6: align daily series of all event types on the union of days."""
-    a = joins.align_series(standins.chart_series(t), "series", "x", "y", _EVENT_TYPES)
-    return a.select("x", *[F.round(s, 2).alias(s) for s in _EVENT_TYPES])
+    a = joins.align_series(standins.chart_series(t), "series", "x", "y")
+    return a.select("x", *[F.round(s, 2).alias(s) for s in a.columns if s != "x"])
 
 
 @job("join7_overlaps", """
@@ -156,7 +156,7 @@ WITH RECURSIVE e AS (
 ),
 t (id, pid, level, path) AS (
   SELECT id, pid, 1, id FROM e WHERE pid IS NULL OR pid = '' OR pid = '0'
-  UNION ALL SELECT e.id, e.pid, t.level + 1, t.path || '/' || e.id FROM e JOIN t ON e.pid = t.id WHERE t.level < 100
+  UNION ALL SELECT e.id, e.pid, t.level + 1, t.path || '/' || e.id FROM e JOIN t ON e.pid = t.id
 ),
 c AS (SELECT pid AS id, count(*) AS child_count FROM e WHERE pid IS NOT NULL GROUP BY pid)
 SELECT t.id, t.pid, t.level, t.path, coalesce(c.child_count, 0) AS child_count,
@@ -207,6 +207,21 @@ def join9_expand_recurrence(t):
     return joins.expand_recurrence(rules, dt.date(2024, 1, 10), dt.date(2024, 1, 24))
 
 
+@job("join9_every_day", """
+SELECT event_id AS rule_id, CAST(d.day AS DATE) AS day, CAST(d.day AS TIMESTAMP) AS instance_start,
+       CAST(d.day AS TIMESTAMP) + to_seconds(CAST(round(value) AS INTEGER) * 60) AS instance_end
+FROM events, (SELECT unnest(generate_series(DATE '2024-01-10', DATE '2024-01-16', INTERVAL 1 DAY)) AS day) d
+WHERE event_type = 'signup' AND CAST(ts AS DATE) <= CAST(d.day AS DATE)
+""")
+def join9_every_day(t):
+    """JOIN9: rules without days of the week, start time and end bound: one instance every day from midnight."""
+    e = t.events.where(F.col("event_type") == "signup")
+    rules = e.select(F.col("event_id").alias("rule_id"), F.lit(None).cast("array<int>").alias("days_of_week"),
+                     F.lit(None).cast("int").alias("start_time"), (F.round("value").cast("int") * 60).alias("end_time"),
+                     F.to_date("ts").alias("start_recur"), F.lit(None).cast("date").alias("end_recur"))
+    return joins.expand_recurrence(rules, dt.date(2024, 1, 10), dt.date(2024, 1, 17))
+
+
 @job("join10_attach_values", """
 WITH v AS (SELECT 'N' || CAST(c.c_nationkey AS VARCHAR) AS code, round(sum(o.o_totalprice), 2) AS revenue
            FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY 1)

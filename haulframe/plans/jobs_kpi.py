@@ -22,7 +22,7 @@ m AS (
          count(*) AS shipments,
          round(avg(delivery_days), 1) AS avgdelivery,
          CAST(round(100 * avg(CASE WHEN delivery_days IS NULL THEN NULL
-                                   WHEN delivery_days <= 60 THEN 1.0 ELSE 0.0 END)) AS BIGINT) AS ontimedelivery
+                                   WHEN delivery_days <= 365 THEN 1.0 ELSE 0.0 END)) AS BIGINT) AS ontimedelivery
   FROM s GROUP BY ALL
 ),
 pc AS (
@@ -32,16 +32,16 @@ pc AS (
 ),
 lc AS (
   SELECT client, CAST(date_trunc('month', shipped_at) AS DATE) AS month, reason, count(*) AS late_count
-  FROM s WHERE delivery_days > 60 GROUP BY ALL
+  FROM s WHERE delivery_days > 365 GROUP BY ALL
 ),
 lr AS (
   SELECT *, row_number() OVER (PARTITION BY client, month ORDER BY late_count DESC, reason ASC) AS rank FROM lc
 ),
 rates AS (
-  SELECT client, 'route' AS dim, route AS name, count(*) AS n, sum(CASE WHEN delivery_days > 60 THEN 1 ELSE 0 END) AS late
+  SELECT client, 'route' AS dim, route AS name, count(*) AS n, sum(CASE WHEN delivery_days > 365 THEN 1 ELSE 0 END) AS late
   FROM s WHERE delivery_days IS NOT NULL GROUP BY client, route
   UNION ALL
-  SELECT client, 'carrier', carrier, count(*), sum(CASE WHEN delivery_days > 60 THEN 1 ELSE 0 END)
+  SELECT client, 'carrier', carrier, count(*), sum(CASE WHEN delivery_days > 365 THEN 1 ELSE 0 END)
   FROM s WHERE delivery_days IS NOT NULL GROUP BY client, carrier
 ),
 best AS (

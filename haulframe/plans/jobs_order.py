@@ -44,6 +44,17 @@ def ord2_sort_multi(t):
     return od.sort_multi(o, [("o_orderpriority", "asc"), ("o_totalprice", "desc")], ["o_orderkey"], fold_case=True)
 
 
+@job("ord2_sort_numeric_text", """
+WITH d AS (SELECT doc_id, CAST(n_chars AS VARCHAR) AS size, source FROM documents)
+SELECT doc_id, size, source, row_number() OVER (
+  ORDER BY CAST(size AS BIGINT) DESC, lower(source) ASC, doc_id ASC) AS position FROM d
+""")
+def ord2_sort_numeric_text(t):
+    """ORD2: a text column that holds numbers sorts by value."""
+    d = t.documents.select("doc_id", F.col("n_chars").cast("string").alias("size"), "source")
+    return od.sort_multi(d, [("size", "desc"), ("source", "asc")], ["doc_id"], fold_case=True)
+
+
 @job("ord3_order_groups", """
 SELECT doc_id, lang, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 END, doc_id) AS position
 FROM documents WHERE lang IN ('fr', 'en')
@@ -63,8 +74,7 @@ def ord3_order_groups_desc(t):
 
 @job("ord4_sort_natural", """
 SELECT p_partkey, p_brand, row_number() OVER (ORDER BY
-  array_to_string(list_transform(regexp_extract_all(p_brand, '(\\d+|\\D+)', 1),
-     lambda x: CASE WHEN regexp_matches(x, '^\\d+$') THEN lpad(x, 20, '0') ELSE lower(x) END), ''), p_partkey) AS position
+  regexp_extract(p_brand, '^[^0-9]*'), CAST(regexp_extract(p_brand, '[0-9]+') AS HUGEINT), p_partkey) AS position
 FROM part
 """)
 def ord4_sort_natural(t):

@@ -29,8 +29,9 @@ def set2_tagged_union(t):
 
 
 @job("set3_distinct_tags", """
-WITH f AS (SELECT user_id, lower(event_type) AS k, arg_min(event_type, event_id) AS event_type,
-                  min(event_id) AS first_arrival FROM events GROUP BY 1, 2)
+WITH e AS (SELECT user_id, event_id, trim(event_type) AS event_type FROM events WHERE trim(event_type) <> ''),
+f AS (SELECT user_id, lower(event_type) AS k, arg_min(event_type, event_id) AS event_type,
+                  min(event_id) AS first_arrival FROM e GROUP BY 1, 2)
 SELECT user_id, event_type, first_arrival,
        row_number() OVER (PARTITION BY user_id ORDER BY first_arrival) AS tag_rank
 FROM f QUALIFY tag_rank <= 3

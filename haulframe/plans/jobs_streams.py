@@ -1,17 +1,21 @@
 """Registered jobs: STM1-STM5.
 
-Each job replays a driver table as a file stream (written in time order,
-one file per time bucket, so micro-batches arrive in event-time order),
-drives the streaming query to completion with an ``availableNow``
-trigger, and returns the batch read of what the sink wrote.  The oracle
+Each job replays a driver table as a file stream in several deliveries
+(ranges of event time, found from the data), drives the streaming query
+after each delivery with an ``availableNow`` trigger, as a service that is
+restarted between them, and returns the batch read of what the sink wrote.
+Within a delivery the files are written in parallel.  The oracle
 statements are the batch equivalents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulframe.operators.totals import with_totals
 from haulframe.plans import standins
 from haulframe.plans.jobs_upserts import _SUBS_STATE_SQL, _subs_state
 from haulframe.plans.registry import job
@@ -19,30 +23,31 @@ from haulframe.plans.standins import SUBSCRIPTION_REQUESTS_SQL
 from haulframe.session import scratch_path
 from haulframe.streaming import payments as pm
 
-REPLAY_FILES = 4
-
+DELIVERIES = 4
 
-def write_replay(df: DataFrame, bucket: Column, path: str, buckets: int = REPLAY_FILES) -> None:
-    """Write ``df`` as text lines, one append per bucket, so file times follow the buckets."""
-    d = df.withColumn("_b", bucket)
-    for b in range(buckets):
-        d.where(F.col("_b") == b).drop("_b").coalesce(1).write.mode("append").text(path)
 
+def deliver(lines: DataFrame, run: Callable[[DataFrame], None]) -> None:
+    """Replay ``lines`` (ts, value): after each delivery, ``run`` gets the text stream of all files so far.
 
-def _time_bucket(ts: str = "ts") -> Column:
-    return F.least(F.floor((F.dayofmonth(ts) - 1) / 8), F.lit(REPLAY_FILES - 1)).cast("int")
+    The lines are staged once, partitioned by delivery, and each delivery
+    is a distributed copy of its partition into the stream's folder.
+    """
+    spark = lines.sparkSession
+    staged, source = scratch_path(spark, "deliveries"), scratch_path(spark, "stream-in")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    d = with_totals(lines.withColumn("_t", t), {"_first": F.min("_t"), "_last": F.max("_t")})
+    nth = F.floor((F.col("_t") - F.col("_first")) * DELIVERIES / (F.col("_last") - F.col("_first") + 1))
+    d.select("value", (nth + F.coalesce("late", F.lit(0)) if "late" in lines.columns else nth).cast("int").alias("delivery")) \
+        .write.partitionBy("delivery").parquet(staged)
+    # one more when rows come late
+    for k in range(DELIVERIES + ("late" in lines.columns)):
+        spark.read.parquet(staged).where(F.col("delivery") == k).select("value").write.mode("append").text(source)
+        run(spark.readStream.format("text").load(source))
 
 
-def _payload_stream(t, copies: int = 1):
-    """Events replayed as payload files in time order (each event ``copies`` times)."""
-    spark = t.spark
-    src = scratch_path(spark, "payloads")
-    ev = t.events.select("event_id", "ts", "user_id", "event_type", "value")
-    rows = ev
-    for _ in range(copies - 1):
-        rows = rows.unionByName(ev)
-    write_replay(rows.select(pm.payload_column().alias("value"), _time_bucket("ts").alias("_b")), F.col("_b"), src)
-    return spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
+def _payloads(t) -> DataFrame:
+    return t.events.select("event_id", "ts", "user_id", "event_type", "value").select(
+        "ts", pm.payload_column().alias("value"))
 
 
 _ROUTE_SQL = f"""
@@ -57,23 +62,25 @@ FROM events
 @job("stm1_route_events", _ROUTE_SQL)
 def stm1_route_events(t):
     """STM1: webhook payload stream routed into payment / refund / ignored / malformed."""
-    spark = t.spark
-    out, ck = scratch_path(spark, "routed"), scratch_path(spark, "routed-ck")
-    routed = pm.route_events(pm.parse(_payload_stream(t)))
-    pm.run_to_parquet(routed.select("id", "type", "created", "route"), out, ck, partition_by=["route"])
-    return spark.read.parquet(out).select("id", "route")
+    out, ck = scratch_path(t.spark, "routed"), scratch_path(t.spark, "routed-ck")
+    deliver(_payloads(t), lambda lines: pm.run_to_parquet(
+        pm.route_events(pm.parse(lines)).select("id", "type", "created", "route"), out, ck, partition_by=["route"]))
+    return t.spark.read.parquet(out).select("id", "route")
 
 
 @job("stm2_dedupe_events", """
 SELECT 'evt_' || CAST(event_id AS VARCHAR) AS id, ts AS created FROM events WHERE NOT (event_type = 'view' AND value < 5)
 """)
 def stm2_dedupe_events(t):
-    """STM2: every event delivered twice; each id comes out once."""
-    spark = t.spark
-    out, ck = scratch_path(spark, "dedup"), scratch_path(spark, "dedup-ck")
-    parsed = pm.parse(_payload_stream(t, copies=2)).where(F.col("id").isNotNull())
-    pm.run_to_parquet(pm.dedupe_events(parsed).select("id", "created"), out, ck)
-    return spark.read.parquet(out).select("id", "created")
+    """STM2: every event delivered twice, the second time one delivery later; each id comes out once."""
+    out, ck = scratch_path(t.spark, "dedup"), scratch_path(t.spark, "dedup-ck")
+    lines = _payloads(t).withColumn("late", F.explode(F.array(F.lit(0), F.lit(1))))
+
+    def run(stream: DataFrame) -> None:
+        pm.run_dedupe(pm.parse(stream).where(F.col("id").isNotNull()).select("id", "created"), out, ck)
+
+    deliver(lines, run)
+    return t.spark.read.parquet(out).select("id", "created")
 
 
 @job("stm3_payment_facts", """
@@ -86,13 +93,12 @@ WHERE e.event_type = 'purchase'
 """)
 def stm3_payment_facts(t):
     """STM3: payments joined to the customer lookup (customers in debit are unknown)."""
-    spark = t.spark
-    out, ck = scratch_path(spark, "facts"), scratch_path(spark, "facts-ck")
+    out, ck = scratch_path(t.spark, "facts"), scratch_path(t.spark, "facts-ck")
     sessions = t.customer.where(F.col("c_acctbal") >= 0).select(
         F.col("c_custkey").cast("string").alias("user_ref"), F.col("c_name").alias("customer_name"))
-    facts = pm.payment_facts(pm.route_events(pm.parse(_payload_stream(t))), sessions)
-    pm.run_to_parquet(facts, out, ck)
-    return spark.read.parquet(out).drop("batch_id")
+    deliver(_payloads(t), lambda lines: pm.run_to_parquet(
+        pm.payment_facts(pm.route_events(pm.parse(lines)), sessions), out, ck))
+    return t.spark.read.parquet(out).drop("batch_id")
 
 
 @job("stm4_running_counts", """
@@ -100,11 +106,10 @@ SELECT CAST(user_id AS VARCHAR) AS user_ref, count(*) AS requests FROM events WH
 """)
 def stm4_running_counts(t):
     """STM4: running contact-request counter per user (signup events), final values."""
-    spark = t.spark
-    out, ck = scratch_path(spark, "counts"), scratch_path(spark, "counts-ck")
-    parsed = pm.parse(_payload_stream(t)).where(F.col("type") == "other.signup")
-    pm.run_running_counts(parsed, out, ck)
-    return pm.latest_counts(spark, out)
+    out, ck = scratch_path(t.spark, "counts"), scratch_path(t.spark, "counts-ck")
+    deliver(_payloads(t), lambda lines: pm.run_running_counts(
+        pm.parse(lines).where(F.col("type") == "other.signup"), out, ck))
+    return pm.latest_counts(t.spark, out)
 
 
 @job("stm5_stream_subscriptions", f"""
@@ -131,12 +136,14 @@ FROM n
 def stm5_stream_subscriptions(t):
     """STM5: sign-up requests streamed in arrival order into the bucketed subscription state."""
     spark = t.spark
-    src, state_dir, ck = scratch_path(spark, "subs-in"), scratch_path(spark, "subs-state"), scratch_path(spark, "subs-ck")
+    state_dir, ck = scratch_path(spark, "subs-state"), scratch_path(spark, "subs-ck")
     req = standins.subscription_requests(t).join(t.events.select(F.col("event_id").alias("arrival"), "ts"), "arrival")
     lines = req.select(F.to_json(F.struct("arrival", "em_nl", "cp_name", "tp_area")).alias("value"), "ts")
-    write_replay(lines.select("value", _time_bucket("ts").alias("_b")), F.col("_b"), src)
     schema = "arrival BIGINT, em_nl STRING, cp_name STRING, tp_area INT"
-    stream = (spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
-              .select(F.from_json("value", schema).alias("r")).select("r.*"))
-    pm.stream_subscriptions(spark, stream, state_dir, _subs_state(t), ck)
+
+    def run(stream: DataFrame) -> None:
+        pm.stream_subscriptions(spark, stream.select(F.from_json("value", schema).alias("r")).select("r.*"),
+                                state_dir, _subs_state(t), ck)
+
+    deliver(lines, run)
     return pm.read_subscriptions(spark, state_dir)

@@ -193,26 +193,46 @@ def ups3_call_clients(t):
     return ups.book_calls(_call_clients(t), _call_requests(t))[0]
 
 
-@job("ups4_update_by_id", """
-WITH u AS (SELECT o_custkey AS c_custkey,
-                  arg_max(struct_pack(b := ((CAST(round(o_totalprice * 100) AS BIGINT) + 50) // 100) / 100.0,
-                                      s := CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END), o_orderkey) AS x
-           FROM orders GROUP BY o_custkey)
-SELECT c.c_custkey, c.c_name, c.c_nationkey,
-       CASE WHEN u.c_custkey IS NOT NULL THEN coalesce(u.x.b, c.c_acctbal) ELSE c.c_acctbal END AS c_acctbal,
-       CASE WHEN u.c_custkey IS NOT NULL THEN coalesce(u.x.s, c.c_mktsegment) ELSE c.c_mktsegment END AS c_mktsegment,
-       CASE WHEN u.c_custkey IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS action
-FROM customer c LEFT JOIN u USING (c_custkey)
+_UPDATES_SQL = """SELECT o_custkey AS c_custkey, o_orderkey AS arrival,
+       ((CAST(round(o_totalprice * 100) AS BIGINT) + 50) // 100) / 100.0 AS b,
+       CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS s FROM orders"""
+
+
+@job("ups4_update_by_id", f"""
+WITH u AS ({_UPDATES_SQL}),
+lb AS (SELECT c_custkey, b FROM u WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY arrival DESC) = 1),
+ls AS (SELECT c_custkey, s FROM u WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY arrival DESC) = 1)
+SELECT c.c_custkey, c.c_name, c.c_nationkey, coalesce(lb.b, c.c_acctbal) AS c_acctbal, coalesce(ls.s, c.c_mktsegment) AS c_mktsegment,
+       CASE WHEN c.c_custkey IN (SELECT c_custkey FROM u) THEN 'updated' ELSE 'unchanged' END AS action
+FROM customer c LEFT JOIN lb USING (c_custkey) LEFT JOIN ls USING (c_custkey)
 """)
 def ups4_update_by_id(t):
-    """UPS4: merge the latest order-derived update into each customer row."""
-    upd = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("arrival"),
+    """UPS4: merge the order-derived updates, in order of arrival, into each customer row."""
+    return ups.update_by_id(t.customer, _order_updates(t), "c_custkey", "arrival")
+
+
+@job("ups4_replace_by_id", f"""
+WITH u AS ({_UPDATES_SQL}),
+l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY arrival DESC) = 1)
+SELECT c.c_custkey, CASE WHEN l.c_custkey IS NULL THEN c.c_name END AS c_name,
+       CASE WHEN l.c_custkey IS NULL THEN c.c_nationkey END AS c_nationkey,
+       CASE WHEN l.c_custkey IS NULL THEN c.c_acctbal ELSE l.b END AS c_acctbal,
+       CASE WHEN l.c_custkey IS NULL THEN c.c_mktsegment ELSE l.s END AS c_mktsegment,
+       CASE WHEN l.c_custkey IS NULL THEN 'unchanged' ELSE 'updated' END AS action
+FROM customer c LEFT JOIN l USING (c_custkey)
+""")
+def ups4_replace_by_id(t):
+    """UPS4: the last order-derived update replaces the whole customer row."""
+    return ups.update_by_id(t.customer, _order_updates(t), "c_custkey", "arrival", replace=True)
+
+
+def _order_updates(t):
+    return t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("arrival"),
                           # price / 100 rounded half up to cents, in integer cents so no binary tie is lost
                           (F.floor((F.round(F.col("o_totalprice") * 100).cast("bigint") + 50) / 100) / 100.0)
                           .alias("c_acctbal"),
                           F.when(F.col("o_orderstatus") == "F", F.lit(None)).otherwise(F.col("o_orderpriority"))
                           .alias("c_mktsegment"))
-    return ups.update_by_id(t.customer, upd, "c_custkey", "arrival")
 
 
 @job("ups5_remove_rows", """

@@ -25,10 +25,8 @@ DEFAULTS = {
 }
 
 # Settings a job may adjust at runtime on a caller's session.  They do not
-# change results, only plans; the time zone makes date arithmetic
-# deterministic (the reference fixes UTC too).
+# change results, only plans.
 RUNTIME = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

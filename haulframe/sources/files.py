@@ -2,7 +2,7 @@
 
 Gates run over a manifest table (one row per file: name, size, type and a
 batch key), which Spark can build from storage with the ``binaryFile``
-source (``manifest_from_storage``) without reading file contents.
+source without reading file contents.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haulframe.operators.nullsafe import join_on
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
 # Route files accepted by the report form, and the size limit (20 MB).
@@ -33,29 +35,22 @@ CORRUPT = "_corrupt_record"
 def read_routes(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """SRC2: typed CSV read; rows that do not fit the schema are kept apart.
 
-    Returns (good rows, bad rows with the raw line).  The schema is given,
-    so no inference pass reads the files twice.
+    Returns (good rows, bad rows with the raw line).  Each line is read as
+    text (the reader drops the header line of every file) and parsed into
+    one struct with all typed columns, so whether a row is good does not
+    depend on the columns the caller goes on to use.
     """
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    df = (spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    # The CSV reader only parses referenced columns, so a row is only found
-    # malformed when every typed column is read: the bad rows keep them all
-    # (malformed fields null) beside the raw line.
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("raw_line"),
-                                                      *[f.name for f in schema.fields])
+    lines = (spark.read.schema("line string").option("header", True).option("sep", "\u0001").option("quote", "")
+             .csv(path))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = lines.select("line", F.from_csv("line", full.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    good = rows.where(F.col(f"r.{CORRUPT}").isNull()).select(*[F.col(f"r.{f.name}") for f in schema.fields])
+    bad = rows.where(F.col(f"r.{CORRUPT}").isNotNull()).select(
+        F.col("line").alias("raw_line"), *[F.col(f"r.{f.name}") for f in schema.fields])
     return good, bad
 
 
-def manifest_from_storage(spark: SparkSession, path: str, batch: Column | None = None) -> DataFrame:
-    """Manifest of stored files (name, size) without reading their bytes."""
-    df = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    return df.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"),
-                     F.lit(None).cast("string").alias("content_type"),
-                     (batch if batch is not None else F.lit("default")).alias("batch"))
-
-
 def gate_files(manifest: DataFrame, types: list[str] = ROUTE_FILE_TYPES,
                max_bytes: int = ROUTE_FILE_MAX_BYTES) -> DataFrame:
     """SRC3: accept a file when its type is allowed and its size within the limit.
@@ -80,7 +75,7 @@ def gate_batch(manifest: DataFrame, max_files: int | None, pattern: str | None,
     as a partial aggregate per batch.
     """
     counts = manifest.groupBy("batch").agg(F.count(F.lit(1)).alias("_batch_files"))
-    m = manifest.join(counts, "batch")
+    m = join_on(manifest, counts, ["batch"])
     have = existing if existing is not None else F.lit(0)
     err = F.lit(None).cast("string")
     checks = []

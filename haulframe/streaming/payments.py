@@ -78,14 +78,30 @@ def route_events(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("route", route)
 
 
-def dedupe_events(parsed: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """STM2: drop re-deliveries of the same event id; the watermark bounds the state kept.
+def run_dedupe(stream: DataFrame, out_dir: str, checkpoint: str, id_col: str = "id") -> None:
+    """STM2: store each event once, however often, late or in which micro-batch it is delivered again.
 
-    Watermarks need a zoned timestamp; the session zone is UTC, so the cast
-    keeps the wall-clock value.
+    A batch drops its own repeats and every id that an earlier batch has
+    stored (an anti join that reads one column of the stored table).
+    Nothing depends on event times, so no late row is lost; a batch that is
+    run again leaves its own folder out of the comparison and overwrites it.
     """
-    d = parsed.withColumn("event_time", F.col("created").cast("timestamp"))
-    return d.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"]).drop("event_time")
+    spark = stream.sparkSession
+    columns = [f for f in stream.schema.fields]
+    # an empty first folder gives the stored table a schema; kept on a restart
+    spark.createDataFrame([], T.StructType(columns)).write.mode("ignore").parquet(f"{out_dir}/batch_id=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored = spark.read.parquet(out_dir).where(F.col("batch_id") < batch_id).select(id_col)
+        fresh = batch.dropDuplicates([id_col]).join(stored, id_col, "left_anti")
+        fresh.select(*[f.name for f in columns]).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    drive(stream.writeStream.foreachBatch(write), checkpoint)
+
+
+def drive(writer, checkpoint: str) -> None:
+    """Run a stream over all files present now and wait for its end."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def payment_facts(routed: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -113,43 +129,31 @@ def _batch_sink(out_dir: str, partition_by: list[str] | None = None):
 def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, partition_by: list[str] | None = None,
                    output_mode: str = "append") -> None:
     """Drive a stream to completion over the files present now (``availableNow``)."""
-    q = (stream.writeStream.outputMode(output_mode).foreachBatch(_batch_sink(out_dir, partition_by))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def running_counts(parsed: DataFrame) -> DataFrame:
-    """STM4: running contact-request count per user (stateful aggregate)."""
-    return parsed.where(F.col("user_ref").isNotNull()).groupBy("user_ref").agg(F.count(F.lit(1)).alias("requests"))
+    drive(stream.writeStream.outputMode(output_mode).foreachBatch(_batch_sink(out_dir, partition_by)), checkpoint)
 
 
 def run_running_counts(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
-    """STM4 sink: the current counter table, one version per micro-batch.
+    """STM4: running contact-request counter per user, as the requests each micro-batch adds.
 
-    In update mode each batch carries the new totals of the users it
-    touched; version n + 1 is version n with those rows replaced, so a batch
-    costs one pass over the counter table (one row per user), not over the
-    history, and re-running batch n rewrites the same version.
+    A batch writes one row per user it touched (its partial counts), in a
+    folder of its own that a repeated batch overwrites; ``latest_counts``
+    adds them up, and ``compact_counts`` folds old batches into one.
     """
-    spark = stream.sparkSession
-    spark.createDataFrame([], "user_ref string, requests long").write.mode("overwrite").parquet(
-        f"{out_dir}/version=0")
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        prev = spark.read.parquet(f"{out_dir}/version={batch_id}")
-        upd = batch.select("user_ref", F.col("requests").alias("_new"))
-        cur = prev.join(upd, "user_ref", "full_outer").select(
-            "user_ref", F.coalesce("_new", "requests").alias("requests"))
-        cur.write.mode("overwrite").parquet(f"{out_dir}/version={batch_id + 1}")
+        added = batch.where(F.col("user_ref").isNotNull()).groupBy("user_ref").agg(F.count(F.lit(1)).alias("requests"))
+        added.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    q = (running_counts(stream).writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    drive(stream.writeStream.foreachBatch(write), checkpoint)
 
 
 def latest_counts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The newest version of the counter table."""
-    return latest_state(spark, out_dir)
+    """The counter table: one row per user."""
+    return spark.read.parquet(out_dir).groupBy("user_ref").agg(F.sum("requests").alias("requests"))
+
+
+def compact_counts(spark: SparkSession, out_dir: str, to_dir: str) -> None:
+    """The counter table as a single batch in a new folder, to go on from."""
+    latest_counts(spark, out_dir).write.mode("overwrite").parquet(f"{to_dir}/batch_id=-1")
 
 
 STATE_BUCKETS = 64
@@ -172,8 +176,9 @@ def stream_subscriptions(spark: SparkSession, stream: DataFrame, state_dir: str,
     stored rows), so a micro-batch re-run after a failure has no double
     effect.
     """
-    # one task per bucket on write: one file per partition folder, not one per task and bucket
-    initial.withColumn("bucket", _state_bucket("email", buckets)).repartition("bucket").write.mode("overwrite") \
+    # one task per bucket on write: one file per partition folder, not one per task and bucket;
+    # a state that is there already (a restart) is gone on from
+    initial.withColumn("bucket", _state_bucket("email", buckets)).repartition("bucket").write.mode("ignore") \
         .partitionBy("bucket").parquet(state_dir)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -190,16 +195,9 @@ def stream_subscriptions(spark: SparkSession, stream: DataFrame, state_dir: str,
         staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("bucket").parquet(state_dir)
 
-    q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    drive(stream.writeStream.foreachBatch(apply), checkpoint)
 
 
 def read_subscriptions(spark: SparkSession, state_dir: str) -> DataFrame:
     return spark.read.parquet(state_dir).drop("bucket")
 
-
-def latest_state(spark: SparkSession, state_dir: str) -> DataFrame:
-    d = spark.read.parquet(state_dir)
-    last = d.select(F.max("version")).scalar()
-    return d.where(F.col("version") == last).drop("version")

@@ -120,7 +120,7 @@ def test_update_by_id_merge_latest_wins(spark):
     up = spark.createDataFrame([(1, 10, None, 5.0), (1, 11, "z", None), (9, 1, "q", 0.0)],
                                "id long, arrival long, s string, v double")
     r = {x.id: (x.s, x.v, x.action) for x in upserts_update(df, up)}
-    assert r == {1: ("z", 1.0, "updated"), 2: ("b", 2.0, "unchanged")}
+    assert r == {1: ("z", 5.0, "updated"), 2: ("b", 2.0, "unchanged")}
 
 
 def upserts_update(df, up):
@@ -149,14 +149,12 @@ def test_pandas_group_aggregate_matches_columns(spark):
     assert got == want
 
 
-def test_group_size_guard(spark):
-    import pytest
-
+def test_group_transform_keeps_null_groups(spark):
     from haulframe.functions import hooks
 
-    df = spark.createDataFrame([(1, 1.0)] * 50, "k int, v double")
-    with pytest.raises(ValueError):
-        hooks.group_transform(df, ["k"], lambda g: g, "k int, v double", max_group_rows=10)
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (None, 3.0), (None, 4.0)], "k int, v double")
+    out = hooks.group_transform(df, ["k"], lambda g: g.assign(v=g["v"].sum()), "k int, v double").collect()
+    assert sorted((str(r.k), r.v) for r in out) == [("1", 3.0), ("1", 3.0), ("None", 7.0), ("None", 7.0)]
 
 
 def test_tree_levels_paths_and_cycles(spark):
@@ -166,9 +164,17 @@ def test_tree_levels_paths_and_cycles(spark):
                                   "id string, pid string")
     r = {x.id: (x.level, x.path, x.child_count, x.sibling_no) for x in joins.tree(spark, edges).collect()}
     assert r == {"a": (1, "a", 2, 1), "b": (2, "a/b", 1, 1), "c": (3, "a/b/c", 0, 1), "d": (2, "a/d", 0, 2)}
-    # a cycle reachable from a chosen root stops at the depth guard
-    r2 = joins.tree(spark, edges, root="x", max_depth=4).collect()
-    assert sorted(x.level for x in r2) == [1, 2, 3, 4]
+    assert sorted(x.id for x in joins.tree_cycles(edges).collect()) == ["x", "y"]
+    # a chosen root in a cycle: its own parent is not followed
+    assert sorted((x.id, x.level) for x in joins.tree(spark, edges, root="x").collect()) == [("x", 1), ("y", 2)]
+
+
+def test_tree_of_any_depth(spark):
+    from haulframe.operators import joins
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(260)] + [("orphan", "nobody")], "id string, pid string")
+    r = {x.id: x.level for x in joins.tree(spark, edges).collect()}
+    assert r == {f"n{i}": i + 1 for i in range(260)}
 
 
 def test_subscription_batch_is_idempotent(spark):

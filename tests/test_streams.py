@@ -35,7 +35,7 @@ def test_redelivery_after_restart_adds_nothing(spark):
     def run():
         s = spark.readStream.format("text").load(src)
         parsed = pm.parse(s).where(F.col("id").isNotNull())
-        pm.run_to_parquet(pm.dedupe_events(parsed).select("id", "created"), out, ck)
+        pm.run_dedupe(parsed.select("id", "created"), out, ck)
 
     run()
     # the same events delivered again, plus one new event, then the query restarts from its checkpoint
@@ -65,3 +65,35 @@ def test_payment_amounts_are_decimal_cents(spark):
 def test_malformed_payload_is_set_apart(spark):
     r = pm.route_events(pm.parse(_lines(spark, ['{"id": "evt_9", "typ'])))
     assert [x.route for x in r.collect()] == ["malformed"]
+
+
+def test_late_and_distant_events_are_kept(spark):
+    src, out, ck = scratch_path(spark, "t-src"), scratch_path(spark, "t-out"), scratch_path(spark, "t-ck")
+
+    def payload(i, day):
+        return _payload(i, pm.EVENT_PAYMENT, 0).replace("2024-01-01", day)
+
+    def run():
+        pm.run_dedupe(pm.parse(spark.readStream.format("text").load(src)).select("id", "created"), out, ck)
+
+    # events over months, the last one older than all before it, one delivered twice much later
+    for day_rows in ([payload(1, "2024-03-01"), payload(2, "2024-06-30")], [payload(3, "2024-01-02"), payload(1, "2024-03-01")]):
+        _lines(spark, day_rows).coalesce(1).write.mode("append").text(src)
+        run()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["evt_1", "evt_2", "evt_3"]
+
+
+def test_subscription_state_survives_a_restart(spark):
+    src, state, ck = scratch_path(spark, "t-src"), scratch_path(spark, "t-state"), scratch_path(spark, "t-ck")
+    initial = spark.createDataFrame([("old@x", "acme", "lo", False)], "email string, company string, area string, removed boolean")
+
+    def run(arrival, mail):
+        _lines(spark, [f"{arrival},{mail}"]).coalesce(1).write.mode("append").text(src)
+        stream = spark.readStream.format("text").load(src).select(
+            F.split("value", ",")[0].cast("bigint").alias("arrival"), F.split("value", ",")[1].alias("em_nl"),
+            F.lit("c").alias("cp_name"), F.lit(1).alias("tp_area"))
+        pm.stream_subscriptions(spark, stream, state, initial, ck)
+
+    run(1, "new@x")
+    run(2, "later@x")
+    assert sorted(r.email for r in pm.read_subscriptions(spark, state).collect()) == ["later@x", "new@x", "old@x"]
