@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from haulframe.llm import mixing
 
-PATHS = {"domain": F.col("domain"), "lang": F.col("lang"), "source": F.col("source")}
+
+def mix(df, **options):
+    return mixing.mix(df, {c: F.col(c) for c in ("domain", "lang", "source")}, **options)
+
+
 SCHEMA = "doc_id bigint, text string, domain string, lang string, source string, n bigint"
 
 
@@ -39,7 +43,7 @@ def rows():
 def test_quotas_are_filled_by_prefixes(spark, monkeypatch, slice_rows, share):
     monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
     df = spark.createDataFrame(rows(), SCHEMA).repartition(4)
-    out = mixing.mix(df, PATHS, share=share).collect()
+    out = mix(df, share=share).collect()
     have, most = defaultdict(int), defaultdict(int)
     for r in rows():
         leaf = (r[2], r[3] or "", r[4])
@@ -64,13 +68,13 @@ def test_quotas_are_filled_by_prefixes(spark, monkeypatch, slice_rows, share):
 def test_same_seed_same_choice(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     def pick(d, seed):
-        return sorted((str(r.doc_id), r["__hf_epoch"]) for r in mixing.mix(d, PATHS, share=0.3, seed=seed).collect())
+        return sorted((str(r.doc_id), r["__hf_epoch"]) for r in mix(d, share=0.3, seed=seed).collect())
     assert pick(df, 1) == pick(df.repartition(9), 1)
     assert pick(df, 1) != pick(df, 2)
 
 
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
-    out = mixing.mix(df, PATHS)
+    out = mix(df)
     assert out.collect() == [] and out.columns[:6] == df.columns
-    assert mixing.mix(spark.createDataFrame([(1, None, "d", "en", "s", 0)], SCHEMA), PATHS).collect() == []
+    assert mix(spark.createDataFrame([(1, None, "d", "en", "s", 0)], SCHEMA)).collect() == []
