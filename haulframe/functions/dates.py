@@ -7,6 +7,8 @@ anchor interpolation of the reference's date library (not Spark's
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def _ntz(c: Column) -> Column:
     return c.cast("timestamp_ntz")
 
 
+def instant(value: dt.datetime | dt.date | str) -> Column:
+    """A literal wall-clock instant; a plain literal would be read in the session's time zone."""
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def start_of(c: Column, unit: str) -> Column:
     """DAT1: start of the unit; 'week' starts on Sunday, 'isoweek' on Monday."""
     ts = _ntz(c)
@@ -67,7 +74,10 @@ def shift(c: Column, months: int = 0, days: int = 0, ms: int = 0) -> Column:
 
 
 def _ms(c: Column) -> Column:
-    return F.unix_millis(_ntz(c).cast("timestamp"))
+    """Milliseconds since 1970 of a wall-clock instant, whatever the session's time zone."""
+    t = _ntz(c)
+    seconds = (F.unix_date(t.cast("date")) * 24 + F.hour(t)) * 3600 + F.minute(t) * 60
+    return seconds.cast("bigint") * 1000 + F.floor(F.extract(F.lit("SECOND"), t) * 1000).cast("bigint")
 
 
 def _add_months(ts: Column, n: Column) -> Column:
@@ -111,7 +121,7 @@ def is_between(c: Column, lo, hi, unit: str | None = None, inclusivity: str = "(
     ``lo``; before ``hi`` means the end of its unit is earlier than ``hi``.
     """
     ts = _ntz(c)
-    lo_c, hi_c = F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")
+    lo_c, hi_c = instant(lo), instant(hi)
     s = start_of(ts, unit) if unit else ts
     e = end_of(ts, unit) if unit else ts
     after_lo = s > lo_c
@@ -144,10 +154,10 @@ def bucket_start(c: Column, name: Column) -> Column:
     """DAT5: start of the bucket ``name`` containing ``c``."""
     ts = _ntz(c)
     month = F.date_trunc("month", ts)
-    secs = F.unix_seconds(ts.cast("timestamp"))
+    secs = F.floor(_ms(ts) / 1000).cast("bigint")
 
     def every(n: int) -> Column:
-        return F.timestamp_seconds(F.floor(secs / n) * n).cast("timestamp_ntz")
+        return F.timestamp_add("SECOND", (F.floor(secs / n) * n).cast("bigint"), instant("1970-01-01 00:00:00"))
 
     half = F.make_timestamp_ntz(F.year(ts), F.when(F.month(ts) <= 6, 1).otherwise(7), F.lit(1),
                                 F.lit(0), F.lit(0), F.lit(0))

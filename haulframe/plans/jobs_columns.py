@@ -577,7 +577,7 @@ FROM b
 def dat7_age_label(t):
     """DAT7: relative age label of each event from 2024-01-15 12:00 ('3 days ago', 'in 2 hours')."""
     e = t.events.select("event_id", "ts")
-    as_of = F.lit(dt.datetime(2024, 1, 15, 12)).cast("timestamp_ntz")
+    as_of = dates.instant("2024-01-15 12:00:00")
     return e.select("event_id", "ts", dates.age_label(as_of, F.col("ts")).alias("age"))
 
 

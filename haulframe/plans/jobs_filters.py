@@ -101,6 +101,37 @@ def flt7_column_filters(t):
     }, delimiter="|")
 
 
+@job("flt7_strict_and_regex", """
+SELECT * FROM part
+WHERE lower(p_type) IN ('small', 'large') AND regexp_matches(lower(p_brand), '^brand#[1-3]')
+""")
+def flt7_strict_and_regex(t):
+    """FLT7: a column that must equal one of two values, another that must match a pattern."""
+    return flt.column_filters(t.part, {
+        "p_type": {"value": "SMALL|Large", "mode": "strict"},
+        "p_brand": {"value": "^brand#[1-3]", "mode": "regex"},
+    }, delimiter="|")
+
+
+@job("flt7_date", """
+SELECT event_id, ts, event_type FROM events WHERE strftime(ts, '%Y-%m-%d') = '2024-01-05'
+""")
+def flt7_date(t):
+    """FLT7: a date column compared as its day."""
+    e = t.events.select("event_id", "ts", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return flt.column_filters(e, {"day": {"value": "2024-01-05", "mode": "date"}}).drop("day")
+
+
+@job("flt7_array_and_map_cells", """
+SELECT doc_id, lang, source FROM documents WHERE contains(lower(source), '7') AND (lower(lang) = 'en' OR lower(source) = 'en')
+""")
+def flt7_array_and_map_cells(t):
+    """FLT7: any element of an array cell, any value of a map cell."""
+    d = t.documents.select("doc_id", "lang", "source", F.array("source").alias("tags"),
+                           F.create_map(F.lit("l"), F.col("lang"), F.lit("s"), F.col("source")).alias("facts"))
+    return flt.column_filters(d, {"tags": {"value": "7"}, "facts": {"value": "EN", "mode": "strict"}}).drop("tags", "facts")
+
+
 @job("flt8_advanced_search", """
 SELECT * FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_brand), '#1')
 """)
@@ -110,12 +141,11 @@ def flt8_advanced_search(t):
 
 
 @job("flt9_fold_accents", """
-SELECT doc_id, strip_accents(text) AS folded FROM documents WHERE lang = 'fr'
+SELECT doc_id, strip_accents(text) AS folded FROM documents
 """)
 def flt9_fold_accents(t):
-    """FLT9: accent folding over French documents (whole texts)."""
-    d = t.documents.where(F.col("lang") == "fr")
-    return d.select("doc_id", fold_accents(F.col("text")).alias("folded"))
+    """FLT9: accent folding over all documents (whole texts)."""
+    return t.documents.select("doc_id", fold_accents(F.col("text")).alias("folded"))
 
 
 @job("flt9_accent_neutral_search", """
@@ -174,6 +204,23 @@ def flt14_smart_search(t):
     return flt.smart_search(t.part, "small bolt", ["p_name", "p_type"])
 
 
+@job("flt14_boundary_search", """
+SELECT * FROM part WHERE regexp_matches(p_name || ' ' || p_type, '\\bbo', 'i') AND regexp_matches(p_name || ' ' || p_type, '\\bsm', 'i')
+""")
+def flt14_boundary_search(t):
+    """FLT14: every word must start at a word boundary."""
+    return flt.smart_search(t.part, "bo sm", ["p_name", "p_type"], boundary=True)
+
+
+@job("flt14_exact_and_regex", """
+SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND regexp_matches(c_name, '[05]$')
+""")
+def flt14_exact_and_regex(t):
+    """FLT14: an exact search on one column, then a pattern on another."""
+    exact = flt.smart_search(t.customer, "building", ["c_mktsegment"], exact=True)
+    return flt.smart_search(exact, "[05]$", ["c_name"], regex=True).select("c_custkey", "c_mktsegment")
+
+
 @job("flt15_all_words", """
 SELECT doc_id,
        (strlen(lower(text)) - strlen(replace(lower(text), 'the', ''))) / 3 >= 1

@@ -152,20 +152,43 @@ def snk3_export_tsv(t):
     return t.spark.read.text(path)
 
 
-@job("snk4_export_json", "SELECT r_regionkey, r_name FROM region")
+@job("snk4_export_json", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def snk4_export_json(t):
-    """SNK4: region exported as JSON lines (all columns), read back."""
+    """SNK4: suppliers exported as JSON lines, read back."""
     path = scratch_path(t.spark, "export-json")
-    sinks.export(t.region, "json", path)
-    return t.spark.read.schema("r_regionkey INT, r_name STRING").json(path)
+    s = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    sinks.export(s, "json", path)
+    return t.spark.read.schema(s.schema).json(path)
 
 
-@job("snk4_export_xml", "SELECT r_name FROM region")
+@job("snk4_export_xml", "SELECT p_name, p_brand FROM part")
 def snk4_export_xml(t):
-    """SNK4: region exported as XML with the key column excluded, read back."""
+    """SNK4: parts exported as XML with the key column excluded, read back."""
     path = scratch_path(t.spark, "export-xml")
-    sinks.export(t.region, "xml", path, exclude=["r_regionkey"])
-    return t.spark.read.option("rowTag", "row").schema("r_name STRING").xml(path)
+    sinks.export(t.part.select("p_partkey", "p_name", "p_brand"), "xml", path, exclude=["p_partkey"])
+    return t.spark.read.option("rowTag", "row").schema("p_name STRING, p_brand STRING").xml(path)
+
+
+@job("snk4_export_basic_csv", """
+SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 40 OFFSET 80
+""")
+def snk4_export_basic_csv(t):
+    """SNK4: the third page of 40 orders exported as CSV (two columns), read back."""
+    path = scratch_path(t.spark, "export-basic")
+    sinks.export(t.orders, "csv", path, visible=["o_orderkey"], include=["o_orderstatus"], scope="basic",
+                 page=([F.col("o_orderdate"), F.col("o_orderkey")], 3, 40))
+    return t.spark.read.option("header", True).schema("o_orderkey BIGINT, o_orderstatus STRING").csv(path)
+
+
+@job("snk4_export_selected_txt", """
+SELECT c_custkey || chr(9) || c_name AS value FROM customer WHERE c_acctbal > 5000
+""")
+def snk4_export_selected_txt(t):
+    """SNK4: selected customers exported as text lines, read back."""
+    path = scratch_path(t.spark, "export-selected")
+    c = t.customer.select("c_custkey", "c_name", (F.col("c_acctbal") > 5000).alias("picked"))
+    sinks.export(c, "txt", path, exclude=["picked"], scope="selected", selected="picked")
+    return t.spark.read.text(path)
 
 
 def _snk5_sql() -> str:
