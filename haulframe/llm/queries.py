@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haulframe.llm import dedup, langid, merkle, mixing, ngram_join, packing, pii, quality, topk, urls
 from haulframe.llm.tables import table, written
+from haulframe.llm.urls_sql import verdict_sql
 
 
 def op1_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +132,5 @@ o AS (
 SELECT file, "offset", length, other_length, CASE WHEN copied IS NULL THEN 'missing' ELSE 'changed' END AS kind
 FROM o WHERE copied IS DISTINCT FROM html
 """,
+    "op8_url_template_tree": verdict_sql(URL_RULES),
 }
