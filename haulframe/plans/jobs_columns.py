@@ -480,49 +480,24 @@ def dat5_auto_bucket_orders(t):
 
 
 def _breakdown_sql(units: str) -> str:
-    y, o = "Y" in units, "O" in units
-    yrs = "floor(months / 12)" if y else "0"
-    mos = f"(months - {yrs} * 12)" if o else "0"
-    parts = []
-    for u, size in (("W", 604800), ("D", 86400), ("H", 3600), ("M", 60), ("S", 1)):
-        parts.append((u, size, u in units or u == "S"))
-    sel = []
-    rest = "r0"
-    ctes = []
-    prev = "t3"
-    for i, (u, size, shown) in enumerate(parts):
-        name = f"p{i}"
-        if shown:
-            ctes.append(f"{name} AS (SELECT *, floor({rest} / {size}) AS q{i}, {rest} - floor({rest} / {size}) * {size} AS r{i + 1} FROM {prev})")
-        else:
-            ctes.append(f"{name} AS (SELECT *, 0 AS q{i}, {rest} AS r{i + 1} FROM {prev})")
-        rest = f"r{i + 1}"
-        prev = name
-        sel.append(f"q{i}")
-    names = ["weeks", "days", "hours", "minutes", "seconds"]
-    out = ", ".join(f"CAST(CASE WHEN passed THEN 0 ELSE {q} END AS BIGINT) AS {n}" for q, n in zip(sel, names))
+    """Whole months by comparing (day, time) within the shorter month, the rest as seconds (all units from W shown)."""
+    years = "m // 12" if "Y" in units else "0"
+    rest, parts = "rest", []
+    for name, size in (("weeks", 604800), ("days", 86400), ("hours", 3600), ("minutes", 60), ("seconds", 1)):
+        parts.append(f"CASE WHEN until < nw THEN 0 ELSE CAST(floor({rest} / {size}) AS BIGINT) END AS {name}")
+        rest = f"(({rest}) - floor(({rest}) / {size}) * {size})"
     return f"""
 WITH j AS (SELECT l.l_orderkey, l.l_linenumber, date_trunc('second', o.o_orderdate) AS nw, l.l_shipdate AS until
            FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
-t1 AS (SELECT *, epoch_ms(until) < epoch_ms(nw) AS passed, day(last_day(nw)) AS last_now, day(last_day(until)) AS last_until
-       FROM j),
-t2 AS (SELECT *, (day(until) = day(nw) OR (day(until) >= least(last_now, last_until) AND day(nw) >= least(last_now, last_until))) AS same_day
-       FROM t1),
-t2b AS (SELECT *, greatest(0, (year(until) - year(nw)) * 12 + month(until) - month(nw)
-                  + CASE WHEN (day(until) < day(nw) AND NOT same_day)
-                          OR (same_day AND (hour(until) * 3600 + minute(until) * 60 + second(until))
-                                         < (hour(nw) * 3600 + minute(nw) * 60 + second(nw))) THEN -1 ELSE 0 END) AS months
-        FROM t2),
-t2c AS (SELECT *, {yrs} AS yrs, {mos} AS mos, month(nw) - 1 + {mos} + {yrs} * 12 AS m0 FROM t2b),
-t2d AS (SELECT *, year(nw) + floor(m0 / 12) AS ty, m0 % 12 + 1 AS tm FROM t2c),
-t2e AS (SELECT *, day(last_day(make_date(CAST(ty AS INTEGER), CAST(tm AS INTEGER), 1))) AS tgt_last FROM t2d),
-t3 AS (SELECT *, floor((epoch_ms(until) - epoch_ms(
-           {"make_timestamp(CAST(ty AS BIGINT), CAST(tm AS BIGINT), CAST(CASE WHEN day(nw) = last_now THEN tgt_last ELSE least(day(nw), tgt_last) END AS BIGINT), hour(nw), minute(nw), second(nw))" if (y or o) else "nw"}
-         )) / 1000) AS r0 FROM t2e),
-{", ".join(ctes)}
-SELECT l_orderkey, l_linenumber, CAST(CASE WHEN passed THEN 0 ELSE yrs END AS BIGINT) AS years,
-       CAST(CASE WHEN passed THEN 0 ELSE mos END AS BIGINT) AS months, {out}
-FROM {prev}
+c AS (SELECT *, least(day(last_day(nw)), day(last_day(until))) AS cap FROM j),
+w AS (SELECT *, greatest(0, datediff('month', nw, until) - CASE
+        WHEN row(least(day(until), cap), date_trunc('second', until)::TIME) < row(least(day(nw), cap), nw::TIME) THEN 1 ELSE 0 END) AS m FROM c),
+s AS (SELECT *, CASE WHEN nw::DATE = last_day(nw) THEN last_day(nw + to_months(CAST(m AS INTEGER))) + nw::TIME
+                     ELSE nw + to_months(CAST(m AS INTEGER)) END AS moved FROM w),
+r AS (SELECT *, floor((epoch_ms(until) - epoch_ms(moved)) / 1000) AS rest FROM s)
+SELECT l_orderkey, l_linenumber, CASE WHEN until < nw THEN 0 ELSE CAST({years} AS BIGINT) END AS years,
+       CASE WHEN until < nw THEN 0 ELSE CAST(m - ({years}) * 12 AS BIGINT) END AS months, {", ".join(parts)}
+FROM r
 """
 
 
@@ -545,6 +520,18 @@ def dat6_breakdown_no_years(t):
     return _breakdown_job(t, "OWDHMS")
 
 
+@job("dat6_breakdown_no_seconds", """
+WITH j AS (SELECT l.l_orderkey, l.l_linenumber, epoch_ms(l.l_shipdate) - epoch_ms(date_trunc('second', o.o_orderdate)) AS ms
+           FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
+m AS (SELECT *, CASE WHEN ms < 0 THEN 0 ELSE CAST(ceil(floor(ms / 1000) / 60) AS BIGINT) END AS minutes_all FROM j)
+SELECT l_orderkey, l_linenumber, 0 AS years, 0 AS months, 0 AS weeks, minutes_all // 1440 AS days,
+       minutes_all % 1440 // 60 AS hours, minutes_all % 60 AS minutes, 0 AS seconds FROM m
+""")
+def dat6_breakdown_no_seconds(t):
+    """DAT6: days, hours and minutes only, a started minute counting as one."""
+    return _breakdown_job(t, "DHM")
+
+
 def _age_sql(as_of: str) -> str:
     d = f"abs(epoch_ms(ts) - epoch_ms(TIMESTAMP '{as_of}'))"
     r = dates.REL_THRESHOLDS
