@@ -88,6 +88,26 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE_SQL = {
+    # all pairs of texts with a common gram: for small tables
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER (ORDER BY text) AS num, text, min(doc_id) AS first_id, count(*) AS copies,
+         regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text),
+g AS (
+  SELECT DISTINCT num, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM (SELECT num, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM t WHERE len(words) > 0)),
+n AS (SELECT num, count(*) AS n FROM g GROUP BY num),
+c AS (SELECT a.num AS x, b.num AS y, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.num < b.num GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.num = x JOIN n b ON b.num = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(num, other) AS (SELECT num, num FROM t UNION SELECT r.num, e.y FROM reach r JOIN e ON e.x = r.other),
+class AS (SELECT r.num, min(t.first_id) AS class_id FROM reach r JOIN t ON t.num = r.other GROUP BY r.num),
+k AS (SELECT e.x AS num, sum(t.copies) AS links, count(*) AS text_links FROM e JOIN t ON t.num = e.y GROUP BY e.x)
+SELECT d.doc_id, class.class_id, CAST(coalesce(k.links, 0) + t.copies - 1 AS BIGINT) AS n_links,
+       coalesce(k.text_links, 0) AS n_text_links, t.first_id AS text_id
+FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN class USING (num) LEFT JOIN k USING (num)
+""",
     "op7_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,
