@@ -216,13 +216,13 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     index = build_index(vectors, id_col, vector_col, is_query, k=k, block_rows=block_rows, shard_blocks=shard_blocks, scale=scale)
     blocks = index.where("block IS NOT NULL").select("shard", "block", "ids", "width", "forward", "most", "least")
     asks = index.where("uid IS NOT NULL").select("uid", "query_id", "vector", "floor")
-    asks = asks.withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(max(1, math.ceil(asks.count() / group_queries)))))
+    groups = max(1, math.ceil(asks.count() / group_queries))
+    asks = asks.withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(groups)).cast("int"))
 
     # a shard's summed maxima for a query, from the maxima of its blocks
     parts = blocks.select("shard", F.posexplode(F.arrays_zip("most", "least")).alias("dim", "v"))
     shards = (parts.groupBy("shard", "dim").agg(F.max("v.most").alias("most"), F.min("v.least").alias("least"))
               .groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("dim", "most", "least"))).alias("terms")))
-    groups = asks.select("grp").distinct()
     plan = written(_routes(asks, shards, groups), "topk-routes")
     work = plan.select("shard", "grp").distinct()
     routed = plan.join(asks, ["uid", "grp"])
@@ -239,10 +239,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
-def _routes(asks: DataFrame, shards: DataFrame, groups: DataFrame) -> DataFrame:
+def _routes(asks: DataFrame, shards: DataFrame, groups: int) -> DataFrame:
     """uid, grp, shard: each query with the shards whose bound reaches its first threshold."""
-    # every (group, shard): a group meets each shard once, through a list of the groups
-    lists = shards.withColumn("grp", F.explode(groups.agg(F.collect_list("grp")).scalar()))
+    lists = shards.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     both = asks.join(lists, "grp")
     # padded with null where the lengths differ: such a term adds nothing
     terms = F.arrays_zip(F.col("vector").alias("q"), F.col("terms").alias("t"))
