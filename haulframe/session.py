@@ -75,10 +75,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{base}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders made so far by this process; the number of folders.
+
+    For callers that have stored their results: frames that still read a
+    scratch table cannot be used afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    made, _SCRATCH[:] = list(_SCRATCH), []
+    for p in made:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(made)
 
 
 def materialize(df, name: str):

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from haulframe.functions import dates, numbers, strings
 from haulframe.operators import aggs, filters, joins, kpi, ordering, segmented, setops, upserts
-from haulframe.session import scratch_path
+from haulframe.session import clean_scratch, materialize, scratch_path
 from haulframe.sources import files
 
 
@@ -185,3 +185,25 @@ def test_marks_stay_out_of_tags(spark):
 def test_export_cleaning_of_scripts(spark):
     df = spark.createDataFrame([("a<SCRIPT x=1>if (1<2) {}\n</script>b<!-- c -->",)], "s string")
     assert df.select(strings.clean_cell(F.col("s")).alias("c")).first().c == "ab"
+
+
+def test_scratch_folders_can_be_cleaned(spark, tmp_path, monkeypatch):
+    from haulframe import session
+
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    materialize(spark.range(3), "t-clean")
+    folder = session._SCRATCH[0].removeprefix("file:")
+    import os
+    assert os.path.isdir(folder)
+    assert clean_scratch(spark) == 1 and not os.path.exists(folder)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from haulframe.session import ensure_checkpoint_dir
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: unset, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=unset))
