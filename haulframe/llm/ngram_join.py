@@ -250,22 +250,16 @@ def compare(table: pa.Table, threshold: float) -> dict[str, list]:
     i, j = np.nonzero(linked)
     text_links = np.bincount(i, minlength=len(num)) + np.bincount(j, minlength=len(num))
     links = (np.bincount(i, copies[j], len(num)) + np.bincount(j, copies[i], len(num))).astype(np.int64)
-    root = list(range(len(num)))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x in np.unique(i):
-        for y in j[i == x] if len(i) < 4096 else j[np.searchsorted(i, x):np.searchsorted(i, x, "right")]:
-            a, b = top(int(x)), top(int(y))
-            if a != b:
-                root[max(a, b)] = min(a, b)
+    # least position of each connected part: neighbours' minima, then one jump along them
+    root, last = np.arange(len(num)), None
+    while last is None or (root != last).any():
+        last = root.copy()
+        np.minimum.at(root, i, last[j])
+        np.minimum.at(root, j, last[i])
+        root = root[root]
     has = np.flatnonzero(text_links)
     return {"num": num[has].tolist(), "links": links[has].tolist(), "text_links": text_links[has].tolist(),
-            "root": [int(num[top(int(x))]) for x in has]}
+            "root": num[root[has]].tolist()}
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
