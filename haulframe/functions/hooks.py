@@ -45,13 +45,46 @@ def aggregate_hook(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> Dat
     return df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()])
 
 
-def group_transform(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def group_transform(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+                    vectorized: bool = False) -> DataFrame:
     """UDF5: whole-group transform in pandas; null keys form a group of their own.
 
-    The hook asks for a whole group at once, so a group must fit one task;
-    a hook that can be written with Columns (shares, ranks) should be.
+    Same result as ``groupBy().applyInPandas(fn)`` without an Arrow round
+    trip per group: rows are hash-partitioned by the keys, sorted, and
+    streamed in batches; the groups that end in a batch go to the hook
+    together with the parts of the first one that earlier batches held.
+    With ``vectorized`` the hook gets a frame of several whole groups and
+    groups it itself (``dropna=False`` for null keys).  The hook asks for
+    whole groups, so a group must fit one task; a hook that can be written
+    with Columns (shares, ranks) should be.
     """
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    # the keys as one text: exact for nulls and large integers, which pandas turns into floats
+    marked = df.withColumn("_group", F.to_json(F.struct(*keys))).repartition("_group").sortWithinPartitions("_group")
+
+    def apply(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        if vectorized:
+            return fn(whole.drop(columns="_group"))
+        return pd.concat([fn(g.drop(columns="_group")) for _, g in whole.groupby("_group", sort=False)], ignore_index=True)
+
+    def run(batches):
+        open_: list[pd.DataFrame] = []  # parts of the group that the last batch ended in
+        for batch in batches:
+            if batch.empty:
+                continue
+            group = batch["_group"].to_numpy()
+            last = len(group) - int((group[::-1] != group[-1]).argmax()) if (group != group[-1]).any() else 0
+            same = bool(open_) and open_[-1]["_group"].iloc[-1] == group[0]
+            if last == 0 and (same or not open_):
+                open_.append(batch)
+                continue
+            done = [*open_, batch.iloc[:last]] if last else open_
+            yield apply(done)
+            open_ = [batch.iloc[last:]]
+        if open_:
+            yield apply(open_)
+
+    return marked.mapInPandas(run, schema)
 
 
 def pandas_group_aggregate(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:

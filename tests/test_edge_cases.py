@@ -157,6 +157,26 @@ def test_group_transform_keeps_null_groups(spark):
     assert sorted((str(r.k), r.v) for r in out) == [("1", 3.0), ("1", 3.0), ("None", 7.0), ("None", 7.0)]
 
 
+def test_group_transform_of_groups_cut_by_batches(spark):
+    from haulframe.functions import hooks
+
+    rows = [(2 ** 53 + k, float(i)) for k in range(6) for i in range(7 * k + 1)] + [(None, 1.0)] * 40
+    df = spark.createDataFrame(rows, "k bigint, v double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        for vectorized in (False, True):
+            def sizes(g, vectorized=vectorized):
+                n = g.groupby("v", dropna=False)["v"].transform("size") if vectorized else len(g)
+                return g[["v"]].assign(n=n)
+
+            out = hooks.group_transform(df, ["k"], sizes, "v double, n long", vectorized=vectorized).collect()
+            assert len(out) == len(rows)
+            if not vectorized:
+                assert sorted({r.n for r in out}) == [1, 8, 15, 22, 29, 36, 40]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_tree_levels_paths_and_cycles(spark):
     from haulframe.operators import joins
 
