@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from haulframe.llm.tables import written
 
 Path = tuple[str, ...]
-SLICE_ROWS = 4096
+SLICE_ROWS = 1024
 
 
 def word_tokens(text: Column) -> Column:
