@@ -106,22 +106,28 @@ def mix(docs: DataFrame, path_cols: dict[str, Column], *, total: float | None =
             .withColumn("__hf_tokens", tokens if tokens is not None else word_tokens(F.col("text"))))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = rows.withColumn("__hf_key", F.xxhash64(ident, text)).where("__hf_tokens > 0")
+    # what the budgets and prefixes need of each row, written once: the texts are read here and for the result
+    narrow = written(rows.select(*names, "__hf_tokens", "__hf_key"), "mixing-rows")
     # one row per leaf: the number of leaves is the number of (domain, language, source) combinations
-    leaves = rows.groupBy(*names).agg(F.sum("__hf_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    leaves = narrow.groupBy(*names).agg(F.sum("__hf_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     plan = _plan(leaves, names, total, share, weights or {}, max_epochs)
     if not plan:
         return rows.limit(0).withColumn("__hf_epoch", F.lit(0)).drop("__hf_key")
     spark = docs.sparkSession
     quota = spark.createDataFrame(plan, ", ".join(f"{n} string" for n in names)
                                   + ", __hf_epoch int, __hf_quota double, __hf_whole boolean, __hf_slices int")
-    dealt = rows.join(quota, names)  # one row per leaf and epoch on the right; Spark broadcasts it while it is small
-    order = F.xxhash64(F.col("__hf_key"), F.col("__hf_epoch") + F.lit(seed))
-    dealt = dealt.withColumn("__hf_order", order).withColumn(
-        "__hf_slice", F.when(F.col("__hf_whole"), F.lit(-1)).otherwise(F.pmod(F.shiftrightunsigned("__hf_order", 16), F.col("__hf_slices"))))
     leaf = [*names, "__hf_epoch"]
-    border = _borders(dealt.where(~F.col("__hf_whole")), leaf)
+
+    def dealt(some: DataFrame) -> DataFrame:
+        # one row per leaf and epoch on the right; Spark broadcasts it while it is small
+        order = F.xxhash64(F.col("__hf_key"), F.col("__hf_epoch") + F.lit(seed))
+        slice_ = F.pmod(F.shiftrightunsigned("__hf_order", 16), F.col("__hf_slices"))
+        return some.join(quota, names).withColumn("__hf_order", order).withColumn(
+            "__hf_slice", F.when(F.col("__hf_whole"), F.lit(-1)).otherwise(slice_))
+
+    border = _borders(dealt(narrow).where(~F.col("__hf_whole")), leaf)
     cut = border.select(*leaf, F.col("__hf_slice").alias("__hf_at"), F.col("threshold").alias("__hf_threshold"))
-    placed = dealt.join(cut, leaf, "left")
+    placed = dealt(rows).join(cut, leaf, "left")
     s, o = F.col("__hf_slice"), F.col("__hf_order")
     taken = (F.col("__hf_whole") | (s < F.col("__hf_at"))
              | ((s == F.col("__hf_at")) & (o <= F.col("__hf_threshold"))))
