@@ -47,6 +47,9 @@ def sort_smart(df: DataFrame, col: str, tiebreak: list[str], descending: bool =
     return global_row_number(df, order, out)
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def sort_multi(df: DataFrame, spec: list[tuple[str, str]], tiebreak: list[str], fold_case: bool = False,
                out: str = "position") -> DataFrame:
     """ORD2: multi-column sort, a direction per column, optional case folding of text.
@@ -61,7 +64,8 @@ def sort_multi(df: DataFrame, spec: list[tuple[str, str]], tiebreak: list[str],
         keys = [F.col(c)]
         if types[c] == "string":
             text = F.coalesce(F.col(c), F.lit(""))
-            number = F.trim(text).try_cast("double")
+            # only what looks like a number is cast: a failing cast costs an exception per row
+            number = F.when(F.trim(text).rlike(NUMBER), F.trim(text)).try_cast("double")
             keys = [number.isNull(), number, F.lower(text) if fold_case else text]
         order += [k.desc() if d == "desc" else k.asc() for k in keys]
     order += [F.col(c).asc() for c in tiebreak]
