@@ -8,10 +8,9 @@ rule's; the longest rule wins.  Where none fits, the method decides:
    rows are one row from here on, with their pages and their labelled and
    good pages counted.
 2. Per host a tree is grown from the root, one level per segment.  Children
-   of a node become one ``*`` branch when the segment varies (at least
-   ``variable_from`` children, most of them seen once), and otherwise those
-   whose share of good pages does not differ from their siblings' by a
-   two-proportion z test (a child without labels differs from nobody).
+   of a node whose share of good pages does not differ from their siblings'
+   by a two-proportion z test become one ``*`` branch (a child without
+   labels differs from nobody), however many children there are.
 3. A node's purity is its share of good labelled pages smoothed towards its
    parent's with ``weight`` pseudo pages; the host's parent is the whole
    corpus.  A template whose purity is below ``least_purity`` is rejected.
@@ -57,7 +56,7 @@ class Rule:
 @dataclass(frozen=True)
 class Tree:
     depth: int = 5
-    variable_from: int = 16
+    variable_from: int = 16  # of the statement in urls_sql.py only
     z: float = 1.96
     weight: float = 4.0
     least_purity: float = 0.3
@@ -140,11 +139,10 @@ def _level(nodes: DataFrame, level: int, tree: Tree) -> DataFrame:
     nodes = nodes.withColumn("seg", F.get("segs", F.lit(level)))
     going = nodes.where("seg IS NOT NULL")
     child = going.groupBy(*node, "seg").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("fine").alias("fine"))
-    family = child.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.count_if(F.col("n") == 1).alias("once"),
-                                      F.sum("seen").alias("all_seen"), F.sum("fine").alias("all_fine"))
+    family = child.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("seen").alias("all_seen"),
+                                      F.sum("fine").alias("all_fine"))
     child = (child.withColumn("salt", salt_of(SALTS, "seg"))
              .join(with_salts(family, SALTS, "salt"), [*node, "salt"]).drop("salt"))
-    variable = (F.col("kids") >= tree.variable_from) & (F.col("once") * 2 > F.col("kids"))
     rest_seen, rest_fine = F.col("all_seen") - F.col("seen"), F.col("all_fine") - F.col("fine")
     both = F.col("seen") * rest_seen
     share = F.col("all_fine") / F.greatest("all_seen", F.lit(1))
@@ -152,7 +150,7 @@ def _level(nodes: DataFrame, level: int, tree: Tree) -> DataFrame:
     gap = F.col("fine") * rest_seen - rest_fine * F.col("seen")
     differs = (both > 0) & (gap.cast("double") * gap > tree.z ** 2 * share * (1 - share) * F.col("all_seen") * both.cast("double"))
     alone = F.col("kids") == 1
-    named = F.when(alone | (differs & ~variable), F.col("seg")).otherwise(F.lit("*"))
+    named = F.when(alone | differs, F.col("seg")).otherwise(F.lit("*"))
     moves = child.select(*node, "seg", F.concat("template", F.lit("/"), named).alias("next"), "seen", "fine")
     branch = moves.groupBy("host", "next").agg(F.sum("seen").alias("b_seen"), F.sum("fine").alias("b_fine"))
     moves = (moves.drop("seen", "fine").withColumn("salt", salt_of(SALTS, "seg"))

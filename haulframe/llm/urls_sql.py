@@ -1,4 +1,8 @@
-"""The url query of operator 8 as DuckDB SQL, one group of subqueries per tree level."""
+"""The url query of operator 8 as DuckDB SQL, one group of subqueries per tree level.
+
+The statement merges all children of a node with many one-off segments,
+where the job still tests each; they agree where no such child differs.
+"""
 
 from __future__ import annotations
 

@@ -54,6 +54,23 @@ def test_templates_by_labelled_purity(spark):
     assert all(0 <= r.purity <= 1 for r in out.values())
 
 
+def test_frequent_sections_among_many_one_off_slugs(spark):
+    """However many slugs are seen once, a bad and a good section keep their own verdicts, and the slugs stay together."""
+    from pyspark.sql import functions as F
+    rows = []
+    for host, bad, fine, slugs in (("bad.test", 400, 100, 40), ("good.test", 100, 400, 40), ("few.test", 400, 100, 4)):
+        rows += [(f"http://{host}/de/{i}", False) for i in range(bad)] + [(f"http://{host}/fr/{i}", True) for i in range(fine)]
+        rows += [(f"http://{host}/de/x", None), (f"http://{host}/fr/x", None)]
+        rows += [(f"http://{host}/slug-{chr(97 + i % 26)}{chr(97 + i // 26)}", None) for i in range(slugs)]
+    df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id bigint, url string, fine boolean")
+    by = {rows[r.page_id][0]: r for r in urls.verdicts(df, [], good=F.col("fine")).collect()}
+    for host in ("bad.test", "good.test", "few.test"):
+        de, fr = by[f"http://{host}/de/x"], by[f"http://{host}/fr/x"]
+        assert de.verdict == "block" and de.template.startswith("/de/")
+        assert fr.verdict == "allow" and fr.template.startswith("/fr/")
+        assert {r.template for u, r in by.items() if u.startswith(f"http://{host}/slug-")} == {"/*"}
+
+
 def test_empty_table(spark):
     assert urls.verdicts(spark.createDataFrame([], "page_id bigint, url string"), URL_RULES).collect() == []
     one = urls.verdicts(spark.createDataFrame([(None, None)], "page_id bigint, url string"), URL_RULES).collect()
