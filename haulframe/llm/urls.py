@@ -18,10 +18,10 @@ rule's; the longest rule wins.  Where none fits, the method decides:
 Labels are, unless given, the verdicts of the rules on the pages they fit.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path and gets the method's verdict for that (empty) template; paths longer
-than ``depth`` segments share the branch ``**`` below the last level; a
-null id is a row like any other; repeated rows are judged alike; an empty
-table gives an empty result; other columns are not looked at.
+path and gets the method's verdict for that (empty) template; paths of any
+number of segments are followed to their end; a null id is a row like any
+other; repeated rows are judged alike; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class Tree:
-    depth: int = 5
-    variable_from: int = 16  # of the statement in urls_sql.py only
+    depth: int = 5  # this and the next: of the statement in urls_sql.py only
+    variable_from: int = 16
     z: float = 1.96
     weight: float = 4.0
     least_purity: float = 0.3
@@ -80,16 +80,14 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def segments(path: Column, depth: int) -> Column:
-    """Shaped segments: at most ``depth``, the last one ``**`` for all that follow."""
+def segments(path: Column) -> Column:
+    """Shaped segments, all of them."""
     def shaped(s: Column) -> Column:
         for pattern, name in SHAPES:
             s = F.regexp_replace(s, pattern, name)
         return s
 
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shaped)
-    return F.when(F.size(parts) < depth, parts).otherwise(
-        F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("**"))))
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shaped)
 
 
 def verdicts(pages: DataFrame, rules: list[Rule], tree: Tree = Tree(), id_col: str = "page_id",
@@ -108,7 +106,7 @@ def verdicts(pages: DataFrame, rules: list[Rule], tree: Tree = Tree(), id_col: s
     rows = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("known", known)
     if good is None:
         rows = rows.withColumn("good", F.col("known") == "allow")
-    rows = rows.withColumn("segs", segments(F.col("path"), tree.depth)).withColumn("salt", salt_of(SALTS, "id", "path"))
+    rows = rows.withColumn("segs", segments(F.col("path"))).withColumn("salt", salt_of(SALTS, "id", "path"))
     grown = with_salts(grow(rows, tree), SALTS, "salt")
     # a hot (host, path) is dealt out by its salt
     out = rows.join(grown, ["host", "segs", "salt"])
@@ -118,7 +116,7 @@ def verdicts(pages: DataFrame, rules: list[Rule], tree: Tree = Tree(), id_col: s
 
 def grow(rows: DataFrame, tree: Tree) -> DataFrame:
     """host, segs, template and smoothed purity of every distinct (host, shaped path)."""
-    counts = [F.count(F.lit(1)).alias("n"), F.count("good").alias("seen"), F.coalesce(F.count_if("good"), F.lit(0)).alias("fine")]
+    counts = [F.count("good").alias("seen"), F.coalesce(F.count_if("good"), F.lit(0)).alias("fine")]
     paths = written(rows.groupBy("host", "segs").agg(*counts), "url-paths")
     whole = paths.agg(F.sum("seen").alias("s"), F.sum("fine").alias("f")).select(
         (F.coalesce("f", F.lit(0)) + tree.weight * 0.5) / (F.coalesce("s", F.lit(0)) + tree.weight))
@@ -126,21 +124,22 @@ def grow(rows: DataFrame, tree: Tree) -> DataFrame:
     hosts = hosts.select("host", ((F.col("f") + tree.weight * whole.scalar()) / (F.col("s") + tree.weight)).alias("purity"))
     nodes = (paths.withColumn("salt", salt_of(SALTS, "segs"))
              .join(with_salts(hosts, SALTS, "salt"), ["host", "salt"]).drop("salt").withColumn("template", F.lit("")))
-    for level in range(tree.depth):
-        nodes = _level(nodes, level, tree)
-        if level + 1 < tree.depth:
-            nodes = written(nodes, "url-tree")
-    return nodes.select("host", "segs", "template", "purity")
+    nodes = written(nodes.withColumn("goes_on", F.size("segs") > 0), "url-tree")
+    out, level = nodes.where("NOT goes_on"), 0
+    # as many levels as the deepest segment that two paths of a host could share; only rows that go on are written again
+    while not nodes.where("goes_on").isEmpty():
+        nodes = written(_level(nodes.where("goes_on"), level, tree), "url-tree")
+        out, level = out.unionByName(nodes.where("NOT goes_on")), level + 1
+    return out.select("host", "segs", "template", "purity")
 
 
-def _level(nodes: DataFrame, level: int, tree: Tree) -> DataFrame:
-    """Put every row below one child of its node: its own segment, or ``*``."""
+def _level(going: DataFrame, level: int, tree: Tree) -> DataFrame:
+    """Put every row below one child of its node: its own segment, or ``*``; a row alone in its node goes to its end."""
     node = ["host", "template"]
-    nodes = nodes.withColumn("seg", F.get("segs", F.lit(level)))
-    going = nodes.where("seg IS NOT NULL")
-    child = going.groupBy(*node, "seg").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("fine").alias("fine"))
-    family = child.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("seen").alias("all_seen"),
-                                      F.sum("fine").alias("all_fine"))
+    going = going.drop("goes_on").withColumn("seg", F.get("segs", F.lit(level)))
+    child = going.groupBy(*node, "seg").agg(F.count(F.lit(1)).alias("paths"), F.sum("seen").alias("seen"), F.sum("fine").alias("fine"))
+    family = child.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("paths").alias("all_paths"),
+                                      F.sum("seen").alias("all_seen"), F.sum("fine").alias("all_fine"))
     child = (child.withColumn("salt", salt_of(SALTS, "seg"))
              .join(with_salts(family, SALTS, "salt"), [*node, "salt"]).drop("salt"))
     rest_seen, rest_fine = F.col("all_seen") - F.col("seen"), F.col("all_fine") - F.col("fine")
@@ -151,11 +150,17 @@ def _level(nodes: DataFrame, level: int, tree: Tree) -> DataFrame:
     differs = (both > 0) & (gap.cast("double") * gap > tree.z ** 2 * share * (1 - share) * F.col("all_seen") * both.cast("double"))
     alone = F.col("kids") == 1
     named = F.when(alone | differs, F.col("seg")).otherwise(F.lit("*"))
-    moves = child.select(*node, "seg", F.concat("template", F.lit("/"), named).alias("next"), "seen", "fine")
+    moves = child.select(*node, "seg", F.concat("template", F.lit("/"), named).alias("next"), "seen", "fine",
+                         (F.col("all_paths") == 1).alias("single"))
     branch = moves.groupBy("host", "next").agg(F.sum("seen").alias("b_seen"), F.sum("fine").alias("b_fine"))
     moves = (moves.drop("seen", "fine").withColumn("salt", salt_of(SALTS, "seg"))
              .join(with_salts(branch, SALTS, "salt"), ["host", "next", "salt"]).drop("salt"))
     below = going.join(moves, [*node, "seg"])
     purity = (F.col("b_fine") + tree.weight * F.col("purity")) / (F.col("b_seen") + tree.weight)
-    below = below.select("host", "segs", "n", "seen", "fine", purity.alias("purity"), F.col("next").alias("template"))
-    return below.unionByName(nodes.where("seg IS NULL").drop("seg"))
+    # each further node of a single row has the row's own labels
+    rest = F.slice("segs", level + 2, F.size("segs"))
+    to_end = F.aggregate(rest, purity, lambda p, _: (F.col("fine") + tree.weight * p) / (F.col("seen") + tree.weight))
+    path = F.concat_ws("/", F.array("next"), rest)
+    return below.select("host", "segs", "seen", "fine", F.when(F.col("single"), to_end).otherwise(purity).alias("purity"),
+                        F.when(F.col("single"), path).otherwise(F.col("next")).alias("template"),
+                        (~F.col("single") & (F.size("segs") > level + 1)).alias("goes_on"))

@@ -1,7 +1,9 @@
 """The url query of operator 8 as DuckDB SQL, one group of subqueries per tree level.
 
 The statement merges all children of a node with many one-off segments,
-where the job still tests each; they agree where no such child differs.
+where the job still tests each, and ends paths at ``depth`` segments, where
+the job follows them to their end; they agree where no such child differs
+and paths have fewer segments.
 """
 
 from __future__ import annotations

@@ -71,6 +71,26 @@ def test_frequent_sections_among_many_one_off_slugs(spark):
         assert {r.template for u, r in by.items() if u.startswith(f"http://{host}/slug-")} == {"/*"}
 
 
+def test_sections_that_differ_far_down(spark):
+    """Sections that part at the fifth segment or later have templates and verdicts of their own."""
+    from pyspark.sql import functions as F
+    rows = []
+    for i in range(60):
+        rows += [(f"http://h.test/content/site/en/us/spam/{i}.html", False), (f"http://h.test/content/site/en/us/news/{i}.html", True),
+                 (f"http://d.test/a/b/c/d/e/f/spam/{i}", False), (f"http://d.test/a/b/c/d/e/f/news/{i}", True)]
+    far = [("http://h.test/content/site/en/us/spam/x/y/1", "block", "/content/site/en/us/spam/*/y/{n}"),
+           ("http://h.test/content/site/en/us/news/999.html", "allow", "/content/site/en/us/news/{n}.html"),
+           ("http://d.test/a/b/c/d/e/f/spam/999", "block", "/a/b/c/d/e/f/spam/{n}"),
+           ("http://d.test/a/b/c/d/e/f/news/999", "allow", "/a/b/c/d/e/f/news/{n}"),
+           ("http://one.test/a/b/c/d/e/f/g", "allow", "/a/b/c/d/e/f/g")]
+    rows += [(u, None) for u, _, _ in far]
+    df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id bigint, url string, fine boolean")
+    by = {rows[r.page_id][0]: r for r in urls.verdicts(df, [], good=F.col("fine")).collect()}
+    assert len(by) == len(rows)
+    for u, verdict, template in far:
+        assert (by[u].verdict, by[u].template) == (verdict, template)
+
+
 def test_empty_table(spark):
     assert urls.verdicts(spark.createDataFrame([], "page_id bigint, url string"), URL_RULES).collect() == []
     one = urls.verdicts(spark.createDataFrame([(None, None)], "page_id bigint, url string"), URL_RULES).collect()
