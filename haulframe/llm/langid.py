@@ -3,8 +3,8 @@
 Three kinds of evidence are combined by Bayes' rule:
 
 * text: log likelihoods of the visible text under character-trigram models
-  of the languages of a labelled corpus (fitted on at most ``fit_rows`` of
-  its rows), scaled by ``text_weight`` because trigrams are not independent;
+  of all languages of a labelled corpus (each fitted on about ``fit_rows``
+  of its texts), scaled by ``text_weight`` because trigrams are not independent;
 * the declared markup language: P(declared | language), from counts of
   declared languages against the text's own verdicts over all pages;
 * the address: a prior per host, smoothed towards its domain's, that
@@ -42,6 +42,7 @@ TAG = re.compile(r"<[^<>]*>")
 DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 SALTS = 8
+HASHES = 2 ** 40
 
 
 def visible_text(html: str) -> str:
@@ -96,12 +97,20 @@ class Words:
 
 def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", fit_rows: int = 4000, grams: int = 20000,
         smoothing: float = 0.5) -> Model:
-    """Trigram models of the languages of at most ``fit_rows`` labelled rows (smallest text hashes)."""
+    """Trigram models of all languages of the labelled rows, each of about ``fit_rows`` of its texts (all, if it has fewer).
+
+    Which ones is decided by the text's hash.  ``grams`` are the most
+    frequent ones by their mean share of a language, so a language with few
+    texts has its own among them.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    # only hashes are sorted; the texts of the chosen ones come by a broadcast of fit_rows hashes at most
-    chosen = usable.select("h").distinct().orderBy("h").limit(fit_rows)
-    rows = usable.join(F.broadcast(chosen), "h").dropDuplicates(["h", "lang"]).select("lang", "text")
+    # over all labelled rows: one row per language
+    sizes = written(usable.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("texts")), "langid-sizes")
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    part = F.pmod("h", F.lit(HASHES)) * F.col("texts").cast("double") < fit_rows * float(HASHES)
+    rows = (usable.join(F.broadcast(sizes), "lang").where((F.col("texts") <= fit_rows) | part)
+            .dropDuplicates(["h", "lang"]).select("lang", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, str]] = Counter()
@@ -121,9 +130,12 @@ def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", fit_
 
     counts = written(rows.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")),
                      "langid-grams")
-    top = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(grams)
-    totals = dict(counts.groupBy("lang").agg(F.sum("n")).collect())
-    languages = sorted(totals)
+    whole = counts.groupBy("lang").agg(F.sum("n").alias("of"))
+    totals = dict.fromkeys(languages, 0) | dict(whole.collect())
+    # whole billionths: the sum does not depend on the order of the rows
+    share = F.floor(F.col("n") * 1e9 / F.col("of"))
+    top = (counts.join(F.broadcast(whole), "lang").groupBy("gram").agg(F.sum(share).alias("all"))
+           .orderBy(F.desc("all"), "gram").limit(grams))
     names = [r["gram"] for r in top.select("gram").collect()]
     place, lang_at = {g: i for i, g in enumerate(names)}, {x: i for i, x in enumerate(languages)}
     table = np.zeros((len(names) + 1, len(languages)))

@@ -37,6 +37,18 @@ def test_evidence_is_fused(spark, model):
     assert all(0 < r.confidence <= 1.0000001 for r in out)
 
 
+def test_rare_languages_have_models(spark):
+    """Each language is sampled by itself: a few texts among many of another language make a model."""
+    docs = [(i, "en", f"the weather of day {i} was fine and the people went home with thoughts of winter") for i in range(600)]
+    docs += [(1000 + i, "fi", f"kylmän talven {i} jälkeen järven jää sulaa hyvin hitaasti keväällä") for i in range(3)] + [(2000, "xx", "17")]
+    df = spark.createDataFrame(docs, "doc_id bigint, lang string, text string")
+    few = langid.fit(df, fit_rows=20, grams=60)
+    assert few.languages == langid.fit(df).languages == ["en", "fi", "xx"]
+    pages = [(1, "http://a.test/", "<html lang=fi><p>järven jää sulaa keväällä"), (2, "http://b.test/", "<html lang=en><p>the people went home")]
+    out = langid.languages_of_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string"), few).collect()
+    assert {r.page_id: (r.text_lang, r.lang, r.declared) for r in out} == {1: ("fi", "fi", "fi"), 2: ("en", "en", "en")}
+
+
 def test_visible_text():
     assert langid.visible_text("<p>a<script>x</script>b<!-- c --><style>d</style>&amp;<i>e</i>").split() == ["a", "b", "&", "e"]
     assert langid.visible_text("a <script> never closed").strip() == "a"
