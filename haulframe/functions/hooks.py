@@ -3,8 +3,9 @@
 A hook is preferably a Python callable that returns a Column: it stays in
 Catalyst (pushdown, codegen).  When a hook must run Python per value, it is
 an Arrow-batched ``pandas_udf`` (never a row-at-a-time ``udf``).  Hooks
-that need a whole group at once (UDF4 as pandas, UDF5) run through
-``applyInPandas``, which holds one group in one task.
+that need a whole group at once (UDF5, UDF4 without a merge) run through
+``group_transform``, which holds one group in one task; a pandas aggregate
+that can be merged from parts runs through ``pandas_partial_aggregate``.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from haulframe.operators.positions import global_row_number
 
@@ -90,8 +94,9 @@ def group_transform(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame],
 def pandas_group_aggregate(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
     """UDF4 in pandas: one output row per group from ``fn(group_frame) -> dict``.
 
-    For hooks that cannot be written as aggregate Columns; prefer
-    ``aggregate_hook``, which aggregates partially.
+    For hooks that need the whole group in one task; prefer
+    ``aggregate_hook`` and ``pandas_partial_aggregate``, which aggregate
+    partially.
     """
     def per_group(g: pd.DataFrame) -> pd.DataFrame:
         row = {k: g[k].iloc[0] for k in keys}
@@ -101,6 +106,37 @@ def pandas_group_aggregate(df: DataFrame, keys: list[str], fn: Callable[[pd.Data
     return group_transform(df, keys, per_group, schema)
 
 
+def pandas_partial_aggregate(df: DataFrame, keys: list[str], partial: Callable[[pd.DataFrame], dict], schema: str,
+                             merge: dict[str, Column]) -> DataFrame:
+    """UDF4 in pandas by parts: ``partial`` gives the columns of ``schema`` for the rows of a group in one batch.
+
+    ``merge`` are aggregate Columns over these parts, so no task holds a
+    group: a part is one row per key and Arrow batch, and Spark combines
+    parts before the shuffle.  Missing values of pandas become nulls; null
+    keys form a group of their own.
+    """
+    # the keys as one text: exact for nulls and large integers, which pandas turns into floats
+    marked = df.withColumn("_group", F.to_json(F.struct(*keys)))
+    fields = T.StructType.fromDDL(schema).fields
+    kinds = {f.name: to_arrow_type(f.dataType) for f in fields}
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, at = [], []
+            for _, g in batch.to_pandas().groupby("_group", sort=False):
+                at.append(int(g.index[0]))
+                rows.append(partial(g.drop(columns="_group")))
+            ends = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(k).take(ends) for k in keys]
+                + [pa.array([r[n] for r in rows], kind, from_pandas=True) for n, kind in kinds.items()], [*keys, *kinds])
+
+    parts = marked.mapInArrow(run, T.StructType([*[df.schema[k] for k in keys], *fields]))
+    return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])
+
+
 def normalize(df: DataFrame, col: str, fn: Callable[[Column], Column], out: str) -> DataFrame:
     """UDF6: a normalisation function applied before min-max scaling to [0, 1]."""
     from haulframe.operators.totals import with_totals

@@ -59,11 +59,12 @@ def udf4_aggregate_hook(t):
 SELECT o_orderpriority, round(max(o_totalprice) - min(o_totalprice), 2) AS spread, count(*) AS n FROM orders GROUP BY 1
 """)
 def udf4_pandas_aggregate(t):
-    """UDF4: a group aggregate hook in pandas (price spread per priority)."""
+    """UDF4: a group aggregate hook in pandas (price spread per priority), merged from the parts of each batch."""
     o = t.orders.select("o_orderpriority", "o_totalprice")
-    return hooks.pandas_group_aggregate(
-        o, ["o_orderpriority"], lambda g: {"spread": round(float(g.o_totalprice.max() - g.o_totalprice.min()), 2), "n": len(g)},
-        "o_orderpriority string, spread double, n long")
+    return hooks.pandas_partial_aggregate(
+        o, ["o_orderpriority"], lambda g: {"hi": g.o_totalprice.max(), "lo": g.o_totalprice.min(), "n": len(g)},
+        "hi double, lo double, n long",
+        {"spread": F.round(F.max("hi") - F.min("lo"), 2), "n": F.sum("n")})
 
 
 def _line_shares(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -149,6 +149,34 @@ def test_pandas_group_aggregate_matches_columns(spark):
     assert got == want
 
 
+def test_pandas_partial_aggregate_merges_parts(spark, tables):
+    """Parts of a batch are merged; no part of the hook's query holds a whole group."""
+    from haulframe.functions import hooks
+    from haulframe.plans import jobs_hooks
+
+    rows = [(2 ** 53 + k % 3, float(k)) for k in range(900)] + [(None, 5.0), (None, None), (7, None)]
+    df = spark.createDataFrame(rows, "k bigint, v double").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def part(g):
+        seen.add(1)
+        assert len(g) <= 50
+        return {"hi": g["v"].max(), "lo": g["v"].min(), "n": len(g)}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = hooks.pandas_partial_aggregate(df, ["k"], part, "hi double, lo double, n long", {
+            "spread": F.max("hi") - F.min("lo"), "n": F.sum("n")}).collect()
+        assert {r.k: (r.spread, r.n) for r in got} == {
+            r.k: (r.s, r.n) for r in df.groupBy("k").agg((F.max("v") - F.min("v")).alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+        assert seen.value >= 18
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = jobs_hooks.udf4_pandas_aggregate(tables)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan and plan.index("partial_max") < plan.index("MapInArrow")  # combined above the hook, no shuffle below
+    assert "Exchange" not in plan[plan.index("MapInArrow"):]
+
+
 def test_group_transform_keeps_null_groups(spark):
     from haulframe.functions import hooks
 
