@@ -30,13 +30,14 @@ def deliver(lines: DataFrame, run: Callable[[DataFrame], None]) -> None:
     """Replay ``lines`` (ts, value): after each delivery, ``run`` gets the text stream of all files so far.
 
     The lines are staged once, partitioned by delivery, and each delivery
-    is a distributed copy of its partition into the stream's folder.
+    is a distributed copy of its partition into the stream's folder.  Lines
+    without ts come with the first delivery.
     """
     spark = lines.sparkSession
     staged, source = scratch_path(spark, "deliveries"), scratch_path(spark, "stream-in")
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     d = with_totals(lines.withColumn("_t", t), {"_first": F.min("_t"), "_last": F.max("_t")})
-    nth = F.floor((F.col("_t") - F.col("_first")) * DELIVERIES / (F.col("_last") - F.col("_first") + 1))
+    nth = F.coalesce(F.floor((F.col("_t") - F.col("_first")) * DELIVERIES / (F.col("_last") - F.col("_first") + 1)), F.lit(0))
     d.select("value", (nth + F.coalesce("late", F.lit(0)) if "late" in lines.columns else nth).cast("int").alias("delivery")) \
         .write.partitionBy("delivery").parquet(staged)
     # one more when rows come late
@@ -137,8 +138,9 @@ def stm5_stream_subscriptions(t):
     """STM5: sign-up requests streamed in arrival order into the bucketed subscription state."""
     spark = t.spark
     state_dir, ck = scratch_path(spark, "subs-state"), scratch_path(spark, "subs-ck")
-    req = standins.subscription_requests(t).join(t.events.select(F.col("event_id").alias("arrival"), "ts"), "arrival")
-    lines = req.select(F.to_json(F.struct("arrival", "em_nl", "cp_name", "tp_area")).alias("value"), "ts")
+    # delivered by arrival: the first request of an e-mail decides, and a request without a time has its place too
+    lines = standins.subscription_requests(t).select(
+        F.to_json(F.struct("arrival", "em_nl", "cp_name", "tp_area")).alias("value"), F.timestamp_micros("arrival").alias("ts"))
     schema = "arrival BIGINT, em_nl STRING, cp_name STRING, tp_area INT"
 
     def run(stream: DataFrame) -> None:
