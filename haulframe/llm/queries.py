@@ -15,7 +15,12 @@ def op1_deobfuscate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a copy of the pages' archive in which some records were overwritten, cut short or lost."""
+    """Audits a copy of the pages' archive in which some records were overwritten, cut short or lost.
+
+    Only damage in place is located: records of the copy keep the original's
+    offsets.  In a copy whose later offsets have shifted, the audit, keyed by
+    (file, offset), would report those records as missing and extra.
+    """
     kind = F.coalesce(F.col("page_id") % 97, F.lit(0))
     html = F.coalesce("html", F.lit(""))
     damaged = (F.when(kind == 13, F.concat(F.lit("~"), F.substring(html, 2, 2 ** 31 - 1)))
