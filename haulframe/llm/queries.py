@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm import dedup, langid, merkle, mixing, ngram_join, packing, pii, quality, topk, urls
+from haulframe.llm import dedup, filter_audit, langid, merkle, mixing, ngram_join, packing, pii, quality, topk, urls
 from haulframe.llm.tables import table, written
 from haulframe.llm.urls_sql import verdict_sql
 
@@ -86,10 +86,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__hf_tokens").alias("n_tokens"))
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_deobfuscate_pii, op2_merkle_fixity, op3_block_max_top_k, op4_ngram_jaccard_join,
     op5_language_evidence, op6_best_fit_packing, op7_exact_dedup,
     op8_url_template_tree, op9_quality_classifier, op10_mix_sources,
+    op13_filter_interactions,
 )}
 
 ORACLE_SQL = {
@@ -158,4 +163,40 @@ SELECT file, "offset", length, other_length, CASE WHEN copied IS NULL THEN 'miss
 FROM o WHERE copied IS DISTINCT FROM html
 """,
     "op8_url_template_tree": verdict_sql(URL_RULES),
+    "op13_filter_interactions": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+         100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > first_id, false) AS e
+  FROM w LEFT JOIN marks USING (doc_id)),
+cells AS (
+  SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM m GROUP BY ALL),
+perm AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || x FROM perm, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+steps AS (
+  SELECT o AS filter_order, s::INT AS step, ascii(o[s]) - 64 AS f, list_transform(range(1, s), lambda k: ascii(o[k]) - 64) AS before
+  FROM perm, (SELECT unnest(range(1, 6)) AS s) WHERE length(o) = 5),
+r AS (
+  SELECT *, fails[f] AS hit, len(list_filter(before, lambda k: fails[k])) > 0 AS gone,
+         fails[f] AND len(list_filter(fails, lambda x: x)) = 1 AS lone
+  FROM cells, steps),
+t AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (lone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM t
+""",
 }
