@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm import dedup, filter_audit, langid, merkle, mixing, ngram_join, packing, pii, quality, topk, urls
+from haulframe.llm import dedup, filter_audit, langid, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality, topk, urls
 from haulframe.llm.tables import table, written
 from haulframe.llm.urls_sql import verdict_sql
 
@@ -86,6 +86,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__hf_tokens").alias("n_tokens"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -94,7 +98,7 @@ QUERIES = {f.__name__: f for f in (
     op1_deobfuscate_pii, op2_merkle_fixity, op3_block_max_top_k, op4_ngram_jaccard_join,
     op5_language_evidence, op6_best_fit_packing, op7_exact_dedup,
     op8_url_template_tree, op9_quality_classifier, op10_mix_sources,
-    op13_filter_interactions,
+    op12_conversation_trie, op13_filter_interactions,
 )}
 
 ORACLE_SQL = {
@@ -163,6 +167,40 @@ SELECT file, "offset", length, other_length, CASE WHEN copied IS NULL THEN 'miss
 FROM o WHERE copied IS DISTINCT FROM html
 """,
     "op8_url_template_tree": verdict_sql(URL_RULES),
+    # every pair of a node and a node below it: for small tables
+    "op12_conversation_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         strlen(coalesce(text, '')) AS bytes, coalesce(role, '') AS role, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, digest) AS pos FROM t),
+crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))) AS tab),
+ids AS (
+  SELECT c, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+              lambda v, x: xor(v >> 8, tab[(xor(v, x) & 255) + 1]))) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t), crc),
+new AS (
+  SELECT ids.c, pos AS d, digest, bytes FROM ids JOIN own ON own.c = ids.c - ids.c % 5 WHERE pos <= h
+  UNION ALL
+  SELECT ids.c, pos - h + least(h, (SELECT count(*) FROM own o WHERE o.c = ids.c - ids.c % 5)) AS d, digest, bytes
+  FROM ids JOIN own ON own.c = ids.c WHERE pos > h),
+path AS (
+  SELECT c, d, bytes, sha256(string_agg(digest, '') OVER (PARTITION BY c ORDER BY d)) AS node FROM new
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+up AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS last FROM path),
+nodes AS (
+  SELECT node, any_value(d) AS d, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+  FROM up GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS kids FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM path a JOIN path b ON a.c = b.c AND b.d >= a.d),
+sums AS (
+  SELECT top AS node, sum((n - 1) * bytes) AS saved, count(*) FILTER (kids IS NULL) AS leaves
+  FROM below JOIN nodes USING (node) LEFT JOIN kids USING (node) GROUP BY top)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(kids, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes p ON p.node = x.parent
+""",
     "op13_filter_interactions": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
