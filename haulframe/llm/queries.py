@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulframe.llm import dedup, filter_audit, langid, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality, topk, urls
+from haulframe.llm import dedup, filter_audit, langid, main_text, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality, topk, urls
 from haulframe.llm.tables import table, written
 from haulframe.llm.urls_sql import verdict_sql
 
@@ -86,6 +86,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__hf_tokens").alias("n_tokens"))
 
 
+def op11_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
@@ -98,7 +102,7 @@ QUERIES = {f.__name__: f for f in (
     op1_deobfuscate_pii, op2_merkle_fixity, op3_block_max_top_k, op4_ngram_jaccard_join,
     op5_language_evidence, op6_best_fit_packing, op7_exact_dedup,
     op8_url_template_tree, op9_quality_classifier, op10_mix_sources,
-    op12_conversation_trie, op13_filter_interactions,
+    op11_tag_path_text, op12_conversation_trie, op13_filter_interactions,
 )}
 
 ORACLE_SQL = {
