@@ -4,17 +4,23 @@ Sources are file streams of JSON payloads (a message bus would be the
 same ``readStream`` with another format).  Sinks are ``foreachBatch``
 writes keyed by the micro-batch id: a re-executed batch overwrites its own
 output folder, so a retried batch has exactly-once effect.  Checkpoints and
-outputs live under the session's shared checkpoint folder.
+outputs live under the session's shared checkpoint folder.  Streams that
+keep state (STM2, STM4) keep it in a state store with snapshots under their
+checkpoint; tables that streams update (STM4, STM5) are versioned
+(``streaming/versions.py``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulframe.operators.upserts import upsert_subscriptions
-from haulframe.session import materialize
+from haulframe.streaming.versions import BUCKET_ROWS, VersionedTable
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's: webhook event types.
@@ -78,25 +84,72 @@ def route_events(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("route", route)
 
 
-def run_dedupe(stream: DataFrame, out_dir: str, checkpoint: str, id_col: str = "id") -> None:
+#: What a stored event is placed by: its day, and a hash of its id.
+PLACES = "day string, slot int, batch_id bigint"
+SLOTS = 4
+
+
+def _place(id_col: str, time_col: str, slots: int) -> dict[str, Column]:
+    # a redelivered event carries the time it was made, so it falls into the same place; the year 0 holds those without one
+    return {"day": F.date_format(F.coalesce(F.col(time_col).cast("date"), F.lit("0000-01-01").cast("date")), "yyyy-MM-dd"),
+            "slot": F.pmod(F.xxhash64(id_col), F.lit(slots)).cast("int")}
+
+
+def run_dedupe(stream: DataFrame, out_dir: str, checkpoint: str, id_col: str = "id", time_col: str = "created", *,
+               arrived: Column | None = None, near: str = "2 days", slots: int = SLOTS) -> None:
     """STM2: store each event once, however often, late or in which micro-batch it is delivered again.
 
-    A batch drops its own repeats and every id that an earlier batch has
-    stored (an anti join that reads one column of the stored table).
-    Nothing depends on event times, so no late row is lost; a batch that is
-    run again leaves its own folder out of the comparison and overwrites it.
+    The near past is kept as stream state: ids that arrived within ``near``
+    drop their repeats (``dropDuplicatesWithinWatermark``).  The watermark
+    follows the time of arrival, not the time of the event, so no row is
+    ever too late for it and none is lost.
+
+    An event cannot have arrived before it was made.  So one made within
+    ``near`` of its arrival is known to the state, and only older ones are
+    looked up among the stored ids: in the folders of their own days and id
+    hashes.  What a batch reads follows from the late rows in it, not from
+    the length of the history.  A batch that is run again leaves its own
+    folder out of the comparison and overwrites it.
     """
-    spark = stream.sparkSession
-    columns = [f for f in stream.schema.fields]
-    # an empty first folder gives the stored table a schema; kept on a restart
-    spark.createDataFrame([], T.StructType(columns)).write.mode("ignore").parquet(f"{out_dir}/batch_id=-1")
+    columns = stream.columns
+    late = F.col("__arrived") - F.expr(f"INTERVAL {near}") > F.coalesce(F.col(time_col).cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    rows = stream.withColumn("__arrived", F.current_timestamp() if arrived is None else arrived).withWatermark("__arrived", near)
+    once = rows.dropDuplicatesWithinWatermark([id_col]).withColumn("__late", late).withColumns(_place(id_col, time_col, slots))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.parquet(out_dir).where(F.col("batch_id") < batch_id).select(id_col)
-        fresh = batch.dropDuplicates([id_col]).join(stored, id_col, "left_anti")
-        fresh.select(*[f.name for f in columns]).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-
-    drive(stream.writeStream.foreachBatch(write), checkpoint)
+        batch.persist()
+        try:
+            # names of folders: at most days x slots of the late rows
+            places = [(r.day, r.slot) for r in batch.where("__late").select("day", "slot").distinct().collect()]
+            fresh = batch
+            if places and (stored := stored_events(batch, out_dir, columns, batch_id, places)) is not None:
+                fresh = batch.join(stored.select(F.col(id_col), F.lit(True).alias("__late")), [id_col, "__late"], "left_anti")
+            fresh.select(*columns, "day", "slot").repartition("day", "slot").write.mode("overwrite").partitionBy("day", "slot") \
+                .parquet(f"{out_dir}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    with stateful(stream.sparkSession):
+        drive(once.writeStream.foreachBatch(write), checkpoint)
+
+
+def stored_events(like: DataFrame, out_dir: str, columns: list[str], before: int | None = None,
+                  places: list[tuple[str, int]] | None = None) -> DataFrame | None:
+    """The events that batches ``before`` have stored, in ``places`` only (day, slot); None before the first batch.
+
+    Both conditions are on folder names, so other folders are not read.
+    """
+    spark = like.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_dir)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    schema = T.StructType([like.schema[c] for c in columns] + T.StructType.fromDDL(PLACES).fields)
+    stored = spark.read.schema(schema).parquet(out_dir)
+    if before is not None:
+        stored = stored.where(F.col("batch_id") < before)
+    if places is not None:
+        stored = stored.where(F.concat_ws("/", "day", "slot").isin([f"{d}/{s}" for d, s in places]))
+    return stored
 
 
 def drive(writer, checkpoint: str) -> None:
@@ -104,6 +157,26 @@ def drive(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Settings of a stateful stream: its state lives in RocksDB, snapshots of it under the stream's checkpoint.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def stateful(spark: SparkSession, conf: dict[str, str] = STATE_CONF) -> Iterator[None]:
+    """The settings under which stateful streams start; the caller's come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def payment_facts(routed: DataFrame, sessions: DataFrame) -> DataFrame:
     """STM3: payment rows joined to the static session lookup; a failure row when the lookup misses.
 
@@ -132,72 +205,62 @@ def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, partition_b
     drive(stream.writeStream.outputMode(output_mode).foreachBatch(_batch_sink(out_dir, partition_by)), checkpoint)
 
 
-def run_running_counts(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
-    """STM4: running contact-request counter per user, as the requests each micro-batch adds.
+COUNTS = "user_ref string, requests bigint"
 
-    A batch writes one row per user it touched (its partial counts), in a
-    folder of its own that a repeated batch overwrites; ``latest_counts``
-    adds them up, and ``compact_counts`` folds old batches into one.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        added = batch.where(F.col("user_ref").isNotNull()).groupBy("user_ref").agg(F.count(F.lit(1)).alias("requests"))
-        added.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    drive(stream.writeStream.foreachBatch(write), checkpoint)
+def run_running_counts(stream: DataFrame, out_dir: str, checkpoint: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """STM4: running contact-request counter per user.
 
+    The counts are the state of a streaming aggregate; in update mode a
+    batch emits the new totals of the users it touched, and they replace
+    those users' rows in the counter table (``VersionedTable``).  No batch
+    reads earlier events or counts of users it does not touch, and totals
+    written twice are the same totals.
+    """
+    spark = stream.sparkSession
+    table = VersionedTable(spark, out_dir, "user_ref", bucket_rows)
+    table.create(spark.createDataFrame([], COUNTS))
 
-def latest_counts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The counter table: one row per user."""
-    return spark.read.parquet(out_dir).groupBy("user_ref").agg(F.sum("requests").alias("requests"))
+    def merge(rows: DataFrame, totals: DataFrame) -> DataFrame:
+        return rows.join(totals, "user_ref", "left_anti").unionByName(totals)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if not table.apply(batch, F.col("user_ref"), merge, stream=checkpoint, batch_id=batch_id):
+            batch.write.format("noop").mode("overwrite").save()  # done before, but the state store has yet to commit the batch
 
-def compact_counts(spark: SparkSession, out_dir: str, to_dir: str) -> None:
-    """The counter table as a single batch in a new folder, to go on from."""
-    latest_counts(spark, out_dir).write.mode("overwrite").parquet(f"{to_dir}/batch_id=-1")
+    totals = stream.where(F.col("user_ref").isNotNull()).groupBy("user_ref").agg(F.count(F.lit(1)).alias("requests"))
+    with stateful(spark):
+        drive(totals.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
-STATE_BUCKETS = 64
+def latest_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The counter table: one row per user."""
+    return VersionedTable(spark, out_dir, "user_ref").read(schema=COUNTS)
 
 
-def _state_bucket(email: str | Column, buckets: int) -> Column:
-    e = F.col(email) if isinstance(email, str) else email
-    return F.pmod(F.xxhash64(e), F.lit(buckets)).cast("int")
+SUBSCRIPTIONS = "email string, company string, area string, removed boolean"
 
 
 def stream_subscriptions(spark: SparkSession, stream: DataFrame, state_dir: str, initial: DataFrame,
-                         checkpoint: str, buckets: int = STATE_BUCKETS) -> None:
+                         checkpoint: str, bucket_rows: int = BUCKET_ROWS) -> None:
     """STM5: each micro-batch of sign-up requests is applied to the stored state (UPS1).
 
-    The state is a Parquet table partitioned by a hash bucket of the e-mail.
-    A batch reads only the buckets its requests fall in (a static partition
-    filter), applies the UPS1 closed form to them and overwrites just those
-    partitions (dynamic partition overwrite).  Applying the same batch twice
-    gives the same state (the first real company wins, inserts become
-    stored rows), so a micro-batch re-run after a failure has no double
-    effect.
+    The state is a ``VersionedTable`` keyed by e-mail: a batch reads and
+    writes the buckets its requests fall in, and one manifest commit makes
+    its version visible.  A run that ends before the commit leaves the old
+    version; a batch that is run again is known by its recorded id.
     """
-    # one task per bucket on write: one file per partition folder, not one per task and bucket;
-    # a state that is there already (a restart) is gone on from
-    initial.withColumn("bucket", _state_bucket("email", buckets)).repartition("bucket").write.mode("ignore") \
-        .partitionBy("bucket").parquet(state_dir)
+    table = VersionedTable(spark, state_dir, "email", bucket_rows)
+    table.create(initial)
+
+    def merge(rows: DataFrame, requests: DataFrame) -> DataFrame:
+        return upsert_subscriptions(rows, requests)[1].drop("action")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        req = batch.withColumn("bucket", _state_bucket(F.lower("em_nl"), buckets))
-        # at most ``buckets`` small integers reach the driver
-        touched = [r.bucket for r in req.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        state = spark.read.parquet(state_dir).where(F.col("bucket").isin(touched)).drop("bucket")
-        _, new_state = upsert_subscriptions(state, req.drop("bucket"))
-        new_state = new_state.drop("action").withColumn("bucket", _state_bucket("email", buckets))
-        # written aside first: the overwrite below replaces the partitions this plan reads
-        staged = materialize(new_state, "subs-batch")
-        staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("bucket").parquet(state_dir)
+        table.apply(batch, F.lower("em_nl"), merge, stream=checkpoint, batch_id=batch_id)
 
     drive(stream.writeStream.foreachBatch(apply), checkpoint)
 
 
-def read_subscriptions(spark: SparkSession, state_dir: str) -> DataFrame:
-    return spark.read.parquet(state_dir).drop("bucket")
-
+def read_subscriptions(spark: SparkSession, state_dir: str, version: int | None = None) -> DataFrame:
+    return VersionedTable(spark, state_dir, "email").read(version, SUBSCRIPTIONS)
