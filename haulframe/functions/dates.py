@@ -86,30 +86,31 @@ def _add_months(ts: Column, n: Column) -> Column:
     return ts + F.make_ym_interval(F.lit(0), n.cast("int"))
 
 
+def _ms_of_day(c: Column) -> Column:
+    seconds = F.hour(c) * 3600 + F.minute(c) * 60
+    return seconds.cast("bigint") * 1000 + F.floor(F.round(F.extract(F.lit("SECOND"), c).cast("double") * 1e6) / 1000).cast("bigint")
+
+
 def month_diff(a: Column, b: Column) -> Column:
     """Months from b to a (a - b), fractional.
 
     Months are counted from the instant with the greater day of month, a on
     a tie: whole months towards the other, and of the month that it falls
-    into the share in milliseconds.
+    into the share in milliseconds.  Instants are pairs of a date and a time
+    of day, so all steps are integer arithmetic on days.
     """
     a, b = _ntz(a), _ntz(b)
     from_b = F.dayofmonth(a) < F.dayofmonth(b)
-
-    def around(p: Column) -> Column:
-        """The month around the other instant, [low, low + 1) in months from the origin."""
-        apart = (F.year(p["other"]) - F.year(p["origin"])) * 12 + F.month(p["other"]) - F.month(p["origin"])
-        low = apart - F.when(_add_months(p["origin"], apart) > p["other"], 1).otherwise(0)
-        return F.struct(p["origin"].alias("origin"), p["other"].alias("other"), low.alias("low"))
-
-    def months(p: Column) -> Column:
-        begin, end = _ms(_add_months(p["origin"], p["low"])), _ms(_add_months(p["origin"], p["low"] + 1))
-        return p["low"] + (_ms(p["other"]) - begin) / (end - begin)
-
-    pair = F.struct(F.when(from_b, b).otherwise(a).alias("origin"), F.when(from_b, a).otherwise(b).alias("other"))
-    # a list of one element, so that each step is an expression over named values instead of copies of itself
-    counted = F.transform(F.transform(F.array(pair), around), months)[0]
-    return counted * F.when(from_b, 1.0).otherwise(-1.0) + F.lit(0.0)
+    day_a, day_b, time_a, time_b = a.cast("date"), b.cast("date"), _ms_of_day(a), _ms_of_day(b)
+    origin, other = F.when(from_b, day_b).otherwise(day_a), F.when(from_b, day_a).otherwise(day_b)
+    later = F.when(from_b, time_a - time_b).otherwise(time_b - time_a)  # how much later in the day the other is
+    apart = (F.year(other) - F.year(origin)) * 12 + F.month(other) - F.month(origin)
+    reached = F.add_months(origin, apart)
+    low = apart - F.when((reached > other) | ((reached == other) & (later < 0)), 1).otherwise(0)
+    begin = F.add_months(origin, low)
+    day = 864e5
+    share = (F.date_diff(other, begin) * day + later) / (F.date_diff(F.add_months(origin, low + 1), begin) * day)
+    return (low + share) * F.when(from_b, 1.0).otherwise(-1.0) + F.lit(0.0)
 
 
 def diff(a: Column, b: Column, unit: str, as_float: bool = False) -> Column:
@@ -121,7 +122,7 @@ def diff(a: Column, b: Column, unit: str, as_float: bool = False) -> Column:
         out = (_ms(a) - _ms(b)) / per
     if as_float:
         return out
-    return F.when(out < 0, F.ceil(out)).otherwise(F.floor(out)).cast("bigint")
+    return out.cast("bigint")  # cuts towards zero
 
 
 def is_between(c: Column, lo, hi, unit: str | None = None, inclusivity: str = "()") -> Column:
@@ -190,21 +191,23 @@ def auto_bucket(df: DataFrame, ts: str) -> DataFrame:
 
 
 BREAKDOWN_NAMES = ["years", "months", "weeks", "days", "hours", "minutes", "seconds"]
-# Seconds in the units below a month, and how many of a unit make the next larger one.
 UNIT_SECONDS = {"W": 604800, "D": 86400, "H": 3600, "M": 60, "S": 1}
-NEXT_UNIT = {"S": 60, "M": 60, "H": 24, "D": 7, "W": 4.3482, "O": 12, "Y": 1}
+# Fixed value: the weeks that count as a month where a rounded-up rest may fill one.
+WEEKS_IN_MONTH = 4.3482
 
 
 def breakdown(df: DataFrame, a: str, b: str, units: str = "YOWDHMS", since: bool = False) -> DataFrame:
     """DAT6: add years, months, weeks, days, hours, minutes, seconds from a to b.
 
     Units left out of ``units`` are 0 and absorbed by the next shown smaller
-    one.  Time smaller than the last shown unit counts as one more of it,
-    carried on where that fills the next shown unit, unless ``since`` (time
-    passed, not time left).  b before a gives all zeros.
+    one.  Unless ``since`` (time passed, not time left), the time below the
+    last shown unit is rounded up to one more of it.  b before a gives all
+    zeros.
 
     Whole months are those whose addition to a (the last day of a month
-    going to the last day) does not pass b; the rest is plain seconds.
+    going to the last day) does not pass b; the rest is plain seconds.  A
+    rest rounded up to a whole number of the largest unit below the month
+    counts as one more month (or year) where it is as long as one.
     Intermediate values are staged as columns so the generated code stays
     small.
     """
@@ -231,24 +234,33 @@ def breakdown(df: DataFrame, a: str, b: str, units: str = "YOWDHMS", since: bool
     else:
         d = d.withColumn("years", F.lit(0)).withColumn("months", F.lit(0))
     d = d.withColumn("_rest", F.floor((_ms(end) - _ms(start)) / 1000))
-    for u, seconds in UNIT_SECONDS.items():
-        d = d.withColumn(names[u], F.floor(F.col("_rest") / seconds) if u in units else F.lit(0))
-        d = d.withColumn("_rest", F.col("_rest") - F.col(names[u]) * seconds)
-    if not since:
-        d = d.withColumn("_more", F.col("_rest") > 0)
-        below, fills = None, 1.0
-        for u in reversed("YOWDHMS"):
-            if u in units:
-                if below:
-                    d = d.withColumn("_more", F.col("_more") & (F.col(below) >= fills))
-                    d = d.withColumn(below, F.when(F.col("_more"), 0).otherwise(F.col(below)))
-                d = d.withColumn(names[u], F.col(names[u]) + F.col("_more").cast("int"))
-                below, fills = names[u], 1.0
-            fills *= NEXT_UNIT[u]
-        d = d.drop("_more")
+    shown = [u for u in UNIT_SECONDS if u in units]
+    rest = F.col("_rest")
+    if shown and not since:
+        smallest, largest = UNIT_SECONDS[shown[-1]], UNIT_SECONDS[shown[0]]
+        d = d.withColumn("_up", F.ceil(rest / smallest) * smallest)
+        month = WEEKS_IN_MONTH * UNIT_SECONDS["W"] * (1 if "O" in units else 12)
+        fills = (F.col("_up") > rest) & (F.col("_up") % largest == 0) & (F.col("_up") >= month)
+    else:
+        d = d.withColumn("_up", rest)
+        fills = F.lit(not since) & (rest > 0)
+    if calendar:
+        d = d.withColumn("_fills", fills).withColumn("_up", F.when(F.col("_fills") & F.lit(bool(shown)), 0).otherwise(F.col("_up")))
+        step = F.col("_fills").cast("int")
+        if "O" in units:
+            d = d.withColumn("_months", F.col("years") * 12 + F.col("months") + step)
+            d = d.withColumn("years", F.floor(F.col("_months") / 12) if "Y" in units else F.lit(0))
+            d = d.withColumn("months", F.col("_months") - F.col("years") * 12)
+        else:
+            d = d.withColumn("years", F.col("years") + step)
+    larger = None
+    for u in UNIT_SECONDS:
+        left = F.col("_up") if larger is None else F.pmod(F.col("_up"), F.lit(UNIT_SECONDS[larger]))
+        d = d.withColumn(names[u], F.floor(left / UNIT_SECONDS[u]) if u in units else F.lit(0))
+        larger = u if u in units else larger
     for name in BREAKDOWN_NAMES:
         d = d.withColumn(name, F.when(F.col("_passed"), F.lit(0)).otherwise(F.col(name)).cast("bigint"))
-    return d.drop("_start", "_end", "_passed", "_months", "_rest")
+    return d.drop("_start", "_end", "_passed", "_months", "_rest", "_up", "_fills")
 
 
 def _jsround(x: Column) -> Column:

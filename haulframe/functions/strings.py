@@ -29,19 +29,18 @@ FORMULA_START = "^[=+\\-@\t\r]"
 
 
 def _nfd_table() -> tuple[str, str]:
-    """Map every precomposed Latin letter to its base letter (NFD, marks dropped).
+    """Every character that decomposes into one base character and marks U+0300 to U+036F, and that base.
 
-    Built from a rule (Unicode decomposition) over the Latin blocks instead
-    of a literal list.
+    Built from a rule (Unicode decomposition) over all code points: Latin,
+    Greek, Cyrillic and the rest.
     """
     src, dst = [], []
-    for block in (range(0x00C0, 0x0250), range(0x1E00, 0x1F00)):
-        for cp in block:
-            ch = chr(cp)
-            d = unicodedata.normalize("NFD", ch)
-            if len(d) > 1 and all(0x0300 <= ord(m) <= 0x036F for m in d[1:]):
-                src.append(ch)
-                dst.append(d[0])
+    for cp in range(0x80, 0x30000):  # no decomposition beyond
+        whole = unicodedata.normalize("NFD", chr(cp))
+        base = "".join(m for m in whole if not 0x0300 <= ord(m) <= 0x036F)
+        if len(base) == 1 and base != chr(cp):
+            src.append(chr(cp))
+            dst.append(base)
     return "".join(src), "".join(dst)
 
 
@@ -49,8 +48,9 @@ NFD_FROM, NFD_TO = _nfd_table()
 
 
 def fold_accents(c: Column) -> Column:
-    """FLT9: NFD-fold accents (precomposed letters to base, combining marks removed)."""
-    return F.translate(F.regexp_replace(c, "[\\u0300-\\u036f]", ""), NFD_FROM, NFD_TO)
+    """FLT9: NFD-fold accents (precomposed letters to base, combining marks removed); plain ASCII is passed on as it is."""
+    folded = F.translate(F.regexp_replace(c, "[\\u0300-\\u036f]", ""), NFD_FROM, NFD_TO)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(folded)
 
 
 def js_text(c: Column, dtype: T.DataType) -> Column:

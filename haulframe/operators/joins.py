@@ -99,13 +99,15 @@ def audience(newsletters: DataFrame, subscribers: DataFrame) -> DataFrame:
     return _fanout(subs, queue, "newsletter_id", "newsletter_id")
 
 
-def align_series(df: DataFrame, series: str, x: str, y: str, names: list[str] | None = None) -> DataFrame:
-    """JOIN6: one row per x of any series, one column per series, null where a series has no point.
+def align_series(df: DataFrame, series: str, x: str, y: str, names: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """JOIN6: one row per x of any series, sorted by x, one column per series, null where a series has no point.
 
     Equals an n-way full outer join on x.  The series are those of the data
     (Spark finds them in one small job); with ``names`` only those are kept.
+    Of several points of a series at one x the last by ``order`` counts
+    (without one, the largest y).
     """
-    return df.groupBy(x).pivot(series, names).agg(F.first(y))
+    return df.groupBy(x).pivot(series, names).agg(F.max_by(y, order) if order else F.max(y)).orderBy(x)
 
 
 def overlaps(df: DataFrame, key: str, start: str, end: str, id_col: str, bucket: Column) -> DataFrame:

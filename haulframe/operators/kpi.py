@@ -87,7 +87,7 @@ def percent_change(df: DataFrame, key: str, period: str, value: str, out: str =
         F.add_months(F.col(period), months).alias("_pp"),
         F.col(value).alias("_prev"),
     )
-    j = df.join(prev, (df[key] == prev["_pk"]) & (df[period] == prev["_pp"]), "left")
+    j = df.join(prev, df[key].eqNullSafe(prev["_pk"]) & (df[period] == prev["_pp"]), "left")
     pct = F.when(F.col("_prev").isNull() | (F.col("_prev") == 0), F.lit(None)).otherwise(
         F.round(100.0 * (F.col(value) - F.col("_prev")) / F.col("_prev")))
     return j.select(*[df[c] for c in df.columns], pct.cast("bigint").alias(out))
@@ -125,7 +125,7 @@ def suggest(shipments: DataFrame, min_support: int = 5, sla: int = SLA_DAYS, fac
                 .select("client", dim, F.round("rate", 4).alias(f"{dim}_late_rate")))
 
     clients = f.where(F.col("level") == "month").select("client").distinct()
-    return clients.join(worst("route"), "client", "left").join(worst("carrier"), "client", "left")
+    return join_on(join_on(clients, worst("route"), ["client"], "left"), worst("carrier"), ["client"], "left")
 
 
 def monthly_report(shipments: DataFrame, sla: int = SLA_DAYS, min_support: int = 5) -> DataFrame:
@@ -147,8 +147,7 @@ def monthly_report(shipments: DataFrame, sla: int = SLA_DAYS, min_support: int =
     sugg = suggest(shipments, min_support, sla, facts).select(
         "client", F.concat_ws(", ", "route", "carrier").alias("suggested"))
     sugg = sugg.withColumn("suggested", F.when(F.col("suggested") == "", None).otherwise(F.col("suggested")))
-    return (base.join(reasons, ["client", "month"], "left")
-            .join(sugg, "client", "left")
+    return (join_on(join_on(base, reasons, ["client", "month"], "left"), sugg, ["client"], "left")
             .select(F.col("client").alias("client_name"), "month", "shipments", "avgdelivery",
                     "percent_change", "ontimedelivery", "delayreasons", "suggested"))
 

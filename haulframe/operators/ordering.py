@@ -14,12 +14,27 @@ from pyspark.sql import functions as F
 
 from haulframe.operators import segmented
 from haulframe.operators.nullsafe import join_on
+from haulframe.operators.pages import Order, page_rows, sort_columns
 from haulframe.operators.positions import global_row_number
 
 # ---------------------------------------------------------------------------
 # ORD1: type-aware sort keys
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number_of(text: Column) -> Column:
+    """The value of a text that reads as a finite decimal number, else null.
+
+    Only what looks like a number is cast: a failing cast costs an exception
+    per row, and a plain cast also takes ``3f``, ``7d`` or ``NaN``.
+    """
+    trimmed = F.trim(text)
+    value = F.when(trimmed.rlike(NUMBER), trimmed).try_cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def smart_sort_keys(c: Column, descending: bool = False, empty_last: bool = False) -> list[Column]:
     """Total order for a column compared the way a table widget compares cells.
 
@@ -30,14 +45,9 @@ def smart_sort_keys(c: Column, descending: bool = False, empty_last: bool = Fals
     stands in for it.
     """
     text = F.coalesce(c.cast("string"), F.lit(""))
-    empty = text == ""
-    num = F.trim(text).try_cast("double")
-    is_text = num.isNull()
-    if not descending:
-        keys = [empty.desc() if not empty_last else empty.asc(), is_text.asc(), num.asc(), text.asc()]
-    else:
-        keys = [empty.asc(), is_text.desc(), num.desc(), text.desc()]
-    return keys
+    filled, number = text != "", number_of(text)
+    keys = [k.desc() if descending else k.asc() for k in (number.isNull(), number, text)]
+    return [filled.desc() if descending or empty_last else filled.asc(), *keys]
 
 
 def sort_smart(df: DataFrame, col: str, tiebreak: list[str], descending: bool = False,
@@ -47,27 +57,20 @@ def sort_smart(df: DataFrame, col: str, tiebreak: list[str], descending: bool =
     return global_row_number(df, order, out)
 
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-
-
 def sort_multi(df: DataFrame, spec: list[tuple[str, str]], tiebreak: list[str], fold_case: bool = False,
                out: str = "position") -> DataFrame:
     """ORD2: multi-column sort, a direction per column, optional case folding of text.
 
-    Null counts as the empty string; strings that read as numbers compare
-    by value and come before other text (see ``smart_sort_keys`` for why a
-    fixed order stands in for a pairwise comparison).
+    Text columns have the order of ``smart_sort_keys``: empty cells, then
+    numbers by value, then other text.
     """
     order = []
     types = dict(df.dtypes)
     for c, d in spec:
-        keys = [F.col(c)]
         if types[c] == "string":
-            text = F.coalesce(F.col(c), F.lit(""))
-            # only what looks like a number is cast: a failing cast costs an exception per row
-            number = F.when(F.trim(text).rlike(NUMBER), F.trim(text)).try_cast("double")
-            keys = [number.isNull(), number, F.lower(text) if fold_case else text]
-        order += [k.desc() if d == "desc" else k.asc() for k in keys]
+            order += smart_sort_keys(F.lower(c) if fold_case else F.col(c), d == "desc")
+        else:
+            order.append(F.col(c).desc() if d == "desc" else F.col(c).asc())
     order += [F.col(c).asc() for c in tiebreak]
     return global_row_number(df, order, out)
 
@@ -111,25 +114,26 @@ def sort_natural(df: DataFrame, cols: str | list[str], tiebreak: list[str], out:
 # PAG1-PAG3, TOP1
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int, where: Column | None = None) -> DataFrame:
+def page(df: DataFrame, order: Order | list[Column], number: int, size: int, where: Column | None = None) -> DataFrame:
     """PAG1: page ``number`` (1-based, clamped to the last page) of ``size`` rows.
 
     Adds total (after ``where``), total_unfiltered, from_row and to_row.
-    The rows are numbered and the page's range of positions is taken, so
-    that no task gathers all rows before a page, however deep it is.
-    ``order`` must be total.
+    The table is not sorted for it (see ``pages``), however deep the page
+    is.  ``order`` must be total; besides names it may hold expressions.
     """
+    made = {f"_order{i}": o for i, o in enumerate(order) if isinstance(o, Column)}
+    if made:
+        named = [f"_order{i}" if isinstance(o, Column) else o for i, o in enumerate(order)]
+        return page(df.withColumns(made), named, number, size, where).drop(*made)
     filtered = df.where(where) if where is not None else df
     total = filtered.count()
     total_unfiltered = df.count() if where is not None else total
-    pages = max(1, math.ceil(total / size))
-    n = min(max(number, 1), pages)
+    last = max(1, math.ceil(total / size))
+    n = min(max(number, 1), last)
     start = (n - 1) * size
-    rows = global_row_number(filtered, order, "_pos").where(
-        (F.col("_pos") > start) & (F.col("_pos") <= start + size)).orderBy("_pos").drop("_pos")
-    to_row = min(start + size, total)
+    rows = page_rows(filtered, order, start, size, total)
     return rows.select("*", F.lit(total).alias("total"), F.lit(total_unfiltered).alias("total_unfiltered"),
-                       F.lit(start + 1 if total else 0).alias("from_row"), F.lit(to_row).alias("to_row"),
+                       F.lit(start + 1 if total else 0).alias("from_row"), F.lit(min(start + size, total)).alias("to_row"),
                        F.lit(n).alias("page_number"))
 
 
@@ -142,21 +146,20 @@ def table_request(df: DataFrame, request: dict, tiebreak: list[str]) -> DataFram
     """
     from haulframe.operators.filters import advanced_search, smart_search
 
-    total = df.count()
     d = df
     s = request.get("search") or {}
     if s.get("value"):
         d = smart_search(d, s["value"], s.get("columns") or d.columns)
     if request.get("columns"):
         d = advanced_search(d, request["columns"])
-    filtered = d.count()
-    order = [F.col(c).desc() if dr == "desc" else F.col(c).asc() for c, dr in request.get("order", [])]
-    order += [F.col(c).asc() for c in tiebreak]
+    total = df.count()
+    filtered = total if d is df else d.count()
+    order = [*request.get("order", []), *tiebreak]
     start, length = request.get("start", 0), request.get("length", 10)
-    at = global_row_number(d, order, "_pos").where(F.col("_pos") > start)
-    if length >= 0:  # -1 asks for all rows
-        at = at.where(F.col("_pos") <= start + length)
-    rows = at.orderBy("_pos").drop("_pos")
+    if length < 0 and start <= 0:  # -1 asks for all rows
+        rows = d.orderBy(*sort_columns(order))
+    else:
+        rows = page_rows(d, order, start, length if length >= 0 else filtered, filtered)
     return rows.select("*", F.lit(request.get("draw", 1)).alias("draw"), F.lit(total).alias("records_total"),
                        F.lit(filtered).alias("records_filtered"))
 

@@ -20,8 +20,19 @@ def append(df: DataFrame, more: DataFrame, prepend: bool = False, order_col: str
 
 
 def tagged_union(sources: dict[str, DataFrame], display: str, tag: str = "group") -> DataFrame:
-    """SET2: union of named sources, each row tagged with its source; null items skipped."""
-    parts = [df.where(F.col(display).isNotNull()).withColumn(tag, F.lit(name)) for name, df in sources.items()]
+    """SET2: union of named sources, each row tagged with its source; null and boolean items skipped.
+
+    A source of bare strings (one text column of whatever name) is wrapped
+    into rows with the ``display`` column.
+    """
+    parts = []
+    for name, df in sources.items():
+        if df.columns != [display] and [kind for _, kind in df.dtypes] == ["string"]:
+            df = df.toDF(display)
+        if dict(df.dtypes)[display] != "boolean":
+            parts.append(df.where(F.col(display).isNotNull()).withColumn(tag, F.lit(name)))
+    if not parts:  # only boolean items
+        return reduce(DataFrame.unionAll, [df.select(F.lit(None).cast("string").alias(display), F.lit("").alias(tag)).limit(0) for df in sources.values()])
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -37,7 +48,7 @@ def distinct_tags(df: DataFrame, owner: str, tag: str, arrival: str, case_sensit
     df = df.withColumn(tag, F.trim(tag)).where(F.col(tag) != "")
     firsts = df.groupBy(owner, key.alias("_k")).agg(
         F.min_by(F.col(tag), F.col(arrival)).alias(tag), F.min(arrival).alias("first_arrival"))
-    w = Window.partitionBy(owner).orderBy("first_arrival")
+    w = Window.partitionBy(owner).orderBy("first_arrival", "_k")  # tags that arrived together go by name
     r = firsts.withColumn("tag_rank", F.row_number().over(w))
     if limit is not None:
         r = r.where(F.col("tag_rank") <= limit)

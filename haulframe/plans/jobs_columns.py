@@ -387,24 +387,16 @@ def dat2_shift(t):
 _DAT3_SQL = """
 WITH j AS (SELECT l.l_orderkey, l.l_linenumber, l.l_shipdate AS a, o.o_orderdate AS b
            FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
-s AS (SELECT *, day(a) < day(b) AS swap FROM j),
-xy AS (SELECT *, CASE WHEN swap THEN b ELSE a END AS x, CASE WHEN swap THEN a ELSE b END AS y FROM s),
-w AS (SELECT *, (year(y) - year(x)) * 12 + (month(y) - month(x)) AS whole FROM xy),
-an AS (SELECT *, x + to_months(CAST(whole AS INTEGER)) AS anchor FROM w),
-an2 AS (SELECT *, epoch_ms(y) - epoch_ms(anchor) < 0 AS before,
-               CASE WHEN epoch_ms(y) - epoch_ms(anchor) < 0 THEN x + to_months(CAST(whole - 1 AS INTEGER))
-                    ELSE x + to_months(CAST(whole + 1 AS INTEGER)) END AS anchor2 FROM an),
-adj AS (SELECT *, CASE WHEN before THEN (epoch_ms(y) - epoch_ms(anchor)) / (epoch_ms(anchor) - epoch_ms(anchor2))
-                       ELSE (epoch_ms(y) - epoch_ms(anchor)) / (epoch_ms(anchor2) - epoch_ms(anchor)) END AS adjust
-        FROM an2),
-r AS (SELECT *, CASE WHEN swap THEN (whole + adjust) ELSE -(whole + adjust) END + 0.0 AS months_f,
-             (epoch_ms(a) - epoch_ms(b)) / 864e5 AS days_f, (epoch_ms(a) - epoch_ms(b)) / 6048e5 AS weeks_f FROM adj)
-SELECT l_orderkey, l_linenumber,
-       CAST(CASE WHEN months_f < 0 THEN ceil(months_f) ELSE floor(months_f) END AS BIGINT) AS months,
-       round(months_f, 8) AS months_float,
-       CAST(CASE WHEN days_f < 0 THEN ceil(days_f) ELSE floor(days_f) END AS BIGINT) AS days,
-       round(weeks_f, 8) AS weeks_float
-FROM r
+p AS (SELECT *, CASE WHEN day(a) < day(b) THEN 1 ELSE -1 END AS sign,
+             CASE WHEN day(a) < day(b) THEN b ELSE a END AS origin, CASE WHEN day(a) < day(b) THEN a ELSE b END AS other FROM j),
+n AS (SELECT *, CAST(datediff('month', origin, other) AS INTEGER) AS apart FROM p),
+m AS (SELECT *, apart - CAST(origin + to_months(apart) > other AS INTEGER) AS low FROM n),
+s AS (SELECT *, sign * (low + (epoch_ms(other) - epoch_ms(origin + to_months(low)))
+                              / (epoch_ms(origin + to_months(low + 1)) - epoch_ms(origin + to_months(low)))) + 0.0 AS months_f,
+             (epoch_ms(a) - epoch_ms(b)) / 864e5 AS days_f, (epoch_ms(a) - epoch_ms(b)) / 6048e5 AS weeks_f FROM m)
+SELECT l_orderkey, l_linenumber, CAST(trunc(months_f) AS BIGINT) AS months, round(months_f, 8) AS months_float,
+       CAST(trunc(days_f) AS BIGINT) AS days, round(weeks_f, 8) AS weeks_float
+FROM s
 """
 
 

@@ -98,6 +98,23 @@ def src3_gate_files(t):
     return files.gate_files(_page_manifest(t), ["text/html", "text/csv"], 10000)
 
 
+@job("src3_gate_folder", """
+WITH c AS (SELECT c_nationkey AS k, strlen(c_name || ';' || c_mktsegment) + CASE c_nationkey % 3 WHEN 2 THEN 11 ELSE 0 END + 1 AS n FROM customer),
+f AS (SELECT 'nation=' || k AS batch, CAST(sum(n) AS BIGINT) AS size,
+             CASE k % 3 WHEN 0 THEN 'text/csv' WHEN 1 THEN 'text/plain' ELSE 'application/json' END AS content_type FROM c GROUP BY k)
+SELECT *, CASE WHEN content_type = 'text/plain' THEN 'unsupported_type' WHEN size > 20000 THEN 'too_large' END AS reason FROM f
+""")
+def src3_gate_folder(t):
+    """SRC3: a folder of lists of customers, one file per nation in three formats, listed and gated by real types and sizes."""
+    path = scratch_path(t.spark, "uploads")
+    rows = t.customer.select(F.col("c_nationkey").alias("nation"), F.concat_ws(";", "c_name", "c_mktsegment").alias("line"))
+    for k, kind in enumerate(("csv", "text", "json")):
+        # a nation's list is one file: the table is small next to the limit of a file
+        rows.where(F.col("nation") % 3 == k).repartition("nation").write.partitionBy("nation").format(kind).save(f"{path}/{kind}")
+    gated = files.gate_files(files.file_manifest(t.spark, path), ["text/csv", "application/json"], 20000)
+    return gated.select("batch", "size", "content_type", "reason")
+
+
 @job("src4_gate_batch", f"""
 WITH m AS (SELECT doc_id, CAST(doc_id AS VARCHAR) || '.txt' AS name, n_chars AS size, 'text/' || lang AS content_type,
                   source AS batch FROM documents),

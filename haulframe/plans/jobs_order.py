@@ -95,7 +95,7 @@ WHERE f.rn > (p.page_number - 1) * 25 AND f.rn <= p.page_number * 25
 def pag1_page(t):
     """PAG1: page 7 of 25 rows of finished orders by date."""
     o = t.orders
-    rows = od.page(o, [F.col("o_orderdate"), F.col("o_orderkey")], 7, 25, where=F.col("o_orderstatus") == "F")
+    rows = od.page(o, ["o_orderdate", "o_orderkey"], 7, 25, where=F.col("o_orderstatus") == "F")
     return rows
 
 
@@ -113,6 +113,20 @@ def pag2_table_request(t):
     return od.table_request(t.customer, req, ["c_custkey"])
 
 
+@job("pag1_deep_page", """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate,
+                  row_number() OVER (ORDER BY l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem),
+n AS (SELECT count(*) AS total, CAST(floor(count(*) / 80) AS BIGINT) AS page_number FROM r)
+SELECT r.* EXCLUDE (rn), total, total AS total_unfiltered, CAST((page_number - 1) * 40 + 1 AS INTEGER) AS from_row,
+       CAST(page_number * 40 AS INTEGER) AS to_row, page_number
+FROM r, n WHERE rn > (page_number - 1) * 40 AND rn <= page_number * 40
+""")
+def pag1_deep_page(t):
+    """PAG1: the page in the middle of all line items by ship date, found by a rank index of the keys."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    return od.page(rows, [("l_shipdate", "desc"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], rows.count() // 80, 40)
+
+
 @job("pag3_page_windows", """
 SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS position,
        CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1020) AS BIGINT) AS window_id,

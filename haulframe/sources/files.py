@@ -1,8 +1,7 @@
 """SRC2-SRC4: route-file reads and upload gates.
 
 Gates run over a manifest table (one row per file: name, size, type and a
-batch key), which Spark can build from storage with the ``binaryFile``
-source without reading file contents.
+batch key); ``file_manifest`` lists a folder as one.
 """
 
 from __future__ import annotations
@@ -33,24 +32,52 @@ CORRUPT = "_corrupt_record"
 
 
 def read_routes(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """SRC2: typed CSV read; rows that do not fit the schema are kept apart.
+    """SRC2: typed CSV read; records that do not fit the schema are kept apart.
 
-    Returns (good rows, bad rows with the raw line).  Each line is read as
-    text (the reader drops the header line of every file) and parsed into
-    one struct with all typed columns, so whether a row is good does not
-    depend on the columns the caller goes on to use.
+    Returns (good rows, bad rows with the raw record).  Records, not lines,
+    are read: a quoted cell may hold line ends and doubled quotes.  All
+    columns of a record are parsed, so whether it is good does not depend
+    on the columns the caller goes on to use.  A file is read by one task;
+    the upload gate bounds a file's size (``ROUTE_FILE_MAX_BYTES``).
     """
-    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    lines = (spark.read.schema("line string").option("header", True).option("sep", "\u0001").option("quote", "")
-             .csv(path))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    rows = lines.select("line", F.from_csv("line", full.simpleString()[7:-1].replace(":", " "), options).alias("r"))
-    good = rows.where(F.col(f"r.{CORRUPT}").isNull()).select(*[F.col(f"r.{f.name}") for f in schema.fields])
-    bad = rows.where(F.col(f"r.{CORRUPT}").isNotNull()).select(
-        F.col("line").alias("raw_line"), *[F.col(f"r.{f.name}") for f in schema.fields])
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    rows = (spark.read.schema(full).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path))
+    names = [f.name for f in schema.fields]
+    # only columns that the plan needs are converted, so the conditions need them all: this part of them always holds
+    whole = F.xxhash64(*names).bitwiseOR(F.lit(1)) != 0
+    good = rows.where(F.col(CORRUPT).isNull() & whole).select(*names)
+    bad = rows.where(F.col(CORRUPT).isNotNull() & whole).select(F.col(CORRUPT).alias("raw_line"), *names)
     return good, bad
 
 
+# Content types by file name ending, as browsers send them.
+CONTENT_TYPES = {
+    "csv": "text/csv", "xls": "application/vnd.ms-excel",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "txt": "text/plain", "pdf": "application/pdf", "html": "text/html", "json": "application/json", "zip": "application/zip",
+}
+
+
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """SRC3, SRC4: the files under ``path``, however deep: batch (their folder), name, size, modified, content_type.
+
+    Files are listed, not read: without its content column the
+    ``binaryFile`` source opens none; empty files have nothing to take in
+    and are not listed.  The content type follows from the ending of the
+    name, null for an unknown one.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    parts = F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/")
+    name = F.element_at(parts, -1)
+    ending = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    kind = F.lit(None).cast("string")
+    for known, mime in CONTENT_TYPES.items():
+        kind = F.when(ending == known, F.lit(mime)).otherwise(kind)
+    return found.select(F.element_at(parts, -2).alias("batch"), name.alias("name"), F.col("length").alias("size"),
+                        F.col("modificationTime").alias("modified"), kind.alias("content_type"))
+
+
 def gate_files(manifest: DataFrame, types: list[str] = ROUTE_FILE_TYPES,
                max_bytes: int = ROUTE_FILE_MAX_BYTES) -> DataFrame:
     """SRC3: accept a file when its type is allowed and its size within the limit.

@@ -253,7 +253,7 @@ def test_date_range_presets_clamp_and_drop(spark):
 
 def test_page_number_clamps_to_last_page(spark):
     df = spark.range(45).withColumnRenamed("id", "k")
-    r = ordering.page(df, [F.col("k")], 1000, 20).collect()
+    r = ordering.page(df, ["k"], 1000, 20).collect()
     assert [x.k for x in r] == [40, 41, 42, 43, 44]
     assert (r[0].page_number, r[0].from_row, r[0].to_row, r[0].total) == (3, 41, 45, 45)
 

@@ -125,7 +125,7 @@ def test_natural_order_of_long_digit_runs(spark):
 
 def test_numeric_strings_sort_by_value(spark):
     df = spark.createDataFrame([(1, "10"), (2, "9"), (3, "b"), (4, None), (5, "A")], "id int, s string")
-    assert [r.id for r in ordering.sort_multi(df, [("s", "asc")], ["id"], fold_case=True).orderBy("position").collect()] == [2, 1, 4, 5, 3]
+    assert [r.id for r in ordering.sort_multi(df, [("s", "asc")], ["id"], fold_case=True).orderBy("position").collect()] == [4, 2, 1, 5, 3]
 
 
 def test_all_rows_of_a_request_keep_the_order(spark):
@@ -207,3 +207,92 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: unset, master="spark://host:7077")
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=unset))
+
+
+def test_a_null_client_has_its_report(spark):
+    """Change against the month before, reasons and suggestion of shipments without a client."""
+    def some(client, month, n):
+        return [(client, dt.datetime(2024, month, 3), 400, "road works", "R1", "C1") for _ in range(n)]
+
+    df = spark.createDataFrame(some(None, 1, 6) + some(None, 2, 12) + some("a", 1, 6) + some("a", 2, 12),
+                               "client string, shipped_at timestamp_ntz, delivery_days int, reason string, route string, carrier string")
+    rows = {(r.client_name, r.month.month): r for r in kpi.monthly_report(df).collect()}
+    assert len(rows) == 4
+    for month, change in ((1, None), (2, 100)):
+        null, named = rows[None, month], rows["a", month]
+        assert null.percent_change == named.percent_change == change
+        assert null.delayreasons == named.delayreasons == "road works" and null.suggested == named.suggested == "R1, C1"
+    worst = {r.client: (r.route, r.carrier) for r in kpi.suggest(df).collect()}
+    assert worst == {None: ("R1", "C1"), "a": ("R1", "C1")}
+
+
+def test_what_reads_as_a_number(spark):
+    texts = ["7d", "3f", "NaN", "Infinity", "1e999", " 12 ", "-3.5", "+4", ".5", "5.", "1e2", "", None, "0x10"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "id int, v string")
+    order = [r.v for r in ordering.sort_smart(df, "v", ["id"]).orderBy("position").collect()]
+    assert order == ["", None, "-3.5", ".5", "+4", "5.", " 12 ", "1e2", "0x10", "1e999", "3f", "7d", "Infinity", "NaN"]
+    assert order == [r.v for r in ordering.sort_multi(df, [("v", "asc")], ["id"]).orderBy("position").collect()]
+    back = [r.v for r in ordering.sort_multi(df, [("v", "desc")], ["id"]).orderBy("position").collect()]
+    assert back == [r.v for r in ordering.sort_smart(df, "v", ["id"], descending=True).orderBy("position").collect()]
+    assert back[-2:] == ["", None] and back[0] == "NaN"
+
+
+def test_accents_fold_in_every_script(spark):
+    texts = {"Ελλάδα": "Ελλαδα", "Йод": "Иод", "Ёлка": "Елка", "Nguyễn Thị": "Nguyen Thi", "plain": "plain", "e\u0301": "e", "한국": "한국", "": "", "Å": "A"}
+    df = spark.createDataFrame([(k,) for k in texts], "v string")
+    assert {r.v: r.f for r in df.select("v", strings.fold_accents(F.col("v")).alias("f")).collect()} == texts
+
+
+def test_quoted_records_over_several_lines(spark, tmp_path):
+    path = str(tmp_path / "routes.csv")
+    text = 'a,b\n1,"two\nlines, and ""quotes"""\n2,x\nbad,y\n3,"z"\n'
+    (tmp_path / "routes.csv").write_text(text)
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    good, bad = files.read_routes(spark, path, schema)
+    assert sorted(r.a for r in good.select("a").collect()) == [1, 2, 3]
+    assert good.where("a = 1").first().b == 'two\nlines, and "quotes"'
+    assert [r.b for r in bad.collect()] == ["y"] and bad.count() == 1
+
+
+def test_a_folder_is_listed_with_its_files(spark, tmp_path):
+    for name, size in (("a/x.csv", 10), ("a/y b.PDF", 5), ("b/c/z", 3), ("b/c/w+1.xlsx", 7)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+    manifest = files.file_manifest(spark, str(tmp_path))
+    got = {r.name: (r.batch, r.size, r.content_type) for r in manifest.collect()}
+    assert got == {"x.csv": ("a", 10, "text/csv"), "y b.PDF": ("a", 5, "application/pdf"), "z": ("c", 3, None),
+                   "w+1.xlsx": ("c", 7, files.ROUTE_FILE_TYPES[2])}
+    gated = {r.name: r.reason for r in files.gate_files(manifest, max_bytes=8).collect()}
+    assert gated == {"x.csv": "too_large", "y b.PDF": "unsupported_type", "z": None, "w+1.xlsx": None}
+    assert "content" not in manifest._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_small_results_are_defined(spark):
+    df = spark.createDataFrame([("s", 1, 5.0, 1), ("s", 1, 3.0, 2), ("r", 0, 1.0, 3)], "series string, x int, y double, at int")
+    assert [tuple(r) for r in joins.align_series(df, "series", "x", "y", order="at").collect()] == [(0, 1.0, None), (1, None, 3.0)]
+    one = spark.createDataFrame([("a", 4.0), ("a", 4.0), ("b", 0.0), ("b", 10.0)], "g string, v double")
+    ticks = numbers.ticks(one, "v", ["g"])
+    assert [tuple(r) for r in ticks.where("g = 'a'").collect()] == [("a", 0, 4.0, 4.0, 0.0)] and ticks.where("g = 'b'").count() == 6
+    items = {"texts": spark.createDataFrame([("x",), (None,)], "value string"), "flags": spark.createDataFrame([(True,)], "display boolean"),
+             "rows": spark.createDataFrame([("y", 1)], "display string, n int")}
+    assert sorted((r.display, r.group) for r in setops.tagged_union(items, "display").collect()) == [("x", "texts"), ("y", "rows")]
+    tags = spark.createDataFrame([(1, "b", 0), (1, "a", 0), (1, "c", 1)], "o int, t string, at int")
+    assert [r.t for r in setops.distinct_tags(tags, "o", "t", "at").orderBy("tag_rank").collect()] == ["a", "b", "c"]
+    rows = spark.createDataFrame([("x[oops",)], "v string")
+    assert filters.smart_search(rows, "[oops", ["v"], regex=True).count() == 0
+    assert filters.smart_search(rows, "X\\[", ["v"], regex=True).count() == 1
+
+
+def test_a_rest_rounded_up_may_fill_a_month(spark):
+    def parts(a, b, units):
+        df = spark.createDataFrame([(dt.datetime.fromisoformat(a), dt.datetime.fromisoformat(b))], "a timestamp_ntz, b timestamp_ntz")
+        return tuple(dates.breakdown(df, "a", "b", units).select(*dates.BREAKDOWN_NAMES).first())
+
+    assert parts("2024-01-01T00:00:00", "2024-01-31T05:00:00", "YOD") == (0, 1, 0, 0, 0, 0, 0)
+    assert parts("2024-01-01T00:00:00", "2024-01-30T05:00:00", "YOD") == (0, 0, 0, 30, 0, 0, 0)
+    assert parts("2023-01-01T00:00:00", "2023-12-31T23:30:00", "YODH") == (1, 0, 0, 0, 0, 0, 0)
+    assert parts("2023-01-01T00:00:00", "2023-03-10T00:00:01", "O") == (0, 3, 0, 0, 0, 0, 0)
+    assert parts("2023-01-01T00:00:00", "2025-03-10T00:00:01", "Y") == (3, 0, 0, 0, 0, 0, 0)
+    assert parts("2023-01-01T00:00:00", "2023-12-10T00:00:01", "YO") == (1, 0, 0, 0, 0, 0, 0)
+    assert parts("2023-01-01T00:00:00", "2023-12-31T12:00:00", "YD") == (0, 0, 0, 365, 0, 0, 0)
+    assert parts("2024-01-01T00:00:00", "2024-12-31T12:00:00", "YD") == (1, 0, 0, 0, 0, 0, 0)

@@ -65,7 +65,7 @@ def test_pages_cover_input(spark, tables):
     size = 40
     seen = set()
     for n in range(1, total // size + 2):
-        seen |= {r.o_orderkey for r in ordering.page(o, [F.col("o_orderkey")], n, size).collect()}
+        seen |= {r.o_orderkey for r in ordering.page(o, ["o_orderkey"], n, size).collect()}
     assert len(seen) == total
 
 
