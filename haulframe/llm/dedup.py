@@ -16,8 +16,9 @@ The row with the longest original text stays, then the smallest id.
 Defined results: a null text counts as empty (all empty texts are one
 group); a null id is a row like any other and loses ties against every
 id; rows equal in text length and id are tied completely, and exactly one
-of them stays; an empty table gives an empty result; other columns are not
-looked at.
+of them stays; very long texts are compared whole; an empty table gives an
+empty result; other columns are not looked at.  Ids are integers (the
+smallest wins by ``bitwise_not``).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulframe.llm.tables import salt_of, with_salts, written
+from haulframe.llm.tables import repeated, salt_of, with_salts, written
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -99,7 +100,7 @@ def _marked(joined: DataFrame) -> DataFrame:
     key = ["id", "len", "keep_id", "size", "sha", "best_len"]
     alike = joined.groupBy("digest", *key).agg(F.count(F.lit(1)).alias("alike"))
     wins = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("best_len"))
-    return (alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("alike"))))
+    return (repeated(alike, "alike", "nth")
             .select("id", "keep_id", "size", (wins & (F.col("nth") == 1)).alias("kept"), "sha", "best_len"))
 
 

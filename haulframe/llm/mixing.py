@@ -20,21 +20,26 @@ tokens are summed per (leaf, epoch, slice of the order), whole slices
 before the border are taken, and only the slice at the border is ordered
 row by row.  The number of slices grows with the leaf.
 
+Only the nodes above the leaves reach the driver; the leaves of a family
+(sources, which may be as many as hosts) share its budget on Spark.
+
 Defined results: nulls in a path column are the node ``""``; a null text
-counts as empty; an empty text has no tokens and is never taken; repeated
-rows are separate rows of the same place in the order; an empty table gives
-an empty result.
+counts as empty; an empty text has no tokens and is never taken; rows that
+agree in id and text have one place in the order, and at the border as many
+of them are taken as the quota has room for; very long texts count whole; an
+empty table gives an empty result; other columns are passed on, and columns
+of documents must not begin with ``__hf_``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulframe.llm.tables import written
+from haulframe.llm.tables import repeated, written
+from haulframe.operators.positions import global_running_sum
 
 Path = tuple[str, ...]
 SLICE_ROWS = 1024
@@ -110,12 +115,9 @@ def mix(docs: DataFrame, path_cols: dict[str, Column], *, total: float | None =
     narrow = written(rows.select(*names, "__hf_tokens", "__hf_key"), "mixing-rows")
     # one row per leaf: the number of leaves is the number of (domain, language, source) combinations
     leaves = narrow.groupBy(*names).agg(F.sum("__hf_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    plan = _plan(leaves, names, total, share, weights or {}, max_epochs)
-    if not plan:
+    quota = _quotas(written(leaves, "mixing-leaves"), names, total, share, weights or {}, max_epochs)
+    if quota is None:
         return rows.limit(0).withColumn("__hf_epoch", F.lit(0)).drop("__hf_key")
-    spark = docs.sparkSession
-    quota = spark.createDataFrame(plan, ", ".join(f"{n} string" for n in names)
-                                  + ", __hf_epoch int, __hf_quota double, __hf_whole boolean, __hf_slices int")
     leaf = [*names, "__hf_epoch"]
 
     def dealt(some: DataFrame) -> DataFrame:
@@ -126,33 +128,72 @@ def mix(docs: DataFrame, path_cols: dict[str, Column], *, total: float | None =
             "__hf_slice", F.when(F.col("__hf_whole"), F.lit(-1)).otherwise(slice_))
 
     border = _borders(dealt(narrow).where(~F.col("__hf_whole")), leaf)
-    cut = border.select(*leaf, F.col("__hf_slice").alias("__hf_at"), F.col("threshold").alias("__hf_threshold"))
+    cut = border.select(*leaf, F.col("__hf_slice").alias("__hf_at"), F.col("threshold").alias("__hf_threshold"),
+                        F.col("left").alias("__hf_left"), (F.col("many") > 1).alias("__hf_tied"))
     placed = dealt(rows).join(cut, leaf, "left")
     s, o = F.col("__hf_slice"), F.col("__hf_order")
+    at_border = F.coalesce((s == F.col("__hf_at")) & (o == F.col("__hf_threshold")) & F.col("__hf_tied"), F.lit(False))
     taken = (F.col("__hf_whole") | (s < F.col("__hf_at"))
              | ((s == F.col("__hf_at")) & (o <= F.col("__hf_threshold"))))
-    return placed.where(taken).select(*docs.columns, "__hf_epoch", "__hf_tokens", *names)
-
-
-def _plan(leaves: DataFrame, names: list[str], total: float | None, share: float,
-          weights: Mapping[Path, float], max_epochs: int) -> list[tuple]:
-    """Rows of (path, epoch, quota in that epoch, whole epoch?, slices)."""
-    found = leaves.collect()
-    have = {tuple(r[n] for n in names): (r["t"], r["n"]) for r in found}
-    total = share * sum(t for t, _ in have.values()) if total is None else total
-    given = budgets({leaf: float(t * max_epochs) for leaf, (t, _) in have.items()}, total, weights)
-    out = []
-    for leaf, amount in sorted(given.items()):
-        t, n = have[leaf]
-        for epoch in range(max_epochs):
-            left = amount - epoch * t
-            if left > 1e-6:
-                out.append((*leaf, epoch, float(left), left >= t - 1e-6, max(1, math.ceil(n / SLICE_ROWS))))
-    return out
+    out = [*docs.columns, "__hf_epoch", "__hf_tokens", *names]
+    chosen = placed.where(taken & ~at_border).select(*out)
+    if border.where("many > 1").isEmpty():
+        return chosen
+    # rows of one place in the order are repeats: equal ones are counted, and as many given out as the quota has room for
+    alike = placed.where(at_border).groupBy(*out, "__hf_left").agg(F.count(F.lit(1)).alias("__hf_n"))
+    before = F.coalesce(F.sum(F.col("__hf_n") * F.col("__hf_tokens")).over(
+        Window.partitionBy(*leaf).orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.ceil((F.col("__hf_left") - before) / F.col("__hf_tokens")).cast("bigint")
+    some = alike.withColumn("__hf_n", F.greatest(F.lit(0), F.least("__hf_n", room)))
+    return chosen.unionByName(repeated(some.drop("__hf_left"), "__hf_n"))
+
+
+def _quotas(leaves: DataFrame, names: list[str], total: float | None, share: float,
+            weights: Mapping[Path, float], max_epochs: int) -> DataFrame | None:
+    """Per leaf and epoch it is taken in: __hf_quota, __hf_whole (the whole epoch?) and __hf_slices; None without leaves.
+
+    ``leaves``: path, t (tokens), n (rows).  The driver sees the nodes above
+    the leaves.  Leaves of a family are filled on Spark, in the order of
+    tokens per weight: those that are full before the level is reached give
+    all they have, the others share the rest by weight.
+    """
+    spark, parents = leaves.sparkSession, names[:-1]
+    have = {tuple(r[n] for n in parents): r["t"] for r in leaves.groupBy(*parents).agg(F.sum("t").alias("t")).collect()}
+    if not have:
+        return None
+    total = share * sum(have.values()) if total is None else total
+    given = budgets({p: float(t * max_epochs) for p, t in have.items()}, total, weights)
+    amounts = spark.createDataFrame([(*p, a) for p, a in given.items()], ", ".join(f"{n} string" for n in [*parents, "a"]).removesuffix("string") + "double")
+    own = {k: float(w) for k, w in weights.items() if len(k) == len(names)}
+    family = leaves.withColumn("room", F.col("t") * max_epochs)
+    if own:  # as many rows as the caller gave weights
+        named = spark.createDataFrame([(*k, w) for k, w in own.items()], ", ".join(f"{n} string" for n in names) + ", own double")
+        family = family.join(named, names, "left").withColumn("w", F.coalesce("own", F.lit(1.0))).drop("own")
+    else:
+        family = family.withColumn("w", F.lit(1.0))
+    per_weight = F.when(F.col("w") > 0, F.col("room") / F.col("w")).otherwise(float("inf"))
+    order = [*map(F.col, parents), per_weight, F.col(names[-1])]
+    family = global_running_sum(global_running_sum(family, order, "room", "rooms"), order, "w", "ws")
+    starts = family.groupBy(*parents).agg(F.min(F.col("rooms") - F.col("room")).alias("room0"), F.min(F.col("ws") - F.col("w")).alias("w0"), F.sum("w").alias("w_all"))
+    family = family.join(starts.join(amounts, parents), parents)
+    rest = F.col("a") - (F.col("rooms") - F.col("room") - F.col("room0"))
+    weight_left = F.col("w_all") - (F.col("ws") - F.col("w") - F.col("w0"))
+    full = (F.col("w") > 0) & (rest * F.col("w") >= (F.col("room") - 1e-9) * weight_left)
+    family = family.withColumn("full", full)
+    level = family.groupBy(*parents).agg(F.sum(F.when(F.col("full"), F.col("room")).otherwise(0)).alias("filled"),
+                                         F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).alias("w_open"))
+    amount = F.when(F.col("full"), F.col("room").cast("double")).when(F.col("w_open") > 0, F.greatest(
+        F.lit(0.0), F.col("a") - F.col("filled")) * F.col("w") / F.col("w_open")).otherwise(0.0)
+    family = family.join(level, parents).withColumn("amount", F.least(amount, F.col("room").cast("double")))
+    epochs = family.withColumn("__hf_epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+    left = F.col("amount") - F.col("__hf_epoch") * F.col("t")
+    return written(epochs.where(left > 1e-6).select(
+        *names, "__hf_epoch", left.cast("double").alias("__hf_quota"), (left >= F.col("t") - 1e-6).alias("__hf_whole"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE_ROWS)).cast("int").alias("__hf_slices")), "mixing-quotas")
 
 
 def _borders(dealt: DataFrame, leaf: list[str]) -> DataFrame:
-    """Per leaf and epoch: the slice where the quota ends and the last order value taken in it."""
+    """Per leaf and epoch: the slice where the quota ends, the last order value taken in it, the rows there and the tokens left for them."""
     narrow = dealt.select(*leaf, "__hf_quota", "__hf_slice", "__hf_order", "__hf_tokens")
     # a slice holds about SLICE_ROWS rows, so this has about rows / SLICE_ROWS rows
     sums = narrow.groupBy(*leaf, "__hf_quota", "__hf_slice").agg(F.sum("__hf_tokens").alias("t"))
@@ -161,8 +202,11 @@ def _borders(dealt: DataFrame, leaf: list[str]) -> DataFrame:
     at = (sums.withColumn("before", before).where("before < __hf_quota AND before + t >= __hf_quota")
           .drop("__hf_quota", "t"))
     inside = narrow.join(at, [*leaf, "__hf_slice"])  # by slice too, so a hot leaf is dealt out
-    same = inside.groupBy(*leaf, "__hf_slice", "before", "__hf_quota", "__hf_order").agg(F.sum("__hf_tokens").alias("t"))
+    same = inside.groupBy(*leaf, "__hf_slice", "before", "__hf_quota", "__hf_order").agg(
+        F.sum("__hf_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     upto = F.coalesce(F.sum("t").over(Window.partitionBy(*leaf, "__hf_slice").orderBy("__hf_order")
                                       .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return written(same.withColumn("upto", upto).where("before + upto < __hf_quota")
-                   .groupBy(*leaf, "__hf_slice").agg(F.max("__hf_order").alias("threshold")), "mixing-borders")
+                   .groupBy(*leaf, "__hf_slice").agg(
+                       F.max("__hf_order").alias("threshold"), F.max_by("n", "__hf_order").alias("many"),
+                       F.max_by(F.col("__hf_quota") - F.col("before") - F.col("upto"), F.col("__hf_order")).alias("left")), "mixing-borders")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulframe.session import materialize
 
-__all__ = ["table", "written", "salt_of", "with_salts"]
+__all__ = ["table", "written", "salt_of", "with_salts", "repeated"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +31,14 @@ def salt_of(salts: int, *cols: str | Column) -> Column:
 def with_salts(df: DataFrame, salts: int, out: str) -> DataFrame:
     """Each row once per salt, for the small side of a salted join."""
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def repeated(df: DataFrame, times: str, out: str | None = None, block: int = 65536) -> DataFrame:
+    """Each row ``times`` times (a bigint column, which is dropped); ``out``: the number of the copy, from 1.
+
+    Written out in blocks, so no array is longer than ``block`` however often a row repeats.
+    """
+    first = F.col("__block") * block
+    blocks = df.where(F.col(times) > 0).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / block))))
+    copies = blocks.withColumn("__copy", F.explode(F.sequence(first + 1, F.least(F.col(times), first + block)))).drop(times, "__block")
+    return copies.withColumnRenamed("__copy", out) if out else copies.drop("__copy")
