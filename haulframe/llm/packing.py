@@ -3,16 +3,22 @@
 A document's ids are its byte-level BPE ids followed by an end id.  Longer
 documents are cut from the back, so all pieces but the first are full; a
 full piece is a sequence of its own and is never shuffled.  The remaining
-pieces are dealt into groups of bounded size (the number of groups follows
-from their count), and each group is packed by bounded-space best fit in
-falling order of length: the open bins are kept in a bitset keyed by free
-space, a piece goes to the bin it fills best, and when ``open_bins`` bins
-are open the fullest closes first.
+pieces are dealt into streams of bounded length (the number of streams
+follows from their count), and each stream is packed online by bounded-space
+best fit: the open bins are kept in a bitset keyed by free space, a piece
+goes to the bin that it fills best, and when ``open_bins`` bins are open and
+none has room, the fullest closes first.
+
+A stream is fed through a look-ahead of ``look_ahead`` pieces: of those that
+wait, the longest one that fits behind the piece fed last goes next, else
+the longest of all.  So bins fill up soon after they open, and few open bins
+do: the bound is reached all the time, and what closes is full but for less
+than the shortest waiting piece.
 
 Defined results: a null text counts as empty, and an empty document is one
 piece holding the end id; a null id is a row like any other; repeated rows
-are packed once each; an empty table gives an empty result; other columns
-are not looked at.
+are packed once each; very long texts are cut into as many pieces as they
+need; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -56,6 +62,7 @@ def encoder(path: str) -> tiktoken.Encoding:
     with open(path, encoding="utf-8") as f:
         if path.endswith(".json"):
             read = json.load(f)
+            _expect_byte_level(read, path)
             special = {t["content"]: t["id"] for t in read["added_tokens"] if t["special"]}
             letters = _bytes_of_letters()
             ranks = {bytes(letters[c] for c in token): i for token, i in read["model"]["vocab"].items() if token not in special}
@@ -65,6 +72,17 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
+def _expect_byte_level(read: dict, path: str) -> None:
+    """``SPLIT`` is the split of a plain byte-level pre-tokenizer; other files would get other ids."""
+    before = read.get("pre_tokenizer") or {}
+    model = read["model"]
+    plain = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+             and read.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
+             and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+    if not plain:
+        raise ValueError(f"{path}: only byte-level BPE with the standard split is read")
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
     enc = encoder(path)
     if any(s in text for s in enc.special_tokens_set):
@@ -104,53 +122,87 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, m
     return rows.mapInArrow(cut, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_fit(lengths: list[int], most: int, open_bins: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each length, in the order given."""
-    by_free: list[list[int]] = [[] for _ in range(most + 1)]
-    free_set = 0  # bit f is set while some open bin has f places left
-    opened = bins = 0
-    where, offsets = [], []
-    for n in lengths:
-        fits = free_set >> n
+def feed(lengths: list[int], most: int, look_ahead: int) -> Iterator[int]:
+    """Places in ``lengths`` in the order in which they are packed, seen through a look-ahead."""
+    waiting: list[list[int]] = [[] for _ in range(most + 1)]
+    waiting_set = 0  # bit n is set while a piece of length n waits
+    seen = held = free = 0
+    while seen < len(lengths) or held:
+        while seen < len(lengths) and held < look_ahead:
+            waiting[lengths[seen]].append(seen)
+            waiting_set |= 1 << lengths[seen]
+            seen += 1
+            held += 1
+        fits = waiting_set & ((1 << (free + 1)) - 1)
+        n = (fits or waiting_set).bit_length() - 1
+        free = free - n if fits else most - n
+        yield waiting[n].pop()
+        held -= 1
+        if not waiting[n]:
+            waiting_set &= ~(1 << n)
+
+
+class OpenBins:
+    """Bounded-space online best fit: at most ``open_bins`` bins, in a bitset keyed by free space."""
+
+    def __init__(self, most: int, open_bins: int):
+        self.most, self.open_bins = most, open_bins
+        self.by_free: list[list[int]] = [[] for _ in range(most + 1)]
+        self.free_set = 0  # bit f is set while some open bin has f places left
+        self.opened = self.bins = self.closed = 0
+
+    def _take(self, free: int) -> int:
+        bin_ = self.by_free[free].pop()
+        if not self.by_free[free]:
+            self.free_set &= ~(1 << free)
+        self.opened -= 1
+        return bin_
+
+    def place(self, n: int) -> tuple[int, int]:
+        """Bin and offset of a piece of length n."""
+        fits = self.free_set >> n
         if fits:
             free = n + (fits & -fits).bit_length() - 1
-            bin_ = by_free[free].pop()
-            if not by_free[free]:
-                free_set &= ~(1 << free)
-            opened -= 1
+            bin_ = self._take(free)
         else:
-            if opened >= open_bins:
-                fullest = (free_set & -free_set).bit_length() - 1
-                by_free[fullest].pop()
-                if not by_free[fullest]:
-                    free_set &= ~(1 << fullest)
-                opened -= 1
-            free, bin_, bins = most, bins, bins + 1
-        where.append(bin_)
-        offsets.append(most - free)
+            if self.opened >= self.open_bins:
+                self._take((self.free_set & -self.free_set).bit_length() - 1)
+                self.closed += 1
+            free, bin_ = self.most, self.bins
+            self.bins += 1
         if free > n:
-            by_free[free - n].append(bin_)
-            free_set |= 1 << (free - n)
-            opened += 1
+            self.by_free[free - n].append(bin_)
+            self.free_set |= 1 << (free - n)
+            self.opened += 1
+        return bin_, self.most - free
+
+
+def best_fit(lengths: list[int], most: int, open_bins: int, look_ahead: int = 1) -> tuple[list[int], list[int]]:
+    """Bin and offset of each length, packed as a stream."""
+    bins = OpenBins(most, open_bins)
+    where, offsets = [0] * len(lengths), [0] * len(lengths)
+    for i in feed(lengths, most, look_ahead):
+        where[i], offsets[i] = bins.place(lengths[i])
     return where, offsets
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most: int = 1024, end_id: int = 2,
-         path: str | None = None, group_pieces: int = 16384, open_bins: int = 8192) -> DataFrame:
+         path: str | None = None, stream_pieces: int = 65536, open_bins: int = 64, look_ahead: int = 4096) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = written(pieces(docs, id_col, text_col, most=most, end_id=end_id, path=path), "packing-pieces")
     full = (cut.where(F.col("length") == most)
             .withColumn("sequence_id", -F.monotonically_increasing_id() - 1)
             .withColumn("offset", F.lit(0).cast("bigint")))
     rest = cut.where(F.col("length") < most)
-    groups = max(1, math.ceil(rest.count() / group_pieces))
+    streams = max(1, math.ceil(rest.count() / stream_pieces))
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("length", "descending"), ("id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        where, offsets = best_fit(part.column("length").to_pylist(), most, open_bins)
-        ids = pa.array(part.column("group").to_numpy() * 2 ** 32 + np.array(where, np.int64), pa.int64())
-        return part.drop_columns("group").append_column("sequence_id", ids).append_column("offset", pa.array(offsets, pa.int64()))
-
-    dealt = rest.withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-    packed = dealt.groupBy("group").applyInArrow(run, full.schema)
+        # the same order whenever the task runs again
+        part = part.sort_by([("id", "ascending"), ("start", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")])
+        where, offsets = best_fit(part.column("length").to_pylist(), most, open_bins, look_ahead)
+        ids = pa.array(part.column("stream").to_numpy() * 2 ** 32 + np.array(where, np.int64), pa.int64())
+        return part.drop_columns("stream").append_column("sequence_id", ids).append_column("offset", pa.array(offsets, pa.int64()))
+
+    dealt = rest.withColumn("stream", F.pmod(F.monotonically_increasing_id(), F.lit(streams)))
+    packed = dealt.groupBy("stream").applyInArrow(run, full.schema)
     return full.unionByName(packed).withColumnRenamed("id", id_col)

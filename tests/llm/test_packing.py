@@ -32,18 +32,60 @@ def test_only_the_first_piece_is_short():
     assert packing.cuts(3, 4) == [(0, 3)]
 
 
-def test_bins_stay_within_their_size_whatever_the_number_of_open_bins():
+def check_bins(lengths, where, offsets):
+    fill = {}
+    for w, o, n in sorted(zip(where, offsets, lengths)):
+        assert fill.get(w, 0) == o
+        fill[w] = o + n
+    assert max(fill.values()) <= 1024
+    return len(fill)
+
+
+def test_bins_stay_within_their_size_whatever_the_bounds():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 1024, 3000).tolist()
     fewest = -(-sum(lengths) // 1024)
     for open_bins in (1, 4, 100, 10_000):
-        where, offsets = packing.best_fit(sorted(lengths, reverse=True), 1024, open_bins)
-        fill = {}
-        for w, o, n in zip(where, offsets, sorted(lengths, reverse=True)):
-            assert fill.get(w, 0) == o
-            fill[w] = o + n
-        assert max(fill.values()) <= 1024
-    assert len(fill) <= fewest * 1.01 + 2
+        for look_ahead in (1, 50, 10_000):
+            bins = check_bins(lengths, *packing.best_fit(lengths, 1024, open_bins, look_ahead))
+    assert bins <= fewest * 1.01 + 2
+
+
+def test_the_bound_is_reached_and_the_fullest_closes_first():
+    bins = packing.OpenBins(10, 2)
+    assert [bins.place(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]  # 7 of 10 was the fullest when 8 came
+    assert bins.closed == 1 and bins.place(4) == (0, 6) and bins.place(3) == (3, 0) and bins.place(2) == (2, 8)
+    # the setting of the registered query: the bound holds, and it costs next to nothing
+    rng = np.random.default_rng(3)
+    lengths = [int(n) for n in rng.lognormal(5.5, 1, 20_000) if 1 <= n < 1024]
+    order = list(packing.feed(lengths, 1024, 4096))
+    assert sorted(order) == list(range(len(lengths)))
+    bins = packing.OpenBins(1024, 64)
+    for i in order:
+        bins.place(lengths[i])
+        assert bins.opened <= 64
+    fewest = -(-sum(lengths) // 1024)
+    # 64 bins of thousands: nearly all are closed by filling up or by the bound
+    assert bins.bins <= 1.005 * fewest + 1 and bins.bins > 20 * 64
+
+
+def test_the_look_ahead_is_bounded():
+    lengths = [5] * 100 + [1000] * 10
+    order = list(packing.feed(lengths, 1024, 8))
+    for k, i in enumerate(order):
+        assert i < k + 8
+
+
+def test_other_pre_tokenizers_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    read = json.load(open(PATH, encoding="utf-8"))
+    read["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(read), encoding="utf-8")
+    with pytest.raises(ValueError):
+        packing.token_ids("a", str(tmp_path / "other.json"))
 
 
 def rows_of(spark):
@@ -55,7 +97,7 @@ def rows_of(spark):
 
 def test_round_trip(spark):
     rows, df = rows_of(spark)
-    out = packing.pack(df, group_pieces=16).collect()
+    out = packing.pack(df, stream_pieces=16).collect()
     want = []
     for i, text, _ in rows:
         ids = REFERENCE.encode(text or "", add_special_tokens=False).ids + [2]
