@@ -7,19 +7,25 @@ rule's; the longest rule wins.  Where none fits, the method decides:
    hexadecimal ids) are generalised by shape.  Equal (host, shaped path)
    rows are one row from here on, with their pages and their labelled and
    good pages counted.
-2. Per host a tree is grown from the root, one level per segment.  Children
-   of a node whose share of good pages does not differ from their siblings'
-   by a two-proportion z test become one ``*`` branch (a child without
-   labels differs from nobody), however many children there are.
+2. Per host a tree is grown from the root, one branching per round.
+   Children of a node whose share of good pages does not differ from their
+   siblings' by a two-proportion z test become one ``*`` branch (a child
+   without labels differs from nobody), however many children there are.
+   Those that differ are sorted by share, and neighbours that the same test
+   does not part are one branch, ``{first+others}``.
+   A chain, where the paths of a node only go on or end, is decided in the
+   same round, whatever its length.
 3. A node's purity is its share of good labelled pages smoothed towards its
-   parent's with ``weight`` pseudo pages; the host's parent is the whole
-   corpus.  A template whose purity is below ``least_purity`` is rejected.
+   parent's with ``weight`` pseudo pages.  Above the host come its domains,
+   label by label, and above them the whole corpus: pages of a host without
+   labels lean on its sister hosts.  A template whose purity is below
+   ``least_purity`` is rejected.
 
 Labels are, unless given, the verdicts of the rules on the pages they fit.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path and gets the method's verdict for that (empty) template; paths of any
-number of segments are followed to their end; a null id is a row like any
+number of segments are followed to their end, very long ones too; a null id is a row like any
 other; repeated rows are judged alike; an empty table gives an empty result;
 other columns are not looked at.
 """
@@ -28,7 +34,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.llm.tables import salt_of, with_salts, written
@@ -55,8 +61,6 @@ class Rule:
 
 @dataclass(frozen=True)
 class Tree:
-    depth: int = 5  # this and the next: of the statement in urls_sql.py only
-    variable_from: int = 16
     z: float = 1.96
     weight: float = 4.0
     least_purity: float = 0.3
@@ -118,49 +122,111 @@ def grow(rows: DataFrame, tree: Tree) -> DataFrame:
     """host, segs, template and smoothed purity of every distinct (host, shaped path)."""
     counts = [F.count("good").alias("seen"), F.coalesce(F.count_if("good"), F.lit(0)).alias("fine")]
     paths = written(rows.groupBy("host", "segs").agg(*counts), "url-paths")
-    whole = paths.agg(F.sum("seen").alias("s"), F.sum("fine").alias("f")).select(
-        (F.coalesce("f", F.lit(0)) + tree.weight * 0.5) / (F.coalesce("s", F.lit(0)) + tree.weight))
-    hosts = paths.groupBy("host").agg(F.sum("seen").alias("s"), F.sum("fine").alias("f"))
-    hosts = hosts.select("host", ((F.col("f") + tree.weight * whole.scalar()) / (F.col("s") + tree.weight)).alias("purity"))
     nodes = (paths.withColumn("salt", salt_of(SALTS, "segs"))
-             .join(with_salts(hosts, SALTS, "salt"), ["host", "salt"]).drop("salt").withColumn("template", F.lit("")))
-    nodes = written(nodes.withColumn("goes_on", F.size("segs") > 0), "url-tree")
-    out, level = nodes.where("NOT goes_on"), 0
-    # as many levels as the deepest segment that two paths of a host could share; only rows that go on are written again
+             .join(with_salts(host_purity(paths, tree), SALTS, "salt"), ["host", "salt"]).drop("salt").withColumn("template", F.lit("")))
+    nodes = written(nodes.withColumns({"rest": F.col("segs"), "goes_on": F.size("segs") > 0}), "url-tree")
+    out = nodes.where("NOT goes_on")
+    # a round per branching on the way to a path; only rows that go on are written again
     while not nodes.where("goes_on").isEmpty():
-        nodes = written(_level(nodes.where("goes_on"), level, tree), "url-tree")
-        out, level = out.unionByName(nodes.where("NOT goes_on")), level + 1
+        nodes = written(_round(nodes.where("goes_on"), tree), "url-tree")
+        out = out.unionByName(nodes.where("NOT goes_on"))
     return out.select("host", "segs", "template", "purity")
 
 
-def _level(going: DataFrame, level: int, tree: Tree) -> DataFrame:
-    """Put every row below one child of its node: its own segment, or ``*``; a row alone in its node goes to its end."""
+def host_purity(paths: DataFrame, tree: Tree) -> DataFrame:
+    """host, purity: smoothed from the whole corpus down the host's domains to the host."""
+    hosts = paths.groupBy("host").agg(F.sum("seen").alias("seen"), F.sum("fine").alias("fine"))
+    whole = hosts.agg(F.sum("seen").alias("s"), F.sum("fine").alias("f")).select(
+        (F.coalesce("f", F.lit(0)) + tree.weight * 0.5) / (F.coalesce("s", F.lit(0)) + tree.weight))
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    each = hosts.select("host", "seen", "fine", F.posexplode(domains).alias("level", "domain"))
+    sums = each.groupBy("domain").agg(F.sum("seen").alias("s"), F.sum("fine").alias("f"))
+    # a hot domain (one suffix may hold a third of the hosts) is dealt out by salts
+    placed = (each.select("host", "level", "domain", salt_of(SALTS, "host").alias("salt"))
+              .join(with_salts(sums, SALTS, "salt"), ["domain", "salt"]))
+    chain = placed.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("level", "s", "f"))).alias("chain"))
+    down = F.aggregate("chain", F.col("top"), lambda p, d: (d["f"] + tree.weight * p) / (d["s"] + tree.weight))
+    return chain.withColumn("top", whole.scalar().cast("double")).select("host", down.alias("purity"))
+
+
+def parts(seen: Column, fine: Column, other_seen: Column, other_fine: Column, z: float) -> Column:
+    """Whether the shares of two groups differ by the z test, without a division by nothing; False where one has no labels."""
+    both, gap = seen * other_seen, fine * other_seen - other_fine * seen
+    share = (fine + other_fine) / F.greatest(seen + other_seen, F.lit(1))
+    # z * z: (p - q)^2 > z^2 * share * (1 - share) * (1/a + 1/b)
+    return (both > 0) & (gap.cast("double") * gap > z ** 2 * share * (1 - share) * (seen + other_seen) * both.cast("double"))
+
+
+def _round(going: DataFrame, tree: Tree) -> DataFrame:
+    """Follow the chain below each node, then put every row that goes on below one child: its segment, or a merged branch."""
     node = ["host", "template"]
-    going = going.drop("goes_on").withColumn("seg", F.get("segs", F.lit(level)))
+    walked = written(_chains(going.drop("goes_on"), tree), "url-chains")
+    ended, going = walked.where("size(rest) = 0"), walked.where("size(rest) > 0")
+    going = going.withColumn("seg", F.get("rest", F.lit(0)))
     child = going.groupBy(*node, "seg").agg(F.count(F.lit(1)).alias("paths"), F.sum("seen").alias("seen"), F.sum("fine").alias("fine"))
-    family = child.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("paths").alias("all_paths"),
-                                      F.sum("seen").alias("all_seen"), F.sum("fine").alias("all_fine"))
+    family = child.groupBy(*node).agg(F.sum("seen").alias("all_seen"), F.sum("fine").alias("all_fine"))
     child = (child.withColumn("salt", salt_of(SALTS, "seg"))
              .join(with_salts(family, SALTS, "salt"), [*node, "salt"]).drop("salt"))
-    rest_seen, rest_fine = F.col("all_seen") - F.col("seen"), F.col("all_fine") - F.col("fine")
-    both = F.col("seen") * rest_seen
-    share = F.col("all_fine") / F.greatest("all_seen", F.lit(1))
-    # z * z, without a division by nothing: (p - q)^2 > z^2 * share * (1 - share) * (1/a + 1/b)
-    gap = F.col("fine") * rest_seen - rest_fine * F.col("seen")
-    differs = (both > 0) & (gap.cast("double") * gap > tree.z ** 2 * share * (1 - share) * F.col("all_seen") * both.cast("double"))
-    alone = F.col("kids") == 1
-    named = F.when(alone | differs, F.col("seg")).otherwise(F.lit("*"))
-    moves = child.select(*node, "seg", F.concat("template", F.lit("/"), named).alias("next"), "seen", "fine",
-                         (F.col("all_paths") == 1).alias("single"))
+    differs = parts(F.col("seen"), F.col("fine"), F.col("all_seen") - F.col("seen"), F.col("all_fine") - F.col("fine"), tree.z)
+    child = written(child.select(*node, "seg", "paths", "seen", "fine", differs.alias("differs")), "url-children")
+    moves = (child.where("NOT differs").withColumns({"name": F.lit("*"), "branch": F.lit("*")})
+             .unionByName(_alike(child.where("differs"), node, tree)))
+    moves = moves.select(*node, "seg", F.concat("template", F.lit("/"), "name").alias("next"), "seen", "fine")
     branch = moves.groupBy("host", "next").agg(F.sum("seen").alias("b_seen"), F.sum("fine").alias("b_fine"))
     moves = (moves.drop("seen", "fine").withColumn("salt", salt_of(SALTS, "seg"))
              .join(with_salts(branch, SALTS, "salt"), ["host", "next", "salt"]).drop("salt"))
     below = going.join(moves, [*node, "seg"])
     purity = (F.col("b_fine") + tree.weight * F.col("purity")) / (F.col("b_seen") + tree.weight)
-    # each further node of a single row has the row's own labels
-    rest = F.slice("segs", level + 2, F.size("segs"))
-    to_end = F.aggregate(rest, purity, lambda p, _: (F.col("fine") + tree.weight * p) / (F.col("seen") + tree.weight))
-    path = F.concat_ws("/", F.array("next"), rest)
-    return below.select("host", "segs", "seen", "fine", F.when(F.col("single"), to_end).otherwise(purity).alias("purity"),
-                        F.when(F.col("single"), path).otherwise(F.col("next")).alias("template"),
-                        (~F.col("single") & (F.size("segs") > level + 1)).alias("goes_on"))
+    rest = F.slice("rest", 2, F.size("rest"))
+    moved = below.select("host", "segs", "seen", "fine", purity.alias("purity"), F.col("next").alias("template"), rest.alias("rest"))
+    return moved.unionByName(ended.select(*moved.columns)).withColumn("goes_on", F.size("rest") > 0)
+
+
+def _alike(child: DataFrame, node: list[str], tree: Tree) -> DataFrame:
+    """Children that differ from their siblings, those with one share under one name."""
+    by_share = Window.partitionBy(*node).orderBy(F.col("fine") / F.col("seen"), "seg")
+    apart = parts(F.col("seen"), F.col("fine"), F.lag("seen").over(by_share), F.lag("fine").over(by_share), tree.z)
+    # the children of a node that have labels enough to differ: narrow rows, sorted with spilling
+    ranked = child.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int"))
+    ranked = ranked.withColumn("branch", F.sum("apart").over(by_share).cast("string"))
+    names = ranked.groupBy(*node, "branch").agg(F.min("seg").alias("first"), F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("n") == 1, F.col("first")).otherwise(F.concat(F.lit("{"), "first", F.lit("+"), F.col("n") - 1, F.lit("}")))
+    return ranked.join(names.select(*node, "branch", name.alias("name")), [*node, "branch"]).select(*child.columns, "name", "branch")
+
+
+def _chains(going: DataFrame, tree: Tree) -> DataFrame:
+    """Rows moved to the end of the chain below their node, or to their own end on it.
+
+    The chain follows the node's greatest path as long as the others agree
+    with it or end.  A row's purity is folded over the levels it passes,
+    each with the labels of the rows that reach it.
+    """
+    node = ["host", "template"]
+
+    def joined(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        return rows.join(with_salts(nodes, SALTS, "salt"), [*node, "salt"])
+
+    rows = going.withColumn("salt", salt_of(SALTS, "segs"))
+    rows = joined(rows, going.groupBy(*node).agg(F.max("rest").alias("longest")))
+    same = F.aggregate(F.zip_with("rest", F.slice("longest", F.lit(1), F.size("rest")), lambda x, y: F.equal_null(x, y)),
+                       F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+                       lambda a, eq: F.struct((a["n"] + (a["on"] & eq).cast("int")).alias("n"), (a["on"] & eq).alias("on")), lambda a: a["n"])
+    rows = rows.withColumn("same", same)
+    length = rows.groupBy(*node).agg(F.min(F.when(F.col("same") < F.size("rest"), F.col("same"))).alias("parting"), F.max("same").alias("whole"))
+    length = length.select(*node, F.coalesce("parting", "whole").alias("chain"))
+    rows = written(joined(rows, length).withColumn("passed", F.least(F.size("rest"), F.col("chain"))), "url-chain-rows")
+    # labels of the rows that end at each level; as many levels as a path has segments
+    ends = rows.groupBy(*node, "chain", "passed").agg(F.sum("seen").alias("s"), F.sum("fine").alias("f"), F.max("purity").alias("p"))
+    chain = ends.groupBy(*node, "chain").agg(F.collect_list(F.struct("passed", "s", "f")).alias("ends"), F.max("p").alias("p"))
+
+    def reach(level: Column, what: str) -> Column:
+        return F.aggregate(F.filter("ends", lambda e: e["passed"] >= level), F.lit(0).cast("bigint"), lambda n, e: n + e[what])
+
+    steps = F.aggregate(F.when(F.col("chain") > 0, F.sequence(F.lit(1), F.col("chain"))).otherwise(F.array().cast("array<int>")),
+                        F.array("p"), lambda ps, level: F.concat(ps, F.array(
+                            (reach(level, "f") + tree.weight * F.element_at(ps, -1)) / (reach(level, "s") + tree.weight))))
+    rows = joined(rows.drop("purity", "chain"), chain.select(*node, steps.alias("steps")))
+    template = F.concat_ws("/", F.array("template"), F.slice("rest", F.lit(1), F.col("passed")))
+    return rows.select("host", "segs", "seen", "fine", F.get("steps", F.col("passed")).alias("purity"), template.alias("template"),
+                       F.slice("rest", F.col("passed") + 1, F.size("rest")).alias("rest"))

@@ -47,7 +47,8 @@ def test_templates_by_labelled_purity(spark):
     by = {rows[i][0]: r for i, r in out.items()}
     assert by["http://h.test/spam/999.html"].verdict == "block" and by["http://h.test/spam/999.html"].template == "/spam/{n}.html"
     assert by["http://h.test/news/999.html"].verdict == "allow"
-    assert by["http://h.test/news/999.html"].template == "/news/{n}.html"  # differs from its siblings, half of them bad
+    # news and blog differ from their siblings, half of them bad, and not from each other
+    assert by["http://h.test/news/999.html"].template == by["http://h.test/blog/1"].template == "/{blog+1}/*"
     assert by["http://h.test/other/1"].template == "/*/{n}" and by["http://g.test/one/1"].template == "/*/{n}"  # these do not
     assert by["http://h.test/other/1"].verdict == "allow"
     assert {r.template for r in out.values() if r.host == "free.test"} == {"/*"}
@@ -91,6 +92,117 @@ def test_sections_that_differ_far_down(spark):
         assert (by[u].verdict, by[u].template) == (verdict, template)
 
 
+def parting(a, b, z=1.96):
+    (s, f), (t, g) = a, b
+    if s * t == 0:
+        return False
+    share = (f + g) / (s + t)
+    return (f * t - g * s) ** 2 > z * z * share * (1 - share) * (s + t) * s * t
+
+
+def brute_templates(rows, weight=4.0):
+    """(host, segments) -> (template, purity), level by level in plain Python."""
+    paths = {}
+    for host, segs, good in rows:
+        n = paths.setdefault((host, segs), [0, 0])
+        n[0] += good is not None
+        n[1] += good is True
+    tops, whole = {}, [sum(n[k] for n in paths.values()) for k in (0, 1)]
+    for (host, _), (s, f) in paths.items():
+        labels = host.split(".")
+        for n in range(1, len(labels) + 1):
+            t = tops.setdefault(".".join(labels[-n:]), [0, 0])
+            t[0], t[1] = t[0] + s, t[1] + f
+    out = {}
+
+    def smooth(n, p):
+        return (n[1] + weight * p) / (n[0] + weight)
+
+    def total(group):
+        return [sum(paths[k][i] for k in group) for i in (0, 1)]
+
+    def walk(group, depth, template, purity):
+        for k in group:
+            if len(k[1]) == depth:
+                out[k] = template, purity
+        kids = {}
+        for k in group:
+            if len(k[1]) > depth:
+                kids.setdefault(k[1][depth], []).append(k)
+        counts = {seg: total(g) for seg, g in kids.items()}
+        whole = [sum(c[i] for c in counts.values()) for i in (0, 1)]
+        apart = {seg for seg, c in counts.items() if len(kids) > 1 and parting(c, [whole[0] - c[0], whole[1] - c[1]])}
+        branches, before = [], None
+        for seg in sorted(apart, key=lambda x: (counts[x][1] / counts[x][0], x)):
+            if before is None or parting(counts[before], counts[seg]):
+                branches.append([])
+            branches[-1].append(seg)
+            before = seg
+        named = {min(b) if len(b) == 1 else f"{{{min(b)}+{len(b) - 1}}}": b for b in branches}
+        rest = [seg for seg in kids if seg not in apart]
+        if rest:
+            named[rest[0] if len(kids) == 1 else "*"] = rest
+        for name, some in named.items():
+            below = [k for seg in some for k in kids[seg]]
+            walk(below, depth + 1, f"{template}/{name}", smooth(total(below), purity))
+
+    for host in {h for h, _ in paths}:
+        purity = (whole[1] + weight * 0.5) / (whole[0] + weight)
+        labels = host.split(".")
+        for n in range(1, len(labels) + 1):
+            purity = smooth(tops[".".join(labels[-n:])], purity)
+        walk([k for k in paths if k[0] == host], 0, "", purity)
+    return out
+
+
+def test_templates_against_a_tree_walk(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(11)
+    bad = {"spam", "ads", "win", "pills"}
+    rows = []
+    for _ in range(1500):
+        host = rng.choice(["a.x.net", "b.x.net", "x.net", "y.org", "deep.er.y.org", "localhost", ""])
+        segs = [rng.choice(["spam", "news", "ads", "blog", "win", "pills", "faq"]) for _ in range(rng.choice([0, 1, 1, 2, 2, 3]))]
+        segs = ["in", "all"] * (host == "y.org") + segs + ["page"] * (rng.random() < 0.2)
+        share = 0.05 if bad & set(segs) else 0.95
+        rows.append((host, tuple(segs), None if rng.random() < 0.3 else rng.random() < share))
+    df = spark.createDataFrame([(i, f"http://{h}/" + "/".join(s), g) for i, (h, s, g) in enumerate(rows)], "page_id bigint, url string, fine boolean").repartition(5)
+    want = brute_templates(rows)
+    for r in urls.verdicts(df, [], good=F.col("fine")).collect():
+        template, purity = want[rows[r.page_id][:2]]
+        assert r.template == template and abs(r.purity - purity) < 1e-9, (rows[r.page_id], r.template, template)
+    assert any("+" in t for t, _ in want.values())
+
+
+def test_hosts_lean_on_their_sisters(spark):
+    """A host without labels among bad hosts of its domain is blocked, one among good hosts is not."""
+    from pyspark.sql import functions as F
+    rows = [(f"http://h{i}.bad.net/p/{k}", False) for i in range(20) for k in range(5)] + [(f"http://h{i}.good.net/p/{k}", True) for i in range(40) for k in range(5)]
+    rows += [("http://new.bad.net/x", None), ("http://new.good.net/x", None), ("http://new.other.net/x", None)]
+    df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id bigint, url string, fine boolean")
+    by = {rows[r.page_id][0]: r for r in urls.verdicts(df, [], good=F.col("fine")).collect()}
+    assert [by[f"http://new.{d}.net/x"].verdict for d in ("bad", "good", "other")] == ["block", "allow", "allow"]
+
+
+def test_a_trap_of_two_hundred_segments_takes_a_few_rounds(spark, monkeypatch):
+    """Paths that only go on or end are one chain: rounds follow the branchings, not the depth."""
+    from pyspark.sql import functions as F
+    rounds = []
+    plain = urls._round
+    monkeypatch.setattr(urls, "_round", lambda going, tree: rounds.append(1) or plain(going, tree))
+    rows = [("http://trap.test/" + "/".join(["next"] * k), k % 2 == 0) for k in range(1, 200)]
+    rows += [("http://trap.test/" + "/".join(["next"] * 150 + ["end", x]), x == "a") for x in "ab"]
+    df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id bigint, url string, fine boolean")
+    out = {rows[r.page_id][0]: r for r in urls.verdicts(df, [], good=F.col("fine")).collect()}
+    want = brute_templates([("trap.test", tuple(u.split("/")[3:]), g) for u, g in rows])
+    for u, r in out.items():
+        template, purity = want["trap.test", tuple(u.split("/")[3:])]
+        assert r.template == template and abs(r.purity - purity) < 1e-9
+    assert len(rounds) <= 4
+
+
 def test_empty_table(spark):
     assert urls.verdicts(spark.createDataFrame([], "page_id bigint, url string"), URL_RULES).collect() == []
     one = urls.verdicts(spark.createDataFrame([(None, None)], "page_id bigint, url string"), URL_RULES).collect()
