@@ -5,29 +5,35 @@ through three transducers, each a list of edits (start, end, replacement)
 that yields a rewritten text and a map back to source offsets:
 
 * homoglyphs: full-width and mathematical characters, look-alike Cyrillic
-  and Greek letters, other scripts' digits; invisible characters go;
-* spelled digits: runs of at least ``MIN_SPELLED`` digit words (English,
-  German, French, Spanish), with their "plus", "dot" and "dash" words;
+  and Greek letters, other scripts' digits, character references such as
+  ``&#64;``; invisible characters go;
+* spelled digits: runs of digit words (English, German, French, Spanish),
+  "double" and "triple", digits, and "plus", "dot" and "dash" words;
 * at / dot disguises: bracketed or spelled ``at`` and ``dot`` between the
-  labels of an address.
+  labels of an address, followed label by label from each sign outwards,
+  however long the labels are and however many.
 
 The same ``scan`` runs on the rewritten text, and what it finds across an
-edit is mapped back.  A document without a trigger costs a few searches
-over the text and nothing else.
+edit is mapped back.  Of a number, at least one sign in four must come from
+a word: prose has single digit words next to long numbers too.  A document
+without a trigger costs a few searches over the text and nothing else.
 
 Defined results: a null text counts as empty and has no spans; a null id
-is a row like any other; repeated rows each give a row; an empty table
-gives an empty result; other columns are not looked at.
+is a row like any other; repeated rows each give a row; very long texts are
+read whole, in linear time; an empty table gives an empty result; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
+import html
 import re
 import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,6 +127,12 @@ class Rewritten:
         right = self.old[j + 1] if self.edited[j] else self.old[j] + end - self.new[j]
         return left, right, any(self.edited[i:j + 1])
 
+    def put_in(self, start: int, end: int) -> int:
+        """How many characters of the new text in [start, end) come from edits."""
+        i, j = bisect_right(self.new, start) - 1, bisect_right(self.new, end - 1) - 1
+        ends = self.new[i + 1:j + 2]
+        return sum(min(b, end) - max(a, start) for a, b, e in zip(self.new[i:j + 1], ends, self.edited[i:j + 1]) if e)
+
 
 # Cyrillic and Greek letters that look like Latin ones.
 LOOK_ALIKES = {
@@ -144,7 +156,8 @@ DIGIT_WORDS = {
 # Words for signs, in the same languages.
 SIGN_WORDS = {"plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "minus": "-",
               "hyphen": "-"}
-MIN_SPELLED = 4
+# Words that repeat the digit after them.
+TIMES_WORDS = {"double": 2, "triple": 3, "doble": 2, "doppel": 2}
 
 
 @lru_cache(maxsize=1)
@@ -172,111 +185,196 @@ def glyph_pattern() -> re.Pattern[str]:
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
+REFERENCE = re.compile(r"&(?:#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|commat|period|plus|lowbar|hyphen|dash);")
+
+
 def homoglyphs(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    if "&" in text:
+        found = ((m.span(), html.unescape(m[0])) for m in REFERENCE.finditer(text))
+        edits = [(*span, c if c <= "~" else "-") for span, c in found if "!" <= c <= "~" or c in "\u2010\u2011"]
     if text.isascii():
-        return []
+        return edits
     table = glyphs()
     found = [m.start() for m in glyph_pattern().finditer(text)]
     if BEYOND.search(text):
-        found = sorted(found + [m.start() for m in BEYOND.finditer(text) if m[0] in table])
-    return [(i, i + 1, table[text[i]]) for i in found]
+        found += [m.start() for m in BEYOND.finditer(text) if m[0] in table]
+    return sorted(edits + [(i, i + 1, table[text[i]]) for i in found])
 
 
 _DIGITS = {w: str(i) for words in DIGIT_WORDS.values() for i, w in enumerate(words)} | {"oh": "0"}
 _WORDS = "|".join(sorted(map(re.escape, _DIGITS), key=len, reverse=True))
 _SIGNS = "|".join(map(re.escape, SIGN_WORDS))
-_BREAK = r"[\s,_/-]{1,3}"
-SPELLED = re.compile(
-    rf"(?<!\w)(?:(?:plus|más){_BREAK})?(?:{_WORDS})(?:{_BREAK}(?:(?:{_SIGNS}){_BREAK})?(?:{_WORDS}|[0-9]+)(?!\w))+", re.I)
-ANY_WORD = re.compile(rf"{_WORDS}|{_SIGNS}|[0-9]+", re.I)
-#: Two digit words in a row, the cheapest sign of a spelled number.
-HINT = re.compile(rf"\b(?:{_WORDS})[\s,_/-]{{1,3}}(?:(?:{_SIGNS})[\s,_/-]{{1,3}})?(?:{_WORDS})\b")
+_TIMES = "|".join(TIMES_WORDS)
+_BREAK = r"[\s,_/-]++"
+_ITEM = rf"(?:(?:{_TIMES}){_BREAK}(?:{_WORDS}|[0-9])|{_WORDS}|{_SIGNS}|[0-9]++)(?!\w)"
+SPELLED = re.compile(rf"(?<!\w){_ITEM}(?:{_BREAK}{_ITEM})++", re.I)
+ITEM = re.compile(rf"(?P<times>{_TIMES}){_BREAK}(?P<digit>{_WORDS}|[0-9])|(?P<word>{_WORDS}|{_SIGNS})|[0-9]++", re.I)
+#: A digit word next to another item, the cheapest sign of a spelled number.
+HINT = re.compile(rf"\b(?:{_WORDS}|{_TIMES})[\s,_/-]++(?:{_WORDS}|{_SIGNS}|{_TIMES}|[0-9]+)\b|[0-9]\b[\s,_/-]++(?:{_WORDS}|{_SIGNS}|{_TIMES})\b|\b(?:plus|más)[\s,_/-]++(?:{_WORDS}|[0-9])")
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """An edit per word, and one per break inside a run."""
     edits = []
-    for m in SPELLED.finditer(text):
-        found = [w.lower() for w in ANY_WORD.findall(m[0])]
-        if sum(w in _DIGITS for w in found) >= MIN_SPELLED:
-            edits.append((*m.span(), "".join(_DIGITS.get(w) or SIGN_WORDS.get(w) or w for w in found)))
+    for run in SPELLED.finditer(text):
+        end = run.start()
+        for m in ITEM.finditer(text, *run.span()):
+            if m.start() > end:
+                edits.append((end, m.start(), ""))
+            end = m.end()
+            if m["times"]:
+                edits.append((*m.span(), _digit(m["digit"]) * TIMES_WORDS[m["times"].lower()]))
+            elif m["word"]:
+                edits.append((*m.span(), _digit(m["word"])))
     return edits
 
 
-_GAP = r"[ \t\xa0]{0,3}"
-_OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOT = rf"(?:{_GAP}{_OPEN}{_GAP}(?:dot|punkt|punto|point|\.){_GAP}{_CLOSE}{_GAP}|[ \t\xa0]{{1,3}}(?:dot|punkt|punto)[ \t\xa0]{{1,3}})"
-_AT = rf"(?:{_GAP}{_OPEN}{_GAP}(?:at|@|arroba){_GAP}{_CLOSE}{_GAP}|[ \t\xa0]{{1,3}}(?:at|@|arroba)[ \t\xa0]{{1,3}}|@)"
-_LABEL = r"[A-Za-z0-9-]{1,63}"
-ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?P<at>{_AT})"
-    rf"{_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{1,6}}", re.I)
-NUMBERS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-DISGUISE = re.compile(rf"(?P<at>{_OPEN}{_GAP}(?:at|@|arroba){_GAP}{_CLOSE}|(?<=[ \t\xa0])(?:at|@|arroba)(?=[ \t\xa0]))"
-                      rf"|(?P<dot>{_OPEN}{_GAP}(?:dot|punkt|punto|point|\.){_GAP}{_CLOSE}|(?<=[ \t\xa0])(?:dot|punkt|punto)(?=[ \t\xa0]))", re.I)
+def _digit(word: str) -> str:
+    w = word.lower()
+    return _DIGITS.get(w) or SIGN_WORDS.get(w) or w
+
+
+SPACES = " \t\xa0"
+#: A disguised sign: in brackets, or as a word between spaces.
+DISGUISE = re.compile(r"[\[({<][ \t\xa0]*+(?P<inner>at|@|arroba|dot|punkt|punto|point|\.)[ \t\xa0]*+[\])}>]"
+                      r"|(?<=[ \t\xa0])(?P<outer>at|@|arroba|dot|punkt|punto)(?=[ \t\xa0])", re.I)
 #: What every at / dot disguise holds: a bracketed sign, or a spelled dot.
-SIGNS = re.compile(r"[\[({<][ \t\xa0]{0,3}(?:at|@|arroba|dot|punkt|punto|point|\.)[ \t\xa0]{0,3}[\])}>]"
+SIGNS = re.compile(r"[\[({<][ \t\xa0]*+(?:at|@|arroba|dot|punkt|punto|point|\.)[ \t\xa0]*+[\])}>]"
                    r"|[ \t\xa0](?:dot|punkt|punto)[ \t\xa0]", re.I)
-AROUND = 600
+LABEL = re.compile(r"[A-Za-z0-9_%+-]++")
+HOST_LABEL = re.compile(r"[A-Za-z0-9-]+")
+LABEL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+
+
+class Sign(NamedTuple):
+    start: int
+    end: int
+    put: str  # "@" or "."
+    plain: bool
+    bracketed: bool
+
+
+class Chain(NamedTuple):
+    """Labels with a sign between each two."""
+
+    labels: list[tuple[int, int]]
+    signs: list[Sign]
+
+
+def disguised_signs(text: str) -> list[Sign]:
+    """The disguised signs with the spaces around them."""
+    out: list[Sign] = []
+    for m in DISGUISE.finditer(text):
+        (start, end), least = m.span(), out[-1].end if out else 0
+        while start > least and text[start - 1] in SPACES:
+            start -= 1
+        while end < len(text) and text[end] in SPACES:
+            end += 1
+        word = (m["inner"] or m["outer"]).lower()
+        out.append(Sign(start, end, "@" if word in ("at", "@", "arroba") else ".", False, m["inner"] is not None))
+    return out
+
+
+def chains(text: str) -> Iterator[Chain]:
+    """What reads as one address or number around disguised signs; each character is looked at a bounded number of times."""
+    signs = disguised_signs(text)
+    floor = i = 0
+    while i < len(signs):
+        labels, found = [], []
+        at = signs[i].start
+        while True:  # outwards to the left: labels with plain signs between them
+            start = at
+            while start > floor and text[start - 1] in LABEL_SIGNS:
+                start -= 1
+            if start == at:
+                break
+            labels.insert(0, (start, at))
+            if start - 1 <= floor or text[start - 1] not in ".@":
+                break
+            found.insert(0, Sign(start - 1, start, text[start - 1], True, False))
+            at = start - 1
+        found = found[len(found) - max(len(labels) - 1, 0):]
+        if not labels:
+            i += 1
+            continue
+        sign = signs[i]
+        i += 1
+        while sign is not None and (label := LABEL.match(text, sign.end)):
+            found.append(sign)
+            labels.append(label.span())
+            end, sign = label.end(), None
+            if i < len(signs) and signs[i].start == end:
+                sign, i = signs[i], i + 1
+            elif text[end:end + 1] in (".", "@") and LABEL.match(text, end + 1):
+                sign = Sign(end, end + 1, text[end], True, False)
+        floor = labels[-1][1]
+        if found:
+            yield Chain(labels, found)
 
 
 def at_and_dot(text: str) -> list[tuple[int, int, str]]:
-    """Edits inside what reads as one address; only stretches around a sign are looked at."""
-    stretches: list[list[int]] = []
-    for m in SIGNS.finditer(text):
-        a, b = max(0, m.start() - AROUND), m.end() + AROUND
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
-        else:
-            stretches.append([a, b])
-    edits: dict[int, tuple[int, int, str]] = {}
-    for a, b in stretches:
-        for pattern in (ADDRESS, NUMBERS):
-            for m in pattern.finditer(text, a, b):
-                plain = [s for s in DISGUISE.finditer(text, *m.span())]
-                if pattern is ADDRESS and not believable(m, plain):
-                    continue
-                for s in plain:
-                    start, end = s.span()
-                    while start > m.start() and text[start - 1] in " \t\xa0":
-                        start -= 1
-                    while end < m.end() and text[end] in " \t\xa0":
-                        end += 1
-                    edits[start] = start, end, "@" if s["at"] else "."
-    return [edits[k] for k in sorted(edits)]
+    """Edits inside what reads as one address or number."""
+    used: set[Sign] = set()
+    for labels, signs in chains(text):
+        ats = [k for k, s in enumerate(signs) if s.put == "@"]
+        for n, k in enumerate(ats):
+            first = ats[n - 1] + 1 if n else 0  # a label is left of the sign with its number
+            last = ats[n + 1] if n + 1 < len(ats) else len(signs)
+            host = [text[a:b] for a, b in labels[k + 1:last + 1]]
+            while host and not HOST_LABEL.fullmatch(host[-1]):
+                host.pop()
+            own = signs[first:k + len(host)]
+            if len(host) > 1 and believable(host, own, signs[k]):
+                used.update(own)
+        run: list[int] = []
+        for k, (a, b) in enumerate([*labels, (0, 0)]):
+            number = b - a in (1, 2, 3) and text[a:b].isdigit()
+            if run and (not number or signs[k - 1].put != "."):
+                if len(run) > 3:
+                    used.update(signs[run[0]:run[-1]])
+                run = []
+            if number:
+                run.append(k)
+    return [(s.start, s.end, s.put) for s in sorted(used) if not s.plain]
 
 
 # Words that follow a plain "at" in prose.
 DETERMINERS = frozenset("a an the this that these those my your his her its our their all each every which".split())
 
 
-def believable(m: re.Match[str], signs: list[re.Match[str]]) -> bool:
-    """Prose has a plain " at " too: it counts only with a disguised dot behind it, and not alone."""
-    if not any(s["dot"] or not s[0].isalpha() for s in signs):
+def believable(host: list[str], signs: list[Sign], at: Sign) -> bool:
+    """Prose has a plain " at " too: it counts only with a disguised dot or a bracket, and not before a determiner."""
+    if not any(not s.plain and (s.put == "." or s.bracketed) for s in signs):
         return False
-    host = m[0][m.end("at") - m.start():]
-    return bool(re.search(r"[A-Za-z]{2,}$", host)) and re.match(r"[A-Za-z]*", host)[0].lower() not in DETERMINERS
+    prose = not at.plain and not at.bracketed and re.match(r"[A-Za-z]*", host[0])[0].lower() in DETERMINERS
+    return bool(re.search(r"[A-Za-z]{2,}$", host[-1])) and not prose
 
 
 def disguised(text: str) -> list[Span]:
     """Identifiers that only the rewritten text shows, as spans of ``text``."""
-    steps: list[Rewritten] = []
+    steps: list[tuple[Rewritten, bool]] = []
     now = text
     for transducer, hint in ((homoglyphs, None), (spelled_digits, HINT), (at_and_dot, SIGNS)):
         if hint is not None and not hint.search(now if hint is SIGNS else now.lower()):
             continue
         if edits := transducer(now):
-            steps.append(Rewritten(now, edits))
-            now = steps[-1].text
+            steps.append((Rewritten(now, edits), transducer is spelled_digits))
+            now = steps[-1][0].text
     if not steps:
         return []
     found = []
     for kind, start, end in scan(now):
-        touched = False
-        for step in reversed(steps):
+        touched, number, worded = False, len(digits(now[start:end])), 0
+        for step, spelled in reversed(steps):
+            worded += step.put_in(start, end)
             start, end, edited = step.back(start, end)
+            if spelled and edited and 4 * worded < number and kind != "email":
+                break
             touched |= edited
-        if touched:
-            found.append((kind, start, end))
+        else:
+            if touched:
+                found.append((kind, start, end))
     return found
 
 
