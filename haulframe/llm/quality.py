@@ -1,14 +1,16 @@
 """Document quality: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Fitting uses a bounded sample of labelled rows (``fit_rows`` documents, the
-ones with the smallest hash of the id) and has three steps:
+Fitting has three steps, the first two over all documents, the last on a
+bounded sample of labelled ones (``fit_rows`` ids of the fit fold, those with
+the smallest hash, one text each):
 
-* the ``vocabulary`` most frequent tokens of the sample get a row each;
-  every other token shares one of a fixed number of rows by its shape
-  (letters, capitals, digits, symbols) and hash;
+* the ``vocabulary`` most frequent tokens get a row each; every other token
+  shares one of a fixed number of rows by its shape (letters, capitals,
+  digits, symbols) and hash;
 * random indexing: every row has a fixed sparse ternary index vector, and
   its word vector is the sum of the index vectors of the tokens within
-  ``window`` places, over all occurrences (one grouped sum on Spark);
+  ``window`` places, over all occurrences (one grouped sum on Spark, of whole
+  numbers, so it does not depend on the order of the rows);
 * a two-layer numpy network on the pooled vectors (mean, deviation and the
   mean product of neighbours) and three length and repetition figures,
   trained on four fifths of the sample; the temperature that calibrates its
@@ -21,7 +23,11 @@ Defined results: a null text counts as empty; an empty text gets the
 network's score for a document without tokens; ids with both labels, null
 ids and labels other than 0 and 1 are not learnt from; without rows of
 both labels every score is the smoothed share of label 1 (0.5 when there
-are no labels at all).
+are no labels at all).  Repeated rows are scored alike, and all count for
+the vocabulary; of the texts of one sampled id the smallest is learnt from;
+ties of token counts and of hashes are decided by the token and the id; very
+long texts are read whole, in slices; an empty table gives an empty result;
+other columns are passed on by ``keep_good`` and not looked at.
 """
 
 from __future__ import annotations
@@ -79,18 +85,22 @@ def index_vectors(rows: int, dims: int, seed: int) -> np.ndarray:
     return out
 
 
-def contexts(ids: np.ndarray, lengths: np.ndarray, index: np.ndarray, window: int) -> np.ndarray:
+def contexts(ids: np.ndarray, lengths: np.ndarray, index: np.ndarray, window: int, step: int = 500_000) -> np.ndarray:
     """Summed index vectors of the neighbours of each row's occurrences."""
-    out = np.zeros(index.shape, np.float64)
+    size, dims = index.shape
+    places = np.nonzero(index)[1].reshape(size, -1)  # as many in every row
+    signs = np.take_along_axis(index, places, axis=1)
+    out = np.zeros(size * dims, np.float64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     for gap in range(1, window + 1):
-        for a in range(0, max(len(ids) - gap, 0), 100_000):
-            b = min(a + 100_000, len(ids) - gap)
+        for a in range(0, max(len(ids) - gap, 0), step):
+            b = min(a + step, len(ids) - gap)
             same = doc[a:b] == doc[a + gap:b + gap]
-            left, right = ids[a:b][same], ids[a + gap:b + gap][same]
-            np.add.at(out, left, index[right])
-            np.add.at(out, right, index[left])
-    return out
+            left, right = ids[a:b][same].astype(np.int64), ids[a + gap:b + gap][same].astype(np.int64)
+            for row, near in ((left, right), (right, left)):
+                for k in range(places.shape[1]):
+                    out += np.bincount(row * dims + places[near, k], signs[near, k], len(out))
+    return out.reshape(size, dims)
 
 
 def tokenised(texts: list[str], rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,19 +194,21 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, label_col: str) ->
               .orderBy("h", "doc_id").limit(fit_rows))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # broadcast: at most fit_rows rows of three numbers
-    return rows.join(F.broadcast(usable), "doc_id").select("h", "label", "text")
+    found = rows.join(F.broadcast(usable), "doc_id")
+    return found.groupBy("doc_id", "h", "label").agg(F.min("text").alias("text")).select("h", "label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fit_rows: int = 6000,
         vocabulary: int = 16384, dims: int = 32, window: int = 2, hidden: int = 24, seed: int = 7) -> Model:
-    """Train on at most ``fit_rows`` labelled documents of the fit fold."""
+    """Word vectors of all ``docs``, and the network from at most ``fit_rows`` labelled ones of the fit fold."""
     rows = written(sample(docs, labels, fit_rows, label_col).repartition(8), "quality-sample")
     counts = dict(rows.groupBy("label").count().collect())
     good, all_ = counts.get(1, 0), sum(counts.values())
     prior = (good + 1) / (all_ + 2)
     if good in (0, all_):
         return Model([], None, None, None, 1.0, prior)
-    top = (rows.select(F.explode(F.split(F.trim("text"), r"\s+")).alias("w")).where("w <> ''")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    top = (texts.select(F.explode(F.split(F.trim("text"), r"\s+")).alias("w")).where("w <> ''")
            .groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary))
     words = [r.w for r in top.collect()]
     size = len(words) + SHAPES * SHARED
@@ -206,15 +218,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fit_r
         known = Rows(words)
         out = np.zeros(index.shape, np.float64)
         for batch in batches:
-            texts = list(batch["text"])
-            ids, lengths, _ = tokenised(texts, known)
+            ids, lengths, _ = tokenised(list(batch["text"]), known)
             out += contexts(ids, lengths, index, window)
         used = np.flatnonzero(out.any(axis=1))
         yield pd.DataFrame(out[used], columns=names).assign(row=used)[["row", *names]]
 
     names = [f"v{i}" for i in range(dims)]
     schema = "row long, " + ", ".join(f"{n} double" for n in names)
-    summed = rows.select("text").mapInPandas(gather, schema).groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
+    summed = texts.mapInPandas(gather, schema).groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
     table = summed.toPandas()  # one row per vocabulary entry at most
     vectors = np.zeros((size, dims), np.float32)
     vectors[table["row"].to_numpy()] = table[names].to_numpy()

@@ -37,6 +37,55 @@ def test_evidence_is_fused(spark, model):
     assert all(0 < r.confidence <= 1.0000001 for r in out)
 
 
+def test_posteriors_against_plain_python(spark, model):
+    """Every step of the fusion recomputed page by page: text, declaration, and the host's prior through its levels."""
+    import math
+    import re
+    from collections import defaultdict
+
+    pages = spark.read.parquet(f"{MEDIUM}/pages.parquet")
+    langs, weight, strength = model.languages, 0.2, 8.0
+    size = len(langs)
+
+    def softmax(x):
+        top = max(x)
+        e = [math.exp(v - top) for v in x]
+        return [v / sum(e) for v in e]
+
+    def smooth(sums, up):
+        return [(s + strength * p) / (sum(sums) + strength) for s, p in zip(sums, up)]
+
+    seen = {}
+    sums = {k: defaultdict(lambda: [0.0] * size) for k in ("host", "domain", "suffix", "declared")}
+    for r in pages.collect():
+        html = r.html or ""
+        logs = [0.0] * size
+        for word in re.findall(r"[^\W\d_]+", langid.visible_text(html).lower()):
+            for g in langid.trigrams(word):
+                row = model.logs[model.grams.get(g, -1)]
+                logs = [a + weight * b for a, b in zip(logs, row)]
+        host = re.match(r"[^/?#]*", r.url.split("://", 1)[1])[0].lower()
+        labels = host.split(":")[0].split(".")
+        said = langid.declared_language(html)
+        keys = {"host": host, "domain": ".".join(labels[-2:]), "suffix": labels[-1], "declared": said if said in langs else "other" if said else "none"}
+        share = softmax(logs)
+        seen[r.page_id] = keys, logs, share
+        for k, v in keys.items():
+            sums[k][v] = [a + b for a, b in zip(sums[k][v], share)]
+    whole = [sum(x) for x in zip(*(share for _, _, share in seen.values()))]
+    root = smooth(whole, [1 / size] * size)
+    per_language = [sum(x) for x in zip(*sums["declared"].values())]
+    for r in langid.languages_of_pages(pages, model).collect():
+        keys, logs, share = seen[r.page_id]
+        up = smooth(sums["domain"][keys["domain"]], smooth(sums["suffix"][keys["suffix"]], root))
+        prior = smooth([max(s - own, 0.0) for s, own in zip(sums["host"][keys["host"]], share)], up)
+        said = [0.0] * size if keys["declared"] == "none" else [
+            math.log((s + 0.5) / (t + 0.5 * (size + 2))) for s, t in zip(sums["declared"][keys["declared"]], per_language)]
+        p = softmax([a + math.log(max(b, 1e-12)) + c for a, b, c in zip(logs, prior, said)])
+        assert r.lang == langs[p.index(max(p))] and abs(r.confidence - max(p)) < 1e-6 and r.text_lang == langs[share.index(max(share))]
+        assert (r.declared, r.host) == (keys["declared"], keys["host"])
+
+
 def test_rare_languages_have_models(spark):
     """Each language is sampled by itself: a few texts among many of another language make a model."""
     docs = [(i, "en", f"the weather of day {i} was fine and the people went home with thoughts of winter") for i in range(600)]

@@ -60,6 +60,58 @@ def test_odd_rows(spark):
     assert quality.classify(docs.limit(0), labels).collect() == []
 
 
+def plain_features(text, model):
+    """The features of one text by plain loops."""
+    rows = quality.Rows(model.words)
+    tokens = text.split()
+    v = [model.vectors[rows[w]].astype(float) for w in tokens]
+    dims = model.vectors.shape[1]
+    n = len(v)
+    mean = [sum(x[i] for x in v) / n if n else 0.0 for i in range(dims)]
+    spread = [max(sum(x[i] ** 2 for x in v) / n - mean[i] ** 2, 0) ** 0.5 if n else 0.0 for i in range(dims)]
+    near = sum(float(a @ b) for a, b in zip(v, v[1:])) / max(n - 1, 1)
+    repeats = sum(rows[a] == rows[b] for a, b in zip(tokens, tokens[1:])) / max(n - 1, 1)
+    return np.array([*mean, *spread, near, np.log1p(n), len(set(tokens)) / max(n, 1), repeats])
+
+
+def test_scores_against_plain_loops(spark):
+    """Features, network and temperature of every document, recomputed without slices, batches or Spark."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    model = quality.fit(docs, labels)
+    w1, b1, w2, b2 = (a.astype(float) for a in model.layers)
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    for r in docs.collect()[::5]:
+        x = (plain_features(r.text or "", model) - model.scale[0]) / model.scale[1]
+        hidden = [np.tanh(sum(min(max(x[i], -8), 8) * w1[i][j] for i in range(len(x))) + b1[j]) for j in range(len(b1))]
+        logit = float(sum(h * w for h, w in zip(hidden, w2)) + b2[0])
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-logit / model.temperature))) < 2e-3, r.doc_id
+
+
+def test_vectors_are_sums_over_all_documents(spark):
+    """Vocabulary and word vectors of a small corpus by plain loops; unlabelled documents count."""
+    texts = ["a b c a", "b a, c", None, "", "c c c", "d é a b"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels, vocabulary=3, dims=16, window=2)
+    assert model.words == ["c", "a", "b"]
+    index = quality.index_vectors(len(model.words) + quality.SHAPES * quality.SHARED, 16, 7)
+    rows, want = quality.Rows(model.words), np.zeros_like(index, dtype=float)
+    for t in texts:
+        ids = [rows[w] for w in (t or "").split()]
+        for i, a in enumerate(ids):
+            for j, b in enumerate(ids):
+                if i != j and abs(i - j) <= 2:
+                    want[a] += index[b]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(model.vectors, want, atol=1e-6)
+
+
+def test_a_sampled_id_counts_once(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40} of {i}") for i in range(1200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    assert quality.sample(docs, labels, 20, "quality").count() == 20
+
+
 def test_pooling_does_not_depend_on_the_slices():
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(50, 8)).astype(np.float32)
