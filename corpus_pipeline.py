@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but
 the last return the columns of ``documents``.
+
+Defined results of every stage: a null text counts as empty; rows without
+an id, source or lang are rows like any other; repeated rows are copies, of
+which the second stage keeps one; very long texts are read whole; further
+columns of documents are passed on up to the last stage (their names must
+not begin with ``__hf_``); ties are decided as in each stage's operator; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,22 +22,22 @@ from haulframe.llm.tables import table, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go (operator 9)."""
+    """Documents that the quality classifier rejects go (operator 9); without labels of both kinds all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays (operator 7)."""
+    """Of each group of equal texts the longest original, then the smallest id, stays (operator 7)."""
     return dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (operator 4)."""
+    """One document of each group of near copies stays (operator 4); empty texts are no copies of each other by it."""
     return ngram_join.one_of_each(docs)
 
 
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents up to each source's token budget; three quarters of all tokens, no document twice (operator 10)."""
+    """Documents up to each source's token budget; three quarters of all tokens, no document twice, none without tokens (operator 10)."""
     return mixture(docs, share=0.75, max_epochs=1).select(*docs.columns)
 
 
@@ -52,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, from the table ``documents`` to pieces in sequences."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
