@@ -3,6 +3,7 @@
 import importlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import MEDIUM
 from tests.llm import test_dedup, test_ngram_join
@@ -60,3 +61,31 @@ def test_packing_stage(steps):
     packed = steps[5].toPandas()
     assert sorted(set(packed.doc_id)) == sorted(r.doc_id for r in steps[4].select("doc_id").collect())
     assert (packed.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_and_empty_tables(spark, tmp_path, empty):
+    """Nulls in every column, empty and very long texts, repeated rows, a further column of a clashing name."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").limit(120)
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    long = " ".join(f"long{i % 977} word{i}" for i in range(60_000))
+    odd = spark.createDataFrame(
+        [(None, "a text without an id, and so on and on", "en", "src1", 5), (900001, None, "en", "src1", None), (900002, "", None, None, 0),
+         (900003, long, "de", None, 7), (900004, "only these few words", None, "src2", 1), (None, None, None, None, None)], docs.schema)
+    rows = docs.union(odd).union(odd).withColumn("piece", F.lit("mine"))
+    if empty:
+        rows, labels = rows.limit(0), labels.limit(0)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = pipeline.written(stage(spark, now, str(tmp_path)), "test")
+        assert kept.columns == rows.columns
+        assert kept.exceptAll(now).isEmpty(), name
+        now = kept
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    if empty:
+        assert out == []
+    else:
+        texts = {r.doc_id: r.text for r in now.collect()}
+        assert {r.doc_id for r in out} == set(texts) and sum(r.length for r in out if r.doc_id == 900003) >= 60_000 * (900003 in texts)
