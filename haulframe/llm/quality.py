@@ -38,7 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulframe.llm.tables import written
@@ -198,6 +198,21 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int, label_col: str) ->
     return found.groupBy("doc_id", "h", "label").agg(F.min("text").alias("text")).select("h", "label", "text")
 
 
+def most_frequent(tokens: DataFrame, most: int) -> DataFrame:
+    """The ``most`` most frequent values of ``w``, ties by value.
+
+    How often the last of them occurs is found from the counts of counts
+    first, so that a sort sees those few values and not the largest of
+    every partition.
+    """
+    counts = written(tokens.groupBy("w").count(), "quality-counts")
+    # one row per different count: about the square root of the tokens, at most
+    steps = counts.groupBy("count").agg(F.count(F.lit(1)).alias("values"))
+    upto = F.sum("values").over(Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, 0))
+    least = steps.withColumn("upto", upto).where(F.col("upto") >= most).agg(F.max("count")).first()[0]
+    return (counts if least is None else counts.where(F.col("count") >= least)).orderBy(F.desc("count"), "w").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fit_rows: int = 6000,
         vocabulary: int = 16384, dims: int = 32, window: int = 2, hidden: int = 24, seed: int = 7) -> Model:
     """Word vectors of all ``docs``, and the network from at most ``fit_rows`` labelled ones of the fit fold."""
@@ -208,8 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fit_r
     if good in (0, all_):
         return Model([], None, None, None, 1.0, prior)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    top = (texts.select(F.explode(F.split(F.trim("text"), r"\s+")).alias("w")).where("w <> ''")
-           .groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary))
+    top = most_frequent(texts.select(F.explode(F.split(F.trim("text"), r"\s+")).alias("w")).where("w <> ''"), vocabulary)
     words = [r.w for r in top.collect()]
     size = len(words) + SHAPES * SHARED
     index = index_vectors(size, dims, seed)

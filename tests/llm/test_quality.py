@@ -106,6 +106,18 @@ def test_vectors_are_sums_over_all_documents(spark):
     assert np.allclose(model.vectors, want, atol=1e-6)
 
 
+def test_most_frequent_values(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    tokens = [f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in tokens], "w string").repartition(5)
+    order = sorted(Counter(tokens).items(), key=lambda x: (-x[1], x[0]))
+    for most in (1, 7, 40, 500):
+        assert [(r.w, r["count"]) for r in quality.most_frequent(df, most).collect()] == order[:most]
+
+
 def test_a_sampled_id_counts_once(spark):
     docs = spark.createDataFrame([(i % 40, f"text {i % 40} of {i}") for i in range(1200)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
