@@ -232,8 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fit_r
         known = Rows(words)
         out = np.zeros(index.shape, np.float64)
         for batch in batches:
-            ids, lengths, _ = tokenised(list(batch["text"]), known)
-            out += contexts(ids, lengths, index, window)
+            whole = list(batch["text"])
+            for a in range(0, len(whole), 512):  # the tokens of a whole batch would be hundreds of MB
+                ids, lengths, _ = tokenised(whole[a:a + 512], known)
+                out += contexts(ids, lengths, index, window)
         used = np.flatnonzero(out.any(axis=1))
         yield pd.DataFrame(out[used], columns=names).assign(row=used)[["row", *names]]
 
