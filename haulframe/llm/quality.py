@@ -103,6 +103,18 @@ def contexts(ids: np.ndarray, lengths: np.ndarray, index: np.ndarray, window: in
     return out.reshape(size, dims)
 
 
+def spans(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``chars`` characters (a longer text is alone), at most 512 of them."""
+    a, held = 0, 0
+    for b, t in enumerate(texts):
+        if b > a and (held + len(t) > chars or b - a == 512):
+            yield texts[a:b]
+            a, held = b, 0
+        held += len(t)
+    if a < len(texts):
+        yield texts[a:]
+
+
 def tokenised(texts: list[str], rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row ids of all tokens, tokens per text, distinct tokens per text."""
     parts = [t.split() for t in texts]
@@ -170,7 +182,7 @@ class Model:
             rows = Rows(model.words)
             for texts in batches:
                 whole = [t if t is not None else "" for t in texts]
-                parts = [model.score_texts(whole[a:a + 256], rows) for a in range(0, len(whole), 256)]
+                parts = [model.score_texts(part, rows) for part in spans(whole)]
                 yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
         return F.pandas_udf(run, "double")(F.coalesce(text, F.lit("")))
@@ -232,9 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fit_r
         known = Rows(words)
         out = np.zeros(index.shape, np.float64)
         for batch in batches:
-            whole = list(batch["text"])
-            for a in range(0, len(whole), 512):  # the tokens of a whole batch would be hundreds of MB
-                ids, lengths, _ = tokenised(whole[a:a + 512], known)
+            for part in spans(list(batch["text"])):  # the tokens of a whole batch would be hundreds of MB
+                ids, lengths, _ = tokenised(part, known)
                 out += contexts(ids, lengths, index, window)
         used = np.flatnonzero(out.any(axis=1))
         yield pd.DataFrame(out[used], columns=names).assign(row=used)[["row", *names]]
@@ -250,8 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fit_r
     def features(batches):
         known = Rows(words)
         for batch in batches:
-            got = pooled(*tokenised(list(batch["text"]), known), vectors)
-            yield pd.DataFrame({"h": batch["h"], "label": batch["label"], "x": list(got)})
+            got = [x for part in spans(list(batch["text"])) for x in pooled(*tokenised(part, known), vectors)]
+            yield pd.DataFrame({"h": batch["h"], "label": batch["label"], "x": got})
 
     data = rows.mapInPandas(features, "h long, label int, x array<float>").toPandas()  # fit_rows rows
     data = data.sort_values(["h", "label"], kind="stable")

@@ -145,3 +145,12 @@ def test_temperature_flattens_overconfident_logits():
     truth = rng.normal(size=4000)
     y = (rng.random(4000) < 1 / (1 + np.exp(-truth))).astype(float)
     assert 3 < quality.temperature(truth * 4, y) < 5
+
+
+def test_lists_of_bounded_size_hold_every_text_once():
+    texts = ["", "a" * 5, "b" * 30, "", "c", "d" * 9, "e"] * 300
+    for chars in (1, 10, 1_000_000):
+        parts = list(quality.spans(texts, chars))
+        assert sum(parts, []) == texts and all(len(p) <= 512 for p in parts)
+        assert all(len(p) == 1 or sum(map(len, p)) <= chars for p in parts)
+    assert list(quality.spans([])) == []
