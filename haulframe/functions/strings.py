@@ -6,8 +6,10 @@ whole-stage codegen; the ``*_job`` wrappers apply one to a table column.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ TYPEAHEAD_ACCENT_FROM = "ãàáäâẽèéëêìíïîõòóöôùúüûñç"
 TYPEAHEAD_ACCENT_TO = "aaaaaeeeeeiiiiooooouuuunc"
 # The five HTML entities, in the order they are escaped.
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
-# Named entities decoded when cleaning cells for export (beyond the five).
+# Named entities that the pages of this product use (beyond the five).
 EXPORT_ENTITIES = [("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&reg;", "\u00ae"),
                    ("&hellip;", "\u2026"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&apos;", "'")]
 # Characters that make a spreadsheet treat a cell as a formula.
@@ -110,22 +112,78 @@ def html_unescape(c: Column) -> Column:
     return out
 
 
+def _char(code: Column) -> Column:
+    """The character of a code point (0 to 10FFFF, no surrogate)."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _numeric_reference(digits: Column, base: int, longest: int) -> Column:
+    """The text of a numeric reference with these digits, by the rules of the HTML standard for faulty ones."""
+    bare = F.ltrim(digits, F.lit("0"))
+    code = F.conv(F.concat(F.lit("0"), F.when(F.char_length(bare) <= longest, bare)), base, 10).cast("bigint")
+    high = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")  # code points of the old Windows page
+    beyond = F.coalesce(code, F.lit(0x110000)) >= 0x110000  # null: more digits than any code point has
+    unseen = (code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F)
+              | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE))
+    old = F.substring(F.lit(high), (code - 0x7F).cast("int"), F.lit(1))
+    return (F.when(beyond | (code == 0) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .when(code.between(0x80, 0x9F), F.when(old == "\ufffd", _char(code)).otherwise(old))
+            .when(unseen, F.lit("")).otherwise(_char(code)))
+
+
+def _names() -> Column:
+    """Map from first letter to a map from name (with its semicolon, if any) to text: the HTML standard's list."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, text in html5.items():
+        by_letter.setdefault(name[0], {})[name] = text
+    return F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")  # folded once, when planned
+
+
+def decode_references(c: Column) -> Column:
+    """Every character reference of a text as the character it stands for, in one pass.
+
+    Decimal and hexadecimal ones by code point, named ones by the standard's
+    list, of which the older names also stand without their semicolon (the
+    longest such name that the letters begin with); anything else stays.
+    """
+    names = _names()
+    older = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+
+    def piece(p: Column) -> Column:
+        number = F.regexp_extract(p, "^&#(?:([0-9]+)|[xX]([0-9a-fA-F]+));?", 0)
+        dec, hexa = F.regexp_extract(p, "^&#([0-9]+)", 1), F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+)", 1)
+        name = F.regexp_extract(p, "^&([0-9A-Za-z]+;?)", 1)
+        old = F.regexp_extract(p, f"^&({older})", 1)
+
+        def text(n: Column) -> Column:
+            return F.try_element_at(F.try_element_at(names, F.substring(n, 1, 1)), n)
+
+        def rest(found: Column) -> Column:
+            return F.substring(p, F.char_length(found) + 1, F.char_length(p))
+
+        whole = F.when(name.endswith(";"), text(name))
+        return (F.when(dec != "", F.concat(_numeric_reference(dec, 10, 7), rest(number)))
+                .when(hexa != "", F.concat(_numeric_reference(hexa, 16, 6), rest(number)))
+                .when(whole.isNotNull(), F.concat(whole, rest(F.concat(F.lit("&"), name))))
+                .when(old != "", F.concat(text(old), rest(F.concat(F.lit("&"), old))))
+                .otherwise(p))
+
+    pieces = F.transform(F.split(c, "(?=&[#0-9A-Za-z])", -1), lambda p: F.when(p.startswith("&"), piece(p)).otherwise(p))
+    return F.array_join(pieces, "")
+
+
 def clean_cell(c: Column) -> Column:
     """STR4: export cleaning, in the reference's order.
 
     Drop script blocks, drop comments, drop tags, trim, newlines to spaces,
-    decode entities (the five plus a fixed list of common named ones), and
-    prefix a quote to cells that start like a formula.
+    decode character references as a browser does, and prefix a quote to cells that start like a formula.
     """
     # a script block runs to its first end tag; one without an end tag is only a tag
     for block in ("(?is)<script\\b.*?</script>", "<!--.*?-->", "<[^>]*>"):
         c = F.regexp_replace(c, block, "")
     s = c
     s = F.replace(js_trim(s), F.lit("\n"), F.lit(" "))
-    # one decoding pass: every other entity first, '&amp;' last
-    for ent, raw in EXPORT_ENTITIES + [(e, r) for r, e in HTML_ESCAPES if r != "&"] + [("&amp;", "&")]:
-        s = F.replace(s, F.lit(ent), F.lit(raw))
-    return F.when(s.rlike(FORMULA_START), F.concat(F.lit("'"), s)).otherwise(s)
+    return F.regexp_replace(decode_references(s), FORMULA_START, "'$0")
 
 
 def remove_accent(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -77,8 +78,12 @@ def _clean_sql(c: str) -> str:
     s = f"regexp_replace({s}, '<!--.*?-->', '', 'g')"
     s = f"regexp_replace({s}, '<[^>]*>', '', 'g')"
     s = f"replace({_sql_trim(s)}, chr(10), ' ')"
+    # the references that the given pages can hold; the older names also stand without their semicolon
     pairs = st.EXPORT_ENTITIES + [(e, r) for r, e in st.HTML_ESCAPES if r != "&"] + [("&amp;", "&")]
-    s = _sql_replace_chain(s, pairs)
+    for ent, raw in pairs:
+        bare = ent[1:-1] in html5 or ent[1] == "#"
+        raw = raw.replace("'", "''")
+        s = f"regexp_replace({s}, '{ent}{'?' if bare else ''}', '{raw}', 'g')"
     return s
 
 
@@ -257,6 +262,26 @@ def num6_band(t):
     return r.withColumn("percent", F.round("percent", 6))
 
 
+@job("num6_band_table", """
+WITH r AS (SELECT p_partkey AS position, (p_retailprice - 900) * 5 AS lo, (p_retailprice - 900) * 5 + p_size AS hi, p_brand AS label
+           FROM part),
+m AS (SELECT min(value) AS mn, max(value) AS mx FROM events),
+w AS (SELECT e.event_id, e.value, max(position) AS position, arg_max(label, position) AS band,
+             arg_max(abs(lo) + abs(hi), position) AS whole
+      FROM events e LEFT JOIN r ON e.value >= r.lo AND e.value <= r.hi GROUP BY 1, 2)
+SELECT event_id, value, band,
+       round(100.0 * value / (CASE WHEN position IS NULL THEN abs(mx) + abs(mn) ELSE whole END), 6) AS percent
+FROM w, m
+""")
+def num6_band_table(t):
+    """NUM6: event values labelled by a table of overlapping price ranges, one for each part (the last part wins)."""
+    low = (F.col("p_retailprice") - 900) * 5
+    ranges = t.part.select(F.col("p_partkey").alias("position"), low.alias("from"), (low + F.col("p_size")).alias("to"),
+                           F.col("p_brand").alias("label"))
+    r = numbers.band_table(t.events.select("event_id", "value"), "value", ranges)
+    return r.withColumn("percent", F.round("percent", 6))
+
+
 _RAD = math.pi / 180
 
 
